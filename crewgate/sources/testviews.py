@@ -228,7 +228,8 @@ def contact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upsert target: company contacts with created/updated stamps."""
     return companies(spark, sf_dir).select(
         "company_id", "contact_phone",
-        F.lit(UPSERT_CREATED).alias("created_at"), F.lit(UPSERT_CREATED).alias("updated_at"))
+        F.lit(UPSERT_CREATED.isoformat(sep=" ")).cast("timestamp_ntz").alias("created_at"),
+        F.lit(UPSERT_CREATED.isoformat(sep=" ")).cast("timestamp_ntz").alias("updated_at"))
 
 
 def contact_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
