@@ -107,8 +107,13 @@ def worker_orphans(W: DataFrame, C: DataFrame, R: DataFrame) -> DataFrame:
 def duplicate_keys(df: DataFrame, keys: list) -> DataFrame:
     """Key values held by more than one row, with their row count."""
     cols = [F.col(k) if isinstance(k, str) else k for k in keys]
-    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n_rows")) \
-             .where(F.col("n_rows") > 1)
+    counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n_rows"))
+    # NULL keys never collide (UNIQUE admits any number of NULLs)
+    named = [c for c in counted.columns if c != "n_rows"]
+    keep = F.col("n_rows") > 1
+    for c in named:
+        keep = keep & F.col(c).isNotNull()
+    return counted.where(keep)
 
 
 # Q1 -------------------------------------------------------------------------

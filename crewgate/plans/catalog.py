@@ -13,8 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crewgate.functions import exprs as X
-from crewgate.operators import listing, reports
+from crewgate.operators import companies, flags, keys, listing, load, quality, reports, upsert, \
+    workers
+from crewgate.schema import COMPANIES
+from crewgate.session import scratch_path
+from crewgate.sources import roster_csv
 from crewgate.sources import testviews as V
+from crewgate.streaming import flag_stream
 
 AS_OF = V.AS_OF
 # Parameters of the registered listing queries.
@@ -23,6 +28,7 @@ SURNAME_TEXT = "s9"
 COMPANY_NAME = "customer#000000042"
 PICKER_TEXT = "#0000001"
 DEFAULT_RECIPIENT = "site-office@example.org"
+ALLOWED_ACTORS = ["user0", "user1"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -144,3 +150,185 @@ def company_picker(spark, sf):
 def role_list(spark, sf):
     """O3: roles by id."""
     return listing.list_roles(V.roles(spark, sf))
+
+
+# --- lookups and quality -----------------------------------------------------
+@register
+def workers_by_ids(spark, sf):
+    """workers whose id is in a set (the users of the change feed)."""
+    ids = V.table(spark, sf, "events").select(F.col("user_id").alias("id"))
+    return listing.select_by_id(V.workers(spark, sf), ids, "worker_id")
+
+
+@register
+def new_companies_accepted(spark, sf):
+    """Requests with no stored company of the same name or VAT key."""
+    return quality.new_companies(V.company_candidates(spark, sf), V.companies(spark, sf))
+
+
+@register
+def new_companies_greedy(spark, sf):
+    """Full add-company outcome, first-come rule inside the batch."""
+    _, outcomes = companies.add_companies(V.company_candidates(spark, sf),
+                                          V.companies(spark, sf))
+    return outcomes
+
+
+@register
+def surrogate_keys(spark, sf):
+    """Ids after the largest stored id for the new companies, in seq order."""
+    C = V.companies(spark, sf)
+    fresh = quality.new_companies(V.company_candidates(spark, sf), C)
+    return keys.assign_ids_after(fresh.select("seq"), C, "company_id", ["seq"], "company_id")
+
+
+@register
+def worker_duplicates_stored(spark, sf):
+    """Requests equal to a stored worker (names case-insensitive, company)."""
+    cand = listing.resolve_company(V.worker_candidates(spark, sf), V.companies(spark, sf))
+    return quality.existing_workers(cand, V.workers(spark, sf)).select(
+        "seq", "given_name", "surname", "company_id")
+
+
+@register
+def new_workers_outcomes(spark, sf):
+    """Add-worker outcome per request, ids for accepted ones."""
+    _, outcomes = workers.add_workers(V.worker_candidates(spark, sf), V.workers(spark, sf),
+                                      V.companies(spark, sf))
+    return outcomes
+
+
+@register
+def orphans(spark, sf):
+    """Workers whose company or role id has no parent row."""
+    return quality.worker_orphans(*_wcr(spark, sf))
+
+
+@register
+def duplicate_keys(spark, sf):
+    """VAT keys held by more than one company."""
+    return quality.duplicate_keys(V.companies(spark, sf),
+                                  [X.stored_vat_key("vat_number").alias("vat_key")])
+
+
+@register
+def conformance_rejects(spark, sf):
+    """Q1: company requests that break the column length limits."""
+    return quality.conformance_rejects(V.company_candidates(spark, sf), COMPANIES, "seq")
+
+
+@register
+def temporary_without_date(spark, sf):
+    """Q2: temporary badges with no expiry date."""
+    W = V.workers(spark, sf)
+    return W.where(quality.temporary_without_date("is_temporary", "expiry_date")) \
+            .select("worker_id", "company_id")
+
+
+# --- changes -------------------------------------------------------------------
+@register
+def worker_edits(spark, sf):
+    """D3: worker snapshot after the edit requests."""
+    new_w, _ = workers.edit_workers(V.worker_edits(spark, sf), *_wcr(spark, sf))
+    return new_w
+
+
+@register
+def worker_edit_outcomes(spark, sf):
+    """Outcome per edit request."""
+    _, outcomes = workers.edit_workers(V.worker_edits(spark, sf), *_wcr(spark, sf))
+    return outcomes
+
+
+@register
+def company_edits(spark, sf):
+    """Company snapshot after the edit requests."""
+    new_c, _ = companies.edit_companies(V.company_edits(spark, sf), V.companies(spark, sf))
+    return new_c
+
+
+@register
+def flag_changes_snapshot(spark, sf):
+    """Worker snapshot after the flag changes."""
+    W, C, _ = _wcr(spark, sf)
+    new_w, _, _ = flags.apply_flag_changes(V.flag_change_records(spark, sf), W, C,
+                                           ALLOWED_ACTORS)
+    return new_w
+
+
+@register
+def flag_changes_companies(spark, sf):
+    """Company snapshot after the flag changes."""
+    W, C, _ = _wcr(spark, sf)
+    _, new_c, _ = flags.apply_flag_changes(V.flag_change_records(spark, sf), W, C,
+                                           ALLOWED_ACTORS)
+    return new_c
+
+
+@register
+def flag_change_outcomes(spark, sf):
+    """Reason per change record."""
+    W, C, _ = _wcr(spark, sf)
+    return flags.change_outcomes(V.flag_change_records(spark, sf), W, C, ALLOWED_ACTORS)
+
+
+@register
+def delete_companies_cascade(spark, sf):
+    """Workers left after deleting companies (cascade)."""
+    W, C, _ = _wcr(spark, sf)
+    _, new_w = companies.delete_companies(V.company_deletions(spark, sf), C, W)
+    return new_w
+
+
+@register
+def role_set_null(spark, sf):
+    """Workers after deleting a role (their role becomes NULL)."""
+    W, _, R = _wcr(spark, sf)
+    _, new_w = workers.delete_roles(V.role_deletions(spark, sf), R, W)
+    return new_w
+
+
+@register
+def delete_workers(spark, sf):
+    """Workers left after deleting a set of workers."""
+    return workers.delete_workers(V.worker_deletions(spark, sf), V.workers(spark, sf))
+
+
+@register
+def upsert_by_key(spark, sf):
+    """Contact table after an upsert batch."""
+    return upsert.upsert(V.contact_updates(spark, sf), V.contact_table(spark, sf),
+                         "company_id", V.UPSERT_NOW)
+
+
+# --- bulk load and stream ----------------------------------------------------
+def _loaded(spark, sf):
+    path = V.write_raw_roster(spark, sf, scratch_path(spark, "raw-roster"))
+    clean = load.clean_roster(roster_csv.read_roster_csv(spark, path))
+    return load.bulk_load(clean, V.companies(spark, sf), V.workers(spark, sf))
+
+
+@register
+def bulk_load(spark, sf):
+    """Workers loaded from a raw roster CSV folder."""
+    return _loaded(spark, sf)[1]
+
+
+@register
+def bulk_load_companies(spark, sf):
+    """Companies created by the load."""
+    return _loaded(spark, sf)[0]
+
+
+@register
+def stream_flag_changes(spark, sf):
+    """The change feed in micro-batches; snapshot equals D5's."""
+    W, C, _ = _wcr(spark, sf)
+    feed = scratch_path(spark, "flag-feed")
+    V.write_change_files(spark, sf, feed)
+    root = scratch_path(spark, "flag-state")
+    q = flag_stream.start_flag_stream(flag_stream.read_change_stream(spark, feed), W, C, root,
+                                      f"{root}/_checkpoint", ALLOWED_ACTORS)
+    q.awaitTermination()
+    new_w, _ = flags.apply_latest(flag_stream.latest_table(spark, root), W, C)
+    return new_w

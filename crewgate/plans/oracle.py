@@ -209,3 +209,345 @@ ORACLE_SQL: dict[str, str] = {
   WHERE instr(lower(company_name), '#0000001') > 0""",
     "role_list": with_views("roles") + "  SELECT role_id, role_name FROM roles",
 }
+
+
+# --- stand-in request frames ---------------------------------------------------
+VIEWS.update({
+    "cand_companies": """
+  SELECT p_partkey AS seq,
+         CASE WHEN p_partkey % 7 = 0
+                THEN 'customer #' || lpad(CAST(p_partkey % 1500 AS VARCHAR), 9, '0')
+              WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS company_name,
+         CASE WHEN p_partkey % 5 = 0 THEN ''
+              WHEN p_partkey % 5 = 1 THEN ' IT' || CAST(p_partkey % 1700 AS VARCHAR) || chr(9)
+              ELSE 'IT' || CAST(p_partkey % 1700 AS VARCHAR) END AS vat_number,
+         repeat(p_name, p_size) AS contact_name,
+         replace(p_name, ' ', '.') || '@example.org' AS contact_email,
+         CAST(p_size AS VARCHAR) AS contact_phone, p_type AS note
+  FROM part""",
+    "cand_workers": """
+  SELECT o_orderkey AS seq,
+         CASE WHEN o_orderkey % 6 = 0 THEN lower(substr(o_orderpriority, 3))
+              ELSE substr(o_orderpriority, 3) END AS given_name,
+         CASE WHEN o_orderkey % 6 = 0 THEN 's' || CAST(o_orderkey % 997 AS VARCHAR)
+              ELSE 'New' || CAST(o_orderkey % 300 AS VARCHAR) END AS surname,
+         CASE WHEN o_orderkey % 6 = 0 THEN 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0')
+              WHEN o_orderkey % 6 = 2 THEN ''
+              WHEN o_orderkey % 6 = 3 THEN 'Ghost#' || CAST(o_orderkey AS VARCHAR)
+              ELSE 'CUSTOMER#' || lpad(CAST(o_orderkey % 40 AS VARCHAR), 9, '0') END
+           AS company_name,
+         CASE WHEN o_orderstatus = 'P' THEN 'on' END AS is_temporary,
+         'B' || CAST(o_orderkey AS VARCHAR) AS badge_number,
+         CASE WHEN o_orderkey % 6 = 5 THEN 'abc' WHEN o_orderkey % 4 = 0 THEN ''
+              ELSE CAST(o_orderkey % 5 AS VARCHAR) END AS role_id,
+         CASE WHEN o_orderkey % 6 = 4 THEN (CASE WHEN o_orderkey % 4 = 0 THEN '2024-02-30'
+                                                 ELSE '' END)
+              ELSE strftime(o_orderdate, '%Y-%m-%d') END AS expiry_date,
+         o_orderstatus AS note
+  FROM orders""",
+    "edits": """
+  SELECT event_id AS seq,
+         CAST(floor(event_id / 3) AS BIGINT) * 2
+           + CASE WHEN event_id % 29 = 0 THEN 1000000000 ELSE 0 END AS worker_id,
+         'G' || CAST(event_id AS VARCHAR) AS given_name,
+         'E' || CAST(user_id AS VARCHAR) AS surname, user_id AS company_id,
+         CASE WHEN event_id % 31 = 0 THEN 'r' WHEN event_id % 4 = 0 THEN ''
+              ELSE CAST(event_id % 7 AS VARCHAR) END AS role_id,
+         CASE WHEN event_type = 'purchase' THEN 'on' END AS is_temporary,
+         'TB' || CAST(event_id AS VARCHAR) AS badge_number,
+         CASE WHEN event_id % 37 = 0 THEN '2024-13-01' WHEN event_id % 11 = 0 THEN ''
+              ELSE strftime(ts, '%Y-%m-%d') END AS expiry_date,
+         CASE WHEN event_id % 13 = 0 THEN '1' ELSE '0' END AS clear_date_flag,
+         props AS note
+  FROM events""",
+    "cedits": """
+  SELECT event_id AS seq,
+         CAST(floor(event_id / 4) AS BIGINT)
+           + CASE WHEN event_id % 53 = 0 THEN 1000000000 ELSE 0 END AS company_id,
+         'Firm ' || CAST(user_id AS VARCHAR) AS company_name,
+         'IT' || CAST(event_id AS VARCHAR) AS vat_number, event_type AS contact_name,
+         'e' || CAST(event_id AS VARCHAR) || '@example.org' AS contact_email,
+         CAST(user_id AS VARCHAR) AS contact_phone, props AS note
+  FROM events""",
+    "fc": """
+  SELECT event_id AS seq, 'user' || CAST(user_id % 4 AS VARCHAR) AS actor,
+         CASE WHEN event_id % 103 = 0 THEN 'vehicle' WHEN event_type = 'error' THEN 'company'
+              ELSE 'worker' END AS type,
+         CASE WHEN event_id % 109 = 0 THEN NULL
+              WHEN event_id % 107 = 0 THEN user_id + 1000000000 ELSE user_id END AS id,
+         CASE WHEN event_id % 101 = 0 THEN 'colour'
+              WHEN event_type = 'click' THEN 'badge_issued'
+              WHEN event_type = 'view' THEN 'badge_valid'
+              WHEN event_type = 'purchase' THEN 'badge_cancelled'
+              WHEN event_type = 'signup' THEN 'record_updated'
+              ELSE 'is_sole_trader' END AS field,
+         CASE WHEN event_id % 79 = 0 THEN NULL
+              WHEN event_id % 97 = 0 THEN '2' WHEN event_id % 89 = 0 THEN 'x'
+              WHEN event_id % 83 = 0 THEN NULL
+              WHEN value > 50 THEN '1' ELSE '0' END AS clicked,
+         NOT (event_id % 79 <> 0 AND event_id % 97 <> 0 AND event_id % 89 <> 0
+              AND event_id % 83 = 0) AS has_clicked
+  FROM events""",
+})
+
+WS = "'^[\\s]+|[\\s]+$'"
+
+NEW_COMPANIES = f"""
+  SELECT c.* FROM cand_companies c
+  WHERE NOT EXISTS (SELECT 1 FROM companies s
+                    WHERE replace(lower(s.company_name), ' ', '')
+                          = replace(lower(c.company_name), ' ', ''))
+    AND NOT EXISTS (SELECT 1 FROM companies s
+                    WHERE nullif(trim(s.vat_number), '')
+                          = nullif(regexp_replace(c.vat_number, {WS}, '', 'g'), ''))"""
+
+WORKER_FIELDS = ("worker_id, given_name, surname, company_id, role_id, badge_issued, "
+                 "expiry_date, record_updated, badge_valid, note, badge_cancelled, "
+                 "is_temporary, badge_number")
+COMPANY_FIELDS = ("company_id, company_name, vat_number, contact_name, contact_email, "
+                  "contact_phone, note, is_sole_trader")
+
+RESOLVED_CAND = """
+  SELECT c.*, lk.company_id FROM cand_workers c
+  LEFT JOIN (SELECT lower(company_name) AS nk, min(company_id) AS company_id FROM companies
+             WHERE company_name IS NOT NULL GROUP BY 1) lk ON lower(c.company_name) = lk.nk"""
+
+FLAG_OUTCOMES = """
+  SELECT fc.seq, fc.actor, fc.type, fc.id, fc.field,
+         CASE WHEN TRY_CAST(fc.clicked AS INTEGER) IN (0, 1)
+              THEN TRY_CAST(fc.clicked AS INTEGER) END AS value,
+         CASE WHEN NOT fc.has_clicked THEN 'missing_clicked'
+              WHEN TRY_CAST(fc.clicked AS INTEGER) IS NULL
+                   OR TRY_CAST(fc.clicked AS INTEGER) NOT IN (0, 1) THEN 'bad_value'
+              WHEN coalesce(fc.type, '') = '' OR fc.id IS NULL THEN 'missing_fields'
+              WHEN fc.type NOT IN ('worker', 'company') THEN 'unknown_type'
+              WHEN NOT ((fc.type = 'worker' AND fc.field IN ('record_updated', 'badge_issued',
+                          'badge_valid', 'badge_cancelled'))
+                        OR (fc.type = 'company' AND fc.field = 'is_sole_trader'))
+                THEN 'unknown_field'
+              WHEN fc.field = 'badge_issued' AND fc.actor NOT IN ('user0', 'user1')
+                THEN 'forbidden'
+              WHEN t.id IS NULL THEN 'not_found'
+              ELSE 'applied' END AS reason
+  FROM fc LEFT JOIN (SELECT 'worker' AS type, worker_id AS id FROM workers
+                     UNION ALL SELECT 'company', company_id FROM companies) t
+    ON fc.type = t.type AND fc.id = t.id"""
+
+FLAG_LATEST = """
+  SELECT type, id, field, arg_max(value, seq) AS value FROM fo WHERE reason = 'applied'
+  GROUP BY type, id, field"""
+
+FLAG_SNAPSHOT = with_views("workers", "companies", "fc", extra={
+    "fo": FLAG_OUTCOMES, "fl": FLAG_LATEST}) + """
+  SELECT w.worker_id, w.given_name, w.surname, w.company_id, w.role_id,
+         coalesce(i.value, w.badge_issued) AS badge_issued, w.expiry_date,
+         coalesce(u.value, w.record_updated) AS record_updated,
+         coalesce(v.value, w.badge_valid) AS badge_valid, w.note,
+         coalesce(x.value, w.badge_cancelled) AS badge_cancelled, w.is_temporary, w.badge_number
+  FROM workers w
+  LEFT JOIN fl i ON i.type = 'worker' AND i.field = 'badge_issued' AND i.id = w.worker_id
+  LEFT JOIN fl u ON u.type = 'worker' AND u.field = 'record_updated' AND u.id = w.worker_id
+  LEFT JOIN fl v ON v.type = 'worker' AND v.field = 'badge_valid' AND v.id = w.worker_id
+  LEFT JOIN fl x ON x.type = 'worker' AND x.field = 'badge_cancelled' AND x.id = w.worker_id"""
+
+LOADED_ROWS = """
+  SELECT o_orderkey AS k, o_orderkey % 4 AS file_no,
+         CASE WHEN o_orderkey % 5 = 1 THEN 'FIRM ' ELSE 'Firm ' END
+           || CAST(o_custkey % 50 AS VARCHAR) AS company_name,
+         substr(o_orderpriority, 3) AS given_name,
+         CASE WHEN o_orderkey % 19 = 0 THEN ''
+              ELSE 'S' || CAST(o_orderkey % 997 AS VARCHAR) END AS surname,
+         CASE WHEN o_orderkey % 19 = 0 THEN ''
+              WHEN o_orderkey % 9 = 0 THEN 'a;b'
+              WHEN o_orderkey % 17 = 0 THEN 'line1' || chr(10) || 'line2'
+              ELSE o_orderstatus END AS note,
+         CASE WHEN o_orderkey % 19 <> 0 AND o_orderkey % 6 IN (0, 1, 2)
+              THEN CAST(o_orderdate AS DATE) END AS expiry_date,
+         CASE WHEN o_orderkey % 19 <> 0 AND o_orderkey % 3 = 0 THEN 1 ELSE 0 END
+           AS badge_issued,
+         CASE WHEN o_orderkey % 19 <> 0 AND o_orderkey % 4 = 0 THEN 1 ELSE 0 END
+           AS badge_valid
+  FROM orders WHERE o_orderkey % 29 <> 0"""
+
+LOADED_COMPANIES = """
+  SELECT company_name,
+         (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY company_name)
+           AS company_id
+  FROM (SELECT DISTINCT company_name FROM lr)"""
+
+ORACLE_SQL.update({
+    "workers_by_ids": with_views("workers") + f"""
+  SELECT {WORKER_FIELDS} FROM workers WHERE worker_id IN (SELECT user_id FROM events)""",
+    "new_companies_accepted": with_views("companies", "cand_companies") + NEW_COMPANIES,
+    "surrogate_keys": with_views("companies", "cand_companies", extra={"f": NEW_COMPANIES}) + """
+  SELECT seq, (SELECT max(company_id) FROM companies) + row_number() OVER (ORDER BY seq)
+           AS company_id FROM f""",
+    "worker_duplicates_stored": with_views("workers", "companies", "cand_workers",
+                                           extra={"r": RESOLVED_CAND}) + """
+  SELECT r.seq, r.given_name, r.surname, r.company_id FROM r
+  WHERE EXISTS (SELECT 1 FROM workers w WHERE lower(w.given_name) = lower(r.given_name)
+                AND lower(w.surname) = lower(r.surname) AND w.company_id = r.company_id)""",
+    "new_workers_outcomes": with_views("workers", "companies", "cand_workers", extra={
+        "r0": RESOLVED_CAND,
+        "r1": """
+  SELECT r0.*,
+         nullif(role_id, '') IS NOT NULL AND TRY_CAST(nullif(role_id, '') AS BIGINT) IS NULL
+           AS bad_role,
+         CAST(try_strptime(nullif(expiry_date, ''), '%Y-%m-%d') AS DATE) AS d,
+         coalesce(expiry_date, '') <> ''
+           AND try_strptime(nullif(expiry_date, ''), '%Y-%m-%d') IS NULL AS bad_date,
+         CASE WHEN is_temporary = 'on' THEN 1 ELSE 0 END AS temp,
+         lower(given_name) AS gk, lower(surname) AS sk,
+         EXISTS (SELECT 1 FROM workers w WHERE lower(w.given_name) = lower(r0.given_name)
+                 AND lower(w.surname) = lower(r0.surname) AND w.company_id = r0.company_id)
+           AS stored
+  FROM r0""",
+        "r2": """
+  SELECT r1.*, CASE WHEN company_name = '' THEN 'no_company' WHEN bad_role THEN 'bad_role'
+                    WHEN bad_date THEN 'bad_date'
+                    WHEN company_id IS NULL THEN 'company_unknown'
+                    WHEN stored THEN 'duplicate' END AS early
+  FROM r1""",
+        "firsts": """
+  SELECT gk, sk, company_id, min(seq) AS first FROM r2
+  WHERE early IS NULL AND NOT (temp = 1 AND d IS NULL)
+    AND gk IS NOT NULL AND sk IS NOT NULL AND company_id IS NOT NULL
+  GROUP BY gk, sk, company_id""",
+        "r3": """
+  SELECT r2.seq, r2.company_id,
+         coalesce(early, CASE WHEN f.first < r2.seq THEN 'duplicate' END,
+                  CASE WHEN temp = 1 AND d IS NULL THEN 'temporary_without_date' END) AS reason
+  FROM r2 LEFT JOIN firsts f ON r2.gk = f.gk AND r2.sk = f.sk AND r2.company_id = f.company_id"""
+    }) + """
+  SELECT seq, coalesce(reason, 'accepted') AS outcome, company_id,
+         CASE WHEN reason IS NULL THEN (SELECT max(worker_id) FROM workers)
+              + row_number() OVER (PARTITION BY reason IS NULL ORDER BY seq) END AS worker_id
+  FROM r3""",
+    "orphans": with_views(*WCR) + """
+  SELECT worker_id, 'company_id' AS fk_column, company_id AS fk_value FROM workers
+  WHERE company_id IS NOT NULL AND company_id NOT IN (SELECT company_id FROM companies)
+  UNION ALL
+  SELECT worker_id, 'role_id', role_id FROM workers
+  WHERE role_id IS NOT NULL AND role_id NOT IN (SELECT role_id FROM roles)""",
+    "duplicate_keys": with_views("companies") + """
+  SELECT nullif(trim(vat_number), '') AS vat_key, count(*) AS n_rows FROM companies
+  GROUP BY 1 HAVING count(*) > 1 AND nullif(trim(vat_number), '') IS NOT NULL""",
+    "conformance_rejects": with_views("cand_companies") + "\nUNION ALL ".join(
+        f"""
+  SELECT seq, '{c}' AS "column", 'too_long' AS reason, CAST(length({c}) AS INTEGER) AS length
+  FROM cand_companies WHERE length({c}) > {n}"""
+        for c, n in (("company_name", 80), ("vat_number", 20), ("contact_name", 100),
+                     ("contact_email", 50), ("contact_phone", 20), ("note", 100))),
+    "temporary_without_date": with_views("workers") + """
+  SELECT worker_id, company_id FROM workers WHERE is_temporary = 1 AND expiry_date IS NULL""",
+    "worker_edits": with_views(*WCR, "edits", extra={
+        "e1": """
+  SELECT e.*, TRY_CAST(nullif(e.role_id, '') AS BIGINT) AS role,
+         nullif(e.role_id, '') IS NOT NULL AND TRY_CAST(nullif(e.role_id, '') AS BIGINT) IS NULL
+           AS bad_role,
+         coalesce(e.clear_date_flag = '1', false) AS clr,
+         CASE WHEN e.is_temporary = 'on' THEN 1 ELSE 0 END AS temp
+  FROM edits e""",
+        "e2": """
+  SELECT e1.*,
+         CASE WHEN clr THEN NULL
+              ELSE CAST(try_strptime(nullif(expiry_date, ''), '%Y-%m-%d') AS DATE) END AS d,
+         NOT clr AND coalesce(expiry_date, '') <> ''
+           AND try_strptime(nullif(expiry_date, ''), '%Y-%m-%d') IS NULL AS bad_date
+  FROM e1""",
+        "e3": """
+  SELECT e2.*,
+         CASE WHEN bad_role THEN 'bad_role'
+              WHEN w.worker_id IS NULL THEN 'not_found'
+              WHEN bad_date THEN 'bad_date'
+              WHEN temp = 1 AND d IS NULL THEN 'temporary_without_date'
+              WHEN e2.company_id IS NOT NULL AND c.company_id IS NULL THEN 'company_unknown'
+              WHEN role IS NOT NULL AND r.role_id IS NULL THEN 'role_unknown' END AS reason
+  FROM e2 LEFT JOIN workers w ON e2.worker_id = w.worker_id
+  LEFT JOIN companies c ON e2.company_id = c.company_id
+  LEFT JOIN roles r ON e2.role = r.role_id""",
+        "last": """
+  SELECT * FROM (SELECT e3.*, row_number() OVER (PARTITION BY worker_id ORDER BY seq DESC) AS rn
+                 FROM e3 WHERE reason IS NULL) WHERE rn = 1"""}) + """
+  SELECT w.worker_id,
+         CASE WHEN l.seq IS NOT NULL THEN l.given_name ELSE w.given_name END AS given_name,
+         CASE WHEN l.seq IS NOT NULL THEN l.surname ELSE w.surname END AS surname,
+         CASE WHEN l.seq IS NOT NULL THEN l.company_id ELSE w.company_id END AS company_id,
+         CASE WHEN l.seq IS NOT NULL THEN l.role ELSE w.role_id END AS role_id,
+         w.badge_issued,
+         CASE WHEN l.seq IS NOT NULL THEN l.d ELSE w.expiry_date END AS expiry_date,
+         w.record_updated, w.badge_valid,
+         CASE WHEN l.seq IS NOT NULL THEN l.note ELSE w.note END AS note,
+         w.badge_cancelled,
+         CASE WHEN l.seq IS NOT NULL THEN l.temp ELSE w.is_temporary END AS is_temporary,
+         CASE WHEN l.seq IS NOT NULL THEN (CASE WHEN l.temp = 1 THEN l.badge_number ELSE '' END)
+              ELSE w.badge_number END AS badge_number
+  FROM workers w LEFT JOIN last l ON w.worker_id = l.worker_id""",
+    "company_edits": with_views("companies", "cedits", extra={
+        "last": """
+  SELECT * FROM (SELECT e.*, row_number() OVER (PARTITION BY e.company_id ORDER BY seq DESC)
+                   AS rn FROM cedits e WHERE e.company_id IN (SELECT company_id FROM companies))
+  WHERE rn = 1"""}) + """
+  SELECT c.company_id,
+         CASE WHEN l.seq IS NOT NULL THEN l.company_name ELSE c.company_name END AS company_name,
+         CASE WHEN l.seq IS NOT NULL THEN l.vat_number ELSE c.vat_number END AS vat_number,
+         CASE WHEN l.seq IS NOT NULL THEN l.contact_name ELSE c.contact_name END AS contact_name,
+         CASE WHEN l.seq IS NOT NULL THEN l.contact_email ELSE c.contact_email END
+           AS contact_email,
+         CASE WHEN l.seq IS NOT NULL THEN l.contact_phone ELSE c.contact_phone END
+           AS contact_phone,
+         CASE WHEN l.seq IS NOT NULL THEN l.note ELSE c.note END AS note,
+         c.is_sole_trader
+  FROM companies c LEFT JOIN last l ON c.company_id = l.company_id""",
+    "flag_change_outcomes": with_views("workers", "companies", "fc") + FLAG_OUTCOMES,
+    "flag_changes_snapshot": FLAG_SNAPSHOT,
+    "stream_flag_changes": FLAG_SNAPSHOT,
+    "flag_changes_companies": with_views("workers", "companies", "fc", extra={
+        "fo": FLAG_OUTCOMES, "fl": FLAG_LATEST}) + """
+  SELECT c.company_id, c.company_name, c.vat_number, c.contact_name, c.contact_email,
+         c.contact_phone, c.note, coalesce(s.value, c.is_sole_trader) AS is_sole_trader
+  FROM companies c LEFT JOIN fl s ON s.type = 'company' AND s.field = 'is_sole_trader'
+    AND s.id = c.company_id""",
+    "delete_companies_cascade": with_views("workers") + f"""
+  SELECT {WORKER_FIELDS} FROM workers
+  WHERE company_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""",
+    "role_set_null": with_views("workers") + f"""
+  SELECT {WORKER_FIELDS.replace('role_id,', '''CASE WHEN role_id IN (SELECT r_regionkey
+         FROM region WHERE r_name = 'ASIA') THEN NULL ELSE role_id END AS role_id,''')}
+  FROM workers""",
+    "delete_workers": with_views("workers") + f"""
+  SELECT {WORKER_FIELDS} FROM workers
+  WHERE worker_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""",
+    "upsert_by_key": with_views("companies", extra={
+        "t": """SELECT company_id, contact_phone, TIMESTAMP '2024-01-01 00:00:00' AS created_at,
+                       TIMESTAMP '2024-01-01 00:00:00' AS updated_at FROM companies""",
+        "u": """SELECT o_custkey * 2 AS company_id,
+                       arg_max('+39 ' || CAST(o_orderkey AS VARCHAR), o_orderkey) AS contact_phone
+                FROM orders GROUP BY 1"""}) + """
+  SELECT coalesce(t.company_id, u.company_id) AS company_id,
+         CASE WHEN u.company_id IS NOT NULL THEN u.contact_phone ELSE t.contact_phone END
+           AS contact_phone,
+         CASE WHEN t.company_id IS NOT NULL THEN t.created_at
+              ELSE TIMESTAMP '2024-06-01 12:00:00' END AS created_at,
+         CASE WHEN u.company_id IS NOT NULL THEN TIMESTAMP '2024-06-01 12:00:00'
+              ELSE t.updated_at END AS updated_at
+  FROM t FULL OUTER JOIN u ON t.company_id = u.company_id""",
+    "bulk_load": "WITH lr AS (" + LOADED_ROWS + "),\nnc AS (" + LOADED_COMPANIES + """),
+  allc AS (SELECT c_custkey AS company_id, c_name AS company_name FROM customer
+           UNION ALL SELECT company_id, company_name FROM nc),
+  lk AS (SELECT lower(company_name) AS nk, min(company_id) AS company_id FROM allc GROUP BY 1)
+  SELECT (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY file_no, k)
+           AS worker_id,
+         given_name, surname, lk.company_id, CAST(NULL AS BIGINT) AS role_id, badge_issued,
+         expiry_date, 1 AS record_updated, badge_valid, note,
+         CAST(NULL AS INTEGER) AS badge_cancelled, CAST(NULL AS INTEGER) AS is_temporary,
+         '' AS badge_number
+  FROM lr LEFT JOIN lk ON lower(lr.company_name) = lk.nk""",
+    "bulk_load_companies": "WITH lr AS (" + LOADED_ROWS + "),\nnc AS (" + LOADED_COMPANIES
+    + """)
+  SELECT CAST(company_id AS BIGINT) AS company_id, company_name,
+         CAST(NULL AS VARCHAR) AS vat_number, CAST(NULL AS VARCHAR) AS contact_name,
+         CAST(NULL AS VARCHAR) AS contact_email, CAST(NULL AS VARCHAR) AS contact_phone,
+         CAST(NULL AS VARCHAR) AS note, 0 AS is_sole_trader
+  FROM nc""",
+})

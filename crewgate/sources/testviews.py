@@ -237,3 +237,69 @@ def contact_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("seq"),
                     (F.col("o_custkey") * 2).alias("company_id"),
                     F.concat(F.lit("+39 "), F.col("o_orderkey").cast("string")).alias("contact_phone"))
+
+
+# The two header records every raw roster file starts with.
+RAW_HEADERS = ('Company;Given name;Surname;Note;"Expiry\ndate";Issued;Valid',
+               'Roster of the site office;;;;;;')
+RAW_FILES = 4
+
+
+def raw_roster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text lines of a raw roster, one worker per order, spread over files.
+
+    Rows hold every irregularity the loader must take: '*'-wrapped and
+    case-variant company names, tabs and NBSP round values, quoted ';' and
+    quoted newlines, dates in d/M/yyyy, dd-MM-yyyy, impossible and two-digit
+    forms, lower-case marks, 2-field rows, 8-field rows and blank rows.
+    """
+    from crewgate.sources.roster_csv import csv_field
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    firm = (F.col("o_custkey") % 50).cast("string")
+    company = (F.when(k % 5 == 0, F.concat(F.lit("** Firm "), firm, F.lit(" *")))
+                .when(k % 5 == 1, F.concat(F.lit("*FIRM "), firm))
+                .otherwise(F.concat(F.lit("Firm "), firm)))
+    given = F.substring("o_orderpriority", 3, 1 << 20)
+    given = F.when(k % 7 == 0, F.concat(F.lit("\u00a0"), given, F.lit("\u2003"))) \
+             .otherwise(F.concat(F.lit(" "), given, F.lit("\t")))
+    surname = F.concat(F.lit("S"), (k % 997).cast("string"))
+    note = (F.when(k % 9 == 0, F.lit("a;b")).when(k % 17 == 0, F.lit("line1\nline2"))
+             .otherwise(F.col("o_orderstatus")))
+    d = F.col("o_orderdate")
+    expiry = (F.when(k % 6 == 0, F.date_format(d, "dd/MM/yyyy"))
+               .when(k % 6 == 1, F.date_format(d, "d/M/yyyy"))
+               .when(k % 6 == 2, F.date_format(d, "d-M-yyyy"))
+               .when(k % 6 == 3, F.lit("31/02/2024"))
+               .when(k % 6 == 4, F.date_format(d, "dd/MM/yy"))
+               .otherwise(F.lit("")))
+    issued = F.when(k % 3 == 0, F.lit("X")).when(k % 3 == 1, F.lit(" x")).otherwise(F.lit(""))
+    valid = F.when(k % 4 == 0, F.lit(" X ")).otherwise(F.lit(""))
+    fields = [csv_field(c) for c in (company, given, surname, note, expiry, issued, valid)]
+    line = (F.when(k % 29 == 0, F.lit(";;;;;;"))
+             .when(k % 19 == 0, F.concat_ws(";", *fields[:2]))
+             .when(k % 23 == 0, F.concat_ws(";", *fields, F.lit("extra")))
+             .otherwise(F.concat_ws(";", *fields)))
+    data = o.select((k % RAW_FILES).alias("file_no"), k.alias("ord"), line.alias("value"))
+    heads = spark.range(RAW_FILES).select(F.col("id").alias("file_no")).select(
+        "file_no", F.inline(F.array(*[
+            F.struct(F.lit(i - len(RAW_HEADERS)).cast("long").alias("ord"), F.lit(h).alias("value"))
+            for i, h in enumerate(RAW_HEADERS)])))
+    return data.unionByName(heads)
+
+
+def write_raw_roster(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """Write the raw roster as RAW_FILES CSV files (one folder each)."""
+    lines = raw_roster_lines(spark, sf_dir)
+    (lines.repartition(RAW_FILES, "file_no").sortWithinPartitions("file_no", "ord")
+          .select("file_no", "value")
+          .write.mode("error").partitionBy("file_no").text(path))
+    return path
+
+
+def write_change_files(spark: SparkSession, sf_dir: str, path: str, files: int = 4) -> str:
+    """The change records as JSON-lines files; records are spread by hash, so
+    later files hold smaller seq values too (late arrivals)."""
+    (flag_change_records(spark, sf_dir).repartition(files, "seq")
+        .write.mode("error").json(path))
+    return path
