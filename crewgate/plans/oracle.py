@@ -551,3 +551,42 @@ ORACLE_SQL.update({
          CAST(NULL AS VARCHAR) AS note, 0 AS is_sole_trader
   FROM nc""",
 })
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+# The in-batch first-come rule simulated one request at a time: the
+# recursion carries the name keys, VAT keys and seqs accepted so far.
+GREEDY = _recursive(with_views("companies", "cand_companies", extra={
+    "f": NEW_COMPANIES,
+    "p": f"""
+  SELECT seq, replace(lower(company_name), ' ', '') AS nk,
+         nullif(regexp_replace(vat_number, {WS}, '', 'g'), '') AS vk,
+         row_number() OVER (ORDER BY seq) AS rn FROM f""",
+    "g": """
+  SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS names,
+         CAST([] AS VARCHAR[]) AS vats, CAST([] AS BIGINT[]) AS acc
+  UNION ALL
+  SELECT q.rn,
+         CASE WHEN q.ok AND q.nk IS NOT NULL THEN list_append(q.names, q.nk) ELSE q.names END,
+         CASE WHEN q.ok AND q.vk IS NOT NULL THEN list_append(q.vats, q.vk) ELSE q.vats END,
+         CASE WHEN q.ok THEN list_append(q.acc, q.seq) ELSE q.acc END
+  FROM (SELECT p.rn, p.nk, p.vk, p.seq, g.names, g.vats, g.acc,
+               (p.nk IS NULL OR NOT list_contains(g.names, p.nk))
+               AND (p.vk IS NULL OR NOT list_contains(g.vats, p.vk)) AS ok
+        FROM g JOIN p ON p.rn = g.rn + 1) q""",
+    "a": "SELECT unnest(acc) AS seq FROM g WHERE rn = (SELECT max(rn) FROM g)"})) + """
+  SELECT c.seq,
+         CASE WHEN a.seq IS NOT NULL THEN 'accepted' WHEN f.seq IS NOT NULL THEN 'duplicate'
+              ELSE 'exists' END AS outcome,
+         CASE WHEN a.seq IS NOT NULL THEN (SELECT max(company_id) FROM companies)
+              + row_number() OVER (PARTITION BY a.seq IS NOT NULL ORDER BY c.seq) END
+           AS company_id
+  FROM cand_companies c LEFT JOIN f ON c.seq = f.seq LEFT JOIN a ON c.seq = a.seq"""
+
+ORACLE_SQL["new_companies_greedy"] = GREEDY
+ORACLE_SQL["worker_edit_outcomes"] = ORACLE_SQL["worker_edits"].split("\n  SELECT w.worker_id,")[0] \
+    + """
+  SELECT seq, worker_id, coalesce(reason, 'applied') AS outcome FROM e3"""
