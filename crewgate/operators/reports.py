@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from crewgate.functions import exprs as X
 from crewgate.operators.keys import assign_ids
 from crewgate.operators.listing import roster
-from crewgate.operators.sizing import one_row
 
 # Column headers and titles of the three reports (our wording).
 FULL_HEADERS = ("COMPANY", "GIVEN NAME", "SURNAME", "ROLE", "DOCUMENTS EXPIRY",
@@ -241,18 +240,19 @@ def digest(expired_rows: DataFrame, recipients: DataFrame, as_of: dt.date,
            list_name: str = "expired", default: str | None = None) -> DataFrame:
     """One message row per recipient when anything expired, none otherwise.
 
-    The summary is one row by construction and is broadcast to the recipient
-    rows, so a long list never meets a shuffle on its single key.
+    The counts are one global aggregate; its single row is the only thing
+    the driver reads, and it becomes literals on the recipient rows.
     """
-    stamp = X.as_of_stamp(as_of, "slash")
-    summary = section_totals(expired_rows).where(F.col("n_total") > 0).select(
-        F.lit(list_name).alias("list_name"),
-        F.format_string("Expired documents: %d workers (%s)", F.col("n_total"), stamp)
-         .alias("subject"),
-        F.format_string("As of %s, %d temporary and %d permanent badge holders have "
-                        "expired documents.", stamp, F.col("n_temporary"),
-                        F.col("n_permanent")).alias("body"),
-        "n_temporary", "n_permanent", "n_total")
+    t = section_totals(expired_rows).first()
     to = recipients_for(recipients, list_name, default)
-    return to.join(one_row(summary), "list_name", "inner") \
-             .withColumnRenamed("email", "recipient")
+    if t["n_total"] == 0:
+        to = to.where(F.lit(False))
+    stamp = as_of.strftime("%d/%m/%Y")
+    subject = f"Expired documents: {t['n_total']} workers ({stamp})"
+    body = (f"As of {stamp}, {t['n_temporary']} temporary and {t['n_permanent']} permanent "
+            f"badge holders have expired documents.")
+    return to.select(
+        "list_name", F.col("email").alias("recipient"), F.lit(subject).alias("subject"),
+        F.lit(body).alias("body"), F.lit(t["n_temporary"]).cast("long").alias("n_temporary"),
+        F.lit(t["n_permanent"]).cast("long").alias("n_permanent"),
+        F.lit(t["n_total"]).cast("long").alias("n_total"))
