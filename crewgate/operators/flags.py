@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crewgate.functions import exprs as X
+from crewgate.operators.sizing import present_keys
 from crewgate.schema import COMPANIES, COMPANY_FLAGS, WORKER_FLAGS, WORKERS, conform
 from crewgate.sources.changes import parse_changes
 
@@ -29,18 +30,12 @@ APPLIED = "applied"
 RESTRICTED_FIELD = "badge_issued"
 
 
-def change_outcomes(changes: DataFrame, W: DataFrame, C: DataFrame,
-                    allowed_actors: list[str] | None = None) -> DataFrame:
-    """One row per change: seq, actor, type, id, field, value, reason."""
+def _checked(changes: DataFrame, allowed_actors: list[str] | None) -> DataFrame:
+    """Parsed changes with every reason except "not found" (NULL = passes)."""
     p = parse_changes(changes, "change") if "change" in changes.columns else changes
     if "actor" not in p.columns:
         p = p.withColumn("actor", F.lit(None).cast("string"))
     value = X.flag_value("clicked")
-    targets = (W.select(F.lit("worker").alias("type"), F.col("worker_id").alias("id"))
-               .unionByName(C.select(F.lit("company").alias("type"),
-                                     F.col("company_id").alias("id")))
-               .withColumn("_found", F.lit(True)))
-    p = p.join(targets, ["type", "id"], "left")
     known_field = ((F.col("type") == "worker") & F.col("field").isin(*WORKER_FLAGS)) | \
                   ((F.col("type") == "company") & F.col("field").isin(*COMPANY_FLAGS))
     reason = (F.when(~F.col("has_clicked"), F.lit(MISSING_CLICKED))
@@ -53,11 +48,30 @@ def change_outcomes(changes: DataFrame, W: DataFrame, C: DataFrame,
         reason = reason.when((F.col("field") == RESTRICTED_FIELD)
                              & ~F.coalesce(F.col("actor").isin(*allowed_actors), F.lit(False)),
                              F.lit(FORBIDDEN))
-    reason = reason.when(F.col("_found").isNull(), F.lit(NOT_FOUND)).otherwise(F.lit(APPLIED))
     return p.select("seq", "actor", "type", "id", "field", value.alias("value"),
                     reason.alias("reason"))
 
 
+def change_outcomes(changes: DataFrame, W: DataFrame, C: DataFrame,
+                    allowed_actors: list[str] | None = None) -> DataFrame:
+    """One row per change: seq, actor, type, id, field, value, reason."""
+    p = _checked(changes, allowed_actors)
+    entities = (W.select(F.lit("worker").alias("type"), F.col("worker_id").alias("id"))
+                .unionByName(C.select(F.lit("company").alias("type"),
+                                      F.col("company_id").alias("id"))))
+    if p.isStreaming:
+        # stream-static join: ids are unique per type, the static side is
+        # re-read per micro-batch and no action may run on the stream here
+        targets = entities.withColumn("_found", F.lit(True))
+    else:
+        targets = present_keys(entities, p, ["type", "id"]).withColumn("_found", F.lit(True))
+    p = p.join(targets, ["type", "id"], "left")
+    reason = F.coalesce(F.col("reason"),
+                        F.when(F.col("_found").isNull(), F.lit(NOT_FOUND)),
+                        F.lit(APPLIED))
+    return p.select("seq", "actor", "type", "id", "field", "value", reason.alias("reason"))
+
+
 def latest_values(outcomes: DataFrame) -> DataFrame:
     """Last applied value per (type, id, field)."""
     return (outcomes.where(F.col("reason") == APPLIED)
@@ -78,11 +92,18 @@ def _apply(snapshot: DataFrame, latest: DataFrame, etype: str, key: str,
 
 
 def apply_flag_changes(changes: DataFrame, W: DataFrame, C: DataFrame,
-                       allowed_actors: list[str] | None = None
-                       ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Returns (new workers, new companies, outcomes)."""
-    outcomes = change_outcomes(changes, W, C, allowed_actors)
-    latest = latest_values(outcomes)
+                       allowed_actors: list[str] | None = None, with_outcomes: bool = True
+                       ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Returns (new workers, new companies, outcomes).
+
+    The snapshots need no "not found" check: a change aimed at a missing id
+    joins no row and shares its (type, id, field) key with no change to an
+    existing one.  ``with_outcomes=False`` skips building the outcomes.
+    """
+    checked = _checked(changes, allowed_actors)
+    latest = latest_values(checked.withColumn(
+        "reason", F.coalesce(F.col("reason"), F.lit(APPLIED))))
+    outcomes = change_outcomes(changes, W, C, allowed_actors) if with_outcomes else None
     new_w = _apply(W, latest, "worker", "worker_id", WORKER_FLAGS)
     new_c = _apply(C, latest, "company", "company_id", COMPANY_FLAGS)
     return conform(new_w, WORKERS), conform(new_c, COMPANIES), outcomes

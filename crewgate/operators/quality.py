@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crewgate.functions import exprs as X
+from crewgate.operators.sizing import present_keys
 
 
 # J5 -------------------------------------------------------------------------
@@ -74,19 +75,26 @@ def stored_worker_keys(W: DataFrame) -> DataFrame:
     return W.select(*worker_key_cols(), "company_id").dropna().distinct()
 
 
+def stored_matches(keyed: DataFrame, W: DataFrame) -> DataFrame:
+    """Worker keys of ``keyed`` (which has _gk, _sk, company_id) that a stored
+    worker holds; W is filtered against the batch's keys, not shuffled whole."""
+    return present_keys(W.select(*worker_key_cols(), "company_id"), keyed, list(WORKER_KEY))
+
+
 def existing_workers(cand: DataFrame, W: DataFrame) -> DataFrame:
     """Candidates (with a resolved ``company_id``) equal to a stored worker on
     lower(given name), lower(surname), company; NULL never matches."""
     keyed = cand.select("*", *worker_key_cols())
-    return keyed.join(stored_worker_keys(W), list(WORKER_KEY), "left_semi").drop("_gk", "_sk")
+    return keyed.join(stored_matches(keyed, W), list(WORKER_KEY), "left_semi") \
+                .drop("_gk", "_sk")
 
 
 # J7 -------------------------------------------------------------------------
 def missing_targets(changes: DataFrame, entities: DataFrame, key: str,
                     entity_key: str | None = None) -> DataFrame:
     """Change rows whose target id is not in ``entities``."""
-    ids = entities.select(F.col(entity_key or key).alias(key)).distinct()
-    return changes.join(ids, key, "left_anti")
+    found = present_keys(entities.select(F.col(entity_key or key).alias(key)), changes, [key])
+    return changes.join(found, key, "left_anti")
 
 
 # J8 -------------------------------------------------------------------------

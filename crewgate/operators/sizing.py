@@ -27,3 +27,17 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
 def one_row(df: DataFrame) -> DataFrame:
     """Broadcast a frame that is one row by construction (a global aggregate)."""
     return F.broadcast(df)
+
+
+def present_keys(big: DataFrame, probe: DataFrame, keys: list[str],
+                 max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Distinct key tuples of ``probe`` that occur in ``big``.
+
+    Semi-join reduction for checking a batch of requests against a fact
+    table: when the batch's distinct keys are few (bounded check), ``big`` is
+    scanned once against their broadcast and never shuffled; only the hits
+    are then de-duplicated.  Otherwise both sides are shuffled on the keys.
+    """
+    wanted = probe.select(*keys).dropna().distinct()
+    side = F.broadcast(wanted) if has_at_most(wanted, max_rows) else wanted
+    return big.select(*keys).join(side, keys, "left_semi").distinct()

@@ -10,7 +10,9 @@ from crewgate.functions import exprs as X
 from crewgate.operators import quality
 from crewgate.operators.keys import assign_ids_after
 from crewgate.operators.listing import resolve_company
+from crewgate.operators.sizing import present_keys
 from crewgate.schema import WORKERS, conform
+from crewgate.session import ensure_checkpoint_dir
 
 # Outcome codes of worker requests, in the order they are tested.
 NO_COMPANY = "no_company"
@@ -43,7 +45,11 @@ def add_workers(cand: DataFrame, W: DataFrame, C: DataFrame) -> tuple[DataFrame,
         X.bad_iso_date("expiry_date").alias("_bad_date"),
         X.checkbox("is_temporary").alias("_temp"),
         *quality.worker_key_cols())
-    stored = quality.stored_worker_keys(W).withColumn("_stored", F.lit(True))
+    # the resolved batch feeds four consumers (size check, stored matches,
+    # first per key, outcomes): write it once to the shared checkpoint folder
+    ensure_checkpoint_dir(r.sparkSession)
+    r = r.checkpoint(eager=True)
+    stored = quality.stored_matches(r, W).withColumn("_stored", F.lit(True))
     r = r.join(stored, list(quality.WORKER_KEY), "left")
     early = (F.when(F.col("company_name") == "", F.lit(NO_COMPANY))
               .when(F.col("_bad_role"), F.lit(BAD_ROLE))
@@ -82,7 +88,8 @@ EDIT_FIELDS = ("given_name", "surname", "company_id", "role_id", "expiry_date",
 
 
 def edit_workers(edits: DataFrame, W: DataFrame, C: DataFrame | None = None,
-                 R: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                 R: DataFrame | None = None, with_outcomes: bool = True
+                 ) -> tuple[DataFrame, DataFrame | None]:
     """D3: edit workers.
 
     ``edits``: seq, worker_id, given_name, surname, company_id, role_id
@@ -92,7 +99,8 @@ def edit_workers(edits: DataFrame, W: DataFrame, C: DataFrame | None = None,
     without a date (after clearing), then — when C / R are given — a company
     or role id with no parent row (the foreign keys refuse it).  The four
     status flags are kept; of several valid edits of one worker the last by
-    seq wins.
+    seq wins.  The snapshot needs no "not found" check (an edit of a missing
+    id joins no row); ``with_outcomes=False`` skips it and the outcomes.
     """
     clear = F.coalesce(F.col("clear_date_flag") == "1", F.lit(False))
     e = edits.select(
@@ -102,7 +110,11 @@ def edit_workers(edits: DataFrame, W: DataFrame, C: DataFrame | None = None,
          .alias("_date"),
         (~clear & X.bad_iso_date("expiry_date")).alias("_bad_date"),
         X.checkbox("is_temporary").alias("_temp"))
-    e = e.join(W.select("worker_id", F.lit(True).alias("_found")), "worker_id", "left")
+    if with_outcomes:
+        found = present_keys(W, e, ["worker_id"]).withColumn("_found", F.lit(True))
+        e = e.join(found, "worker_id", "left")
+    else:
+        e = e.withColumn("_found", F.lit(True))
     reason = (F.when(F.col("_bad_role"), F.lit(BAD_ROLE))
                .when(F.col("_found").isNull(), F.lit(NOT_FOUND))
                .when(F.col("_bad_date"), F.lit(BAD_DATE))
@@ -132,7 +144,8 @@ def edit_workers(edits: DataFrame, W: DataFrame, C: DataFrame | None = None,
         *[F.when(edited, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in EDIT_FIELDS],
         "badge_issued", "record_updated", "badge_valid", "badge_cancelled")
     outcomes = e.select("seq", "worker_id",
-                        F.coalesce(F.col("_reason"), F.lit(APPLIED)).alias("outcome"))
+                        F.coalesce(F.col("_reason"), F.lit(APPLIED)).alias("outcome")) \
+        if with_outcomes else None
     return conform(new_w, WORKERS), outcomes
 
 

@@ -229,7 +229,8 @@ def temporary_without_date(spark, sf):
 @register
 def worker_edits(spark, sf):
     """D3: worker snapshot after the edit requests."""
-    new_w, _ = workers.edit_workers(V.worker_edits(spark, sf), *_wcr(spark, sf))
+    new_w, _ = workers.edit_workers(V.worker_edits(spark, sf), *_wcr(spark, sf),
+                                    with_outcomes=False)
     return new_w
 
 
@@ -252,7 +253,7 @@ def flag_changes_snapshot(spark, sf):
     """Worker snapshot after the flag changes."""
     W, C, _ = _wcr(spark, sf)
     new_w, _, _ = flags.apply_flag_changes(V.flag_change_records(spark, sf), W, C,
-                                           ALLOWED_ACTORS)
+                                           ALLOWED_ACTORS, with_outcomes=False)
     return new_w
 
 
@@ -261,7 +262,7 @@ def flag_changes_companies(spark, sf):
     """Company snapshot after the flag changes."""
     W, C, _ = _wcr(spark, sf)
     _, new_c, _ = flags.apply_flag_changes(V.flag_change_records(spark, sf), W, C,
-                                           ALLOWED_ACTORS)
+                                           ALLOWED_ACTORS, with_outcomes=False)
     return new_c
 
 

@@ -11,15 +11,22 @@ from crewgate.schema import FLAG_CHANGE_JSON
 def parse_changes(df: DataFrame, json_col: str = "change") -> DataFrame:
     """Typed columns type, id, field, clicked (text) from a JSON column, plus
     ``has_clicked``: whether the object has a "clicked" key at all (a JSON
-    null and a missing key are different rejects)."""
-    parsed = F.from_json(F.col(json_col), FLAG_CHANGE_JSON)
-    keys = F.json_object_keys(F.col(json_col))
-    return df.select(
+    null and a missing key are different rejects).
+
+    The text is parsed once per row inside a generator (``inline`` of a
+    one-element array): filters on the parsed fields are not pushed below a
+    generator, so the parse is never copied into a pushed-down predicate.
+    """
+    parsed = df.select(
         "*",
-        parsed["type"].alias("type"), parsed["id"].alias("id"),
-        parsed["field"].alias("field"), parsed["clicked"].alias("clicked"),
-        F.coalesce(F.array_contains(keys, "clicked"), F.lit(False)).alias("has_clicked"),
-    ).drop(json_col)
+        F.inline(F.array(F.struct(
+            F.from_json(F.col(json_col), FLAG_CHANGE_JSON).alias("_rec"),
+            F.json_object_keys(F.col(json_col)).alias("_keys")))))
+    return parsed.select(
+        *[c for c in df.columns if c != json_col],
+        F.col("_rec.type").alias("type"), F.col("_rec.id").alias("id"),
+        F.col("_rec.field").alias("field"), F.col("_rec.clicked").alias("clicked"),
+        F.coalesce(F.array_contains("_keys", "clicked"), F.lit(False)).alias("has_clicked"))
 
 
 def read_change_files(spark: SparkSession, path: str) -> DataFrame:
