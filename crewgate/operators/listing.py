@@ -31,8 +31,10 @@ def roster(W: DataFrame, C: DataFrame, R: DataFrame | None = None) -> DataFrame:
 
 # F1 -------------------------------------------------------------------------
 def select_by_id(df: DataFrame, ids: DataFrame, key: str, ids_key: str = "id") -> DataFrame:
-    """Rows of ``df`` whose key is in the id set (left semi join)."""
-    return df.join(ids.select(F.col(ids_key).alias(key)), key, "left_semi")
+    """Rows of ``df`` whose key is in the id set (left semi join).  The ids are
+    de-duplicated first (map-side), so an id repeated many times cannot
+    pile up in one task of the join."""
+    return df.join(ids.select(F.col(ids_key).alias(key)).distinct(), key, "left_semi")
 
 
 # R5 F2 F4 F5 F8 O2 P3 P4 -----------------------------------------------------
@@ -118,3 +120,24 @@ def resolve_company(df: DataFrame, C: DataFrame, name_col: str = "company_name",
     lookup = company_lookup(C).withColumnRenamed("company_id", id_col)
     keyed = df.withColumn("_name_key", F.lower(F.col(name_col)))
     return keyed.join(lookup, "_name_key", "left").drop("_name_key")
+
+
+# F1 J4 P5 P21 ----------------------------------------------------------------
+def worker_detail(W: DataFrame, C: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edit-form view of the requested workers: stored fields with the
+    detail defaults (temporary 0, badge number ''), the company's name and
+    whether an expiry date is already set."""
+    temporary, number = X.detail_defaults("is_temporary", "badge_number")
+    picked = select_by_id(W, ids, "worker_id")
+    return picked.join(C.select("company_id", "company_name"), "company_id", "left").select(
+        "worker_id", "given_name", "surname", "company_id", "company_name",
+        "badge_issued", "record_updated", "note", "expiry_date", "badge_valid",
+        "badge_cancelled", temporary.alias("is_temporary"), number.alias("badge_number"),
+        "role_id", X.has_date("expiry_date").alias("has_date"))
+
+
+def company_detail(C: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edit-form view of the requested companies (six stored text fields)."""
+    return select_by_id(C, ids, "company_id").select(
+        "company_id", "company_name", "vat_number", "contact_name", "contact_email",
+        "contact_phone", "note")

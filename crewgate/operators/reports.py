@@ -223,10 +223,12 @@ def write_lines(lines: DataFrame, path: str) -> None:
 # A6 A7 F10 ------------------------------------------------------------------
 def recipients_for(recipients: DataFrame, list_name: str, default: str | None = None,
                    drop_blank: bool = False) -> DataFrame:
-    """E-mail rows of one list; the ``default`` address when the list is empty."""
+    """E-mail rows of one list; the ``default`` address when the list is empty.
+    ``drop_blank`` strips each address and drops the blank ones (weekly list)."""
     rows = recipients.where(F.col("list_name") == F.lit(list_name)).select("list_name", "email")
     if drop_blank:
-        rows = rows.where(X.strip_ws("email") != "")
+        rows = rows.select("list_name", X.strip_ws("email").alias("email")) \
+                   .where(F.col("email") != "")
     if default is None:
         return rows
     spark = recipients.sparkSession

@@ -333,3 +333,24 @@ def stream_flag_changes(spark, sf):
     q.awaitTermination()
     new_w, _ = flags.apply_latest(flag_stream.latest_table(spark, root), W, C)
     return new_w
+
+
+# --- detail views and mailing lists --------------------------------------------
+@register
+def worker_detail(spark, sf):
+    """Edit-form view of the workers named by the change feed."""
+    ids = V.table(spark, sf, "events").select(F.col("user_id").alias("id"))
+    return listing.worker_detail(V.workers(spark, sf), V.companies(spark, sf), ids)
+
+
+@register
+def company_detail(spark, sf):
+    """edit-form view of the companies named by the change feed."""
+    ids = V.table(spark, sf, "events").select(F.col("user_id").alias("id"))
+    return listing.company_detail(V.companies(spark, sf), ids)
+
+
+@register
+def weekly_recipients(spark, sf):
+    """The weekly list's addresses, stripped, blanks dropped."""
+    return reports.recipients_for(V.recipients(spark, sf), "weekly", drop_blank=True)

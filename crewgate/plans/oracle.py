@@ -590,3 +590,20 @@ ORACLE_SQL["new_companies_greedy"] = GREEDY
 ORACLE_SQL["worker_edit_outcomes"] = ORACLE_SQL["worker_edits"].split("\n  SELECT w.worker_id,")[0] \
     + """
   SELECT seq, worker_id, coalesce(reason, 'applied') AS outcome FROM e3"""
+
+
+ORACLE_SQL.update({
+    "worker_detail": with_views("workers", "companies") + """
+  SELECT w.worker_id, w.given_name, w.surname, w.company_id, c.company_name, w.badge_issued,
+         w.record_updated, w.note, w.expiry_date, w.badge_valid, w.badge_cancelled,
+         coalesce(w.is_temporary, 0) AS is_temporary, coalesce(w.badge_number, '') AS badge_number,
+         w.role_id, CAST(w.expiry_date IS NOT NULL AS INTEGER) AS has_date
+  FROM workers w LEFT JOIN companies c ON w.company_id = c.company_id
+  WHERE w.worker_id IN (SELECT user_id FROM events)""",
+    "company_detail": with_views("companies") + """
+  SELECT company_id, company_name, vat_number, contact_name, contact_email, contact_phone, note
+  FROM companies WHERE company_id IN (SELECT user_id FROM events)""",
+    "weekly_recipients": with_views("recipients") + f"""
+  SELECT list_name, regexp_replace(email, {WS}, '', 'g') AS email FROM recipients
+  WHERE list_name = 'weekly' AND regexp_replace(email, {WS}, '', 'g') <> ''""",
+})
