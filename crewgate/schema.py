@@ -78,7 +78,11 @@ TABLES = {"companies": COMPANIES, "roles": ROLES, "workers": WORKERS,
           "recipients": RECIPIENTS}
 
 
-def conform(df, schema: T.StructType):
-    """Project ``df`` onto ``schema``: order, names and types."""
+def conform(df, schema: T.StructType, fill_missing: bool = False):
+    """Project ``df`` onto ``schema``: order, names and types.  With
+    ``fill_missing`` a column absent from ``df`` becomes NULL."""
     from pyspark.sql import functions as F
-    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    have = set(df.columns)
+    return df.select([
+        (F.col(f.name) if f.name in have or not fill_missing else F.lit(None))
+        .cast(f.dataType).alias(f.name) for f in schema.fields])

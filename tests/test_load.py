@@ -73,3 +73,16 @@ def test_bulk_load(spark, scratch):
             rows["Ann"]["is_temporary"], rows["Ann"]["role_id"]) == (1, None, None, None)
     skip_c, _ = load.bulk_load(clean, C, W, skip_existing=True)
     assert "beta" not in [r["company_name"] for r in skip_c.collect()]
+
+
+def test_clean_csv_round_trip(spark, scratch):
+    clean = load.clean_roster(roster_csv.read_roster_csv(spark, write(scratch)))
+    out = os.path.join(scratch, "clean")
+    roster_csv.write_clean_csv(clean, out)
+    back = spark.read.schema("a string, b string, c string, d string, e string, f string, "
+                             "g string").option("sep", ";").option("multiLine", "true") \
+        .option("escape", '"').csv(out).na.fill("")
+    cols = ["company_name", "given_name", "surname", "note", "expiry_text", "issued_mark",
+            "valid_mark"]
+    assert sorted(tuple(r) for r in back.collect()) == \
+        sorted(tuple(r) for r in clean.select(*cols).collect())

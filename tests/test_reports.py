@@ -109,3 +109,17 @@ def test_digest_rows_and_fallback(spark):
     assert sorted(r["recipient"] for r in
                   reports.digest(ex, two, AS_OF, default="o@x.org").collect()) == \
         ["a@x.org", "b@x.org"]
+
+
+def test_write_lines_in_order(spark, scratch):
+    import glob
+    import os
+    W, C, R = small_roster(spark)
+    lines = reports.report_lines(reports.weekly_valid(W, C, R), AS_OF)
+    out = os.path.join(scratch, "lines")
+    reports.write_lines(lines, out)
+    seen = []
+    for f in sorted(glob.glob(os.path.join(out, "part-*.csv"))):
+        with open(f) as fh:
+            seen += [int(x.split(";")[0]) for x in fh.read().splitlines()[1:]]
+    assert seen == sorted(seen) and len(seen) == lines.count()
