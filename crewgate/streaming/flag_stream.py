@@ -39,15 +39,20 @@ def _merge_batch(root: str):
         current = tables.current_version(spark, root, LATEST)
         if current is not None and current >= batch_id:
             return  # replay of a batch whose version is already committed
-        if batch.isEmpty():
-            return
-        upd = batch.select(*KEY, "value", "seq")
-        if current is None:
-            merged = upd
-        else:
-            old = tables.read_table(spark, root, LATEST, current)
-            merged = old.join(upd.select(*KEY), KEY, "left_anti").unionByName(upd)
-        tables.write_snapshot(merged, root, LATEST, batch_id)
+        # the batch is read twice (emptiness, merge): keep it for this call
+        batch.persist()
+        try:
+            if batch.isEmpty():
+                return
+            upd = batch.select(*KEY, "value", "seq")
+            if current is None:
+                merged = upd
+            else:
+                old = tables.read_table(spark, root, LATEST, current)
+                merged = old.join(upd.select(*KEY), KEY, "left_anti").unionByName(upd)
+            tables.write_snapshot(merged, root, LATEST, batch_id)
+        finally:
+            batch.unpersist()
     return merge
 
 
