@@ -1,9 +1,10 @@
 """Lookups, filters, listings and sorts.
 
 The worker table is the fact table; companies and roles are dimensions.
-Roles are broadcast behind a size check.  Companies are left to the planner:
-its static estimate broadcasts a small table, AQE re-plans from runtime
-sizes and splits a company that holds a large share of all workers.
+Both joins are left to the planner, whose broadcast threshold is the size
+check: the static estimate broadcasts a small table, AQE re-plans from
+runtime sizes, and its skew-join rule splits a company that holds a large
+share of all workers.  No hint forces a broadcast of an unchecked side.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crewgate.functions import exprs as X
-from crewgate.operators.sizing import small_side
 
 # Fixed value: listing columns of the worker list (13, as the staff page shows).
 WORKER_LIST_COLUMNS = (
@@ -25,7 +25,7 @@ def roster(W: DataFrame, C: DataFrame, R: DataFrame | None = None) -> DataFrame:
     """Workers joined to their company (inner) and role (left outer)."""
     out = W.join(C.select("company_id", "company_name"), "company_id", "inner")
     if R is not None:
-        out = out.join(small_side(R.select("role_id", "role_name")), "role_id", "left")
+        out = out.join(R.select("role_id", "role_name"), "role_id", "left")
     return out
 
 

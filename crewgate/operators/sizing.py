@@ -24,11 +24,6 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     return F.broadcast(df) if has_at_most(df, max_rows) else df
 
 
-def one_row(df: DataFrame) -> DataFrame:
-    """Broadcast a frame that is one row by construction (a global aggregate)."""
-    return F.broadcast(df)
-
-
 def present_keys(big: DataFrame, probe: DataFrame, keys: list[str],
                  max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Distinct key tuples of ``probe`` that occur in ``big``.

@@ -18,29 +18,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crewgate.operators.sizing import small_side
+from crewgate.operators.sizing import BROADCAST_MAX_ROWS, small_side
 from crewgate.schema import RAW_ROSTER
+from crewgate.session import ensure_checkpoint_dir
 
 HEADER_RECORDS = 2
 RAW_FIELDS = [f.name for f in RAW_ROSTER.fields]
 
 
 def read_roster_csv(spark: SparkSession, path: str, multi_line: bool = True,
-                    header_records: int = HEADER_RECORDS) -> DataFrame:
+                    header_records: int = HEADER_RECORDS,
+                    materialize: bool = True) -> DataFrame:
     """Data records of every CSV file under ``path`` as f0..f7 text
     (NULL for absent fields) with ``file`` and ``record`` (0-based record
-    number in its file split; header records removed)."""
-    raw = (spark.read.schema(RAW_ROSTER)
+    number in its file split; header records removed).
+
+    With ``materialize`` the parsed records are checkpointed once (to the
+    shared checkpoint folder): the split starts, the numbering and every
+    later use (names, rows, ids of a load) then read that copy instead of
+    parsing the text again.
+    """
+    src = (spark.read.schema(RAW_ROSTER)
            .option("sep", ";").option("quote", '"').option("escape", '"')
            .option("multiLine", str(multi_line).lower()).option("mode", "PERMISSIVE")
            .option("encoding", "UTF-8").option("recursiveFileLookup", "true")
-           .csv(path)
-           .select(*RAW_FIELDS,
+           .csv(path))
+    raw = (src.select(*RAW_FIELDS,
                    F.col("_metadata.file_path").alias("file"),
                    F.col("_metadata.file_block_start").alias("_block"),
                    F.monotonically_increasing_id().alias("_mid")))
+    if materialize:
+        ensure_checkpoint_dir(spark)
+        raw = raw.checkpoint(eager=True)
     starts = raw.groupBy("file", "_block").agg(F.min("_mid").alias("_first"))
-    numbered = raw.join(small_side(starts), ["file", "_block"]) \
+    # one row per file split: with multiLine a file is one split, so the
+    # file listing Spark already holds bounds it without a counting job
+    if multi_line and len(src.inputFiles()) <= BROADCAST_MAX_ROWS:
+        starts = F.broadcast(starts)
+    elif not multi_line:
+        starts = small_side(starts)
+    numbered = raw.join(starts, ["file", "_block"]) \
                   .withColumn("record", F.col("_mid") - F.col("_first"))
     return (numbered.where((F.col("_block") > 0) | (F.col("record") >= header_records))
                     .select(*RAW_FIELDS, "file", "_block", "record")
