@@ -135,10 +135,19 @@ def flag_value(c) -> Column:
     return F.when(v.isin(0, 1), v)
 
 
+# Collation policy -----------------------------------------------------------
+def fold(c, collation: str | None = None) -> Column:
+    """Comparison key for case-insensitive equality: ``lower(c)`` by default,
+    or ``c`` under a case/accent-insensitive collation such as
+    ``UNICODE_CI_AI`` (then also 'Società' = 'SOCIETA' and 'ß' = 'ss'); joins,
+    group-by and distinct on the key follow the collation."""
+    return F.lower(_c(c)) if collation is None else F.collate(_c(c), collation)
+
+
 # P19 ------------------------------------------------------------------------
-def name_key(c) -> Column:
-    """Lower case, every ASCII blank removed."""
-    return F.replace(F.lower(_c(c)), F.lit(" "), F.lit(""))
+def name_key(c, collation: str | None = None) -> Column:
+    """Lower case (or the collation's equality), every ASCII blank removed."""
+    return F.replace(fold(c, collation), F.lit(" "), F.lit(""))
 
 
 # P20 ------------------------------------------------------------------------

@@ -24,7 +24,8 @@ TEXT_FIELDS = ("company_name", "vat_number", "contact_name", "contact_email",
                "contact_phone", "note")
 
 
-def add_companies(cand: DataFrame, C: DataFrame) -> tuple[DataFrame, DataFrame]:
+def add_companies(cand: DataFrame, C: DataFrame,
+                  collation: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Validate and add new companies.
 
     ``cand`` has ``seq`` (arrival order, unique) and the six text fields.
@@ -32,11 +33,12 @@ def add_companies(cand: DataFrame, C: DataFrame) -> tuple[DataFrame, DataFrame]:
     key or (non-blank) VAT key, and as ``duplicate`` when an earlier accepted
     request of the batch has one of them.  Accepted rows get ids after the
     largest stored id, in seq order; the VAT is stored as typed, blanks and
-    missing fields as ''.
+    missing fields as ''.  ``collation`` (e.g. UNICODE_CI_AI) makes the name
+    key accent-insensitive as well.
     """
     cand = cand.select("seq", *[X.blank_if_null(c).alias(c) for c in TEXT_FIELDS])
-    fresh = quality.new_companies(cand, C)
-    keyed = quality.with_candidate_keys(fresh)
+    fresh = quality.new_companies(cand, C, collation)
+    keyed = quality.with_candidate_keys(fresh, collation)
     winners = first_by_keys(keyed, ["_nk", "_vk"], "seq").select("seq")
     accepted = assign_ids_after(cand.join(winners, "seq", "left_semi"), C, "company_id",
                                 ["seq"], "company_id")

@@ -70,11 +70,12 @@ def list_workers(W: DataFrame, C: DataFrame, R: DataFrame, company_id: int | Non
 
 # R6 F3 F11 O1 O7 -------------------------------------------------------------
 def list_companies(C: DataFrame, name: str | None = None,
-                   contains: str | None = None) -> DataFrame:
-    """All companies, or those with exactly ``name`` (case-insensitive), or
-    whose name contains ``contains`` (case-insensitive); by name, then id."""
+                   contains: str | None = None, collation: str | None = None) -> DataFrame:
+    """All companies, or those with exactly ``name`` (case-insensitive, or
+    equal under ``collation``), or whose name contains ``contains``
+    (case-insensitive); by name (under ``collation`` when given), then id."""
     if name is not None:
-        C = C.where(F.lower("company_name") == F.lit(name.lower()))
+        C = C.where(X.fold("company_name", collation) == X.fold(F.lit(name), collation))
     if contains is not None:
         C = C.where(F.instr(F.lower("company_name"), contains.lower()) > 0)
     return C.select(
@@ -85,7 +86,8 @@ def list_companies(C: DataFrame, name: str | None = None,
         X.blank_if_null("contact_phone").alias("contact_phone"),
         X.blank_if_null("note").alias("note"),
         X.is_set("is_sole_trader").alias("sole_trader"),
-    ).orderBy(F.col("company_name").asc(), F.col("company_id").asc())
+    ).orderBy((F.col("company_name") if collation is None
+               else F.collate("company_name", collation)).asc(), F.col("company_id").asc())
 
 
 def company_picker(C: DataFrame, contains: str | None = None) -> DataFrame:
@@ -102,23 +104,24 @@ def list_roles(R: DataFrame) -> DataFrame:
 
 
 # J3 O6 ----------------------------------------------------------------------
-def company_lookup(C: DataFrame) -> DataFrame:
+def company_lookup(C: DataFrame, collation: str | None = None) -> DataFrame:
     """One row per case-folded company name: the lowest id holding it.
 
     Partial aggregation keeps this skew-safe: a name held by many companies
     is reduced map-side before the shuffle.
     """
     return (C.where(F.col("company_name").isNotNull())
-             .groupBy(F.lower("company_name").alias("_name_key"))
+             .groupBy(X.fold("company_name", collation).alias("_name_key"))
              .agg(F.min("company_id").alias("company_id")))
 
 
 def resolve_company(df: DataFrame, C: DataFrame, name_col: str = "company_name",
-                    id_col: str = "company_id") -> DataFrame:
+                    id_col: str = "company_id", collation: str | None = None) -> DataFrame:
     """Add ``id_col``: the id of the company called ``name_col`` (case-
-    insensitive; lowest id on a tie), NULL when there is none."""
-    lookup = company_lookup(C).withColumnRenamed("company_id", id_col)
-    keyed = df.withColumn("_name_key", F.lower(F.col(name_col)))
+    insensitive, or equal under ``collation``; lowest id on a tie), NULL when
+    there is none."""
+    lookup = company_lookup(C, collation).withColumnRenamed("company_id", id_col)
+    keyed = df.withColumn("_name_key", X.fold(name_col, collation))
     return keyed.join(lookup, "_name_key", "left").drop("_name_key")
 
 

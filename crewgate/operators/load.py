@@ -36,8 +36,8 @@ def clean_roster(raw: DataFrame) -> DataFrame:
         F.when(X.x_flag("f6") == 1, F.lit("X")).otherwise(F.lit("")).alias("valid_mark"))
 
 
-def bulk_load(clean: DataFrame, C: DataFrame, W: DataFrame,
-              skip_existing: bool = False) -> tuple[DataFrame, DataFrame]:
+def bulk_load(clean: DataFrame, C: DataFrame, W: DataFrame, skip_existing: bool = False,
+              collation: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns (new companies, new workers).
 
     Company names are distinct by exact text and get ids after the largest
@@ -57,7 +57,7 @@ def bulk_load(clean: DataFrame, C: DataFrame, W: DataFrame,
         F.lit(0).alias("is_sole_trader")), COMPANIES)
     every_c = C.select("company_id", "company_name").unionByName(
         new_c.select("company_id", "company_name"))
-    rows = resolve_company(clean, every_c)
+    rows = resolve_company(clean, every_c, collation=collation)
     rows = rows.select(
         "file", "block", "record", "given_name", "surname", "company_id",
         F.lit(None).cast("long").alias("role_id"),

@@ -17,38 +17,40 @@ from crewgate.operators.sizing import present_keys
 
 
 # J5 -------------------------------------------------------------------------
-def company_keys(C: DataFrame) -> tuple[DataFrame, DataFrame]:
+def company_keys(C: DataFrame, collation: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Distinct name keys and non-blank VAT keys of the stored companies."""
-    names = C.select(X.name_key("company_name").alias("_nk")).where(F.col("_nk").isNotNull()) \
+    names = C.select(X.name_key("company_name", collation).alias("_nk")) \
+             .where(F.col("_nk").isNotNull()) \
              .distinct()
     vats = C.select(X.stored_vat_key("vat_number").alias("_vk")).where(F.col("_vk").isNotNull()) \
             .distinct()
     return names, vats
 
 
-def with_candidate_keys(cand: DataFrame) -> DataFrame:
-    return cand.withColumn("_nk", X.name_key("company_name")) \
+def with_candidate_keys(cand: DataFrame, collation: str | None = None) -> DataFrame:
+    return cand.withColumn("_nk", X.name_key("company_name", collation)) \
                .withColumn("_vk", X.typed_vat_key("vat_number"))
 
 
-def new_companies(cand: DataFrame, C: DataFrame) -> DataFrame:
+def new_companies(cand: DataFrame, C: DataFrame, collation: str | None = None) -> DataFrame:
     """Candidates with no stored company of the same name key or, when the
     candidate has one, the same VAT key.
 
     ``name = x OR vat = y`` as one join condition plans as a nested loop;
     two successive anti joins give the same rows with two hash joins.
     """
-    names, vats = company_keys(C)
-    keyed = with_candidate_keys(cand)
+    names, vats = company_keys(C, collation)
+    keyed = with_candidate_keys(cand, collation)
     return (keyed.join(names, "_nk", "left_anti")
                  .join(vats, "_vk", "left_anti")
                  .drop("_nk", "_vk"))
 
 
-def existing_companies(cand: DataFrame, C: DataFrame) -> DataFrame:
+def existing_companies(cand: DataFrame, C: DataFrame,
+                       collation: str | None = None) -> DataFrame:
     """Candidates that match a stored company (the complement of new_companies)."""
-    names, vats = company_keys(C)
-    keyed = with_candidate_keys(cand)
+    names, vats = company_keys(C, collation)
+    keyed = with_candidate_keys(cand, collation)
     by_name = keyed.join(names, "_nk", "left_semi")
     by_vat = keyed.join(names, "_nk", "left_anti").join(vats, "_vk", "left_semi")
     return by_name.unionByName(by_vat).drop("_nk", "_vk")
@@ -67,25 +69,26 @@ def new_companies_or_form(cand: DataFrame, C: DataFrame) -> DataFrame:
 WORKER_KEY = ("_gk", "_sk", "company_id")
 
 
-def worker_key_cols(given="given_name", surname="surname"):
-    return [F.lower(F.col(given)).alias("_gk"), F.lower(F.col(surname)).alias("_sk")]
+def worker_key_cols(given="given_name", surname="surname", collation: str | None = None):
+    return [X.fold(given, collation).alias("_gk"), X.fold(surname, collation).alias("_sk")]
 
 
 def stored_worker_keys(W: DataFrame) -> DataFrame:
     return W.select(*worker_key_cols(), "company_id").dropna().distinct()
 
 
-def stored_matches(keyed: DataFrame, W: DataFrame) -> DataFrame:
+def stored_matches(keyed: DataFrame, W: DataFrame, collation: str | None = None) -> DataFrame:
     """Worker keys of ``keyed`` (which has _gk, _sk, company_id) that a stored
     worker holds; W is filtered against the batch's keys, not shuffled whole."""
-    return present_keys(W.select(*worker_key_cols(), "company_id"), keyed, list(WORKER_KEY))
+    return present_keys(W.select(*worker_key_cols(collation=collation), "company_id"), keyed,
+                        list(WORKER_KEY))
 
 
-def existing_workers(cand: DataFrame, W: DataFrame) -> DataFrame:
+def existing_workers(cand: DataFrame, W: DataFrame, collation: str | None = None) -> DataFrame:
     """Candidates (with a resolved ``company_id``) equal to a stored worker on
     lower(given name), lower(surname), company; NULL never matches."""
-    keyed = cand.select("*", *worker_key_cols())
-    return keyed.join(stored_matches(keyed, W), list(WORKER_KEY), "left_semi") \
+    keyed = cand.select("*", *worker_key_cols(collation=collation))
+    return keyed.join(stored_matches(keyed, W, collation), list(WORKER_KEY), "left_semi") \
                 .drop("_gk", "_sk")
 
 

@@ -27,7 +27,8 @@ ACCEPTED = "accepted"
 APPLIED = "applied"
 
 
-def add_workers(cand: DataFrame, W: DataFrame, C: DataFrame) -> tuple[DataFrame, DataFrame]:
+def add_workers(cand: DataFrame, W: DataFrame, C: DataFrame,
+                collation: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Validate and add workers.
 
     ``cand``: seq, given_name, surname, company_name, is_temporary ('on'),
@@ -35,21 +36,22 @@ def add_workers(cand: DataFrame, W: DataFrame, C: DataFrame) -> tuple[DataFrame,
     order: no company chosen, bad role id, bad date, company unknown,
     duplicate (a stored worker, or an earlier *accepted* request, with the
     same lower-case names and company), temporary badge without a date.
-    New workers start with the four status flags at 0.
+    New workers start with the four status flags at 0.  ``collation`` (e.g.
+    UNICODE_CI_AI) applies to the company lookup and the duplicate key.
     """
-    r = resolve_company(cand, C)
+    r = resolve_company(cand, C, collation=collation)
     r = r.select(
         "*",
         X.optional_id("role_id").alias("_role"), X.bad_id("role_id").alias("_bad_role"),
         X.iso_date("expiry_date").alias("_date"),
         X.bad_iso_date("expiry_date").alias("_bad_date"),
         X.checkbox("is_temporary").alias("_temp"),
-        *quality.worker_key_cols())
+        *quality.worker_key_cols(collation=collation))
     # the resolved batch feeds four consumers (size check, stored matches,
     # first per key, outcomes): write it once to the shared checkpoint folder
     ensure_checkpoint_dir(r.sparkSession)
     r = r.checkpoint(eager=True)
-    stored = quality.stored_matches(r, W).withColumn("_stored", F.lit(True))
+    stored = quality.stored_matches(r, W, collation).withColumn("_stored", F.lit(True))
     r = r.join(stored, list(quality.WORKER_KEY), "left")
     early = (F.when(F.col("company_name") == "", F.lit(NO_COMPANY))
               .when(F.col("_bad_role"), F.lit(BAD_ROLE))
