@@ -1,13 +1,23 @@
 """Entity tables on shared storage.
 
-A table is a folder of versions, ``<root>/<name>/v=<N>``, plus a one-line
-pointer ``<root>/<name>/_current`` naming the version readers should use.
-A change never overwrites the version being read: it writes version N+1 and
-then moves the pointer, so a failed job leaves the old version intact.
+A table is a folder of immutable Parquet *parts*, a small manifest per
+version (``_manifest/v=<N>``: the part folders of that version, one per
+line) and a pointer ``_current`` naming the version readers use:
+
+    <root>/<name>/part-<id>/...parquet
+    <root>/<name>/_manifest/v=<N>
+    <root>/<name>/_current
+
+A change never touches data being read.  An append writes one new part and
+a manifest listing the old parts plus the new one (nothing is rewritten);
+a snapshot (the result of an edit, delete or flag change) writes one full
+part.  The pointer moves last, so a failed job leaves the old version whole.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +28,29 @@ def _dir(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
-def current_version(spark: SparkSession, root: str, name: str) -> int | None:
+def _read_lines(spark: SparkSession, path: str) -> list[str] | None:
     try:
-        row = spark.read.text(f"{_dir(root, name)}/_current").first()
-    except Exception:  # no pointer yet: the table was never written
+        return [r["value"] for r in spark.read.text(path).collect()]
+    except Exception:  # the file does not exist (yet)
         return None
-    return int(row["value"]) if row else None
+
+
+def _write_lines(spark: SparkSession, lines: list[str], path: str) -> None:
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1) \
+         .write.mode("overwrite").text(path)
+
+
+def current_version(spark: SparkSession, root: str, name: str) -> int | None:
+    lines = _read_lines(spark, f"{_dir(root, name)}/_current")
+    return int(lines[0]) if lines else None
+
+
+def parts_of(spark: SparkSession, root: str, name: str, version: int) -> list[str]:
+    """Part folders of a version (metadata: one line per written part)."""
+    lines = _read_lines(spark, f"{_dir(root, name)}/_manifest/v={version}")
+    if lines is None:
+        raise FileNotFoundError(f"table {name} has no version {version} under {root}")
+    return [f"{_dir(root, name)}/{p}" for p in lines if p]
 
 
 def read_table(spark: SparkSession, root: str, name: str,
@@ -35,17 +62,25 @@ def read_table(spark: SparkSession, root: str, name: str,
     reader = spark.read
     if name in TABLES:
         reader = reader.schema(TABLES[name])
-    return reader.parquet(f"{_dir(root, name)}/v={v}")
+    return reader.parquet(*parts_of(spark, root, name, v))
+
+
+def _write_part(df: DataFrame, root: str, name: str, sort_within: list[str] | None) -> str:
+    part = f"part-{uuid.uuid4().hex[:16]}"
+    out = df.sortWithinPartitions(*sort_within) if sort_within else df
+    out.write.mode("error").parquet(f"{_dir(root, name)}/{part}")
+    return part
 
 
-def _set_current(spark: SparkSession, root: str, name: str, version: int) -> None:
-    spark.createDataFrame([(str(version),)], "value string").coalesce(1) \
-         .write.mode("overwrite").text(f"{_dir(root, name)}/_current")
+def _commit(spark: SparkSession, root: str, name: str, version: int, parts: list[str]) -> int:
+    _write_lines(spark, parts, f"{_dir(root, name)}/_manifest/v={version}")
+    _write_lines(spark, [str(version)], f"{_dir(root, name)}/_current")
+    return version
 
 
 def write_snapshot(df: DataFrame, root: str, name: str, version: int | None = None,
                    sort_within: list[str] | None = None) -> int:
-    """K4: write ``df`` as a new version and make it current; returns it.
+    """K4: write ``df`` as the whole content of a new version; returns it.
 
     ``sort_within`` orders rows inside each file (e.g. company_id,
     expiry_date) so that parquet min/max statistics skip row groups.
@@ -54,20 +89,21 @@ def write_snapshot(df: DataFrame, root: str, name: str, version: int | None = No
     if version is None:
         cur = current_version(spark, root, name)
         version = 0 if cur is None else cur + 1
-    out = df.sortWithinPartitions(*sort_within) if sort_within else df
-    out.write.mode("overwrite").parquet(f"{_dir(root, name)}/v={version}")
-    _set_current(spark, root, name, version)
-    return version
+    part = _write_part(df, root, name, sort_within)
+    return _commit(spark, root, name, version, [part])
 
 
-def append_rows(df: DataFrame, root: str, name: str) -> int:
-    """K1: current rows plus ``df`` as the next version (rows are never lost
-    to a half-written append: the pointer moves only after the write)."""
+def append_rows(df: DataFrame, root: str, name: str,
+                sort_within: list[str] | None = None) -> int:
+    """K1: add ``df`` as one more part of the next version; existing parts are
+    listed again, never rewritten."""
     spark = df.sparkSession
     cur = current_version(spark, root, name)
-    base = read_table(spark, root, name, cur) if cur is not None else None
-    rows = df if base is None else base.unionByName(df.select(base.columns))
-    return write_snapshot(rows, root, name, 0 if cur is None else cur + 1)
+    base = [] if cur is None else _read_lines(spark, f"{_dir(root, name)}/_manifest/v={cur}")
+    if name in TABLES:
+        df = df.select([F.col(f.name).cast(f.dataType) for f in TABLES[name].fields])
+    part = _write_part(df, root, name, sort_within)
+    return _commit(spark, root, name, 0 if cur is None else cur + 1, [*base, part])
 
 
 def recipients_of(recipients: DataFrame, list_name: str) -> DataFrame:

@@ -17,3 +17,18 @@ def test_versions_and_pointer(spark, scratch):
     assert tables.append_rows(more, root, "companies") == 1
     assert tables.read_table(spark, root, "companies").count() == 2
     assert tables.read_table(spark, root, "companies", 0).count() == 1
+
+
+def test_append_does_not_rewrite(spark, scratch):
+    root = os.path.join(scratch, "db")
+    C = spark.createDataFrame([company_row(1, "A")], COMPANIES)
+    tables.write_snapshot(C, root, "companies")
+    first = tables.parts_of(spark, root, "companies", 0)
+    tables.append_rows(spark.createDataFrame([company_row(2, "B")], COMPANIES), root, "companies")
+    second = tables.parts_of(spark, root, "companies", 1)
+    assert second[0] == first[0] and len(second) == 2
+    # a snapshot replaces the content, older versions stay readable
+    tables.write_snapshot(spark.createDataFrame([company_row(3, "C")], COMPANIES), root,
+                          "companies")
+    assert [r[0] for r in tables.read_table(spark, root, "companies").collect()] == [3]
+    assert tables.read_table(spark, root, "companies", 1).count() == 2
