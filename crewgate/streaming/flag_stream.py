@@ -21,8 +21,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from crewgate.operators import flags
 from crewgate.sources import tables
+from crewgate.sources.changes import CHANGE_RECORD
 
-CHANGE_RECORD = "seq long, actor string, change string"
 LATEST = "flag_latest"
 KEY = ["type", "id", "field"]
 

@@ -3,6 +3,7 @@ import os
 
 from crewgate.operators import flags
 from crewgate.schema import COMPANIES, WORKERS
+from crewgate.sources.changes import read_change_files
 from crewgate.streaming import flag_stream
 from fixtures import company_row, worker_row
 
@@ -86,3 +87,5 @@ def test_stream_equals_batch(spark, scratch):
     new_w, new_c = flags.apply_latest(flag_stream.latest_table(spark, root), W, C)
     assert (sorted(tuple(r) for r in new_w.collect()),
             sorted(tuple(r) for r in new_c.collect())) == snapshot(W, C, changes(spark))
+    # the same files read as a batch give the same snapshot
+    assert snapshot(W, C, read_change_files(spark, feed)) == snapshot(W, C, changes(spark))
