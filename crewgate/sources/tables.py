@@ -94,16 +94,19 @@ def write_snapshot(df: DataFrame, root: str, name: str, version: int | None = No
 
 
 def append_rows(df: DataFrame, root: str, name: str,
-                sort_within: list[str] | None = None) -> int:
-    """K1: add ``df`` as one more part of the next version; existing parts are
-    listed again, never rewritten."""
+                sort_within: list[str] | None = None, version: int | None = None) -> int:
+    """K1: add ``df`` as one more part of the next version (or of ``version``,
+    which must be newer than the current one); existing parts are listed
+    again, never rewritten."""
     spark = df.sparkSession
     cur = current_version(spark, root, name)
     base = [] if cur is None else _read_lines(spark, f"{_dir(root, name)}/_manifest/v={cur}")
     if name in TABLES:
         df = df.select([F.col(f.name).cast(f.dataType) for f in TABLES[name].fields])
     part = _write_part(df, root, name, sort_within)
-    return _commit(spark, root, name, 0 if cur is None else cur + 1, [*base, part])
+    if version is None:
+        version = 0 if cur is None else cur + 1
+    return _commit(spark, root, name, version, [*base, part])
 
 
 def recipients_of(recipients: DataFrame, list_name: str) -> DataFrame:

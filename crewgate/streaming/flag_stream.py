@@ -6,11 +6,12 @@ state keeps one value per (type, id, field) — ``max_by(value, seq)`` — so a
 record arriving late cannot overwrite a newer one and no watermark is needed
 (the state is bounded by the number of entity fields, not by time).
 
-Each micro-batch's updated keys are merged into a ``latest`` table with
-``foreachBatch``: version ``batch_id`` = previous version minus the updated
-keys plus the new values.  A replayed batch id rewrites the same version
-from the same input, so the sink is idempotent.  The snapshot with the
-changes applied is ``apply_latest(latest, W, C)``.
+Each micro-batch appends its updated keys (with their seq) as one new part
+of a ``flag_latest`` table, as version ``batch_id``: the sink writes only
+what changed, never the whole state.  Readers reduce the parts with
+``max_by(value, seq)``, so a batch replayed after a failure (same rows
+again) changes nothing; ``compact_latest`` rewrites the table as one part.
+The snapshot with the changes applied is ``apply_latest(latest, W, C)``.
 """
 
 from __future__ import annotations
@@ -33,27 +34,15 @@ def read_change_stream(spark: SparkSession, path: str, files_per_batch: int = 1)
                  .option("maxFilesPerTrigger", files_per_batch).json(path))
 
 
-def _merge_batch(root: str):
-    def merge(batch: DataFrame, batch_id: int) -> None:
+def _append_batch(root: str):
+    def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         current = tables.current_version(spark, root, LATEST)
         if current is not None and current >= batch_id:
-            return  # replay of a batch whose version is already committed
-        # the batch is read twice (emptiness, merge): keep it for this call
-        batch.persist()
-        try:
-            if batch.isEmpty():
-                return
-            upd = batch.select(*KEY, "value", "seq")
-            if current is None:
-                merged = upd
-            else:
-                old = tables.read_table(spark, root, LATEST, current)
-                merged = old.join(upd.select(*KEY), KEY, "left_anti").unionByName(upd)
-            tables.write_snapshot(merged, root, LATEST, batch_id)
-        finally:
-            batch.unpersist()
-    return merge
+            return  # replay of a batch whose part is already committed
+        rows = batch.select(*KEY, "value", "seq")
+        tables.append_rows(rows, root, LATEST, version=batch_id)
+    return append
 
 
 def start_flag_stream(changes: DataFrame, W: DataFrame, C: DataFrame, root: str,
@@ -66,11 +55,20 @@ def start_flag_stream(changes: DataFrame, W: DataFrame, C: DataFrame, root: str,
                     .agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq")))
     writer = (state.writeStream.outputMode("update")
                    .option("checkpointLocation", checkpoint)
-                   .foreachBatch(_merge_batch(root)))
+                   .foreachBatch(_append_batch(root)))
     writer = writer.trigger(availableNow=True) if available_now \
         else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
 
 def latest_table(spark: SparkSession, root: str) -> DataFrame:
-    return tables.read_table(spark, root, LATEST).select(*KEY, "value")
+    """Last value per (type, id, field) over every appended part."""
+    parts = tables.read_table(spark, root, LATEST)
+    return parts.groupBy(*KEY).agg(F.max_by("value", "seq").alias("value"))
+
+
+def compact_latest(spark: SparkSession, root: str) -> int:
+    """Rewrite the appended parts as one part (a new version)."""
+    reduced = tables.read_table(spark, root, LATEST).groupBy(*KEY).agg(
+        F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
+    return tables.write_snapshot(reduced, root, LATEST)

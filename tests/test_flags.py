@@ -89,3 +89,25 @@ def test_stream_equals_batch(spark, scratch):
             sorted(tuple(r) for r in new_c.collect())) == snapshot(W, C, changes(spark))
     # the same files read as a batch give the same snapshot
     assert snapshot(W, C, read_change_files(spark, feed)) == snapshot(W, C, changes(spark))
+
+
+def test_stream_parts_and_compaction(spark, scratch):
+    W, C = base(spark)
+    feed = os.path.join(scratch, "feed")
+    os.makedirs(feed)
+    for i, part in enumerate([RECORDS[:5], RECORDS[5:10], RECORDS[10:]]):
+        with open(os.path.join(feed, f"part-{i}.json"), "w") as fh:
+            for seq, actor, change in part:
+                fh.write(json.dumps({"seq": seq, "actor": actor, "change": change}) + "\n")
+    root = os.path.join(scratch, "state")
+    q = flag_stream.start_flag_stream(flag_stream.read_change_stream(spark, feed), W, C, root,
+                                      os.path.join(root, "_ckpt"), ["boss"])
+    q.awaitTermination()
+    from crewgate.sources import tables
+    v = tables.current_version(spark, root, flag_stream.LATEST)
+    assert len(tables.parts_of(spark, root, flag_stream.LATEST, v)) >= 2
+    before = sorted(tuple(r) for r in flag_stream.latest_table(spark, root).collect())
+    flag_stream.compact_latest(spark, root)
+    v2 = tables.current_version(spark, root, flag_stream.LATEST)
+    assert len(tables.parts_of(spark, root, flag_stream.LATEST, v2)) == 1
+    assert sorted(tuple(r) for r in flag_stream.latest_table(spark, root).collect()) == before
