@@ -237,24 +237,61 @@ def recipients_for(recipients: DataFrame, list_name: str, default: str | None =
     return rows.unionByName(fallback.join(present, "list_name", "left_anti"))
 
 
-# R4 A8 P23 ------------------------------------------------------------------
+# R4 A8 P7 P23 ---------------------------------------------------------------
+# Message wording (ours) and attachment names of the two mails.
+EXPIRED_SUBJECT = "Expired documents: {n} workers ({day})"
+EXPIRED_BODY = ("As of {day}, {t} temporary and {p} permanent badge holders have expired "
+                "documents.")
+NONE_EXPIRED_BODY = "As of {day}, no badge holder has expired documents."
+EXPIRED_ATTACHMENT = "expired_badges_{stamp}.csv"
+WEEKLY_SUBJECT = "Weekly site access report - {day}"
+WEEKLY_BODY = "Attached: the valid badge list as of {day}: {w} workers of {c} companies."
+WEEKLY_ATTACHMENT = "report_{stamp}.csv"
+
+
+def _messages(to: DataFrame, subject: str, body: str, attachment: str | None,
+              counts: dict) -> DataFrame:
+    return to.select(
+        "list_name", F.col("email").alias("recipient"), F.lit(subject).alias("subject"),
+        F.lit(body).alias("body"), F.lit(attachment).cast("string").alias("attachment"),
+        *[F.lit(v).cast("long").alias(k) for k, v in counts.items()])
+
+
 def digest(expired_rows: DataFrame, recipients: DataFrame, as_of: dt.date,
-           list_name: str = "expired", default: str | None = None) -> DataFrame:
-    """One message row per recipient when anything expired, none otherwise.
+           list_name: str = "expired", default: str | None = None,
+           when_empty: bool = False) -> DataFrame:
+    """One message row per recipient when anything expired; none otherwise,
+    or a "nothing expired" message without attachment when ``when_empty``.
 
     The counts are one global aggregate; its single row is the only thing
     the driver reads, and it becomes literals on the recipient rows.
     """
     t = section_totals(expired_rows).first()
     to = recipients_for(recipients, list_name, default)
+    day = as_of.strftime("%d/%m/%Y")
+    counts = {"n_temporary": t["n_temporary"], "n_permanent": t["n_permanent"],
+              "n_total": t["n_total"]}
     if t["n_total"] == 0:
-        to = to.where(F.lit(False))
-    stamp = as_of.strftime("%d/%m/%Y")
-    subject = f"Expired documents: {t['n_total']} workers ({stamp})"
-    body = (f"As of {stamp}, {t['n_temporary']} temporary and {t['n_permanent']} permanent "
-            f"badge holders have expired documents.")
-    return to.select(
-        "list_name", F.col("email").alias("recipient"), F.lit(subject).alias("subject"),
-        F.lit(body).alias("body"), F.lit(t["n_temporary"]).cast("long").alias("n_temporary"),
-        F.lit(t["n_permanent"]).cast("long").alias("n_permanent"),
-        F.lit(t["n_total"]).cast("long").alias("n_total"))
+        if not when_empty:
+            to = to.where(F.lit(False))
+        return _messages(to, EXPIRED_SUBJECT.format(n=0, day=day),
+                         NONE_EXPIRED_BODY.format(day=day), None, counts)
+    return _messages(to, EXPIRED_SUBJECT.format(n=t["n_total"], day=day),
+                     EXPIRED_BODY.format(day=day, t=t["n_temporary"], p=t["n_permanent"]),
+                     EXPIRED_ATTACHMENT.format(stamp=as_of.strftime("%d-%m-%Y")), counts)
+
+
+def weekly_digest(weekly_rows: DataFrame, recipients: DataFrame, as_of: dt.date,
+                  list_name: str = "weekly") -> DataFrame:
+    """One message row per address of the weekly list (addresses stripped,
+    blanks dropped), sent whatever the report holds.  An empty list is an
+    error, as there is nobody to send the report to."""
+    to = recipients_for(recipients, list_name, drop_blank=True)
+    if to.isEmpty():
+        raise ValueError(f"mailing list {list_name!r} has no address")
+    t = roster_totals(weekly_rows).first()
+    day = as_of.strftime("%d/%m/%Y")
+    return _messages(to, WEEKLY_SUBJECT.format(day=day),
+                     WEEKLY_BODY.format(day=day, w=t["n_workers"], c=t["n_companies"]),
+                     WEEKLY_ATTACHMENT.format(stamp=as_of.strftime("%d_%m_%Y")),
+                     {"n_companies": t["n_companies"], "n_workers": t["n_workers"]})

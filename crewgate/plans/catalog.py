@@ -350,6 +350,13 @@ def company_detail(spark, sf):
     return listing.company_detail(V.companies(spark, sf), ids)
 
 
+@register
+def weekly_digest(spark, sf):
+    """The weekly report's message, one row per address."""
+    W, C, R = _wcr(spark, sf)
+    return reports.weekly_digest(reports.weekly_valid(W, C, R), V.recipients(spark, sf), AS_OF)
+
+
 @register
 def weekly_recipients(spark, sf):
     """The weekly list's addresses, stripped, blanks dropped."""

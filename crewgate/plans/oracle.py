@@ -189,6 +189,7 @@ ORACLE_SQL: dict[str, str] = {
          printf('Expired documents: %d workers (%s)', s.n_total, '30/06/1998') AS subject,
          printf('As of %s, %d temporary and %d permanent badge holders have expired documents.',
                 '30/06/1998', s.n_temporary, s.n_permanent) AS body,
+         'expired_badges_30-06-1998.csv' AS attachment,
          s.n_temporary, s.n_permanent, s.n_total
   FROM r, s WHERE s.n_total > 0""",
     "badge_status": with_views("workers") + f"""
@@ -607,3 +608,16 @@ ORACLE_SQL.update({
   SELECT list_name, regexp_replace(email, {WS}, '', 'g') AS email FROM recipients
   WHERE list_name = 'weekly' AND regexp_replace(email, {WS}, '', 'g') <> ''""",
 })
+
+
+ORACLE_SQL["weekly_digest"] = with_views(*WCR, "recipients", extra={
+    "roster": ROSTER, "wk": WEEKLY,
+    "t": """SELECT count(DISTINCT nullif(company_name, '')) AS n_companies, count(*) AS n_workers
+            FROM wk"""}) + f"""
+  SELECT list_name, regexp_replace(email, {WS}, '', 'g') AS recipient,
+         'Weekly site access report - 30/06/1998' AS subject,
+         printf('Attached: the valid badge list as of 30/06/1998: %d workers of %d companies.',
+                t.n_workers, t.n_companies) AS body,
+         'report_30_06_1998.csv' AS attachment, t.n_companies, t.n_workers
+  FROM recipients, t
+  WHERE list_name = 'weekly' AND regexp_replace(email, {WS}, '', 'g') <> ''"""

@@ -123,3 +123,18 @@ def test_write_lines_in_order(spark, scratch):
         with open(f) as fh:
             seen += [int(x.split(";")[0]) for x in fh.read().splitlines()[1:]]
     assert seen == sorted(seen) and len(seen) == lines.count()
+
+
+def test_digest_when_empty_and_weekly(spark):
+    import pytest
+    W, C, R = small_roster(spark)
+    ex = reports.expired(W, C, dt.date(2000, 1, 1))
+    rec = spark.createDataFrame([("expired", "a@x.org"), ("weekly", " w@x.org "),
+                                 ("weekly", "  ")], "list_name string, email string")
+    none = reports.digest(ex, rec, dt.date(2000, 1, 1), when_empty=True).collect()
+    assert len(none) == 1 and none[0]["attachment"] is None and none[0]["n_total"] == 0
+    wk = reports.weekly_digest(reports.weekly_valid(W, C, R), rec, AS_OF).collect()
+    assert [(r["recipient"], r["n_workers"], r["attachment"]) for r in wk] == \
+        [("w@x.org", 2, "report_30_06_2024.csv")]
+    with pytest.raises(ValueError):
+        reports.weekly_digest(reports.weekly_valid(W, C, R), rec.where("list_name = 'x'"), AS_OF)
