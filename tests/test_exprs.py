@@ -75,3 +75,12 @@ def test_badge_status_order(spark):
     got = [r[0] for r in df.select(X.badge_status(as_of)).collect()]
     assert got == ["cancelled", "not_issued", "suspended", "expired", "admitted", "admitted",
                    "not_issued"]
+
+
+def test_strip_ws_every_python_whitespace(spark):
+    spaces = [chr(i) for i in range(0x110000) if chr(i).isspace()]
+    lookalikes = ["\u200b", "\u00ad", "\u180e", "\ufeff", "\u2060", "x"]
+    samples = [f"{c}a b{c}" for c in spaces + lookalikes] + ["".join(spaces) + "z" + "".join(spaces)]
+    df = spark.createDataFrame([(s,) for s in samples], "v string")
+    got = [r[0] for r in df.select(X.strip_ws("v")).collect()]
+    assert got == [s.strip() for s in samples]
