@@ -2,7 +2,8 @@
 
 A table is a folder of immutable Parquet *parts*, a small manifest per
 version (``_manifest/v=<N>``: the part folders of that version, one per
-line) and a pointer ``_current`` naming the version readers use:
+line) and a pointer ``_current`` (the current version number, then its
+part folders) that readers follow:
 
     <root>/<name>/part-<id>/...parquet
     <root>/<name>/_manifest/v=<N>
@@ -40,9 +41,17 @@ def _write_lines(spark: SparkSession, lines: list[str], path: str) -> None:
          .write.mode("overwrite").text(path)
 
 
-def current_version(spark: SparkSession, root: str, name: str) -> int | None:
+def current(spark: SparkSession, root: str, name: str) -> tuple[int, list[str]] | None:
+    """(current version, its part folders), or None for a table never written."""
     lines = _read_lines(spark, f"{_dir(root, name)}/_current")
-    return int(lines[0]) if lines else None
+    if not lines:
+        return None
+    return int(lines[0]), [p for p in lines[1:] if p]
+
+
+def current_version(spark: SparkSession, root: str, name: str) -> int | None:
+    cur = current(spark, root, name)
+    return None if cur is None else cur[0]
 
 
 def parts_of(spark: SparkSession, root: str, name: str, version: int) -> list[str]:
@@ -56,13 +65,17 @@ def parts_of(spark: SparkSession, root: str, name: str, version: int) -> list[st
 def read_table(spark: SparkSession, root: str, name: str,
                version: int | None = None) -> DataFrame:
     """Scan a table version (the current one by default) with its schema."""
-    v = current_version(spark, root, name) if version is None else version
-    if v is None:
-        raise FileNotFoundError(f"table {name} has no version under {root}")
+    if version is None:
+        cur = current(spark, root, name)
+        if cur is None:
+            raise FileNotFoundError(f"table {name} has no version under {root}")
+        paths = [f"{_dir(root, name)}/{p}" for p in cur[1]]
+    else:
+        paths = parts_of(spark, root, name, version)
     reader = spark.read
     if name in TABLES:
         reader = reader.schema(TABLES[name])
-    return reader.parquet(*parts_of(spark, root, name, v))
+    return reader.parquet(*paths)
 
 
 def _write_part(df: DataFrame, root: str, name: str, sort_within: list[str] | None) -> str:
@@ -74,7 +87,7 @@ def _write_part(df: DataFrame, root: str, name: str, sort_within: list[str] | No
 
 def _commit(spark: SparkSession, root: str, name: str, version: int, parts: list[str]) -> int:
     _write_lines(spark, parts, f"{_dir(root, name)}/_manifest/v={version}")
-    _write_lines(spark, [str(version)], f"{_dir(root, name)}/_current")
+    _write_lines(spark, [str(version), *parts], f"{_dir(root, name)}/_current")
     return version
 
 
@@ -94,13 +107,14 @@ def write_snapshot(df: DataFrame, root: str, name: str, version: int | None = No
 
 
 def append_rows(df: DataFrame, root: str, name: str,
-                sort_within: list[str] | None = None, version: int | None = None) -> int:
+                sort_within: list[str] | None = None, version: int | None = None,
+                known: tuple[int, list[str]] | None = None) -> int:
     """K1: add ``df`` as one more part of the next version (or of ``version``,
     which must be newer than the current one); existing parts are listed
-    again, never rewritten."""
+    again, never rewritten.  ``known`` is the caller's fresh ``current()``."""
     spark = df.sparkSession
-    cur = current_version(spark, root, name)
-    base = [] if cur is None else _read_lines(spark, f"{_dir(root, name)}/_manifest/v={cur}")
+    state = known if known is not None else current(spark, root, name)
+    cur, base = (None, []) if state is None else state
     if name in TABLES:
         df = df.select([F.col(f.name).cast(f.dataType) for f in TABLES[name].fields])
     part = _write_part(df, root, name, sort_within)

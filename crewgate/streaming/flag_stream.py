@@ -37,11 +37,11 @@ def read_change_stream(spark: SparkSession, path: str, files_per_batch: int = 1)
 def _append_batch(root: str):
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        current = tables.current_version(spark, root, LATEST)
-        if current is not None and current >= batch_id:
+        state = tables.current(spark, root, LATEST)
+        if state is not None and state[0] >= batch_id:
             return  # replay of a batch whose part is already committed
         rows = batch.select(*KEY, "value", "seq")
-        tables.append_rows(rows, root, LATEST, version=batch_id)
+        tables.append_rows(rows, root, LATEST, version=batch_id, known=state)
     return append
 
 
