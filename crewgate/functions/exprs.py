@@ -20,8 +20,16 @@ _OUTER_WS = rf"^{_WS}+|{_WS}+$"
 # Display formats of dates.
 DISPLAY_DATE = "dd/MM/yyyy"          # cells of reports and lists
 STAMP_FORMATS = {"dash": "dd-MM-yyyy", "slash": "dd/MM/yyyy", "file": "dd_MM_yyyy"}
-ISO_DATE = "yyyy-M-d"                 # form input, one or two digit month/day
-LOAD_DATE_FORMATS = ("d/M/yyyy", "d-M-yyyy")  # raw roster CSV, tried in order
+
+# The field shapes Python's strptime accepts for %d, %m, %Y
+# (day 1-31 with an optional leading zero or a leading blank, month 1-12 with
+# an optional leading zero, exactly four year digits).
+_DAY = r"(3[01]|[12][0-9]|0[1-9]|[1-9]| [1-9])"
+_MONTH = r"(1[0-2]|0[1-9]|[1-9])"
+_YEAR = r"([0-9]{4})"
+# raw roster CSV: day/month/year, else day-month-year; form input: ISO
+LOAD_DATE_SHAPES = (rf"^{_DAY}/{_MONTH}/{_YEAR}$", rf"^{_DAY}-{_MONTH}-{_YEAR}$")
+ISO_DATE_SHAPE = rf"^{_YEAR}-{_MONTH}-{_DAY}$"
 
 
 def _c(c) -> Column:
@@ -59,8 +67,7 @@ def display_date(d) -> Column:
 
 def display_date_text(s) -> Column:
     """ISO text -> dd/MM/yyyy; unparsable text passes through; NULL -> ''."""
-    parsed = F.try_to_date(_c(s), ISO_DATE)
-    return F.coalesce(F.date_format(parsed, DISPLAY_DATE), _c(s), F.lit(""))
+    return F.coalesce(F.date_format(iso_date(s), DISPLAY_DATE), _c(s), F.lit(""))
 
 
 # P7 -------------------------------------------------------------------------
@@ -87,16 +94,27 @@ def x_flag(c) -> Column:
     return F.when(strip_ws(_c(c)) == "X", F.lit(1)).otherwise(F.lit(0))
 
 
+def _shaped_date(c: Column, shape: str, y: int, m: int, d: int) -> Column:
+    """Date from text of the given regex shape (groups y, m, d), else NULL.
+    The fields are rebuilt as yyyy-MM-dd, so impossible dates (31/02) and
+    year 0000 give NULL, as with Python's strptime."""
+    part = lambda i: F.trim(F.regexp_extract(c, shape, i))
+    canonical = F.concat_ws("-", part(y), F.lpad(part(m), 2, "0"), F.lpad(part(d), 2, "0"))
+    parsed = F.try_to_date(canonical, "yyyy-MM-dd")
+    return F.when(c.rlike(shape) & (F.year(parsed) >= 1), parsed)
+
+
 # P11 ------------------------------------------------------------------------
 def load_date(c) -> Column:
-    """d/m/Y, else d-m-Y, else NULL."""
-    return F.coalesce(*[F.try_to_date(_c(c), f) for f in LOAD_DATE_FORMATS])
+    """d/m/Y, else d-m-Y (Python strptime shapes), else NULL."""
+    return F.coalesce(*[_shaped_date(_c(c), s, 3, 2, 1) for s in LOAD_DATE_SHAPES])
 
 
 # P12 ------------------------------------------------------------------------
 def iso_date(c) -> Column:
-    """Strict ISO date; NULL when empty or unparsable (see ``bad_iso_date``)."""
-    return F.try_to_date(F.nullif(_c(c), F.lit("")), ISO_DATE)
+    """Strict ISO date (Python strptime %Y-%m-%d); NULL when empty or not a
+    date (see ``bad_iso_date``)."""
+    return _shaped_date(F.nullif(_c(c), F.lit("")), ISO_DATE_SHAPE, 1, 2, 3)
 
 
 def bad_iso_date(c) -> Column:

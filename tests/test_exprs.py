@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -84,3 +85,29 @@ def test_strip_ws_every_python_whitespace(spark):
     df = spark.createDataFrame([(s,) for s in samples], "v string")
     got = [r[0] for r in df.select(X.strip_ws("v")).collect()]
     assert got == [s.strip() for s in samples]
+
+
+def test_date_parsers_match_python_strptime(spark):
+    rnd = random.Random(1)
+    days = ["", "0", "1", "01", " 1", "9", "09", "29", "30", "31", "32", "00", "001", "1 "]
+    months = ["", "0", "1", "01", "2", "02", "12", "13", "00", "001"]
+    years = ["2024", "24", "0999", "0000", "99999", "1900", "+2024", "0001", "9999", "2100"]
+    pool = set()
+    for _ in range(6000):
+        d, m, y = rnd.choice(days), rnd.choice(months), rnd.choice(years)
+        pool |= {f"{d}/{m}/{y}", f"{d}-{m}-{y}", f"{y}-{m}-{d}", f"{d}.{m}.{y}"}
+    pool = sorted(pool)
+
+    def py(s, fmts):
+        for f in fmts:
+            try:
+                return dt.datetime.strptime(s, f).date().isoformat()
+            except ValueError:
+                pass
+        return None
+
+    df = spark.createDataFrame([(s,) for s in pool], "v string")
+    rows = df.select("v", X.load_date("v").cast("string").alias("a"),
+                     X.iso_date("v").cast("string").alias("b")).collect()
+    assert [r.a for r in rows] == [py(r.v, ("%d/%m/%Y", "%d-%m-%Y")) for r in rows]
+    assert [r.b for r in rows] == [py(r.v, ("%Y-%m-%d",)) for r in rows]
