@@ -40,8 +40,8 @@ def main() -> None:
 
     def bulk_load():
         clean = load.clean_roster(roster_csv.read_roster_csv(spark, raw_dir))
-        new_c, new_w = load.bulk_load(clean, V.companies(spark, sf_dir),
-                                      V.workers(spark, sf_dir))
+        new_c, new_w, _ = load.bulk_load(clean, V.companies(spark, sf_dir),
+                                         V.workers(spark, sf_dir))
         run_noop(new_c)
         run_noop(new_w)
 

@@ -36,17 +36,39 @@ def clean_roster(raw: DataFrame) -> DataFrame:
         F.when(X.x_flag("f6") == 1, F.lit("X")).otherwise(F.lit("")).alias("valid_mark"))
 
 
+# Outcome codes of a load.
+LOADED, TOO_LONG, UNREADABLE_DATE = "loaded", "too_long", "unreadable_date"
+
+
+def _too_long(clean: DataFrame) -> F.Column:
+    """True when a field is longer than its column allows (names of the
+    company and worker tables, the note)."""
+    limits = {"company_name": COMPANIES["company_name"].metadata["max_length"],
+              "given_name": WORKERS["given_name"].metadata["max_length"],
+              "surname": WORKERS["surname"].metadata["max_length"],
+              "note": WORKERS["note"].metadata["max_length"]}
+    return reduce(lambda a, b: a | b, [F.length(c) > n for c, n in limits.items()])
+
+
 def bulk_load(clean: DataFrame, C: DataFrame, W: DataFrame, skip_existing: bool = False,
-              collation: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Returns (new companies, new workers).
+              collation: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Returns (new companies, new workers, outcomes).
 
     Company names are distinct by exact text and get ids after the largest
     stored id in name order; a worker's company is looked up
     case-insensitively over stored and new companies (lowest id wins).
     Workers get ids after the largest stored id in (file, split, record)
     order, ``record_updated`` = 1, and NULL cancelled/temporary/role.
+
+    A record with a field longer than its column allows is not loaded
+    (outcome ``too_long``; the database would refuse the row), and its
+    company name is not created from it.  Every other record is ``loaded``;
+    a date text that is neither d/m/Y nor d-m-Y loads as NULL with the
+    warning ``unreadable_date``.
     """
-    names = clean.select("company_name").distinct()
+    checked = clean.withColumn("_too_long", _too_long(clean))
+    ok = checked.where(~F.col("_too_long")).drop("_too_long")
+    names = ok.select("company_name").distinct()
     if skip_existing:
         names = names.join(C.select("company_name"), "company_name", "left_anti")
     new_c = assign_ids(names, ["company_name"], next_id(C, "company_id"), "company_id")
@@ -57,7 +79,7 @@ def bulk_load(clean: DataFrame, C: DataFrame, W: DataFrame, skip_existing: bool
         F.lit(0).alias("is_sole_trader")), COMPANIES)
     every_c = C.select("company_id", "company_name").unionByName(
         new_c.select("company_id", "company_name"))
-    rows = resolve_company(clean, every_c, collation=collation)
+    rows = resolve_company(ok, every_c, collation=collation)
     rows = rows.select(
         "file", "block", "record", "given_name", "surname", "company_id",
         F.lit(None).cast("long").alias("role_id"),
@@ -70,4 +92,13 @@ def bulk_load(clean: DataFrame, C: DataFrame, W: DataFrame, skip_existing: bool
         F.lit(None).cast("int").alias("is_temporary"),
         F.lit("").alias("badge_number"))
     new_w = assign_ids(rows, ["file", "block", "record"], next_id(W, "worker_id"), "worker_id")
-    return new_c, conform(new_w, WORKERS)
+    loaded = new_w.select("file", "block", "record", "worker_id")
+    outcomes = checked.select(
+        "file", "block", "record", "_too_long",
+        F.when((F.col("expiry_text") != "") & X.load_date("expiry_text").isNull(),
+               F.lit(UNREADABLE_DATE)).alias("warning")
+    ).join(loaded, ["file", "block", "record"], "left").select(
+        "file", "block", "record", "worker_id",
+        F.when(F.col("_too_long"), F.lit(TOO_LONG)).otherwise(F.lit(LOADED)).alias("outcome"),
+        "warning")
+    return new_c, conform(new_w, WORKERS), outcomes

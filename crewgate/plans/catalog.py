@@ -321,6 +321,12 @@ def bulk_load_companies(spark, sf):
     return _loaded(spark, sf)[0]
 
 
+@register
+def bulk_load_outcomes(spark, sf):
+    """Outcome per raw record (loaded / too long, date warning)."""
+    return _loaded(spark, sf)[2].select("worker_id", "outcome", "warning")
+
+
 @register
 def stream_flag_changes(spark, sf):
     """The change feed in micro-batches; snapshot equals D5's."""

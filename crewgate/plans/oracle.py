@@ -621,3 +621,11 @@ ORACLE_SQL["weekly_digest"] = with_views(*WCR, "recipients", extra={
          'report_30_06_1998.csv' AS attachment, t.n_companies, t.n_workers
   FROM recipients, t
   WHERE list_name = 'weekly' AND regexp_replace(email, {WS}, '', 'g') <> ''"""
+
+
+ORACLE_SQL["bulk_load_outcomes"] = "WITH lr AS (" + LOADED_ROWS + ")" + """
+  SELECT (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY file_no, k)
+           AS worker_id,
+         'loaded' AS outcome,
+         CASE WHEN k % 19 <> 0 AND k % 6 IN (3, 4) THEN 'unreadable_date' END AS warning
+  FROM lr"""

@@ -55,7 +55,7 @@ def test_bulk_load(spark, scratch):
     C = spark.createDataFrame([company_row(7, "beta")], COMPANIES)
     W = spark.createDataFrame([worker_row(40)], WORKERS)
     clean = load.clean_roster(roster_csv.read_roster_csv(spark, write(scratch)))
-    new_c, new_w = load.bulk_load(clean, C, W)
+    new_c, new_w, out = load.bulk_load(clean, C, W)
     assert sorted((r["company_id"], r["company_name"]) for r in new_c.collect()) == \
         [(8, ""), (9, "ACME"), (10, "Acme"), (11, "Beta"), (12, "Gamma")]
     rows = {r["given_name"]: r for r in new_w.collect()}
@@ -71,7 +71,11 @@ def test_bulk_load(spark, scratch):
     assert (rows["Ann"]["badge_issued"], rows["Cy"]["badge_issued"]) == (1, 0)
     assert (rows["Ann"]["record_updated"], rows["Ann"]["badge_cancelled"],
             rows["Ann"]["is_temporary"], rows["Ann"]["role_id"]) == (1, None, None, None)
-    skip_c, _ = load.bulk_load(clean, C, W, skip_existing=True)
+    got = {r["worker_id"]: (r["outcome"], r["warning"]) for r in out.collect()}
+    assert got[rows["Ed"]["worker_id"]] == ("loaded", "unreadable_date")
+    assert got[rows["Flo"]["worker_id"]] == ("loaded", "unreadable_date")
+    assert got[rows["Gus"]["worker_id"]] == ("loaded", None)
+    skip_c, _, _ = load.bulk_load(clean, C, W, skip_existing=True)
     assert "beta" not in [r["company_name"] for r in skip_c.collect()]
 
 
@@ -86,3 +90,20 @@ def test_clean_csv_round_trip(spark, scratch):
             "valid_mark"]
     assert sorted(tuple(r) for r in back.collect()) == \
         sorted(tuple(r) for r in clean.select(*cols).collect())
+
+
+def test_too_long_rows_are_not_loaded(spark, scratch):
+    d = os.path.join(scratch, "long")
+    os.makedirs(d)
+    with open(os.path.join(d, "a.csv"), "w", encoding="utf-8") as fh:
+        fh.write("h1\nh2\n")
+        fh.write("Acme;Ann;Lee;;;;\n")
+        fh.write(f"Acme;{'x' * 51};Lee;;;;\n")
+        fh.write(f"{'Long' * 30};Bo;Ray;;;;\n")
+    C = spark.createDataFrame([], COMPANIES)
+    W = spark.createDataFrame([], WORKERS)
+    clean = load.clean_roster(roster_csv.read_roster_csv(spark, d))
+    new_c, new_w, out = load.bulk_load(clean, C, W)
+    assert [r["company_name"] for r in new_c.collect()] == ["Acme"]
+    assert [r["given_name"] for r in new_w.collect()] == ["Ann"]
+    assert sorted(r["outcome"] for r in out.collect()) == ["loaded", "too_long", "too_long"]
