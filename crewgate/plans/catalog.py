@@ -46,21 +46,21 @@ def _wcr(spark, sf):
 # --- reports -----------------------------------------------------------------
 @register
 def expired_badges(spark, sf):
-    """R3 rows: expired, issued, valid, not cancelled; mixed sort."""
+    """Expired, issued, valid, not cancelled; mixed sort."""
     W, C, _ = _wcr(spark, sf)
     return reports.expired(W, C, AS_OF)
 
 
 @register
 def expired_counts(spark, sf):
-    """A1: rows per section of the expired list plus the total."""
+    """Rows per section of the expired list plus the total."""
     W, C, _ = _wcr(spark, sf)
     return reports.section_counts(reports.expired(W, C, AS_OF))
 
 
 @register
 def weekly_valid(spark, sf):
-    """R2 rows: valid, not cancelled badges in two sections."""
+    """Valid, not cancelled badges in two sections."""
     return reports.weekly_valid(*_wcr(spark, sf))
 
 
@@ -72,7 +72,7 @@ def weekly_totals(spark, sf):
 
 @register
 def roster_full(spark, sf):
-    """Every worker of a known company, X marks, no filter."""
+    """Every worker of a known company, X marks, no filter."""
     return reports.full_roster(*_wcr(spark, sf))
 
 
@@ -90,13 +90,13 @@ def column_widths(spark, sf):
 
 @register
 def report_lines(spark, sf):
-    """The weekly report as numbered sheet lines."""
+    """The weekly report as numbered sheet lines."""
     return reports.report_lines(reports.weekly_valid(*_wcr(spark, sf)), AS_OF)
 
 
 @register
 def digest(spark, sf):
-    """One message row per recipient of the expired list."""
+    """One message row per recipient of the expired list."""
     W, C, _ = _wcr(spark, sf)
     return reports.digest(reports.expired(W, C, AS_OF), V.recipients(spark, sf), AS_OF,
                           default=DEFAULT_RECIPIENT)
@@ -112,31 +112,31 @@ def badge_status(spark, sf):
 # --- listings ----------------------------------------------------------------
 @register
 def workers_by_company(spark, sf):
-    """Workers of one company, by surname."""
+    """Workers of one company, by surname."""
     return listing.list_workers(*_wcr(spark, sf), company_id=COMPANY_ID)
 
 
 @register
 def workers_by_surname(spark, sf):
-    """Surname contains a text, case-insensitive."""
+    """Surname contains a text, case-insensitive."""
     return listing.list_workers(*_wcr(spark, sf), surname=SURNAME_TEXT)
 
 
 @register
 def workers_cancelled(spark, sf):
-    """Cancelled badges only."""
+    """Cancelled badges only."""
     return listing.list_workers(*_wcr(spark, sf), cancelled=True)
 
 
 @register
 def companies_by_name(spark, sf):
-    """Company by exact name, case-insensitive."""
+    """Company by exact name, case-insensitive."""
     return listing.list_companies(V.companies(spark, sf), name=COMPANY_NAME)
 
 
 @register
 def companies_all(spark, sf):
-    """Every company, by name."""
+    """Every company, by name."""
     return listing.list_companies(V.companies(spark, sf))
 
 
@@ -168,7 +168,7 @@ def new_companies_accepted(spark, sf):
 
 @register
 def new_companies_greedy(spark, sf):
-    """Full add-company outcome, first-come rule inside the batch."""
+    """Add-company outcome, first-come rule inside the batch."""
     _, outcomes = companies.add_companies(V.company_candidates(spark, sf),
                                           V.companies(spark, sf))
     return outcomes
@@ -192,7 +192,8 @@ def worker_duplicates_stored(spark, sf):
 
 @register
 def new_workers_outcomes(spark, sf):
-    """Add-worker outcome per request, ids for accepted ones."""
+    """Add-worker outcome per request, ids for
+    accepted ones."""
     _, outcomes = workers.add_workers(V.worker_candidates(spark, sf), V.workers(spark, sf),
                                       V.companies(spark, sf))
     return outcomes
@@ -228,7 +229,7 @@ def temporary_without_date(spark, sf):
 # --- changes -------------------------------------------------------------------
 @register
 def worker_edits(spark, sf):
-    """D3: worker snapshot after the edit requests."""
+    """Worker snapshot after the edit requests."""
     new_w, _ = workers.edit_workers(V.worker_edits(spark, sf), *_wcr(spark, sf),
                                     with_outcomes=False)
     return new_w
@@ -236,7 +237,7 @@ def worker_edits(spark, sf):
 
 @register
 def worker_edit_outcomes(spark, sf):
-    """Outcome per edit request."""
+    """Outcome per edit request."""
     _, outcomes = workers.edit_workers(V.worker_edits(spark, sf), *_wcr(spark, sf))
     return outcomes
 
@@ -250,7 +251,7 @@ def company_edits(spark, sf):
 
 @register
 def flag_changes_snapshot(spark, sf):
-    """Worker snapshot after the flag changes."""
+    """Worker snapshot after the flag changes."""
     W, C, _ = _wcr(spark, sf)
     new_w, _, _ = flags.apply_flag_changes(V.flag_change_records(spark, sf), W, C,
                                            ALLOWED_ACTORS, with_outcomes=False)
@@ -259,7 +260,7 @@ def flag_changes_snapshot(spark, sf):
 
 @register
 def flag_changes_companies(spark, sf):
-    """Company snapshot after the flag changes."""
+    """Company snapshot after the flag changes."""
     W, C, _ = _wcr(spark, sf)
     _, new_c, _ = flags.apply_flag_changes(V.flag_change_records(spark, sf), W, C,
                                            ALLOWED_ACTORS, with_outcomes=False)
@@ -268,7 +269,7 @@ def flag_changes_companies(spark, sf):
 
 @register
 def flag_change_outcomes(spark, sf):
-    """Reason per change record."""
+    """Reason per change record."""
     W, C, _ = _wcr(spark, sf)
     return flags.change_outcomes(V.flag_change_records(spark, sf), W, C, ALLOWED_ACTORS)
 
@@ -311,13 +312,13 @@ def _loaded(spark, sf):
 
 @register
 def bulk_load(spark, sf):
-    """Workers loaded from a raw roster CSV folder."""
+    """Workers loaded from a raw roster CSV folder."""
     return _loaded(spark, sf)[1]
 
 
 @register
 def bulk_load_companies(spark, sf):
-    """Companies created by the load."""
+    """Companies created by the load."""
     return _loaded(spark, sf)[0]
 
 
@@ -329,7 +330,8 @@ def bulk_load_outcomes(spark, sf):
 
 @register
 def stream_flag_changes(spark, sf):
-    """The change feed in micro-batches; snapshot equals D5's."""
+    """The change feed in micro-batches (appended to a stored
+    table, read back); snapshot equals D5's."""
     W, C, _ = _wcr(spark, sf)
     feed = scratch_path(spark, "flag-feed")
     V.write_change_files(spark, sf, feed)
