@@ -111,3 +111,17 @@ def test_date_parsers_match_python_strptime(spark):
                      X.iso_date("v").cast("string").alias("b")).collect()
     assert [r.a for r in rows] == [py(r.v, ("%d/%m/%Y", "%d-%m-%Y")) for r in rows]
     assert [r.b for r in rows] == [py(r.v, ("%Y-%m-%d",)) for r in rows]
+
+
+def test_small_form_rules(spark):
+    assert one(spark, X.blank_if_null, None) == "" and one(spark, X.blank_if_null, "a") == "a"
+    df = spark.createDataFrame([(None, None), (1, "B7")], "t int, n string")
+    got = [tuple(r) for r in df.select(*X.detail_defaults("t", "n")).collect()]
+    assert got == [(0, ""), (1, "B7")]
+    assert [one(spark, X.optional_id, s) for s in ["", None, "12", "x"]] == [None, None, 12, None]
+    assert [one(spark, X.bad_id, s) for s in ["", None, "12", "x"]] == [False, False, False, True]
+    assert one(spark, X.empty_as_null, "") is None
+    assert [one(spark, X.checkbox, s) for s in ["on", "off", None]] == [1, 0, 0]
+    df = spark.createDataFrame([(1, "T1"), (0, "T2"), (1, None)], "t int, n string")
+    assert [r[0] for r in df.select(X.badge_number_if_temporary("t", "n")).collect()] == \
+        ["T1", "", ""]

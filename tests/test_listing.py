@@ -35,3 +35,9 @@ def test_resolve_company_lowest_id_case_insensitive(spark):
                                 "seq long, company_name string")
     got = {r["seq"]: r["company_id"] for r in listing.resolve_company(req, C).collect()}
     assert got == {1: 3, 2: None, 3: None}
+
+
+def test_company_lookup_one_row_per_name(spark):
+    C = spark.createDataFrame([company_row(5, "Acme"), company_row(3, "ACME"),
+                               company_row(4, None)], COMPANIES)
+    assert [tuple(r) for r in listing.company_lookup(C).collect()] == [("acme", 3)]

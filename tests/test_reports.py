@@ -138,3 +138,16 @@ def test_digest_when_empty_and_weekly(spark):
         [("w@x.org", 2, "report_30_06_2024.csv")]
     with pytest.raises(ValueError):
         reports.weekly_digest(reports.weekly_valid(W, C, R), rec.where("list_name = 'x'"), AS_OF)
+
+
+def test_recipient_lists(spark):
+    from crewgate.sources import tables
+    rec = spark.createDataFrame([("weekly", " a@x.org "), ("weekly", " "), ("expired", "b@x.org")],
+                                "list_name string, email string")
+    assert [r["email"] for r in reports.recipients_for(rec, "weekly", drop_blank=True).collect()] \
+        == ["a@x.org"]
+    assert [r["email"] for r in reports.recipients_for(rec, "other", default="o@x.org").collect()] \
+        == ["o@x.org"]
+    assert [r["email"] for r in reports.recipients_for(rec, "expired", default="o@x.org")
+            .collect()] == ["b@x.org"]
+    assert tables.recipients_of(rec, "weekly").count() == 2
