@@ -5,7 +5,9 @@ BENCH_RUNS (3: one first run, then warm runs; the best warm run is
 reported, the first run is kept beside it).  Each query is executed in full
 with a ``noop`` write (nothing is collected to the driver); input files a
 query needs (the raw roster CSV, the change feed) are written before timing,
-and a short warm-up (JIT) runs before the first query.
+and a short warm-up (JIT) runs before the first query.  With
+BENCH_EVENT_LOG_DIR set, Spark writes its event log there and every query
+runs under its own job group (read it with ``tools/stage_times.py``).
 """
 
 from __future__ import annotations
@@ -33,7 +35,10 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
-    spark = build_session(f"local[{cpus}]", max(8, cpus), app="crewgate-bench")
+    log_dir = os.environ.get("BENCH_EVENT_LOG_DIR")
+    extra = ({"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir,
+              "spark.eventLog.compress": "false"} if log_dir else {})
+    spark = build_session(f"local[{cpus}]", max(8, cpus), app="crewgate-bench", extra=extra)
 
     raw_dir = V.write_raw_roster(spark, sf_dir, scratch_path(spark, "bench-raw"))
     feed_dir = V.write_change_files(spark, sf_dir, scratch_path(spark, "bench-feed"))
@@ -83,6 +88,7 @@ def main() -> None:
         run_noop(Q.QUERIES["role_list"](spark, sf_dir))
     first, warm = {}, {}
     for name, fn in plan.items():
+        spark.sparkContext.setJobGroup(name, name)
         for i in range(runs):
             t0 = time.perf_counter()
             fn()

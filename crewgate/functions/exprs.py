@@ -11,11 +11,11 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters Python's str.strip() removes, as a Java regex
-# class — Java \s (space, \t, \n, \x0B, \f, \r), every Unicode separator
-# \p{Z}, the information separators \x1c-\x1f and NEXT LINE \x85.
-_WS = r"[\s\p{Z}\x1c-\x1f\x85]"
-_OUTER_WS = rf"^{_WS}+|{_WS}+$"
+# The 29 code points Python's str.strip() removes (those for
+# which str.isspace() is true), in code-point order.
+PY_WHITESPACE = ("\u0009\u000a\u000b\u000c\u000d\u001c\u001d\u001e\u001f\u0020\u0085"
+                 "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+                 "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 # Display formats of dates.
 DISPLAY_DATE = "dd/MM/yyyy"          # cells of reports and lists
@@ -77,8 +77,9 @@ def as_of_stamp(as_of: dt.date, style: str = "dash") -> Column:
 
 # P8 -------------------------------------------------------------------------
 def strip_ws(c) -> Column:
-    """Remove leading and trailing Unicode whitespace (Python ``strip()``)."""
-    return F.regexp_replace(_c(c), _OUTER_WS, "")
+    """Remove leading and trailing Unicode whitespace (Python ``strip()``):
+    ``btrim`` with the set of whitespace code points, no regex."""
+    return F.btrim(_c(c), F.lit(PY_WHITESPACE))
 
 
 # P9 -------------------------------------------------------------------------

@@ -17,6 +17,7 @@ from crewgate.functions import exprs as X
 from crewgate.operators.keys import assign_ids, next_id
 from crewgate.operators.listing import resolve_company
 from crewgate.schema import COMPANIES, WORKERS, conform
+from crewgate.session import ensure_checkpoint_dir
 from crewgate.sources.roster_csv import RAW_FIELDS
 
 
@@ -66,7 +67,10 @@ def bulk_load(clean: DataFrame, C: DataFrame, W: DataFrame, skip_existing: bool
     a date text that is neither d/m/Y nor d-m-Y loads as NULL with the
     warning ``unreadable_date``.
     """
-    checked = clean.withColumn("_too_long", _too_long(clean))
+    # the cleaned records feed the names, the rows and the outcomes: clean
+    # them once and keep the result in the shared checkpoint folder
+    ensure_checkpoint_dir(clean.sparkSession)
+    checked = clean.withColumn("_too_long", _too_long(clean)).checkpoint(eager=True)
     ok = checked.where(~F.col("_too_long")).drop("_too_long")
     names = ok.select("company_name").distinct()
     if skip_existing:
