@@ -111,3 +111,23 @@ def test_stream_parts_and_compaction(spark, scratch):
     v2 = tables.current_version(spark, root, flag_stream.LATEST)
     assert len(tables.parts_of(spark, root, flag_stream.LATEST, v2)) == 1
     assert sorted(tuple(r) for r in flag_stream.latest_table(spark, root).collect()) == before
+
+
+def test_stream_with_processing_time_trigger(spark, scratch):
+    W, C = base(spark)
+    feed = os.path.join(scratch, "feed")
+    os.makedirs(feed)
+    with open(os.path.join(feed, "part-0.json"), "w") as fh:
+        for seq, actor, change in RECORDS:
+            fh.write(json.dumps({"seq": seq, "actor": actor, "change": change}) + "\n")
+    root = os.path.join(scratch, "state")
+    q = flag_stream.start_flag_stream(flag_stream.read_change_stream(spark, feed), W, C, root,
+                                      os.path.join(root, "_ckpt"), ["boss"],
+                                      available_now=False)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    new_w, new_c = flags.apply_latest(flag_stream.latest_table(spark, root), W, C)
+    assert (sorted(tuple(r) for r in new_w.collect()),
+            sorted(tuple(r) for r in new_c.collect())) == snapshot(W, C, changes(spark))
