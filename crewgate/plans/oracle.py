@@ -18,11 +18,11 @@ VIEWS = {
          CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS is_sole_trader
   FROM customer""",
     "roles": """
-  SELECT CAST(r_regionkey AS BIGINT) AS role_id, r_name AS role_name FROM region""",
+  SELECT s_suppkey AS role_id, s_name AS role_name FROM supplier""",
     "workers": """
   SELECT o_orderkey AS worker_id, substr(o_orderpriority, 3) AS given_name,
          'S' || CAST(o_orderkey % 997 AS VARCHAR) AS surname, o_custkey AS company_id,
-         CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 7 END AS role_id,
+         CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 137 END AS role_id,
          CASE WHEN o_orderkey % 3 <> 0 THEN 1 ELSE 0 END AS badge_issued,
          CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_orderdate AS DATE) END AS expiry_date,
          CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS record_updated,
@@ -253,7 +253,7 @@ VIEWS.update({
          'G' || CAST(event_id AS VARCHAR) AS given_name,
          'E' || CAST(user_id AS VARCHAR) AS surname, user_id AS company_id,
          CASE WHEN event_id % 31 = 0 THEN 'r' WHEN event_id % 4 = 0 THEN ''
-              ELSE CAST(event_id % 7 AS VARCHAR) END AS role_id,
+              ELSE CAST(event_id % 137 AS VARCHAR) END AS role_id,
          CASE WHEN event_type = 'purchase' THEN 'on' END AS is_temporary,
          'TB' || CAST(event_id AS VARCHAR) AS badge_number,
          CASE WHEN event_id % 37 = 0 THEN '2024-13-01' WHEN event_id % 11 = 0 THEN ''
@@ -513,8 +513,8 @@ ORACLE_SQL.update({
   SELECT {WORKER_FIELDS} FROM workers
   WHERE company_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""",
     "role_set_null": with_views("workers") + f"""
-  SELECT {WORKER_FIELDS.replace('role_id,', '''CASE WHEN role_id IN (SELECT r_regionkey
-         FROM region WHERE r_name = 'ASIA') THEN NULL ELSE role_id END AS role_id,''')}
+  SELECT {WORKER_FIELDS.replace('role_id,', '''CASE WHEN role_id IN (SELECT s_suppkey
+         FROM supplier WHERE s_nationkey = 7) THEN NULL ELSE role_id END AS role_id,''')}
   FROM workers""",
     "delete_workers": with_views("workers") + f"""
   SELECT {WORKER_FIELDS} FROM workers

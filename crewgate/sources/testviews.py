@@ -48,9 +48,9 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "region")
-    return conform(r.select(F.col("r_regionkey").alias("role_id"),
-                            F.col("r_name").alias("role_name")), ROLES)
+    s = table(spark, sf_dir, "supplier")
+    return conform(s.select(F.col("s_suppkey").alias("role_id"),
+                            F.col("s_name").alias("role_name")), ROLES)
 
 
 def workers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def workers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring("o_orderpriority", 3, 1 << 20).alias("given_name"),
         F.concat(F.lit("S"), (k % 997).cast("string")).alias("surname"),
         F.col("o_custkey").alias("company_id"),
-        F.when(k % 4 == 0, k % 7).alias("role_id"),
+        F.when(k % 4 == 0, k % 137).alias("role_id"),
         F.when(k % 3 != 0, F.lit(1)).otherwise(F.lit(0)).alias("badge_issued"),
         F.when(k % 13 != 0, F.col("o_orderdate").cast("date")).alias("expiry_date"),
         F.when(k % 2 == 0, F.lit(1)).otherwise(F.lit(0)).alias("record_updated"),
@@ -147,7 +147,7 @@ def worker_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("E"), F.col("user_id").cast("string")).alias("surname"),
         F.col("user_id").alias("company_id"),
         F.when(k % 31 == 0, F.lit("r")).when(k % 4 == 0, F.lit(""))
-         .otherwise((k % 7).cast("string")).alias("role_id"),
+         .otherwise((k % 137).cast("string")).alias("role_id"),
         F.when(F.col("event_type") == "purchase", F.lit("on")).alias("is_temporary"),
         F.concat(F.lit("TB"), k.cast("string")).alias("badge_number"),
         F.when(k % 37 == 0, F.lit("2024-13-01")).when(k % 11 == 0, F.lit(""))
@@ -210,8 +210,8 @@ def company_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def role_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "region")
-    return r.where(F.col("r_name") == "ASIA").select(F.col("r_regionkey").cast("long").alias("id"))
+    s = table(spark, sf_dir, "supplier")
+    return s.where(F.col("s_nationkey") == 7).select(F.col("s_suppkey").alias("id"))
 
 
 def worker_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
