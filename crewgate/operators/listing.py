@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crewgate.functions import exprs as X
+from crewgate.operators.sizing import restrict_to
 
 # Fixed value: listing columns of the worker list (13, as the staff page shows).
 WORKER_LIST_COLUMNS = (
@@ -120,8 +121,12 @@ def resolve_company(df: DataFrame, C: DataFrame, name_col: str = "company_name",
     """Add ``id_col``: the id of the company called ``name_col`` (case-
     insensitive, or equal under ``collation``; lowest id on a tie), NULL when
     there is none."""
-    lookup = company_lookup(C, collation).withColumnRenamed("company_id", id_col)
     keyed = df.withColumn("_name_key", X.fold(name_col, collation))
+    # only the companies the batch names are aggregated (semi-join reduction)
+    named = restrict_to(C.select("company_id", "company_name",
+                                 X.fold("company_name", collation).alias("_name_key")),
+                        keyed, ["_name_key"]).drop("_name_key")
+    lookup = company_lookup(named, collation).withColumnRenamed("company_id", id_col)
     return keyed.join(lookup, "_name_key", "left").drop("_name_key")
 
 

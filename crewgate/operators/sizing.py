@@ -36,3 +36,15 @@ def present_keys(big: DataFrame, probe: DataFrame, keys: list[str],
     wanted = probe.select(*keys).dropna().distinct()
     side = F.broadcast(wanted) if has_at_most(wanted, max_rows) else wanted
     return big.select(*keys).join(side, keys, "left_semi").distinct()
+
+
+def restrict_to(big: DataFrame, probe: DataFrame, keys: list[str],
+                max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Rows of ``big`` whose keys occur in ``probe`` — filtered against a
+    broadcast of the probe's distinct keys when they are few (bounded check),
+    so that a later aggregation of ``big`` only sees the rows that matter.
+    Beyond the bound ``big`` is returned whole."""
+    wanted = probe.select(*keys).dropna().distinct()
+    if not has_at_most(wanted, max_rows):
+        return big
+    return big.join(F.broadcast(wanted), keys, "left_semi")
