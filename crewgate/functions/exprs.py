@@ -186,12 +186,10 @@ def has_date(c) -> Column:
 
 
 # P22 ------------------------------------------------------------------------
-# Badge states, in the order they are tested.
-BADGE_STATES = ("cancelled", "not_issued", "suspended", "expired", "admitted")
-
-
 def badge_status(as_of: dt.date, cancelled="badge_cancelled", issued="badge_issued",
                  valid="badge_valid", expiry="expiry_date") -> Column:
+    """First state that applies, in this order: cancelled, not_issued,
+    suspended, expired (on or before ``as_of``), admitted."""
     return (F.when(is_set(cancelled), F.lit("cancelled"))
             .when(~is_set(issued), F.lit("not_issued"))
             .when(~is_set(valid), F.lit("suspended"))

@@ -9,12 +9,14 @@ Plan: parse -> reason chain -> ``max_by(value, seq)`` per (type, id, field)
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crewgate.functions import exprs as X
 from crewgate.operators.sizing import present_keys
-from crewgate.schema import COMPANIES, COMPANY_FLAGS, WORKER_FLAGS, WORKERS, conform
+from crewgate.schema import COMPANIES, COMPANY_FLAGS, FLAG_FIELDS, WORKER_FLAGS, WORKERS, conform
 from crewgate.sources.changes import parse_changes
 
 # Reasons, in the order they are tested.
@@ -36,13 +38,14 @@ def _checked(changes: DataFrame, allowed_actors: list[str] | None) -> DataFrame:
     if "actor" not in p.columns:
         p = p.withColumn("actor", F.lit(None).cast("string"))
     value = X.flag_value("clicked")
-    known_field = ((F.col("type") == "worker") & F.col("field").isin(*WORKER_FLAGS)) | \
-                  ((F.col("type") == "company") & F.col("field").isin(*COMPANY_FLAGS))
+    known_field = reduce(lambda a, b: a | b,
+                         [(F.col("type") == t) & F.col("field").isin(*fs)
+                          for t, fs in FLAG_FIELDS.items()])
     reason = (F.when(~F.col("has_clicked"), F.lit(MISSING_CLICKED))
                .when(value.isNull(), F.lit(BAD_VALUE))
                .when(F.coalesce(F.col("type"), F.lit("")) == "", F.lit(MISSING_FIELDS))
                .when(F.col("id").isNull(), F.lit(MISSING_FIELDS))
-               .when(~F.col("type").isin("worker", "company"), F.lit(UNKNOWN_TYPE))
+               .when(~F.col("type").isin(*FLAG_FIELDS), F.lit(UNKNOWN_TYPE))
                .when(~F.coalesce(known_field, F.lit(False)), F.lit(UNKNOWN_FIELD)))
     if allowed_actors is not None:
         reason = reason.when((F.col("field") == RESTRICTED_FIELD)

@@ -15,12 +15,6 @@ from pyspark.sql import functions as F
 from crewgate.functions import exprs as X
 from crewgate.operators.sizing import restrict_to
 
-# Fixed value: listing columns of the worker list (13, as the staff page shows).
-WORKER_LIST_COLUMNS = (
-    "worker_id", "company_name", "given_name", "surname", "role_name", "note",
-    "expiry_text", "badge_number", "issued", "updated", "valid", "cancelled", "temporary")
-
-
 # J1 J2 J4 --------------------------------------------------------------------
 def roster(W: DataFrame, C: DataFrame, R: DataFrame | None = None) -> DataFrame:
     """Workers joined to their company (inner) and role (left outer)."""

@@ -25,7 +25,6 @@ WEEKLY_HEADERS = ("COMPANY", "GIVEN NAME", "SURNAME", "ROLE", "DOCUMENTS EXPIRY"
 EXPIRED_HEADERS = ("GIVEN NAME", "SURNAME", "COMPANY", "DOCUMENTS EXPIRY")
 WEEKLY_TITLE = "VALID BADGE LIST"
 SECTION_TITLES = {"temporary": "Temporary badges", "permanent": "Staff"}
-SECTIONS = ("temporary", "permanent")
 
 
 def _section_ord(c="section"):
@@ -112,18 +111,18 @@ def section_counts(rows: DataFrame, section_col: str = "section") -> DataFrame:
 
 # A4 -------------------------------------------------------------------------
 def text_widths(rows: DataFrame, columns: list[str], headers: list[str], pad: int,
-                cap: int | None = None, fixed: tuple = (), skip_empty: bool = False,
-                raw: tuple = ()) -> DataFrame:
+                cap: int | None = None, fixed: tuple = (), skip_empty: bool = False) -> DataFrame:
     """Display width per column in one pass: the longest text or the header,
     whichever is longer (text capped at ``cap``), plus ``pad``.  Columns whose
-    index is in ``fixed`` get exactly the header length.  ``raw`` columns are
-    measured on their plain string form (a date as yyyy-MM-dd)."""
+    index is in ``fixed`` get exactly the header length.  Values are measured
+    on their string form (a date as yyyy-MM-dd); ``skip_empty`` ignores
+    empty ones, otherwise NULL counts as ''."""
     aggs = []
     for i, c in enumerate(columns):
         text = F.col(c).cast("string")
         if skip_empty:
             text = F.nullif(text, F.lit(""))
-        elif i not in raw:
+        else:
             text = X.blank_if_null(text)
         aggs.append(F.max(F.length(text)).alias(f"w{i}"))
     longest = rows.agg(*aggs)
