@@ -163,6 +163,13 @@ def fold(c, collation: str | None = None) -> Column:
     return F.lower(_c(c)) if collation is None else F.collate(_c(c), collation)
 
 
+def sort_key(c, collation: str | None = None) -> Column:
+    """Sort key of a text column: the text itself (code-point order) by
+    default, or the text under ``collation`` (e.g. UNICODE_CI_AI: dictionary
+    order, case and accents ignored)."""
+    return _c(c) if collation is None else F.collate(_c(c), collation)
+
+
 # P19 ------------------------------------------------------------------------
 def name_key(c, collation: str | None = None) -> Column:
     """Lower case (or the collation's equality), every ASCII blank removed."""

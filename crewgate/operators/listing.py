@@ -34,9 +34,11 @@ def select_by_id(df: DataFrame, ids: DataFrame, key: str, ids_key: str = "id") -
 
 # R5 F2 F4 F5 F8 O2 P3 P4 -----------------------------------------------------
 def list_workers(W: DataFrame, C: DataFrame, R: DataFrame, company_id: int | None = None,
-                 surname: str | None = None, cancelled: bool | None = None) -> DataFrame:
+                 surname: str | None = None, cancelled: bool | None = None,
+                 collation: str | None = None) -> DataFrame:
     """Worker list with the page's three filters, in dispatch order
-    company > surname > cancelled; no filter gives an empty list."""
+    company > surname > cancelled; no filter gives an empty list.  Sorted by
+    surname (under ``collation`` when given)."""
     if company_id is not None:
         W = W.where(F.col("company_id") == F.lit(company_id))
     elif surname is not None:
@@ -60,7 +62,7 @@ def list_workers(W: DataFrame, C: DataFrame, R: DataFrame, company_id: int | Non
         X.is_set("badge_cancelled").alias("cancelled"),
         X.is_set("is_temporary").alias("temporary"),
     )
-    return out.orderBy(F.col("surname").asc(), F.col("worker_id").asc())
+    return out.orderBy(X.sort_key("surname", collation).asc(), F.col("worker_id").asc())
 
 
 # R6 F3 F11 O1 O7 -------------------------------------------------------------
@@ -81,16 +83,17 @@ def list_companies(C: DataFrame, name: str | None = None,
         X.blank_if_null("contact_phone").alias("contact_phone"),
         X.blank_if_null("note").alias("note"),
         X.is_set("is_sole_trader").alias("sole_trader"),
-    ).orderBy((F.col("company_name") if collation is None
-               else F.collate("company_name", collation)).asc(), F.col("company_id").asc())
+    ).orderBy(X.sort_key("company_name", collation).asc(), F.col("company_id").asc())
 
 
-def company_picker(C: DataFrame, contains: str | None = None) -> DataFrame:
-    """(id, name) pairs for a picker, optionally filtered by a contained text."""
+def company_picker(C: DataFrame, contains: str | None = None,
+                   collation: str | None = None) -> DataFrame:
+    """(id, name) pairs for a picker, optionally filtered by a contained text;
+    by name (under ``collation`` when given)."""
     if contains is not None:
         C = C.where(F.instr(F.lower("company_name"), contains.lower()) > 0)
     return C.select("company_id", "company_name") \
-            .orderBy(F.col("company_name").asc(), F.col("company_id").asc())
+            .orderBy(X.sort_key("company_name", collation).asc(), F.col("company_id").asc())
 
 
 # O3 -------------------------------------------------------------------------

@@ -37,22 +37,25 @@ def _cancel_ok(null_flag_as_zero: bool):
 
 
 # R1 -------------------------------------------------------------------------
-def full_roster(W: DataFrame, C: DataFrame, R: DataFrame) -> DataFrame:
-    """Every worker of a known company (cancelled badges included), with X marks."""
+def full_roster(W: DataFrame, C: DataFrame, R: DataFrame,
+                collation: str | None = None) -> DataFrame:
+    """Every worker of a known company (cancelled badges included), with X
+    marks; by company name (under ``collation`` when given)."""
     return roster(W, C, R).select(
         "worker_id", "company_name", "given_name", "surname",
         X.blank_if_null("role_name").alias("role_name"),
         X.display_date("expiry_date").alias("expiry_text"),
         X.x_mark("badge_issued").alias("issued_mark"),
         X.x_mark("badge_valid").alias("valid_mark"),
-    ).orderBy(F.col("company_name").asc(), F.col("worker_id").asc())
+    ).orderBy(X.sort_key("company_name", collation).asc(), F.col("worker_id").asc())
 
 
 # R2 F6 U1 O5 ----------------------------------------------------------------
 def weekly_valid(W: DataFrame, C: DataFrame, R: DataFrame,
-                 null_flag_as_zero: bool = False) -> DataFrame:
+                 null_flag_as_zero: bool = False, collation: str | None = None) -> DataFrame:
     """Valid, not cancelled badges in two sections, sorted case-insensitively
-    by company, surname, given name within each section."""
+    (or under ``collation``) by company, surname, given name within each
+    section."""
     rows = roster(W.where((F.col("badge_valid") == 1) & _cancel_ok(null_flag_as_zero)), C, R)
     return rows.select(
         "worker_id",
@@ -62,12 +65,12 @@ def weekly_valid(W: DataFrame, C: DataFrame, R: DataFrame,
         X.blank_if_null("role_name").alias("role_name"),
         X.display_date("expiry_date").alias("expiry_text"),
         X.section("is_temporary").alias("section"),
-    ).orderBy(*weekly_order())
+    ).orderBy(*weekly_order(collation))
 
 
-def weekly_order() -> list:
-    return [_section_ord(), F.lower("company_name"), F.lower("surname"),
-            F.lower("given_name"), F.col("worker_id")]
+def weekly_order(collation: str | None = None) -> list:
+    return [_section_ord(), X.fold("company_name", collation), X.fold("surname", collation),
+            X.fold("given_name", collation), F.col("worker_id")]
 
 
 # A2 A3 ----------------------------------------------------------------------
@@ -80,7 +83,7 @@ def roster_totals(rows: DataFrame) -> DataFrame:
 
 # R3 F7 O4 -------------------------------------------------------------------
 def expired(W: DataFrame, C: DataFrame, as_of: dt.date,
-            null_flag_as_zero: bool = False) -> DataFrame:
+            null_flag_as_zero: bool = False, collation: str | None = None) -> DataFrame:
     """Issued, valid, not cancelled badges whose documents expired on or
     before ``as_of``; temporary first, then by company, surname, given name."""
     due = W.where((F.col("expiry_date") <= F.lit(as_of)) & (F.col("badge_issued") == 1)
@@ -89,8 +92,9 @@ def expired(W: DataFrame, C: DataFrame, as_of: dt.date,
         "worker_id", "given_name", "surname", "company_name", "expiry_date", "is_temporary",
         X.section("is_temporary").alias("section"),
         X.display_date("expiry_date").alias("expiry_text"),
-    ).orderBy(F.col("is_temporary").desc(), F.col("company_name").asc(),
-              F.col("surname").asc(), F.col("given_name").asc(), F.col("worker_id").asc())
+    ).orderBy(F.col("is_temporary").desc(), X.sort_key("company_name", collation).asc(),
+              X.sort_key("surname", collation).asc(), X.sort_key("given_name", collation).asc(),
+              F.col("worker_id").asc())
 
 
 # A1 A3 A8 -------------------------------------------------------------------
@@ -157,7 +161,7 @@ def expired_widths(rows: DataFrame) -> DataFrame:
 
 
 # U3 K3 ----------------------------------------------------------------------
-def report_lines(rows: DataFrame, as_of: dt.date) -> DataFrame:
+def report_lines(rows: DataFrame, as_of: dt.date, collation: str | None = None) -> DataFrame:
     """The weekly report as numbered sheet lines.
 
     ``rows`` is ``weekly_valid`` output.  Line 0 is the title, 1 the header;
@@ -168,8 +172,8 @@ def report_lines(rows: DataFrame, as_of: dt.date) -> DataFrame:
     ordered = rows.select(
         "worker_id", "section", "company_name", "given_name", "surname", "role_name",
         "expiry_text", _section_ord().alias("_sord"),
-        F.lower("company_name").alias("_k1"), F.lower("surname").alias("_k2"),
-        F.lower("given_name").alias("_k3"))
+        X.fold("company_name", collation).alias("_k1"), X.fold("surname", collation).alias("_k2"),
+        X.fold("given_name", collation).alias("_k3"))
     positioned = assign_ids(ordered, ["_sord", "_k1", "_k2", "_k3", "worker_id"], 0, "_p")
     # one summary row (four counts) is all the driver sees
     t = _weekly_summary(rows).first().asDict()

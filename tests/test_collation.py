@@ -42,3 +42,24 @@ def test_duplicate_rules_follow_the_collation(spark):
     _, ci_ai = workers.add_workers(wc, W, C, collation=CI_AI)
     assert plain.first()["outcome"] == "accepted"
     assert ci_ai.first()["outcome"] == "duplicate"
+
+
+def test_sorts_follow_the_collation(spark):
+    import datetime as dt
+    from crewgate.operators import reports
+    from crewgate.schema import ROLES
+    C = spark.createDataFrame([company_row(1, "Zeta"), company_row(2, "eagle"),
+                               company_row(3, "Élan")], COMPANIES)
+    W = spark.createDataFrame([worker_row(i, "G", "S", i) for i in (1, 2, 3)], WORKERS)
+    R = spark.createDataFrame([], ROLES)
+    plain = [r["company_name"] for r in reports.full_roster(W, C, R).collect()]
+    ci_ai = [r["company_name"] for r in reports.full_roster(W, C, R, collation=CI_AI).collect()]
+    assert plain == ["Zeta", "eagle", "Élan"]
+    assert ci_ai == ["eagle", "Élan", "Zeta"]
+    assert [r["company_name"] for r in
+            reports.weekly_valid(W, C, R, collation=CI_AI).collect()] == ci_ai
+    lines = reports.report_lines(reports.weekly_valid(W, C, R, collation=CI_AI),
+                                 dt.date(2024, 1, 1), collation=CI_AI)
+    assert [r["c0"] for r in lines.where("kind = 'data'").orderBy("line_no").collect()] == ci_ai
+    assert [r["company_name"] for r in
+            listing.company_picker(C, collation=CI_AI).collect()] == ci_ai
