@@ -151,3 +151,15 @@ def test_recipient_lists(spark):
     assert [r["email"] for r in reports.recipients_for(rec, "expired", default="o@x.org")
             .collect()] == ["b@x.org"]
     assert tables.recipients_of(rec, "weekly").count() == 2
+
+
+def test_null_names_sort_first_and_blank_company_not_counted(spark):
+    W = spark.createDataFrame([
+        worker_row(1, "Bo", "Zed", 1), worker_row(2, None, None, 1),
+        worker_row(3, "Al", "Ray", 2)], WORKERS)
+    C = spark.createDataFrame([company_row(1, "Acme"), company_row(2, "")], COMPANIES)
+    R = spark.createDataFrame([], ROLES)
+    wk = reports.weekly_valid(W, C, R)
+    assert [r["worker_id"] for r in wk.collect()] == [3, 2, 1]
+    t = reports.roster_totals(wk).first()
+    assert (t["n_companies"], t["n_workers"]) == (1, 3)
