@@ -54,7 +54,7 @@ def main() -> None:
         W, C = V.workers(spark, sf_dir), V.companies(spark, sf_dir)
         root = scratch_path(spark, "bench-state")
         q = flag_stream.start_flag_stream(flag_stream.read_change_stream(spark, feed_dir),
-                                          W, C, root, f"{root}/_ckpt", Q.ALLOWED_ACTORS)
+                                          root, f"{root}/_ckpt", Q.ALLOWED_ACTORS)
         q.awaitTermination()
         new_w, _ = flags.apply_latest(flag_stream.latest_table(spark, root), W, C)
         run_noop(new_w)
@@ -91,9 +91,8 @@ def main() -> None:
     tiny = scratch_path(spark, "bench-tiny-feed")
     V.flag_change_records(spark, sf_dir).orderBy("seq").limit(10).write.json(tiny)
     tiny_root = scratch_path(spark, "bench-tiny-state")
-    flag_stream.start_flag_stream(
-        flag_stream.read_change_stream(spark, tiny), V.workers(spark, sf_dir),
-        V.companies(spark, sf_dir), tiny_root, f"{tiny_root}/_ckpt").awaitTermination()
+    flag_stream.start_flag_stream(flag_stream.read_change_stream(spark, tiny), tiny_root,
+                                  f"{tiny_root}/_ckpt").awaitTermination()
     first, warm = {}, {}
     for name, fn in plan.items():
         spark.sparkContext.setJobGroup(name, name)

@@ -32,7 +32,7 @@ APPLIED = "applied"
 RESTRICTED_FIELD = "badge_issued"
 
 
-def _checked(changes: DataFrame, allowed_actors: list[str] | None) -> DataFrame:
+def checked_changes(changes: DataFrame, allowed_actors: list[str] | None = None) -> DataFrame:
     """Parsed changes with every reason except "not found" (NULL = passes)."""
     p = parse_changes(changes, "change") if "change" in changes.columns else changes
     if "actor" not in p.columns:
@@ -58,16 +58,11 @@ def _checked(changes: DataFrame, allowed_actors: list[str] | None) -> DataFrame:
 def change_outcomes(changes: DataFrame, W: DataFrame, C: DataFrame,
                     allowed_actors: list[str] | None = None) -> DataFrame:
     """One row per change: seq, actor, type, id, field, value, reason."""
-    p = _checked(changes, allowed_actors)
+    p = checked_changes(changes, allowed_actors)
     entities = (W.select(F.lit("worker").alias("type"), F.col("worker_id").alias("id"))
                 .unionByName(C.select(F.lit("company").alias("type"),
                                       F.col("company_id").alias("id"))))
-    if p.isStreaming:
-        # stream-static join: ids are unique per type, the static side is
-        # re-read per micro-batch and no action may run on the stream here
-        targets = entities.withColumn("_found", F.lit(True))
-    else:
-        targets = present_keys(entities, p, ["type", "id"]).withColumn("_found", F.lit(True))
+    targets = present_keys(entities, p, ["type", "id"]).withColumn("_found", F.lit(True))
     p = p.join(targets, ["type", "id"], "left")
     reason = F.coalesce(F.col("reason"),
                         F.when(F.col("_found").isNull(), F.lit(NOT_FOUND)),
@@ -103,7 +98,7 @@ def apply_flag_changes(changes: DataFrame, W: DataFrame, C: DataFrame,
     joins no row and shares its (type, id, field) key with no change to an
     existing one.  ``with_outcomes=False`` skips building the outcomes.
     """
-    checked = _checked(changes, allowed_actors)
+    checked = checked_changes(changes, allowed_actors)
     latest = latest_values(checked.withColumn(
         "reason", F.coalesce(F.col("reason"), F.lit(APPLIED))))
     outcomes = change_outcomes(changes, W, C, allowed_actors) if with_outcomes else None

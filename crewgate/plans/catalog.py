@@ -336,7 +336,7 @@ def stream_flag_changes(spark, sf):
     feed = scratch_path(spark, "flag-feed")
     V.write_change_files(spark, sf, feed)
     root = scratch_path(spark, "flag-state")
-    q = flag_stream.start_flag_stream(flag_stream.read_change_stream(spark, feed), W, C, root,
+    q = flag_stream.start_flag_stream(flag_stream.read_change_stream(spark, feed), root,
                                       f"{root}/_checkpoint", ALLOWED_ACTORS)
     q.awaitTermination()
     new_w, _ = flags.apply_latest(flag_stream.latest_table(spark, root), W, C)

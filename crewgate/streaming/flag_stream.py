@@ -1,10 +1,12 @@
 """Flag changes as a continuous feed.
 
 Same rules as the batch operator (``operators.flags``): records are parsed
-and checked against the current snapshot (a stream-static join), and the
-state keeps one value per (type, id, field) — ``max_by(value, seq)`` — so a
-record arriving late cannot overwrite a newer one and no watermark is needed
-(the state is bounded by the number of entity fields, not by time).
+and checked (value, type, field, actor), and the state keeps one value per
+(type, id, field) — ``max_by(value, seq)`` — so a record arriving late cannot
+overwrite a newer one and no watermark is needed (the state is bounded by
+the number of entity fields, not by time).  There is no per-batch join with
+the worker table: a change aimed at a missing id only leaves a state row
+that joins no entity when the snapshot is built.
 
 Each micro-batch appends its updated keys (with their seq) as one new part
 of a ``flag_latest`` table, as version ``batch_id``: the sink writes only
@@ -45,12 +47,13 @@ def _append_batch(root: str):
     return append
 
 
-def start_flag_stream(changes: DataFrame, W: DataFrame, C: DataFrame, root: str,
-                      checkpoint: str, allowed_actors: list[str] | None = None,
+def start_flag_stream(changes: DataFrame, root: str, checkpoint: str,
+                      allowed_actors: list[str] | None = None,
                       available_now: bool = True) -> StreamingQuery:
-    """Start the feed; ``root`` holds the ``flag_latest`` table."""
-    checked = flags.change_outcomes(changes, W, C, allowed_actors)
-    state = (checked.where(F.col("reason") == flags.APPLIED)
+    """Start the feed; ``root`` holds the ``flag_latest`` table, which
+    ``flags.apply_latest(latest_table(...), W, C)`` applies to a snapshot."""
+    checked = flags.checked_changes(changes, allowed_actors)
+    state = (checked.where(F.col("reason").isNull())
                     .groupBy(*KEY)
                     .agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq")))
     writer = (state.writeStream.outputMode("update")

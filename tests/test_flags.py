@@ -80,7 +80,7 @@ def test_stream_equals_batch(spark, scratch):
             for seq, actor, change in part:
                 fh.write(json.dumps({"seq": seq, "actor": actor, "change": change}) + "\n")
     root = os.path.join(scratch, "state")
-    q = flag_stream.start_flag_stream(flag_stream.read_change_stream(spark, feed), W, C, root,
+    q = flag_stream.start_flag_stream(flag_stream.read_change_stream(spark, feed), root,
                                       os.path.join(root, "_ckpt"), ["boss"])
     q.awaitTermination()
     assert q.lastProgress is not None
@@ -100,7 +100,7 @@ def test_stream_parts_and_compaction(spark, scratch):
             for seq, actor, change in part:
                 fh.write(json.dumps({"seq": seq, "actor": actor, "change": change}) + "\n")
     root = os.path.join(scratch, "state")
-    q = flag_stream.start_flag_stream(flag_stream.read_change_stream(spark, feed), W, C, root,
+    q = flag_stream.start_flag_stream(flag_stream.read_change_stream(spark, feed), root,
                                       os.path.join(root, "_ckpt"), ["boss"])
     q.awaitTermination()
     from crewgate.sources import tables
@@ -121,7 +121,7 @@ def test_stream_with_processing_time_trigger(spark, scratch):
         for seq, actor, change in RECORDS:
             fh.write(json.dumps({"seq": seq, "actor": actor, "change": change}) + "\n")
     root = os.path.join(scratch, "state")
-    q = flag_stream.start_flag_stream(flag_stream.read_change_stream(spark, feed), W, C, root,
+    q = flag_stream.start_flag_stream(flag_stream.read_change_stream(spark, feed), root,
                                       os.path.join(root, "_ckpt"), ["boss"],
                                       available_now=False)
     try:
