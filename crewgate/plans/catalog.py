@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crewgate.functions import exprs as X
-from crewgate.operators import companies, flags, keys, listing, load, quality, reports, upsert, \
-    workers
+from crewgate.operators import companies, flags, greedy, keys, listing, load, quality, reports, \
+    upsert, workers
 from crewgate.schema import COMPANIES
 from crewgate.session import scratch_path
 from crewgate.sources import roster_csv
@@ -369,3 +369,17 @@ def weekly_digest(spark, sf):
 def weekly_recipients(spark, sf):
     """The weekly list's addresses, stripped, blanks dropped."""
     return reports.recipients_for(V.recipients(spark, sf), "weekly", drop_blank=True)
+
+
+@register
+def companies_first_come(spark, sf):
+    """Stored companies taken in id order under the first-come
+    rule (no earlier kept company with the same name or VAT key); kept flag."""
+    C = V.companies(spark, sf)
+    keyed = C.select(F.col("company_id").alias("seq"),
+                     X.name_key("company_name").alias("_nk"),
+                     X.stored_vat_key("vat_number").alias("_vk"))
+    kept = greedy.first_by_keys(keyed, ["_nk", "_vk"], "seq").select(
+        F.col("seq").alias("company_id"), F.lit(True).alias("kept"))
+    return C.select("company_id").join(kept, "company_id", "left").select(
+        "company_id", F.coalesce(F.col("kept"), F.lit(False)).alias("kept"))

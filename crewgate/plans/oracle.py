@@ -629,3 +629,26 @@ ORACLE_SQL["bulk_load_outcomes"] = "WITH lr AS (" + LOADED_ROWS + ")" + """
          'loaded' AS outcome,
          CASE WHEN k % 19 <> 0 AND k % 6 IN (3, 4) THEN 'unreadable_date' END AS warning
   FROM lr"""
+
+
+# The first-come rule over the stored companies, one company at a time.
+ORACLE_SQL["companies_first_come"] = _recursive(with_views("companies", extra={
+    "p": """
+  SELECT company_id AS seq, replace(lower(company_name), ' ', '') AS nk,
+         nullif(trim(vat_number), '') AS vk,
+         row_number() OVER (ORDER BY company_id) AS rn FROM companies""",
+    "g": """
+  SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS names,
+         CAST([] AS VARCHAR[]) AS vats, CAST([] AS BIGINT[]) AS acc
+  UNION ALL
+  SELECT q.rn,
+         CASE WHEN q.ok AND q.nk IS NOT NULL THEN list_append(q.names, q.nk) ELSE q.names END,
+         CASE WHEN q.ok AND q.vk IS NOT NULL THEN list_append(q.vats, q.vk) ELSE q.vats END,
+         CASE WHEN q.ok THEN list_append(q.acc, q.seq) ELSE q.acc END
+  FROM (SELECT p.rn, p.nk, p.vk, p.seq, g.names, g.vats, g.acc,
+               (p.nk IS NULL OR NOT list_contains(g.names, p.nk))
+               AND (p.vk IS NULL OR NOT list_contains(g.vats, p.vk)) AS ok
+        FROM g JOIN p ON p.rn = g.rn + 1) q""",
+    "a": "SELECT unnest(acc) AS seq FROM g WHERE rn = (SELECT max(rn) FROM g)"})) + """
+  SELECT c.company_id, a.seq IS NOT NULL AS kept
+  FROM companies c LEFT JOIN a ON c.company_id = a.seq"""
