@@ -1,5 +1,7 @@
 """Empty inputs and fully rejected batches."""
 
+import datetime as dt
+
 from crewgate.operators import companies, greedy, keys, reports, workers
 from crewgate.schema import COMPANIES, ROLES, WORKERS
 from fixtures import company_row, worker_row
@@ -17,7 +19,7 @@ def test_empty_inputs(spark):
     W = spark.createDataFrame([], WORKERS)
     R = spark.createDataFrame([], ROLES)
     assert reports.weekly_valid(W, C, R).count() == 0
-    lines = reports.report_lines(reports.weekly_valid(W, C, R), __import__("datetime").date(2024, 1, 1))
+    lines = reports.report_lines(reports.weekly_valid(W, C, R), dt.date(2024, 1, 1))
     assert [r["kind"] for r in lines.orderBy("line_no").collect()] == \
         ["title", "header", "total", "total"]
 
