@@ -126,3 +126,10 @@ def append_rows(df: DataFrame, root: str, name: str,
 def recipients_of(recipients: DataFrame, list_name: str) -> DataFrame:
     """The e-mail rows of one mailing list."""
     return recipients.where(F.col("list_name") == F.lit(list_name)).select("email")
+
+
+def compact_table(spark: SparkSession, root: str, name: str,
+                  sort_within: list[str] | None = None) -> int:
+    """Rewrite the current version (however many appended parts) as one new
+    part; older versions stay readable."""
+    return write_snapshot(read_table(spark, root, name), root, name, sort_within=sort_within)

@@ -32,3 +32,15 @@ def test_append_does_not_rewrite(spark, scratch):
                           "companies")
     assert [r[0] for r in tables.read_table(spark, root, "companies").collect()] == [3]
     assert tables.read_table(spark, root, "companies", 1).count() == 2
+
+
+def test_compaction_keeps_rows(spark, scratch):
+    root = os.path.join(scratch, "db")
+    for i in range(3):
+        tables.append_rows(spark.createDataFrame([company_row(i, f"C{i}")], COMPANIES), root,
+                           "companies")
+    v = tables.current_version(spark, root, "companies")
+    assert len(tables.parts_of(spark, root, "companies", v)) == 3
+    v2 = tables.compact_table(spark, root, "companies", sort_within=["company_id"])
+    assert len(tables.parts_of(spark, root, "companies", v2)) == 1
+    assert sorted(r[0] for r in tables.read_table(spark, root, "companies").collect()) == [0, 1, 2]

@@ -20,7 +20,7 @@ FUNCS = {
     "S3": "roster_csv.read_roster_csv", "S4": "tables.recipients_of reports.recipients_for",
     "S5": "changes.parse_changes changes.read_change_files",
     "K1": "tables.append_rows", "K2": "roster_csv.write_clean_csv",
-    "K3": "reports.report_lines reports.write_lines", "K4": "tables.write_snapshot",
+    "K3": "reports.report_lines reports.write_lines", "K4": "tables.write_snapshot tables.compact_table",
     "P1": "listing.list_workers reports.full_roster", "P2": "exprs.x_mark", "P3": "exprs.is_set",
     "P4": "exprs.blank_if_null", "P5": "exprs.detail_defaults", "P6": "exprs.display_date",
     "P7": "exprs.as_of_stamp reports.digest", "P8": "exprs.strip_ws",
