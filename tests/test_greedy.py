@@ -52,3 +52,21 @@ def test_hot_key_and_long_chain(spark):
     rows += [(i, f"c{i // 2}", f"w{(i + 1) // 2}") for i in range(1, 300, 3)]
     rows += [(i, None, f"v{i - 2}") for i in range(2, 300, 3)]
     assert run(spark, rows) == brute(rows)
+
+
+def test_property_against_brute_force(spark):
+    from hypothesis import given, settings, HealthCheck
+    from hypothesis import strategies as st
+
+    keys = st.one_of(st.none(), st.sampled_from(["k1", "k2", "k3", "k4"]))
+    batch = st.lists(st.tuples(keys, keys), min_size=0, max_size=25)
+
+    @settings(max_examples=12, deadline=None,
+              suppress_health_check=[HealthCheck.function_scoped_fixture])
+    @given(batch, st.randoms(use_true_random=False))
+    def check(pairs, rnd):
+        seqs = rnd.sample(range(1000), len(pairs))
+        rows = [(s, a, b) for s, (a, b) in zip(seqs, pairs)]
+        assert run(spark, rows) == brute(rows)
+
+    check()
