@@ -175,8 +175,9 @@ def report_lines(rows: DataFrame, as_of: dt.date, collation: str | None = None)
         X.fold("company_name", collation).alias("_k1"), X.fold("surname", collation).alias("_k2"),
         X.fold("given_name", collation).alias("_k3"))
     positioned = assign_ids(ordered, ["_sord", "_k1", "_k2", "_k3", "worker_id"], 0, "_p")
-    # one summary row (four counts) is all the driver sees
-    t = _weekly_summary(rows).first().asDict()
+    # one summary row (four counts) is all the driver sees; it is counted
+    # from the checkpointed positions, not by re-running the report's joins
+    t = _weekly_summary(positioned).first().asDict()
     shift = 1 if t["n_temporary"] > 0 else 0
     data = positioned.select(
         (F.lit(3) + F.col("_p") + F.when(F.col("section") == "permanent", F.lit(shift))
