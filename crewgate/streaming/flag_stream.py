@@ -47,16 +47,21 @@ def _append_batch(root: str):
     return append
 
 
+def flag_state(changes: DataFrame, allowed_actors: list[str] | None = None) -> DataFrame:
+    """The stateful part of the feed: last valid value and seq per
+    (type, id, field).  No join: nothing here reads the entity tables."""
+    checked = flags.checked_changes(changes, allowed_actors)
+    return (checked.where(F.col("reason").isNull())
+                   .groupBy(*KEY)
+                   .agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq")))
+
+
 def start_flag_stream(changes: DataFrame, root: str, checkpoint: str,
                       allowed_actors: list[str] | None = None,
                       available_now: bool = True) -> StreamingQuery:
     """Start the feed; ``root`` holds the ``flag_latest`` table, which
     ``flags.apply_latest(latest_table(...), W, C)`` applies to a snapshot."""
-    checked = flags.checked_changes(changes, allowed_actors)
-    state = (checked.where(F.col("reason").isNull())
-                    .groupBy(*KEY)
-                    .agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq")))
-    writer = (state.writeStream.outputMode("update")
+    writer = (flag_state(changes, allowed_actors).writeStream.outputMode("update")
                    .option("checkpointLocation", checkpoint)
                    .foreachBatch(_append_batch(root)))
     writer = writer.trigger(availableNow=True) if available_now \
