@@ -15,6 +15,7 @@ from crewgate.operators import quality
 from crewgate.operators.greedy import first_by_keys
 from crewgate.operators.keys import assign_ids_after
 from crewgate.schema import COMPANIES, conform
+from crewgate.session import ensure_checkpoint_dir
 
 # Outcome codes of company requests.
 ACCEPTED, EXISTS, DUPLICATE, NOT_FOUND, APPLIED = (
@@ -38,13 +39,17 @@ def add_companies(cand: DataFrame, C: DataFrame,
     """
     cand = cand.select("seq", *[X.blank_if_null(c).alias(c) for c in TEXT_FIELDS])
     fresh = quality.new_companies(cand, C, collation)
-    keyed = quality.with_candidate_keys(fresh, collation)
+    # the requests not stored yet feed the in-batch rule and the outcomes:
+    # checked against the stored keys once, kept in the checkpoint folder
+    ensure_checkpoint_dir(cand.sparkSession)
+    keyed = quality.with_candidate_keys(fresh, collation).select(
+        "seq", "_nk", "_vk").checkpoint(eager=True)
     winners = first_by_keys(keyed, ["_nk", "_vk"], "seq").select("seq")
     accepted = assign_ids_after(cand.join(winners, "seq", "left_semi"), C, "company_id",
                                 ["seq"], "company_id")
     new_rows = conform(accepted.withColumn("is_sole_trader", F.lit(0)), COMPANIES)
     outcomes = (cand.select("seq")
-                .join(fresh.select("seq", F.lit(True).alias("_fresh")), "seq", "left")
+                .join(keyed.select("seq", F.lit(True).alias("_fresh")), "seq", "left")
                 .join(accepted.select("seq", "company_id"), "seq", "left")
                 .select("seq",
                         F.when(F.col("company_id").isNotNull(), F.lit(ACCEPTED))
