@@ -217,11 +217,16 @@ def _weekly_summary(rows: DataFrame) -> DataFrame:
                     F.count(F.lit(1)).alias("n_workers"))
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
+def write_lines(lines: DataFrame, path: str, by_section: bool = False) -> None:
     """K3: write report lines as ';' CSV, range-partitioned by line number so
-    that file order is line order (no single-file coalesce)."""
-    (lines.repartitionByRange("line_no").sortWithinPartitions("line_no")
-          .write.mode("error").option("sep", ";").option("header", "true").csv(path))
+    that file order is line order (no single-file coalesce).  With
+    ``by_section`` each section's lines go to their own ``section=...``
+    folder (title, header and totals under ``section=__HIVE_DEFAULT_PARTITION__``)."""
+    ordered = lines.repartitionByRange("line_no").sortWithinPartitions("line_no")
+    writer = ordered.write.mode("error").option("sep", ";").option("header", "true")
+    if by_section:
+        writer = writer.partitionBy("section")
+    writer.csv(path)
 
 
 # A6 A7 F10 ------------------------------------------------------------------

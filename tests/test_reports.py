@@ -163,3 +163,18 @@ def test_null_names_sort_first_and_blank_company_not_counted(spark):
     assert [r["worker_id"] for r in wk.collect()] == [3, 2, 1]
     t = reports.roster_totals(wk).first()
     assert (t["n_companies"], t["n_workers"]) == (1, 3)
+
+
+def test_write_lines_by_section_and_stamps(spark, scratch):
+    import glob
+    import os
+    from crewgate.functions import exprs as X
+    W, C, R = small_roster(spark)
+    lines = reports.report_lines(reports.weekly_valid(W, C, R), AS_OF)
+    out = os.path.join(scratch, "by_section")
+    reports.write_lines(lines, out, by_section=True)
+    folders = sorted(os.path.basename(p) for p in glob.glob(os.path.join(out, "section=*")))
+    assert "section=permanent" in folders and "section=temporary" in folders
+    df = spark.range(1)
+    got = df.select(*[X.as_of_stamp(AS_OF, s).alias(s) for s in ("dash", "slash", "file")]).first()
+    assert (got["dash"], got["slash"], got["file"]) == ("30-06-2024", "30/06/2024", "30_06_2024")
