@@ -34,11 +34,13 @@ from pyspark.sql import functions as F
 from crewgate.session import ensure_checkpoint_dir
 
 
-def first_by_keys(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+def first_by_keys(df: DataFrame, keys: list[str], order: str,
+                  stats: dict | None = None) -> DataFrame:
     """Rows of ``df`` (order, *keys) accepted by the sequential rule.
 
     ``order`` must be unique; NULL key values never conflict.  Returns the
-    accepted rows with the same columns.
+    accepted rows with the same columns.  ``stats``, when given, receives
+    the number of rounds run.
     """
     ensure_checkpoint_dir(df.sparkSession)
     cols = [order, *keys]
@@ -59,6 +61,8 @@ def first_by_keys(df: DataFrame, keys: list[str], order: str) -> DataFrame:
         for k in keys:
             left = left.join(won.select(k).where(F.col(k).isNotNull()), k, "left_anti")
         remaining = left.select(*cols).checkpoint(eager=True)
+    if stats is not None:
+        stats["rounds"] = len(rounds)
     if not rounds:
         return remaining
     return reduce(DataFrame.unionByName, rounds)
