@@ -107,3 +107,23 @@ def test_too_long_rows_are_not_loaded(spark, scratch):
     assert [r["company_name"] for r in new_c.collect()] == ["Acme"]
     assert [r["given_name"] for r in new_w.collect()] == ["Ann"]
     assert sorted(r["outcome"] for r in out.collect()) == ["loaded", "too_long", "too_long"]
+
+
+def test_split_files_drop_headers_only_at_start(spark, scratch):
+    d = os.path.join(scratch, "split")
+    os.makedirs(d)
+    for name in ("a.csv", "b.csv"):
+        with open(os.path.join(d, name), "w", encoding="utf-8") as fh:
+            fh.write("Company;Name;Surname;Note;Expiry;Issued;Valid\nsecond header;;;;;;\n")
+            for i in range(4000):
+                fh.write(f"Firm {i % 7};G{i};S{i};note {i};01/02/2024;X;\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        raw = roster_csv.read_roster_csv(spark, d, multi_line=False)
+        assert raw.select("file", "block").distinct().count() > 4  # files really split
+        rows = raw.select("f1").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    names = sorted(r["f1"] for r in rows)
+    assert len(names) == 8000 and names == sorted([f"G{i}" for i in range(4000)] * 2)
