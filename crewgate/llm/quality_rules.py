@@ -31,7 +31,8 @@ from crewgate.llm.labelled import labelled_sample
 
 BITS = 16                 # 65,536 hashed features, 256 KB of weights
 MAX_ROWS = 8192           # bound of the labelled sample
-TASKS, ROUNDS, EPOCHS = 6, 4, 3
+TASKS, ROUNDS, EPOCHS = 6, 4, 2
+RATE, RIDGE = 0.05, 1e-4
 KEEP_FROM = 0.5           # fixed threshold on the calibrated probability
 SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
           "n_repeat_words long, base_failed boolean, quality double, kept boolean")
@@ -122,11 +123,11 @@ def trainer(weights, bias, epochs):
             for k in rng.permutation(len(rows)):
                 y, i, v = rows[k]
                 g = sigmoid(b + float(v @ w[i])) - (y > 0)
-                d = g * v + 1e-5 * w[i]
-                np.add.at(seen, i, d * d)
-                np.add.at(w, i, -0.5 * d / np.sqrt(seen[i]))
+                d = g * v + RIDGE * w[i]       # the indices of one row are distinct per
+                np.add.at(seen, i, d * d)      # family, not across families
+                np.add.at(w, i, -RATE * d / np.sqrt(seen[i]))
                 seen_b += g * g
-                b -= 0.5 * g / seen_b ** 0.5
+                b -= RATE * g / seen_b ** 0.5
         yield pa.RecordBatch.from_pydict({
             "n": pa.array([len(rows)], pa.int64()), "bias": pa.array([b], pa.float64()),
             "weights": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
@@ -134,17 +135,18 @@ def trainer(weights, bias, epochs):
 
 
 def platt(z, y, steps: int = 50):
-    """(a, b) of P = sigmoid(a z + b), with Platt's smoothed targets."""
+    """(a, b) of P = sigmoid(a z + b), with Platt's smoothed targets; damped Newton."""
     n1, n0 = int((y > 0).sum()), int((y <= 0).sum())
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x = np.stack([z, np.ones_like(z)], axis=1)
-    ab = np.array([1.0, 0.0])
+    scale = max(float(np.abs(z).mean()), 1e-9)
+    x = np.stack([z / scale, np.ones_like(z)], axis=1)
+    ab = np.array([0.0, np.log((n1 + 1) / (n0 + 1))])
     for _ in range(steps):
         p = sigmoid(x @ ab)
-        grad = x.T @ (p - t) + 1e-3 * (ab - [1.0, 0.0])
         hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        ab = ab - np.linalg.solve(hess, grad)
-    return float(max(ab[0], 1e-3)), float(ab[1])
+        step = np.linalg.solve(hess, x.T @ (p - t) + 1e-3 * ab * [1.0, 0.0])
+        ab = ab - step / max(1.0, float(np.abs(step).max()))
+    return float(max(ab[0] / scale, 1e-6)), float(ab[1])
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict | None:
