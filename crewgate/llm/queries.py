@@ -2,20 +2,42 @@
 
 from __future__ import annotations
 
-from crewgate.llm import gam, quality_rules
+import public_tokenizers
+
+from crewgate.llm import gam, near_dedup, packing, quality_rules, token_counts
 from crewgate.llm.common import table
 
 
+def op1_best_fit_packing(spark, sf_dir):
+    """Operator 1 over all documents: pieces in sequences of at most 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"),
+                        public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op2_token_counts(spark, sf_dir):
+    """Operator 2 over all documents: length histogram with suffix sums."""
+    return token_counts.suffix_sums(token_counts.histogram(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN))
+
+
 def op3_quality_rules(spark, sf_dir):
     """Operator 3 over all documents: counts, base verdict, calibrated verdict."""
     docs = table(spark, sf_dir, "documents")
     return quality_rules.score(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_minhash_near_dedup(spark, sf_dir):
+    """Operator 9 over all documents: the near-duplicate class of every one."""
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op10_quality_classifier(spark, sf_dir):
     """Operator 10 over all documents: GA2M score and prediction."""
     docs = table(spark, sf_dir, "documents")
     return gam.score(docs, gam.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (
+    op1_best_fit_packing, op2_token_counts, op3_quality_rules, op9_minhash_near_dedup,
+    op10_quality_classifier)}
