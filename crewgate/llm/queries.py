@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from crewgate.llm import gam, near_dedup, packing, quality_rules, token_counts
+from crewgate.llm import chat, gam, near_dedup, packing, quality_rules, sharding, token_counts
 from crewgate.llm.common import table
 
 
@@ -27,6 +27,20 @@ def op3_quality_rules(spark, sf_dir):
     return quality_rules.score(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_chat_formatting(spark, sf_dir):
+    """Operator 6 over all conversations and conversation -1 (control strings as text)."""
+    said = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{said}'), "
+                      f"(-1L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_conversations(rows.unionByName(extra)))
+
+
+def op8_sharding(spark, sf_dir):
+    """Operator 8 over all documents: 24 shards of near-equal bytes."""
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark, sf_dir):
     """Operator 9 over all documents: the near-duplicate class of every one."""
     return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
@@ -39,5 +53,5 @@ def op10_quality_classifier(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_token_counts, op3_quality_rules, op9_minhash_near_dedup,
-    op10_quality_classifier)}
+    op1_best_fit_packing, op2_token_counts, op3_quality_rules, op6_chat_formatting,
+    op8_sharding, op9_minhash_near_dedup, op10_quality_classifier)}

@@ -31,7 +31,7 @@ def lengths(documents: DataFrame, path: str, pattern: str) -> DataFrame:
 
         enc = tokens.encoder(tokens.rank_file(path), pattern)
         for batch in batches:
-            n = [len(enc.encode_ordinary(t.as_py() or "")) for t in batch.column("text")]
+            n = [len(tokens.encode(enc, t.as_py() or "")) for t in batch.column("text")]
             yield pa.RecordBatch.from_pydict({"length": pa.array(n, pa.int64())})
     return documents.select("text").mapInArrow(run, "length long")
 

@@ -51,6 +51,21 @@ def encoder(ranks: dict, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+LONG = 500_000      # beyond it one run of white space could exhaust the splitter's stack
+
+
+def encode(enc, text: str) -> list[int]:
+    """Ids of a text of any length; a long one is split outside the library."""
+    if len(text) <= LONG:
+        return enc.encode_ordinary(text)
+    import regex
+
+    out = []
+    for piece in regex.finditer(enc._pat_str, text):
+        out += enc._encode_single_piece(piece.group())
+    return out
+
+
 def ids_of(enc, text: str):
     """Ids as little-endian unsigned 32-bit integers."""
-    return np.array(enc.encode_ordinary(text), dtype="<u4")
+    return np.array(encode(enc, text), dtype="<u4")
