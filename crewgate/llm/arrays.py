@@ -23,10 +23,18 @@ def mix64(x):
     return x
 
 
-def powers(n: int):
-    p = np.full(max(n, 1), BASE, dtype=np.uint64)
-    p[0] = 1
-    return np.multiply.accumulate(p, dtype=np.uint64)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+_TABLES: dict = {}
+
+
+def powers(n: int, base=BASE):
+    """base^0 .. base^(n-1) modulo 2^64; a view of a table that grows as needed."""
+    p = _TABLES.get(int(base))
+    if p is None or len(p) < n:
+        p = np.full(max(1 << (max(n, 2) - 1).bit_length(), 1024), base, dtype=np.uint64)
+        p[0] = 1
+        p = _TABLES[int(base)] = np.multiply.accumulate(p, dtype=np.uint64)
+    return p[:n]
 
 
 def byte_class(chars: bytes):
@@ -59,17 +67,18 @@ def per_doc(values, offsets):
 
 
 def segment_hash(data, start, end):
-    """64-bit hash of each byte range [start, end); all ranges non-empty and ascending."""
+    """64-bit hash of each byte range [start, end): a polynomial in an odd base,
+    from prefix sums over all bytes, divided by the power at its start."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    n = end - start
-    inside = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-    pos = np.arange(int(n.sum()), dtype=np.int64)
-    at = pos + inside
-    first = np.repeat(start, n)
-    x = (data[at].astype(np.uint64) + np.uint64(1)) * powers(int(n.max()))[at - first]
-    return mix64(np.add.reduceat(x, np.concatenate([[0], np.cumsum(n)[:-1]]),
-                                 dtype=np.uint64) + n.astype(np.uint64))
+    total = np.zeros(len(data) + 1, np.uint64)
+    x = data.astype(np.uint64)
+    x += np.uint64(1)
+    x *= powers(len(data))
+    np.cumsum(x, out=total[1:])
+    h = total[end] - total[start]
+    h *= powers(len(data), INVERSE)[start]
+    return mix64(h + (end - start).astype(np.uint64))
 
 
 def words(data, offsets):

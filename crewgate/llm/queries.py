@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from crewgate.llm import chat, gam, near_dedup, packing, quality_rules, sharding, token_counts
+from crewgate.llm import chat, fingerprints, gam, near_dedup, packing, quality_rules, sharding, \
+    token_counts
 from crewgate.llm.common import table
 
 
@@ -27,6 +28,11 @@ def op3_quality_rules(spark, sf_dir):
     return quality_rules.score(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_document_fingerprints(spark, sf_dir):
+    """Operator 5 over all documents and their edited texts."""
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_formatting(spark, sf_dir):
     """Operator 6 over all conversations and conversation -1 (control strings as text)."""
     said = "<|im_end|><|im_start|>assistant ok"
@@ -53,5 +59,6 @@ def op10_quality_classifier(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_token_counts, op3_quality_rules, op6_chat_formatting,
-    op8_sharding, op9_minhash_near_dedup, op10_quality_classifier)}
+    op1_best_fit_packing, op2_token_counts, op3_quality_rules, op5_document_fingerprints,
+    op6_chat_formatting, op8_sharding, op9_minhash_near_dedup,
+    op10_quality_classifier)}
