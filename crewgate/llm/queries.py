@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from crewgate.llm import chat, fingerprints, gam, near_dedup, packing, quality_rules, sharding, \
+from crewgate.llm import bpe, chat, fingerprints, gam, near_dedup, packing, quality_rules, sharding, \
     token_counts
 from crewgate.llm.common import table
 
@@ -28,6 +28,13 @@ def op3_quality_rules(spark, sf_dir):
     return quality_rules.score(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_byte_bpe(spark, sf_dir):
+    """Operator 4 over all documents: ids and the bytes decoded from them, as digests."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"),
+                          public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                          public_tokenizers.PATTERN)
+
+
 def op5_document_fingerprints(spark, sf_dir):
     """Operator 5 over all documents and their edited texts."""
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
@@ -59,6 +66,6 @@ def op10_quality_classifier(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_token_counts, op3_quality_rules, op5_document_fingerprints,
+    op1_best_fit_packing, op2_token_counts, op3_quality_rules, op4_byte_bpe, op5_document_fingerprints,
     op6_chat_formatting, op8_sharding, op9_minhash_near_dedup,
     op10_quality_classifier)}
