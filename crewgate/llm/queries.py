@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from crewgate.llm import bpe, chat, fingerprints, gam, near_dedup, packing, quality_rules, sharding, \
-    token_counts
+from crewgate.llm import bpe, chat, fingerprints, gam, hmm, near_dedup, packing, quality_rules, \
+    sharding, token_counts
 from crewgate.llm.common import table
 
 
@@ -49,6 +49,11 @@ def op6_chat_formatting(spark, sf_dir):
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op7_lm_scoring(spark, sf_dir):
+    """Operator 7 over all documents: hidden Markov model and base score."""
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark, sf_dir):
     """Operator 8 over all documents: 24 shards of near-equal bytes."""
     return sharding.shard(table(spark, sf_dir, "documents"))
@@ -67,5 +72,5 @@ def op10_quality_classifier(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_token_counts, op3_quality_rules, op4_byte_bpe, op5_document_fingerprints,
-    op6_chat_formatting, op8_sharding, op9_minhash_near_dedup,
+    op6_chat_formatting, op7_lm_scoring, op8_sharding, op9_minhash_near_dedup,
     op10_quality_classifier)}
