@@ -12,10 +12,12 @@ quarter of its code points replaced by the first as many (or all) of the next
 document.  The parse of the edited text goes on from the phrases of the part
 that both share, so no text is parsed twice.
 
-Scale.  Texts move once, range-partitioned by doc id and sorted, so nearly every
-document meets its successor in its own task.  The last document of a
-partition needs the first of the next one that has rows: these two rows per
-partition are found in the same exchange and joined by partition number.
+Scale.  Texts move once: ids are cut into blocks at quantiles, rows are dealt by
+block and sorted, so nearly every document meets its successor in its own task.
+The last document of a block needs the first of the next one: those first
+documents (one id per block, found from the id column alone) are sent to the
+block before as well.  Rows that share one id go to one block, which is read as
+a sorted stream, never held.
 
 Edge cases.  Null texts are empty.  An empty text has no phrase; two empty sets
 are alike (1), an empty and a non-empty one are not (0).  Documents are ordered
@@ -32,7 +34,7 @@ from bisect import bisect_right
 from itertools import islice
 
 import numpy as np
-from pyspark import TaskContext
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,66 +150,54 @@ def to_batch(found):
 
 
 def inside(batches):
-    """Sorted rows of a partition: every document but the last with its successor."""
-    before = []
+    """Rows sorted by block, copies of the next block's first document last: every
+    document with its successor."""
+    before = None              # (block, parse) whose successor is still to come
     for batch in batches:
         for part in slices(batch, limit=1 << 20):
-            now = before + parse_all(zip(part.column("doc_id").to_pylist(),
-                                         part.column("text").to_pylist()))
-            yield to_batch(rows(list(zip(now, now[1:]))))
-            before = now[-1:]
-
-
-def edges(batches):
-    """(part, first and last document) of a partition that has rows."""
-    import pyarrow as pa
-
-    first = last = None
-    for batch in batches:
-        ids, h, texts = batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), \
-            batch.column("text")
-        for k, (i, x) in enumerate(zip(ids, h)):
-            key = (i is not None, i or 0, x)
-            if first is None or key <= first[0] or key >= last[0]:
-                full = (*key, texts[k].as_py().encode())
-                if first is None or full < first[1]:
-                    first = (key, full)
-                if last is None or full > last[1]:
-                    last = (key, full)
-    if first is not None:
-        ends = [first[1], last[1]]
-        ids = [e[1] if e[0] else None for e in ends]
-        yield pa.RecordBatch.from_pydict({
-            "part": pa.array([TaskContext.get().partitionId()], pa.int64()),
-            "first_id": pa.array(ids[:1], pa.int64()),
-            "first_text": pa.array([ends[0][3].decode()]),
-            "last_id": pa.array(ids[1:], pa.int64()),
-            "last_text": pa.array([ends[1][3].decode()])})
-
-
-def across(batches):
-    """(last document, first of the next partition) pairs."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            yield to_batch(rows([tuple(parse_all([(r["last_id"], r["last_text"]),
-                                                  (r["next_id"], r["next_text"])]))]))
-
-
-def compare_edited(documents: DataFrame, partitions: int | None = None) -> DataFrame:
+            pairs = []
+            parses = parse_all(zip(part.column("doc_id").to_pylist(),
+                                   part.column("text").to_pylist()))
+            for block, copy, now in zip(part.column("block").to_pylist(),
+                                        part.column("copy").to_pylist(), parses):
+                if before is not None and before[0] == block:
+                    pairs.append((before[1], now))
+                if not copy:
+                    before = (block, now)
+                else:
+                    before = None       # a copy ends its block; further ones are ties
+            yield to_batch(rows(pairs))
+
+
+def blocks_of(documents: DataFrame, blocks: int):
+    """(documents with a column ``block`` that ascends with the id, nulls first)."""
+    number = F.col("doc_id").cast("double")
+    cuts = documents.select(number.alias("x")).approxQuantile(
+        "x", [k / blocks for k in range(1, blocks)], 0.25 / blocks) if blocks > 1 else []
+    of = F.lit(0)
+    if cuts:
+        splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+        documents = Bucketizer(splits=splits, inputCol="x", outputCol="bucket",
+                               handleInvalid="keep").transform(documents.withColumn("x", number))
+        of = F.col("bucket").cast("int")
+    return documents.withColumn("block", F.when(F.col("doc_id").isNull(), -1).otherwise(of)) \
+        .drop("x", "bucket")
+
+
+def compare_edited(documents: DataFrame, blocks: int | None = None) -> DataFrame:
     """One row (``SCHEMA``) per document."""
-    spark = documents.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # a given partition count is not coalesced, so both readers see the same partitions
-    ranged = docs.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h")
-    main = ranged.sortWithinPartitions("doc_id", "h", "text").mapInArrow(inside, SCHEMA)
-    ends = ranged.mapInArrow(edges, "part long, first_id long, first_text string, "
-                                    "last_id long, last_text string")
-    # one number per partition
-    order = ends.select("part").withColumn("next", F.coalesce(
-        F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())))
-    heads = ends.select(F.col("part").alias("next"), F.col("first_id").alias("next_id"),
-                        F.col("first_text").alias("next_text"))
-    pairs = ends.select("part", "last_id", "last_text").join(order, "part").join(heads, "next")
-    return main.unionByName(pairs.select("last_id", "last_text", "next_id", "next_text")
-                            .mapInArrow(across, SCHEMA))
+    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = blocks_of(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")),
+                     blocks or 4 * n)
+    # one row per block: its first id and the block before it (of the first: the last)
+    firsts = docs.groupBy("block").agg(F.min("doc_id").alias("first_id"))
+    firsts = firsts.select("first_id", F.coalesce(
+        F.lag("block").over(Window.orderBy("block")),
+        F.max("block").over(Window.partitionBy())).alias("previous"))
+    sent = docs.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("first_id")), "left")
+    own = F.struct("block", F.lit(False).alias("copy"))
+    copy = F.struct(F.col("previous").alias("block"), F.lit(True).alias("copy"))
+    to = F.when(F.col("previous").isNull(), F.array(own)).otherwise(F.array(own, copy))
+    dealt = sent.select("doc_id", "text", F.inline(to)).withColumn("h", F.xxhash64("text"))
+    dealt = dealt.repartition("block").sortWithinPartitions("block", "copy", "doc_id", "h", "text")
+    return dealt.mapInArrow(inside, SCHEMA)

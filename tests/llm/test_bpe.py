@@ -1,0 +1,70 @@
+import hashlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers as P
+import tiktoken
+from tokenizers import Tokenizer
+
+from crewgate.llm import bpe, tokens
+from tests.llm.conftest import frame
+
+PATH = P.path("byte_bpe_50k.tiktoken")
+
+
+def library():
+    return tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=tokens.rank_file(PATH),
+                             special_tokens={})
+
+
+def test_json_and_rank_files_give_the_same_ids(rows):
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    enc = tokens.encoder(tokens.json_ranks(P.path("byte_bpe_50k.json")), P.PATTERN)
+    for _, t in rows:
+        assert tokens.encode(enc, t or "") == tok.encode(t or "", add_special_tokens=False).ids
+
+
+def test_splitter_knows_every_code_point():
+    """The regex module and the library's own splitter agree on all characters."""
+    enc, split = library(), bpe.splitter(P.PATTERN)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(points), 4096):
+        text = "".join(f"a{chr(c)}1 {chr(c)}" for c in points[lo:lo + 4096])
+        ids = [i for w in split(text) for i in enc._encode_single_piece(w.encode())]
+        assert ids == enc.encode_ordinary(text), lo
+
+
+def test_long_texts_are_encoded_whole():
+    enc = tokens.encoder(tokens.rank_file(PATH), P.PATTERN)
+    for text in (" " * 600_000 + "x", "ab" * 300_000, "word " * 120_000):
+        got = tokens.encode(enc, text)
+        assert enc.decode(got) == text
+    text = "a b  c\n\n d" * 60_000
+    assert tokens.encode(enc, text) == library().encode_ordinary(text)
+
+
+def test_round_trip_and_decode(spark, docs, rows, nothing):
+    enc, want = library(), Counter()
+    for i, t in rows:
+        ids = enc.encode_ordinary(t or "")
+        want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
+             hashlib.sha256((t or "").encode()).hexdigest()] += 1
+    got = bpe.round_trip(docs, PATH, P.PATTERN).collect()
+    assert Counter(tuple(r) for r in got) == want
+    back = bpe.decode(bpe.encode(docs, PATH, P.PATTERN), PATH).collect()
+    assert Counter(map(tuple, back)) == Counter((i, t or "") for i, t in rows)
+    assert bpe.round_trip(nothing, PATH, P.PATTERN).count() == 0
+    only = frame(spark, [(1, None), (2, "")])
+    assert {r.n_tokens for r in bpe.round_trip(only, PATH, P.PATTERN).collect()} == {0}
+
+
+def test_many_blocks_share_a_word(docs, rows, monkeypatch):
+    """Blocks of a few hundred bytes give the same ids as one block."""
+    from crewgate.llm import dictionary
+
+    monkeypatch.setattr(dictionary.code, "__defaults__", (False, 300))
+    got = bpe.round_trip(docs, PATH, P.PATTERN).collect()
+    enc = library()
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter(
+        (i, len(enc.encode_ordinary(t or ""))) for i, t in rows)
