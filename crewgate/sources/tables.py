@@ -1,135 +1,48 @@
-"""Entity tables on shared storage.
+"""Entity tables as plain Parquet folders.
 
-A table is a folder of immutable Parquet *parts*, a small manifest per
-version (``_manifest/v=<N>``: the part folders of that version, one per
-line) and a pointer ``_current`` (the current version number, then its
-part folders) that readers follow:
-
-    <root>/<name>/part-<id>/...parquet
-    <root>/<name>/_manifest/v=<N>
-    <root>/<name>/_current
-
-A change never touches data being read.  An append writes one new part and
-a manifest listing the old parts plus the new one (nothing is rewritten);
-a snapshot (the result of an edit, delete or flag change) writes one full
-part.  The pointer moves last, so a failed job leaves the old version whole.
+A table is ``<root>/<name>``, a folder that Spark writes and reads.  K1 is
+Spark's own append to it.  K4, a table as of a state, is a folder
+``<root>/<name>/version=<N>`` whose number the caller gives; it is written
+once, and an existing one is never replaced.  Nothing else keeps state.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crewgate.schema import TABLES
 
 
-def _dir(root: str, name: str) -> str:
-    return f"{root.rstrip('/')}/{name}"
-
-
-def _read_lines(spark: SparkSession, path: str) -> list[str] | None:
-    try:
-        return [r["value"] for r in spark.read.text(path).collect()]
-    except Exception:  # the file does not exist (yet)
-        return None
-
-
-def _write_lines(spark: SparkSession, lines: list[str], path: str) -> None:
-    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1) \
-         .write.mode("overwrite").text(path)
-
-
-def current(spark: SparkSession, root: str, name: str) -> tuple[int, list[str]] | None:
-    """(current version, its part folders), or None for a table never written."""
-    lines = _read_lines(spark, f"{_dir(root, name)}/_current")
-    if not lines:
-        return None
-    return int(lines[0]), [p for p in lines[1:] if p]
-
-
-def current_version(spark: SparkSession, root: str, name: str) -> int | None:
-    cur = current(spark, root, name)
-    return None if cur is None else cur[0]
-
-
-def parts_of(spark: SparkSession, root: str, name: str, version: int) -> list[str]:
-    """Part folders of a version (metadata: one line per written part)."""
-    lines = _read_lines(spark, f"{_dir(root, name)}/_manifest/v={version}")
-    if lines is None:
-        raise FileNotFoundError(f"table {name} has no version {version} under {root}")
-    return [f"{_dir(root, name)}/{p}" for p in lines if p]
+def table_path(root: str, name: str, version: int | None = None) -> str:
+    path = f"{root.rstrip('/')}/{name}"
+    return path if version is None else f"{path}/version={int(version)}"
 
 
 def read_table(spark: SparkSession, root: str, name: str,
                version: int | None = None) -> DataFrame:
-    """Scan a table version (the current one by default) with its schema."""
-    if version is None:
-        cur = current(spark, root, name)
-        if cur is None:
-            raise FileNotFoundError(f"table {name} has no version under {root}")
-        paths = [f"{_dir(root, name)}/{p}" for p in cur[1]]
-    else:
-        paths = parts_of(spark, root, name, version)
-    reader = spark.read
-    if name in TABLES:
-        reader = reader.schema(TABLES[name])
-    return reader.parquet(*paths)
-
-
-def _write_part(df: DataFrame, root: str, name: str, sort_within: list[str] | None) -> str:
-    part = f"part-{uuid.uuid4().hex[:16]}"
-    out = df.sortWithinPartitions(*sort_within) if sort_within else df
-    out.write.mode("error").parquet(f"{_dir(root, name)}/{part}")
-    return part
-
-
-def _commit(spark: SparkSession, root: str, name: str, version: int, parts: list[str]) -> int:
-    _write_lines(spark, parts, f"{_dir(root, name)}/_manifest/v={version}")
-    _write_lines(spark, [str(version), *parts], f"{_dir(root, name)}/_current")
-    return version
+    """Scan a table, or one version of it, with its declared schema."""
+    reader = spark.read.schema(TABLES[name]) if name in TABLES else spark.read
+    return reader.parquet(table_path(root, name, version))
 
 
-def write_snapshot(df: DataFrame, root: str, name: str, version: int | None = None,
-                   sort_within: list[str] | None = None) -> int:
-    """K4: write ``df`` as the whole content of a new version; returns it.
-
-    ``sort_within`` orders rows inside each file (e.g. company_id,
-    expiry_date) so that parquet min/max statistics skip row groups.
-    """
-    spark = df.sparkSession
-    if version is None:
-        cur = current_version(spark, root, name)
-        version = 0 if cur is None else cur + 1
-    part = _write_part(df, root, name, sort_within)
-    return _commit(spark, root, name, version, [part])
+def _sorted(df: DataFrame, sort_within: list[str] | None) -> DataFrame:
+    return df.sortWithinPartitions(*sort_within) if sort_within else df
 
 
 def append_rows(df: DataFrame, root: str, name: str,
-                sort_within: list[str] | None = None, version: int | None = None,
-                known: tuple[int, list[str]] | None = None) -> int:
-    """K1: add ``df`` as one more part of the next version (or of ``version``,
-    which must be newer than the current one); existing parts are listed
-    again, never rewritten.  ``known`` is the caller's fresh ``current()``."""
-    spark = df.sparkSession
-    state = known if known is not None else current(spark, root, name)
-    cur, base = (None, []) if state is None else state
+                sort_within: list[str] | None = None) -> None:
+    """K1: add the rows of ``df`` to the table, cast to its declared types."""
     if name in TABLES:
         df = df.select([F.col(f.name).cast(f.dataType) for f in TABLES[name].fields])
-    part = _write_part(df, root, name, sort_within)
-    if version is None:
-        version = 0 if cur is None else cur + 1
-    return _commit(spark, root, name, version, [*base, part])
+    _sorted(df, sort_within).write.mode("append").parquet(table_path(root, name))
 
 
-def recipients_of(recipients: DataFrame, list_name: str) -> DataFrame:
-    """The e-mail rows of one mailing list."""
-    return recipients.where(F.col("list_name") == F.lit(list_name)).select("email")
+def write_snapshot(df: DataFrame, root: str, name: str, version: int,
+                   sort_within: list[str] | None = None) -> None:
+    """K4: write ``df`` as version ``version``; an error if it exists.
 
-
-def compact_table(spark: SparkSession, root: str, name: str,
-                  sort_within: list[str] | None = None) -> int:
-    """Rewrite the current version (however many appended parts) as one new
-    part; older versions stay readable."""
-    return write_snapshot(read_table(spark, root, name), root, name, sort_within=sort_within)
+    ``sort_within`` orders rows inside each file (e.g. company_id,
+    expiry_date) so that Parquet min/max statistics skip row groups.
+    """
+    _sorted(df, sort_within).write.mode("error").parquet(table_path(root, name, version))

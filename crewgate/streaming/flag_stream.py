@@ -8,26 +8,32 @@ the number of entity fields, not by time).  There is no per-batch join with
 the worker table: a change aimed at a missing id only leaves a state row
 that joins no entity when the snapshot is built.
 
-Each micro-batch appends its updated keys (with their seq) as one new part
-of a ``flag_latest`` table, as version ``batch_id``: the sink writes only
-what changed, never the whole state.  Readers reduce the parts with
-``max_by(value, seq)``, so a batch replayed after a failure (same rows
-again) changes nothing; ``compact_latest`` rewrites the table as one part.
-The snapshot with the changes applied is ``apply_latest(latest, W, C)``.
+Each micro-batch writes its updated keys (with their seq) to a folder of its
+own, ``batches/feed=<feed>/batch_id=<N>``, in overwrite mode: a batch replayed
+after a failure rewrites the same folder.  ``feed`` names the checkpoint, so a
+stream restarted with a new one cannot touch the folders of the old.  Readers
+reduce all folders with ``max_by(value, seq)``, so the order and the number of
+writes never matter.  ``compact`` writes the reduced rows of a feed's batches up
+to one as ``bases/feed=<feed>/base_upto=<N>``, which stands for those batches
+from the moment it is complete (Spark's ``_SUCCESS`` marker); batch numbers and
+batch folders stay as they are.  The snapshot with the changes applied is
+``flags.apply_latest(state_rows(...), W, C)``.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from crewgate.operators import flags
-from crewgate.sources import tables
 from crewgate.sources.changes import CHANGE_RECORD
 
-LATEST = "flag_latest"
 KEY = ["type", "id", "field"]
+STATE = "type string, id long, field string, value int, seq long"
 
 
 def read_change_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -36,15 +42,17 @@ def read_change_stream(spark: SparkSession, path: str, files_per_batch: int = 1)
                  .option("maxFilesPerTrigger", files_per_batch).json(path))
 
 
-def _append_batch(root: str):
-    def append(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state = tables.current(spark, root, LATEST)
-        if state is not None and state[0] >= batch_id:
-            return  # replay of a batch whose part is already committed
-        rows = batch.select(*KEY, "value", "seq")
-        tables.append_rows(rows, root, LATEST, version=batch_id, known=state)
-    return append
+def feed_name(checkpoint: str) -> str:
+    """The feed of a checkpoint folder."""
+    return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+
+def batch_writer(root: str, feed: str):
+    """The ``foreachBatch`` sink: one folder per batch, rewritten by a replay."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.select(*KEY, "value", "seq").write.mode("overwrite").parquet(
+            f"{root}/batches/feed={feed}/batch_id={batch_id}")
+    return write
 
 
 def flag_state(changes: DataFrame, allowed_actors: list[str] | None = None) -> DataFrame:
@@ -59,24 +67,63 @@ def flag_state(changes: DataFrame, allowed_actors: list[str] | None = None) -> D
 def start_flag_stream(changes: DataFrame, root: str, checkpoint: str,
                       allowed_actors: list[str] | None = None,
                       available_now: bool = True) -> StreamingQuery:
-    """Start the feed; ``root`` holds the ``flag_latest`` table, which
-    ``flags.apply_latest(latest_table(...), W, C)`` applies to a snapshot."""
+    """Start the feed; its batches go under ``root``, which ``latest_table`` reads."""
     writer = (flag_state(changes, allowed_actors).writeStream.outputMode("update")
                    .option("checkpointLocation", checkpoint)
-                   .foreachBatch(_append_batch(root)))
+                   .foreachBatch(batch_writer(root, feed_name(checkpoint))))
     writer = writer.trigger(availableNow=True) if available_now \
         else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
 
-def latest_table(spark: SparkSession, root: str) -> DataFrame:
-    """Last value per (type, id, field) over every appended part."""
-    parts = tables.read_table(spark, root, LATEST)
-    return parts.groupBy(*KEY).agg(F.max_by("value", "seq").alias("value"))
+def _complete_bases(spark: SparkSession, root: str) -> dict[str, int]:
+    """Last complete base of every feed (a listing of folder names)."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{root}/bases/feed=*/base_upto=*/_SUCCESS")
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    last: dict[str, int] = {}
+    for status in fs.globStatus(pattern) or []:
+        feed, upto = re.search(r"/feed=([^/]+)/base_upto=(\d+)/", status.getPath().toString()).groups()
+        last[feed] = max(int(upto), last.get(feed, -1))
+    return last
+
 
+def _parts(spark: SparkSession, root: str) -> DataFrame:
+    """The state rows of all feeds: the last base of each and the batches after it."""
+    rows = spark.read.schema(f"{STATE}, feed string, batch_id long").parquet(f"{root}/batches")
+    bases = _complete_bases(spark, root)
+    if not bases:
+        return rows.select(*KEY, "value", "seq")
+    done = F.create_map(*[F.lit(x) for item in bases.items() for x in item])
+    after = rows.where(F.col("batch_id") > F.coalesce(done[F.col("feed")], F.lit(-1)))
+    base = spark.read.schema(STATE).parquet(
+        *[f"{root}/bases/feed={f}/base_upto={n}" for f, n in bases.items()])
+    return after.select(*KEY, "value", "seq").unionByName(base.select(*KEY, "value", "seq"))
 
-def compact_latest(spark: SparkSession, root: str) -> int:
-    """Rewrite the appended parts as one part (a new version)."""
-    reduced = tables.read_table(spark, root, LATEST).groupBy(*KEY).agg(
-        F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
-    return tables.write_snapshot(reduced, root, LATEST)
+
+def _reduced(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEY).agg(F.max_by("value", "seq").alias("value"),
+                                  F.max("seq").alias("seq"))
+
+
+def latest_table(spark: SparkSession, root: str) -> DataFrame:
+    """Last value and seq per (type, id, field) over every batch of every feed."""
+    return _reduced(_parts(spark, root))
+
+
+def state_rows(spark: SparkSession, root: str) -> DataFrame:
+    """All written state rows, for ``flags.apply_latest``, which reduces them itself."""
+    return _parts(spark, root)
+
+
+def compact(spark: SparkSession, root: str, feed: str, upto: int) -> None:
+    """Write the reduced rows of the feed's batches 0 to ``upto`` as one base."""
+    rows = spark.read.schema(STATE + ", batch_id long").parquet(f"{root}/batches/feed={feed}")
+    last = _complete_bases(spark, root).get(feed)
+    if last is not None:
+        rows = rows.where(F.col("batch_id") > last)
+    rows = rows.where(F.col("batch_id") <= upto).select(*KEY, "value", "seq")
+    if last is not None:
+        rows = rows.unionByName(spark.read.schema(STATE).parquet(
+            f"{root}/bases/feed={feed}/base_upto={last}"))
+    _reduced(rows).write.mode("overwrite").parquet(f"{root}/bases/feed={feed}/base_upto={upto}")

@@ -42,9 +42,9 @@ def test_filter_pushdown_and_pruning(spark, scratch):
     text = plan(E.queries()["expired_badges"](spark, SF))
     assert "o_totalprice" not in text
     # on a stored snapshot the report predicates reach the parquet scan
-    tables.write_snapshot(V.workers(spark, SF), scratch, "workers",
+    tables.write_snapshot(V.workers(spark, SF), scratch, "workers", 0,
                           sort_within=["company_id", "expiry_date"])
-    W = tables.read_table(spark, scratch, "workers")
+    W = tables.read_table(spark, scratch, "workers", 0)
     text = plan(reports.expired(W, V.companies(spark, SF), V.AS_OF))
     assert "LessThanOrEqual(expiry_date,1998-06-30)" in text
     assert "EqualTo(badge_valid,1)" in text and "EqualTo(badge_cancelled,0)" in text

@@ -141,7 +141,6 @@ def test_digest_when_empty_and_weekly(spark):
 
 
 def test_recipient_lists(spark):
-    from crewgate.sources import tables
     rec = spark.createDataFrame([("weekly", " a@x.org "), ("weekly", " "), ("expired", "b@x.org")],
                                 "list_name string, email string")
     assert [r["email"] for r in reports.recipients_for(rec, "weekly", drop_blank=True).collect()] \
@@ -150,7 +149,7 @@ def test_recipient_lists(spark):
         == ["o@x.org"]
     assert [r["email"] for r in reports.recipients_for(rec, "expired", default="o@x.org")
             .collect()] == ["b@x.org"]
-    assert tables.recipients_of(rec, "weekly").count() == 2
+    assert reports.recipients_for(rec, "weekly").count() == 2
 
 
 def test_null_names_sort_first_and_blank_company_not_counted(spark):

@@ -1,46 +1,45 @@
 import os
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from crewgate.schema import COMPANIES
 from crewgate.sources import tables
 from fixtures import company_row
 
 
-def test_versions_and_pointer(spark, scratch):
-    root = os.path.join(scratch, "db")
-    with pytest.raises(FileNotFoundError):
-        tables.read_table(spark, root, "companies")
-    C = spark.createDataFrame([company_row(1, "A")], COMPANIES)
-    assert tables.write_snapshot(C, root, "companies") == 0
-    more = spark.createDataFrame([company_row(2, "B")], COMPANIES)
-    assert tables.append_rows(more, root, "companies") == 1
-    assert tables.read_table(spark, root, "companies").count() == 2
-    assert tables.read_table(spark, root, "companies", 0).count() == 1
-
-
-def test_append_does_not_rewrite(spark, scratch):
-    root = os.path.join(scratch, "db")
-    C = spark.createDataFrame([company_row(1, "A")], COMPANIES)
-    tables.write_snapshot(C, root, "companies")
-    first = tables.parts_of(spark, root, "companies", 0)
-    tables.append_rows(spark.createDataFrame([company_row(2, "B")], COMPANIES), root, "companies")
-    second = tables.parts_of(spark, root, "companies", 1)
-    assert second[0] == first[0] and len(second) == 2
-    # a snapshot replaces the content, older versions stay readable
-    tables.write_snapshot(spark.createDataFrame([company_row(3, "C")], COMPANIES), root,
-                          "companies")
-    assert [r[0] for r in tables.read_table(spark, root, "companies").collect()] == [3]
-    assert tables.read_table(spark, root, "companies", 1).count() == 2
-
-
-def test_compaction_keeps_rows(spark, scratch):
-    root = os.path.join(scratch, "db")
+def one(spark, i, name):
+    return spark.createDataFrame([company_row(i, name)], COMPANIES)
+
+
+def ids(df):
+    return sorted(r["company_id"] for r in df.collect())
+
+
+def test_append_adds_rows(spark, scratch):
+    with pytest.raises(AnalysisException):
+        tables.read_table(spark, scratch, "companies")
     for i in range(3):
-        tables.append_rows(spark.createDataFrame([company_row(i, f"C{i}")], COMPANIES), root,
-                           "companies")
-    v = tables.current_version(spark, root, "companies")
-    assert len(tables.parts_of(spark, root, "companies", v)) == 3
-    v2 = tables.compact_table(spark, root, "companies", sort_within=["company_id"])
-    assert len(tables.parts_of(spark, root, "companies", v2)) == 1
-    assert sorted(r[0] for r in tables.read_table(spark, root, "companies").collect()) == [0, 1, 2]
+        tables.append_rows(one(spark, i, f"C{i}"), scratch, "companies", sort_within=["company_id"])
+    got = tables.read_table(spark, scratch, "companies")
+    assert ids(got) == [0, 1, 2] and got.schema.names == COMPANIES.names
+
+
+def test_versions_are_written_once(spark, scratch):
+    tables.write_snapshot(one(spark, 1, "A"), scratch, "companies", 0)
+    tables.write_snapshot(one(spark, 2, "B"), scratch, "companies", 1)
+    with pytest.raises(AnalysisException):
+        tables.write_snapshot(one(spark, 3, "C"), scratch, "companies", 1)
+    assert ids(tables.read_table(spark, scratch, "companies", 0)) == [1]
+    assert ids(tables.read_table(spark, scratch, "companies", 1)) == [2]
+
+
+def test_a_failed_write_leaves_the_table(spark, scratch):
+    from pyspark.sql import functions as F
+
+    tables.append_rows(one(spark, 1, "A"), scratch, "companies")
+    bad = one(spark, 2, "B").withColumn("note", F.raise_error(F.lit("stop")).cast("string"))
+    with pytest.raises(Exception, match="stop"):
+        tables.append_rows(bad, scratch, "companies")
+    assert ids(tables.read_table(spark, scratch, "companies")) == [1]
+    assert os.path.isdir(os.path.join(scratch, "companies"))

@@ -16,23 +16,30 @@ from test_changes import CAND, EDITS, WCAND
 def test_site_office_checklist(spark, scratch):
     db = os.path.join(scratch, "db")
     tables.write_snapshot(spark.createDataFrame([company_row(1, "Acme", "IT1")], COMPANIES),
-                          db, "companies")
+                          db, "companies", 0)
     tables.write_snapshot(spark.createDataFrame([worker_row(1, "Ann", "Lee", 1)], WORKERS),
-                          db, "workers")
+                          db, "workers", 0)
     R = spark.createDataFrame([(1, "FOREMAN")], ROLES)
 
+    last = {"companies": 0, "workers": 0}
+
+    def save(df, name):
+        """Write ``df`` as the table's next version."""
+        tables.write_snapshot(df, db, name, last[name] + 1)
+        last[name] += 1
+
     def C():
-        return tables.read_table(spark, db, "companies")
+        return tables.read_table(spark, db, "companies", last["companies"])
 
     def W():
-        return tables.read_table(spark, db, "workers")
+        return tables.read_table(spark, db, "workers", last["workers"])
 
     # company insert (and the duplicate refused)
     cand = spark.createDataFrame([(1, "Beta Srl", "IT2", "Bo", "b@x.org", "1", ""),
                                   (2, "ACME", "", None, None, None, None)], CAND)
     new_c, out = companies.add_companies(cand, C())
     assert {r["seq"]: r["outcome"] for r in out.collect()} == {1: "accepted", 2: "exists"}
-    tables.write_snapshot(new_c, db, "companies")
+    save(new_c, "companies")
     beta = C().where("company_name = 'Beta Srl'").first()["company_id"]
 
     # worker insert under the newly added company
@@ -40,7 +47,7 @@ def test_site_office_checklist(spark, scratch):
                                WCAND)
     new_w, out = workers.add_workers(wc, W(), C())
     assert out.first()["outcome"] == "accepted"
-    tables.append_rows(new_w.join(W(), "worker_id", "left_anti"), db, "workers")
+    save(new_w, "workers")
     cy = W().where("given_name = 'Cy'").first()
     assert cy["company_id"] == beta and cy["expiry_date"] == dt.date(2024, 5, 31)
 
@@ -49,7 +56,7 @@ def test_site_office_checklist(spark, scratch):
                                "seq long, company_id long, company_name string, vat_number string, "
                                "contact_name string, contact_email string, contact_phone string, "
                                "note string")
-    tables.write_snapshot(companies.edit_companies(ce, C())[0], db, "companies")
+    save(companies.edit_companies(ce, C())[0], "companies")
 
     # flags changed from the list, then a worker edit keeps them
     ch = spark.createDataFrame([
@@ -59,10 +66,10 @@ def test_site_office_checklist(spark, scratch):
                                 "field": "badge_issued", "clicked": "1"}))],
         "seq long, actor string, change string")
     new_w, new_c, _ = flags.apply_flag_changes(ch, W(), C(), ["boss"])
-    tables.write_snapshot(new_w, db, "workers")
+    save(new_w, "workers")
     ed = spark.createDataFrame([(1, cy["worker_id"], "Cyril", "Doe", beta, "1", "on", "T9",
                                  "2024-06-15", "0", "edited")], EDITS)
-    tables.write_snapshot(workers.edit_workers(ed, W(), C(), R)[0], db, "workers")
+    save(workers.edit_workers(ed, W(), C(), R)[0], "workers")
     cyril = W().where(f"worker_id = {cy['worker_id']}").first()
     assert (cyril["given_name"], cyril["badge_valid"], cyril["badge_issued"]) == ("Cyril", 1, 1)
 
@@ -75,7 +82,7 @@ def test_site_office_checklist(spark, scratch):
     # company delete takes its workers along
     ids = spark.createDataFrame([(beta,)], "id long")
     new_c, new_w = companies.delete_companies(ids, C(), W())
-    tables.write_snapshot(new_c, db, "companies")
-    tables.write_snapshot(new_w, db, "workers")
+    save(new_c, "companies")
+    save(new_w, "workers")
     assert [r["worker_id"] for r in W().collect()] == [1]
     assert C().count() == 1
