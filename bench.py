@@ -56,7 +56,7 @@ def main() -> None:
         q = flag_stream.start_flag_stream(flag_stream.read_change_stream(spark, feed_dir),
                                           root, f"{root}/_ckpt", Q.ALLOWED_ACTORS)
         q.awaitTermination()
-        new_w, _ = flags.apply_latest(flag_stream.latest_table(spark, root), W, C)
+        new_w, _ = flags.apply_latest(flag_stream.state_rows(spark, root), W, C)
         run_noop(new_w)
 
     def or_form():

@@ -1,10 +1,10 @@
 """Apply flag changes (type, id, field, clicked) — absolute values, the
 last valid change per (entity, field) by seq wins.
 
-Plan: parse -> reason chain -> ``max_by(value, seq)`` per (type, id, field)
-(partial aggregation: a worker clicked a million times is reduced map-side)
--> pivot on the known field list -> left join to the snapshot and
-``coalesce``.  The pivot sees at most one row per (id, field).
+Plan: parse -> reason chain -> one aggregate per entity, ``max_by(value, seq)``
+filtered by field, for every known field (partial aggregation: a worker clicked
+a million times is reduced map-side) -> left join to the snapshot and
+``coalesce``.  One exchange before the join.
 """
 
 from __future__ import annotations
@@ -70,21 +70,15 @@ def change_outcomes(changes: DataFrame, W: DataFrame, C: DataFrame,
     return p.select("seq", "actor", "type", "id", "field", "value", reason.alias("reason"))
 
 
-def latest_values(outcomes: DataFrame) -> DataFrame:
-    """Last applied value per (type, id, field)."""
-    return (outcomes.where(F.col("reason") == APPLIED)
-                    .groupBy("type", "id", "field")
-                    .agg(F.max_by("value", "seq").alias("value")))
-
-
-def _apply(snapshot: DataFrame, latest: DataFrame, etype: str, key: str,
+def _apply(snapshot: DataFrame, changes: DataFrame, etype: str, key: str,
            fields: tuple) -> DataFrame:
-    wide = (latest.where(F.col("type") == etype)
-                  .groupBy(F.col("id").alias(key))
-                  .pivot("field", list(fields))
-                  .agg(F.first("value")))
-    renamed = wide.select(key, *[F.col(f).alias(f"_new_{f}") for f in fields])
-    joined = snapshot.join(renamed, key, "left")
+    """``snapshot`` with the last value by seq of every (id, field) of ``changes``
+    (type, id, field, value, seq)."""
+    last = [F.expr(f"max_by(value, seq) FILTER (WHERE field = '{f}')").alias(f"_new_{f}")
+            for f in fields]
+    wide = changes.where((F.col("type") == etype) & F.col("field").isin(*fields)) \
+        .groupBy(F.col("id").alias(key)).agg(*last)
+    joined = snapshot.join(wide, key, "left")
     return joined.select(*[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c)
                            if c in fields else F.col(c) for c in snapshot.columns])
 
@@ -98,16 +92,14 @@ def apply_flag_changes(changes: DataFrame, W: DataFrame, C: DataFrame,
     joins no row and shares its (type, id, field) key with no change to an
     existing one.  ``with_outcomes=False`` skips building the outcomes.
     """
-    checked = checked_changes(changes, allowed_actors)
-    latest = latest_values(checked.withColumn(
-        "reason", F.coalesce(F.col("reason"), F.lit(APPLIED))))
+    valid = checked_changes(changes, allowed_actors).where(F.col("reason").isNull())
     outcomes = change_outcomes(changes, W, C, allowed_actors) if with_outcomes else None
-    new_w = _apply(W, latest, "worker", "worker_id", WORKER_FLAGS)
-    new_c = _apply(C, latest, "company", "company_id", COMPANY_FLAGS)
+    new_w = _apply(W, valid, "worker", "worker_id", WORKER_FLAGS)
+    new_c = _apply(C, valid, "company", "company_id", COMPANY_FLAGS)
     return conform(new_w, WORKERS), conform(new_c, COMPANIES), outcomes
 
 
 def apply_latest(latest: DataFrame, W: DataFrame, C: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply an already reduced (type, id, field, value) frame (the stream's state)."""
+    """Apply state rows (type, id, field, value, seq) of the stream, reduced or not."""
     return (conform(_apply(W, latest, "worker", "worker_id", WORKER_FLAGS), WORKERS),
             conform(_apply(C, latest, "company", "company_id", COMPANY_FLAGS), COMPANIES))

@@ -339,7 +339,7 @@ def stream_flag_changes(spark, sf):
     q = flag_stream.start_flag_stream(flag_stream.read_change_stream(spark, feed), root,
                                       f"{root}/_checkpoint", ALLOWED_ACTORS)
     q.awaitTermination()
-    new_w, _ = flags.apply_latest(flag_stream.latest_table(spark, root), W, C)
+    new_w, _ = flags.apply_latest(flag_stream.state_rows(spark, root), W, C)
     return new_w
 
 

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crewgate.schema import FLAG_CHANGE_JSON
+from crewgate.functions.exprs import PY_WHITESPACE
+
+
+def _whole(token) -> F.Column:
+    """A JSON number as an integer, cut towards zero as ``int()`` does."""
+    n = F.try_variant_get(token, "$", "double")
+    return F.when(n >= 0, F.floor(n)).otherwise(F.ceil(n)).cast("bigint")
 
 
 def parse_changes(df: DataFrame, json_col: str = "change") -> DataFrame:
@@ -13,20 +19,33 @@ def parse_changes(df: DataFrame, json_col: str = "change") -> DataFrame:
     ``has_clicked``: whether the object has a "clicked" key at all (a JSON
     null and a missing key are different rejects).
 
+    ``clicked`` may be text, a JSON number (1.0 is 1) or a JSON boolean; it
+    becomes the text of the integer, while text stays as sent, so that the
+    number 1.0 and the text "1.0" remain apart.  ``id`` may be a whole number
+    or text of one, blanks around it ignored.  An object that names a key twice
+    is not read.
+
     The text is parsed once per row inside a generator (``inline`` of a
     one-element array): filters on the parsed fields are not pushed below a
     generator, so the parse is never copied into a pushed-down predicate.
     """
-    parsed = df.select(
-        "*",
-        F.inline(F.array(F.struct(
-            F.from_json(F.col(json_col), FLAG_CHANGE_JSON).alias("_rec"),
-            F.json_object_keys(F.col(json_col)).alias("_keys")))))
+    parsed = df.select("*", F.inline(F.array(F.struct(
+        F.try_parse_json(json_col).alias("_rec")))))
+    clicked = F.try_variant_get("_rec", "$.clicked", "variant")
+    ident = F.try_variant_get("_rec", "$.id", "variant")
+    kind = F.schema_of_variant(clicked)
+    ident_text = F.btrim(F.try_variant_get("_rec", "$.id", "string"), F.lit(PY_WHITESPACE))
     return parsed.select(
         *[c for c in df.columns if c != json_col],
-        F.col("_rec.type").alias("type"), F.col("_rec.id").alias("id"),
-        F.col("_rec.field").alias("field"), F.col("_rec.clicked").alias("clicked"),
-        F.coalesce(F.array_contains("_keys", "clicked"), F.lit(False)).alias("has_clicked"))
+        F.try_variant_get("_rec", "$.type", "string").alias("type"),
+        F.when(F.schema_of_variant(ident) == "STRING", ident_text.try_cast("bigint"))
+         .otherwise(F.try_variant_get("_rec", "$.id", "bigint")).alias("id"),
+        F.try_variant_get("_rec", "$.field", "string").alias("field"),
+        F.when(kind == "STRING", F.try_variant_get("_rec", "$.clicked", "string"))
+         .when(kind == "BOOLEAN", F.try_variant_get("_rec", "$.clicked", "int").cast("string"))
+         .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), _whole(clicked).cast("string"))
+         .alias("clicked"),
+        clicked.isNotNull().alias("has_clicked"))
 
 
 # One line per change: arrival order, who sent it, and the object as sent.

@@ -84,7 +84,7 @@ def test_stream_equals_batch(spark, scratch):
                                       os.path.join(root, "_ckpt"), ["boss"])
     q.awaitTermination()
     assert q.lastProgress is not None
-    new_w, new_c = flags.apply_latest(flag_stream.latest_table(spark, root), W, C)
+    new_w, new_c = flags.apply_latest(flag_stream.state_rows(spark, root), W, C)
     assert (sorted(tuple(r) for r in new_w.collect()),
             sorted(tuple(r) for r in new_c.collect())) == snapshot(W, C, changes(spark))
     # the same files read as a batch give the same snapshot
@@ -103,14 +103,34 @@ def test_stream_parts_and_compaction(spark, scratch):
     q = flag_stream.start_flag_stream(flag_stream.read_change_stream(spark, feed), root,
                                       os.path.join(root, "_ckpt"), ["boss"])
     q.awaitTermination()
-    from crewgate.sources import tables
-    v = tables.current_version(spark, root, flag_stream.LATEST)
-    assert len(tables.parts_of(spark, root, flag_stream.LATEST, v)) >= 2
-    before = sorted(tuple(r) for r in flag_stream.latest_table(spark, root).collect())
-    flag_stream.compact_latest(spark, root)
-    v2 = tables.current_version(spark, root, flag_stream.LATEST)
-    assert len(tables.parts_of(spark, root, flag_stream.LATEST, v2)) == 1
-    assert sorted(tuple(r) for r in flag_stream.latest_table(spark, root).collect()) == before
+    name = flag_stream.feed_name(os.path.join(root, "_ckpt"))
+    batches = os.path.join(root, "batches", f"feed={name}")
+    assert len([d for d in os.listdir(batches) if d.startswith("batch_id=")]) >= 2
+    before = latest(spark, root)
+    flag_stream.compact(spark, root, name, 1)
+    assert latest(spark, root) == before
+    # a batch after the compaction counts, and a second compaction builds on the first
+    sink = flag_stream.batch_writer(root, name)
+    sink(spark.createDataFrame([("worker", 1, "badge_valid", 0, 999)], flag_stream.STATE), 7)
+    assert ("worker", 1, "badge_valid", 0, 999) in latest(spark, root)
+    after = latest(spark, root)
+    flag_stream.compact(spark, root, name, 7)
+    assert latest(spark, root) == after
+    assert sorted(tuple(r) for r in flags.apply_latest(
+        flag_stream.state_rows(spark, root), W, C)[0].collect()) == sorted(
+        tuple(r) for r in flags.apply_latest(flag_stream.latest_table(spark, root), W, C)[0]
+        .collect())
+
+
+def latest(spark, root):
+    return sorted(tuple(r) for r in flag_stream.latest_table(spark, root).collect())
+
+
+def test_an_unfinished_compaction_is_not_read(spark, scratch):
+    sink = flag_stream.batch_writer(scratch, "f")
+    sink(spark.createDataFrame([("worker", 1, "badge_valid", 1, 5)], flag_stream.STATE), 0)
+    os.makedirs(os.path.join(scratch, "bases", "feed=f", "base_upto=0"))     # no _SUCCESS
+    assert latest(spark, scratch) == [("worker", 1, "badge_valid", 1, 5)]
 
 
 def test_stream_with_processing_time_trigger(spark, scratch):
@@ -128,7 +148,7 @@ def test_stream_with_processing_time_trigger(spark, scratch):
         q.processAllAvailable()
     finally:
         q.stop()
-    new_w, new_c = flags.apply_latest(flag_stream.latest_table(spark, root), W, C)
+    new_w, new_c = flags.apply_latest(flag_stream.state_rows(spark, root), W, C)
     assert (sorted(tuple(r) for r in new_w.collect()),
             sorted(tuple(r) for r in new_c.collect())) == snapshot(W, C, changes(spark))
 
@@ -147,17 +167,47 @@ def test_stream_plan_has_no_join(spark, scratch):
     assert state.isStreaming and "Join" not in buf.getvalue()
 
 
-def test_stream_sink_skips_a_replayed_batch(spark, scratch):
-    from crewgate.sources import tables
-    root = os.path.join(scratch, "state")
-    sink = flag_stream._append_batch(root)
-    rows = spark.createDataFrame([("worker", 1, "badge_valid", 1, 5)],
-                                 "type string, id long, field string, value int, seq long")
-    sink(rows, 0)
-    sink(rows, 0)  # replay after a failure: already committed, skipped
-    assert len(tables.parts_of(spark, root, flag_stream.LATEST, 0)) == 1
-    newer = spark.createDataFrame([("worker", 1, "badge_valid", 0, 9)],
-                                  "type string, id long, field string, value int, seq long")
-    sink(newer, 1)
-    assert [tuple(r) for r in flag_stream.latest_table(spark, root).collect()] == \
-        [("worker", 1, "badge_valid", 0)]
+def test_replayed_batches_and_new_checkpoints(spark, scratch):
+    sink = flag_stream.batch_writer(scratch, "one")
+    sink(spark.createDataFrame([("worker", 1, "badge_valid", 1, 5)], flag_stream.STATE), 0)
+    sink(spark.createDataFrame([("worker", 1, "badge_valid", 1, 5)], flag_stream.STATE), 0)
+    sink(spark.createDataFrame([("worker", 1, "badge_valid", 0, 9)], flag_stream.STATE), 1)
+    assert latest(spark, scratch) == [("worker", 1, "badge_valid", 0, 9)]
+    # a stream with a new checkpoint starts at batch 0 again and loses nothing
+    other = flag_stream.batch_writer(scratch, "two")
+    other(spark.createDataFrame([("worker", 2, "badge_valid", 1, 12)], flag_stream.STATE), 0)
+    assert latest(spark, scratch) == [("worker", 1, "badge_valid", 0, 9),
+                                      ("worker", 2, "badge_valid", 1, 12)]
+    flag_stream.compact(spark, scratch, "one", 1)
+    assert latest(spark, scratch) == [("worker", 1, "badge_valid", 0, 9),
+                                      ("worker", 2, "badge_valid", 1, 12)]
+
+
+def test_change_objects_as_the_endpoint_takes_them(spark):
+    sent = {1: '{"type":"worker","id":"12","field":"badge_valid","clicked":true}',
+            2: '{"type":"worker","id":" 12 ","field":"badge_valid","clicked":1.0}',
+            3: '{"type":"worker","id":12,"field":"badge_valid","clicked":"1.0"}',
+            4: '{"type":"worker","id":12,"field":"badge_valid","clicked":false}',
+            5: '{"type":"worker","id":12,"field":"badge_valid","clicked":0.9}',
+            6: '{"type":"worker","id":12,"field":"badge_valid","clicked":null}',
+            7: '{"type":"worker","id":12,"field":"badge_valid"}',
+            8: '{"type":"worker","id":"x","field":"badge_valid","clicked":1}',
+            9: '{"type":"worker","id":12,"field":"badge_valid","clicked":[1]}',
+            10: 'not json', 11: None,
+            12: '{"type":"worker","id":12,"field":"badge_valid","clicked":-1}'}
+    df = spark.createDataFrame([(k, "boss", v) for k, v in sent.items()],
+                               "seq long, actor string, change string")
+    got = {r.seq: (r.id, r.value, r.reason) for r in flags.checked_changes(df).collect()}
+    bad, none = flags.BAD_VALUE, flags.MISSING_CLICKED
+    assert got == {1: (12, 1, None), 2: (12, 1, None), 3: (12, None, bad), 4: (12, 0, None),
+                   5: (12, 0, None), 6: (12, None, bad), 7: (12, None, none),
+                   8: (None, 1, flags.MISSING_FIELDS), 9: (12, None, bad), 10: (None, None, none),
+                   11: (None, None, none), 12: (12, None, bad)}
+
+
+def test_one_exchange_before_the_join(spark):
+    W, C = base(spark)
+    new_w, _, _ = flags.apply_flag_changes(changes(spark), W, C, with_outcomes=False)
+    plan = new_w._jdf.queryExecution().executedPlan().toString()
+    changed = plan[plan.index("max_by"):]
+    assert changed.count("Exchange hashpartitioning(") <= 1 and "pivot" not in plan.lower()
