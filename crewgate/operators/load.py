@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 from crewgate.functions import exprs as X
 from crewgate.operators.keys import assign_ids, next_id
 from crewgate.operators.listing import resolve_company
-from crewgate.schema import COMPANIES, WORKERS, conform
+from crewgate.schema import COMPANIES, RAW_ODD, WORKERS, conform
 from crewgate.session import ensure_checkpoint_dir
-from crewgate.sources.roster_csv import RAW_FIELDS
 
 
 def _field(i: int) -> F.Column:
@@ -26,9 +25,14 @@ def _field(i: int) -> F.Column:
 
 
 def clean_roster(raw: DataFrame) -> DataFrame:
-    """F9 + P8-P11: non-blank records as cleaned text fields plus marks."""
-    blank = reduce(lambda a, b: a & b, [_field(i) == "" for i in range(len(RAW_FIELDS))])
-    return raw.where(~blank).select(
+    """F9 + P8-P11: non-blank records as cleaned text fields plus marks.
+
+    A record is blank when no field holds text, whichever its number: the text
+    of a record with other than seven fields is tested without separators and
+    quotes."""
+    blank = reduce(lambda a, b: a & b, [_field(i) == "" for i in range(7)])
+    odd = X.strip_ws(F.translate(F.coalesce(F.col(RAW_ODD), F.lit("")), ';"' + X.PY_WHITESPACE, ""))
+    return raw.where(~(blank & (odd == ""))).select(
         "file", "block", "record",
         X.clean_company(F.coalesce(F.col("f0"), F.lit(""))).alias("company_name"),
         _field(1).alias("given_name"), _field(2).alias("surname"), _field(3).alias("note"),
@@ -38,17 +42,28 @@ def clean_roster(raw: DataFrame) -> DataFrame:
 
 
 # Outcome codes of a load.
-LOADED, TOO_LONG, UNREADABLE_DATE = "loaded", "too_long", "unreadable_date"
+LOADED, TOO_LONG, UNREADABLE_DATE, COMPANY_TOO_LONG = (
+    "loaded", "too_long", "unreadable_date", "company_too_long")
 
 
-def _too_long(clean: DataFrame) -> F.Column:
-    """True when a field is longer than its column allows (names of the
-    company and worker tables, the note)."""
-    limits = {"company_name": COMPANIES["company_name"].metadata["max_length"],
-              "given_name": WORKERS["given_name"].metadata["max_length"],
-              "surname": WORKERS["surname"].metadata["max_length"],
-              "note": WORKERS["note"].metadata["max_length"]}
-    return reduce(lambda a, b: a | b, [F.length(c) > n for c, n in limits.items()])
+def _longer(c: str, schema) -> F.Column:
+    return F.length(c) > schema[c].metadata["max_length"]
+
+
+def worker_too_long() -> F.Column:
+    """True when a field of the worker row is longer than its column allows."""
+    return _longer("given_name", WORKERS) | _longer("surname", WORKERS) | _longer("note", WORKERS)
+
+
+def company_too_long() -> F.Column:
+    return _longer("company_name", COMPANIES)
+
+
+def quarantine(clean: DataFrame) -> DataFrame:
+    """The cleaned fields of every record that is not, or not wholly, loaded:
+    one row per record with ``reason`` (too_long, else company_too_long)."""
+    return clean.where(worker_too_long() | company_too_long()).withColumn(
+        "reason", F.when(worker_too_long(), F.lit(TOO_LONG)).otherwise(F.lit(COMPANY_TOO_LONG)))
 
 
 def bulk_load(clean: DataFrame, C: DataFrame, W: DataFrame, skip_existing: bool = False,
@@ -61,18 +76,20 @@ def bulk_load(clean: DataFrame, C: DataFrame, W: DataFrame, skip_existing: bool
     Workers get ids after the largest stored id in (file, split, record)
     order, ``record_updated`` = 1, and NULL cancelled/temporary/role.
 
-    A record with a field longer than its column allows is not loaded
-    (outcome ``too_long``; the database would refuse the row), and its
-    company name is not created from it.  Every other record is ``loaded``;
-    a date text that is neither d/m/Y nor d-m-Y loads as NULL with the
-    warning ``unreadable_date``.
+    Each table refuses what breaks its own limits: a record with an over-long
+    name or note is not loaded as a worker (outcome ``too_long``), while its
+    company is created; an over-long company name is not created, and its worker
+    loads without a company (warning ``company_too_long``).  Every other record
+    is ``loaded``; a date text that is neither d/m/Y nor d-m-Y loads as NULL with
+    the warning ``unreadable_date``.  ``quarantine`` keeps the fields of refused
+    records.
     """
     # the cleaned records feed the names, the rows and the outcomes: clean
     # them once and keep the result in the shared checkpoint folder
     ensure_checkpoint_dir(clean.sparkSession)
-    checked = clean.withColumn("_too_long", _too_long(clean)).checkpoint(eager=True)
+    checked = clean.withColumn("_too_long", worker_too_long()).checkpoint(eager=True)
     ok = checked.where(~F.col("_too_long")).drop("_too_long")
-    names = ok.select("company_name").distinct()
+    names = checked.where(~company_too_long()).select("company_name").distinct()
     if skip_existing:
         names = names.join(C.select("company_name"), "company_name", "left_anti")
     new_c = assign_ids(names, ["company_name"], next_id(C, "company_id"), "company_id")
@@ -99,7 +116,8 @@ def bulk_load(clean: DataFrame, C: DataFrame, W: DataFrame, skip_existing: bool
     loaded = new_w.select("file", "block", "record", "worker_id")
     outcomes = checked.select(
         "file", "block", "record", "_too_long",
-        F.when((F.col("expiry_text") != "") & X.load_date("expiry_text").isNull(),
+        F.when(company_too_long(), F.lit(COMPANY_TOO_LONG))
+         .when((F.col("expiry_text") != "") & X.load_date("expiry_text").isNull(),
                F.lit(UNREADABLE_DATE)).alias("warning")
     ).join(loaded, ["file", "block", "record"], "left").select(
         "file", "block", "record", "worker_id",

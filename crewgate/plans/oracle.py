@@ -285,6 +285,7 @@ VIEWS.update({
          CASE WHEN event_id % 79 = 0 THEN NULL
               WHEN event_id % 97 = 0 THEN '2' WHEN event_id % 89 = 0 THEN 'x'
               WHEN event_id % 83 = 0 THEN NULL
+              WHEN event_id % 73 <> 0 AND event_id % 67 <> 0 AND event_id % 61 = 0 THEN 'x'
               WHEN value > 50 THEN '1' ELSE '0' END AS clicked,
          NOT (event_id % 79 <> 0 AND event_id % 97 <> 0 AND event_id % 89 <> 0
               AND event_id % 83 = 0) AS has_clicked
@@ -352,29 +353,32 @@ FLAG_SNAPSHOT = with_views("workers", "companies", "fc", extra={
   LEFT JOIN fl x ON x.type = 'worker' AND x.field = 'badge_cancelled' AND x.id = w.worker_id"""
 
 LOADED_ROWS = """
-  SELECT o_orderkey AS k, o_orderkey % 4 AS file_no,
-         CASE WHEN o_orderkey % 5 = 1 THEN 'FIRM ' ELSE 'Firm ' END
-           || CAST(o_custkey % 50 AS VARCHAR) AS company_name,
-         substr(o_orderpriority, 3) AS given_name,
-         CASE WHEN o_orderkey % 19 = 0 THEN ''
-              ELSE 'S' || CAST(o_orderkey % 997 AS VARCHAR) END AS surname,
-         CASE WHEN o_orderkey % 19 = 0 THEN ''
-              WHEN o_orderkey % 9 = 0 THEN 'a;b'
-              WHEN o_orderkey % 17 = 0 THEN 'line1' || chr(10) || 'line2'
+  SELECT *, length(given_name) > 50 OR length(note) > 100 AS too_long,
+         length(company_name) > 80 AS long_company
+  FROM (SELECT k, (k // 16000) * 4 + k % 4 AS file_no,
+         CASE WHEN odd THEN '' WHEN k % 41 = 0 THEN repeat('L', 81)
+              WHEN k % 5 = 1 THEN 'FIRM ' || firm ELSE 'Firm ' || firm END AS company_name,
+         CASE WHEN odd THEN '' WHEN k % 43 = 0 THEN repeat('G', 51)
+              ELSE substr(o_orderpriority, 3) END AS given_name,
+         CASE WHEN odd OR k % 19 = 0 THEN '' ELSE 'S' || CAST(k % 997 AS VARCHAR) END AS surname,
+         CASE WHEN odd OR k % 19 = 0 THEN '' WHEN k % 47 = 0 THEN repeat('n', 101)
+              WHEN k % 9 = 0 THEN 'a;b'
+              WHEN k % 17 = 0 THEN 'line1' || chr(10) || 'line2'
               ELSE o_orderstatus END AS note,
-         CASE WHEN o_orderkey % 19 <> 0 AND o_orderkey % 6 IN (0, 1, 2)
+         CASE WHEN NOT odd AND k % 19 <> 0 AND k % 6 IN (0, 1, 2)
               THEN CAST(o_orderdate AS DATE) END AS expiry_date,
-         CASE WHEN o_orderkey % 19 <> 0 AND o_orderkey % 3 = 0 THEN 1 ELSE 0 END
-           AS badge_issued,
-         CASE WHEN o_orderkey % 19 <> 0 AND o_orderkey % 4 = 0 THEN 1 ELSE 0 END
-           AS badge_valid
-  FROM orders WHERE o_orderkey % 29 <> 0"""
+         NOT odd AND k % 19 <> 0 AND k % 6 IN (3, 4) AS bad_date,
+         CASE WHEN NOT odd AND k % 19 <> 0 AND k % 3 = 0 THEN 1 ELSE 0 END AS badge_issued,
+         CASE WHEN NOT odd AND k % 19 <> 0 AND k % 4 = 0 THEN 1 ELSE 0 END AS badge_valid
+  FROM (SELECT *, o_orderkey AS k, CAST(o_custkey % 50 AS VARCHAR) AS firm,
+               o_orderkey % 31 = 0 OR o_orderkey % 37 = 0 AS odd
+        FROM orders WHERE o_orderkey % 29 <> 0))"""
 
 LOADED_COMPANIES = """
   SELECT company_name,
          (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY company_name)
            AS company_id
-  FROM (SELECT DISTINCT company_name FROM lr)"""
+  FROM (SELECT DISTINCT company_name FROM lr WHERE NOT long_company)"""
 
 ORACLE_SQL.update({
     "workers_by_ids": with_views("workers") + f"""
@@ -543,7 +547,7 @@ ORACLE_SQL.update({
          expiry_date, 1 AS record_updated, badge_valid, note,
          CAST(NULL AS INTEGER) AS badge_cancelled, CAST(NULL AS INTEGER) AS is_temporary,
          '' AS badge_number
-  FROM lr LEFT JOIN lk ON lower(lr.company_name) = lk.nk""",
+  FROM lr LEFT JOIN lk ON lower(lr.company_name) = lk.nk WHERE NOT too_long""",
     "bulk_load_companies": "WITH lr AS (" + LOADED_ROWS + "),\nnc AS (" + LOADED_COMPANIES
     + """)
   SELECT CAST(company_id AS BIGINT) AS company_id, company_name,
@@ -624,10 +628,11 @@ ORACLE_SQL["weekly_digest"] = with_views(*WCR, "recipients", extra={
 
 
 ORACLE_SQL["bulk_load_outcomes"] = "WITH lr AS (" + LOADED_ROWS + ")" + """
-  SELECT (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY file_no, k)
-           AS worker_id,
-         'loaded' AS outcome,
-         CASE WHEN k % 19 <> 0 AND k % 6 IN (3, 4) THEN 'unreadable_date' END AS warning
+  SELECT CASE WHEN NOT too_long THEN (SELECT max(o_orderkey) FROM orders)
+              + row_number() OVER (PARTITION BY too_long ORDER BY file_no, k) END AS worker_id,
+         CASE WHEN too_long THEN 'too_long' ELSE 'loaded' END AS outcome,
+         CASE WHEN long_company THEN 'company_too_long'
+              WHEN bad_date THEN 'unreadable_date' END AS warning
   FROM lr"""
 
 

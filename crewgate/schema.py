@@ -61,13 +61,12 @@ RECIPIENTS = T.StructType([
     _text("email", 100, nullable=False),
 ])
 
-# Flag-change record, as parsed from one JSON object per change.
-FLAG_CHANGE_JSON = "type string, id bigint, field string, clicked string"
-
-# Raw roster CSV: seven positional fields plus one spare column that catches
-# surplus fields, so that a row whose only text is in field 8+ is not blank.
+# Raw roster CSV: seven positional fields, and the text of every record that
+# has another number of fields (short ones, and ones with surplus fields).
+RAW_ODD = "odd_record"
 RAW_ROSTER = T.StructType(
-    [T.StructField(f"f{i}", T.StringType(), True) for i in range(8)])
+    [T.StructField(f"f{i}", T.StringType(), True) for i in range(7)]
+    + [T.StructField(RAW_ODD, T.StringType(), True)])
 
 # Flag fields a change record may set, by entity type.
 WORKER_FLAGS = ("record_updated", "badge_issued", "badge_valid", "badge_cancelled")

@@ -1,8 +1,9 @@
 """Raw roster CSV (S2, S3) and the cleaned CSV writer (K2).
 
 Format: ';' separator, UTF-8, '"' quotes (doubled inside a field), two
-header records at the top of *every* file, then up to seven positional
-fields; short rows read as empty, surplus fields are ignored.
+header records at the top of *every* file, then seven positional fields;
+missing ones read as NULL, and the text of a record with fewer or more fields
+is kept whole in ``odd_record``.
 
 Header records are found without a per-file window: inside one file split
 the records carry consecutive ``monotonically_increasing_id`` values, so the
@@ -18,8 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crewgate.operators.sizing import BROADCAST_MAX_ROWS, small_side
-from crewgate.schema import RAW_ROSTER
+from crewgate.schema import RAW_ODD, RAW_ROSTER
 from crewgate.session import ensure_checkpoint_dir
 
 HEADER_RECORDS = 2
@@ -29,9 +29,9 @@ RAW_FIELDS = [f.name for f in RAW_ROSTER.fields]
 def read_roster_csv(spark: SparkSession, path: str, multi_line: bool = True,
                     header_records: int = HEADER_RECORDS,
                     materialize: bool = True) -> DataFrame:
-    """Data records of every CSV file under ``path`` as f0..f7 text
-    (NULL for absent fields) with ``file`` and ``record`` (0-based record
-    number in its file split; header records removed).
+    """Data records of every CSV file under ``path`` as f0..f6 text
+    (NULL for absent fields) and ``odd_record``, with ``file`` and ``record``
+    (0-based record number in its file split; header records removed).
 
     With ``materialize`` the parsed records are checkpointed once (to the
     shared checkpoint folder): the split starts, the numbering and every
@@ -41,6 +41,7 @@ def read_roster_csv(spark: SparkSession, path: str, multi_line: bool = True,
     src = (spark.read.schema(RAW_ROSTER)
            .option("sep", ";").option("quote", '"').option("escape", '"')
            .option("multiLine", str(multi_line).lower()).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", RAW_ODD)
            .option("encoding", "UTF-8").option("recursiveFileLookup", "true")
            .csv(path))
     raw = (src.select(*RAW_FIELDS,
@@ -51,12 +52,6 @@ def read_roster_csv(spark: SparkSession, path: str, multi_line: bool = True,
         ensure_checkpoint_dir(spark)
         raw = raw.checkpoint(eager=True)
     starts = raw.groupBy("file", "_block").agg(F.min("_mid").alias("_first"))
-    # one row per file split: with multiLine a file is one split, so the
-    # file listing Spark already holds bounds it without a counting job
-    if multi_line and len(src.inputFiles()) <= BROADCAST_MAX_ROWS:
-        starts = F.broadcast(starts)
-    elif not multi_line:
-        starts = small_side(starts)
     numbered = raw.join(starts, ["file", "_block"]) \
                   .withColumn("record", F.col("_mid") - F.col("_first"))
     return (numbered.where((F.col("_block") > 0) | (F.col("record") >= header_records))

@@ -59,7 +59,7 @@ def workers(spark: SparkSession, sf_dir: str) -> DataFrame:
     temporary = F.col("o_orderstatus") == "P"
     return conform(o.select(
         k.alias("worker_id"),
-        F.substring("o_orderpriority", 3, 1 << 20).alias("given_name"),
+        F.expr("substring(o_orderpriority, 3)").alias("given_name"),
         F.concat(F.lit("S"), (k % 997).cast("string")).alias("surname"),
         F.col("o_custkey").alias("company_id"),
         F.when(k % 4 == 0, k % 137).alias("role_id"),
@@ -114,7 +114,7 @@ def worker_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     branch = k % 6
-    given = F.substring("o_orderpriority", 3, 1 << 20)
+    given = F.expr("substring(o_orderpriority, 3)")
     existing_company = _pad_name("Customer#", F.col("o_custkey"))
     return o.select(
         k.alias("seq"),
@@ -189,15 +189,24 @@ def flag_change_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     ident = (F.when(k % 109 == 0, F.lit(None).cast("long"))
              .when(k % 107 == 0, F.col("user_id") + F.lit(1_000_000_000))
              .otherwise(F.col("user_id")))
-    clicked = (F.when(k % 97 == 0, F.lit("2"))
-               .when(k % 89 == 0, F.lit("x"))
+    on = F.col("value") > 50
+    yes = lambda a, b: F.when(on, F.lit(a)).otherwise(F.lit(b))
+    # the "clicked" token as JSON text: null, text, boolean, number; NULL = no such key
+    clicked = (F.when(k % 79 == 0, F.lit("null"))
+               .when(k % 97 == 0, F.lit('"2"')).when(k % 89 == 0, F.lit('"x"'))
                .when(k % 83 == 0, F.lit(None).cast("string"))
-               .otherwise(F.when(F.col("value") > 50, F.lit("1")).otherwise(F.lit("0"))))
-    head = [etype.alias("type"), ident.alias("id"), field.alias("field")]
-    # every 79th record carries an explicit JSON null for "clicked"
-    json = F.when(k % 79 == 0, F.regexp_replace(F.to_json(F.struct(*head)), "}$",
-                                                ',"clicked":null}')) \
-        .otherwise(F.to_json(F.struct(*head, clicked.alias("clicked"))))
+               .when(k % 73 == 0, yes("true", "false")).when(k % 67 == 0, yes("1.0", "0.0"))
+               .when(k % 61 == 0, F.lit('"1.0"')).when(k % 59 == 0, yes("1", "0"))
+               .otherwise(yes('"1"', '"0"')))
+    number = ident.cast("string")
+    json = F.concat(
+        F.lit("{"), F.concat_ws(
+            ",", F.concat(F.lit('"type":"'), etype, F.lit('"')),
+            F.concat(F.lit('"id":'), F.when(k % 71 == 0, F.concat(F.lit('" '), number, F.lit(' "')))
+                     .otherwise(number)),
+            F.concat(F.lit('"field":"'), field, F.lit('"')),
+            F.concat(F.lit('"clicked":'), clicked)),
+        F.lit("}"))
     return e.select(k.alias("seq"),
                     F.concat(F.lit("user"), (F.col("user_id") % 4).cast("string")).alias("actor"),
                     json.alias("change"))
@@ -242,7 +251,6 @@ def contact_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The two header records every raw roster file starts with.
 RAW_HEADERS = ('Company;Given name;Surname;Note;"Expiry\ndate";Issued;Valid',
                'Roster of the site office;;;;;;')
-RAW_FILES = 4
 
 
 def raw_roster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,20 +259,23 @@ def raw_roster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     Rows hold every irregularity the loader must take: '*'-wrapped and
     case-variant company names, tabs and NBSP round values, quoted ';' and
     quoted newlines, dates in d/M/yyyy, dd-MM-yyyy, impossible and two-digit
-    forms, lower-case marks, 2-field rows, 8-field rows and blank rows.
+    forms, lower-case marks, over-long company names, names and notes, 2-field and
+    8-field rows, rows whose only text is in field 9 or 12, and blank rows.
     """
     from crewgate.sources.roster_csv import csv_field
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     firm = (F.col("o_custkey") % 50).cast("string")
-    company = (F.when(k % 5 == 0, F.concat(F.lit("** Firm "), firm, F.lit(" *")))
+    company = (F.when(k % 41 == 0, F.repeat(F.lit("L"), 81))
+                .when(k % 5 == 0, F.concat(F.lit("** Firm "), firm, F.lit(" *")))
                 .when(k % 5 == 1, F.concat(F.lit("*FIRM "), firm))
                 .otherwise(F.concat(F.lit("Firm "), firm)))
-    given = F.substring("o_orderpriority", 3, 1 << 20)
+    given = F.when(k % 43 == 0, F.repeat(F.lit("G"), 51)).otherwise(
+        F.expr("substring(o_orderpriority, 3)"))
     given = F.when(k % 7 == 0, F.concat(F.lit("\u00a0"), given, F.lit("\u2003"))) \
              .otherwise(F.concat(F.lit(" "), given, F.lit("\t")))
     surname = F.concat(F.lit("S"), (k % 997).cast("string"))
-    note = (F.when(k % 9 == 0, F.lit("a;b")).when(k % 17 == 0, F.lit("line1\nline2"))
+    note = (F.when(k % 47 == 0, F.repeat(F.lit("n"), 101)).when(k % 9 == 0, F.lit("a;b")).when(k % 17 == 0, F.lit("line1\nline2"))
              .otherwise(F.col("o_orderstatus")))
     d = F.col("o_orderdate")
     expiry = (F.when(k % 6 == 0, F.date_format(d, "dd/MM/yyyy"))
@@ -277,11 +288,15 @@ def raw_roster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid = F.when(k % 4 == 0, F.lit(" X ")).otherwise(F.lit(""))
     fields = [csv_field(c) for c in (company, given, surname, note, expiry, issued, valid)]
     line = (F.when(k % 29 == 0, F.lit(";;;;;;"))
+             .when(k % 31 == 0, F.lit(";;;;;;;;y"))
+             .when(k % 37 == 0, F.lit(' ;;"";;;;;;;;;z'))
              .when(k % 19 == 0, F.concat_ws(";", *fields[:2]))
              .when(k % 23 == 0, F.concat_ws(";", *fields, F.lit("extra")))
              .otherwise(F.concat_ws(";", *fields)))
-    data = o.select((k % RAW_FILES).alias("file_no"), k.alias("ord"), line.alias("value"))
-    heads = spark.range(RAW_FILES).select(F.col("id").alias("file_no")).select(
+    # a file holds 4,000 order numbers' rows: the file count grows with the table
+    number = (F.floor(k / 16000) * 4 + k % 4).cast("string")
+    data = o.select(F.lpad(number, 8, "0").alias("file_no"), k.alias("ord"), line.alias("value"))
+    heads = data.select("file_no").distinct().select(
         "file_no", F.inline(F.array(*[
             F.struct(F.lit(i - len(RAW_HEADERS)).cast("long").alias("ord"), F.lit(h).alias("value"))
             for i, h in enumerate(RAW_HEADERS)])))
@@ -289,17 +304,19 @@ def raw_roster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_raw_roster(spark: SparkSession, sf_dir: str, path: str) -> str:
-    """Write the raw roster as RAW_FILES CSV files (one folder each)."""
+    """Write the raw roster as CSV files, one folder each."""
     lines = raw_roster_lines(spark, sf_dir)
-    (lines.repartition(RAW_FILES, "file_no").sortWithinPartitions("file_no", "ord")
+    (lines.repartition("file_no").sortWithinPartitions("file_no", "ord")
           .select("file_no", "value")
           .write.mode("error").partitionBy("file_no").text(path))
     return path
 
 
-def write_change_files(spark: SparkSession, sf_dir: str, path: str, files: int = 4) -> str:
-    """The change records as JSON-lines files; records are spread by hash, so
-    later files hold smaller seq values too (late arrivals)."""
+def write_change_files(spark: SparkSession, sf_dir: str, path: str, files: int = 4,
+                       rows_per_file: int = 5000) -> str:
+    """The change records as JSON-lines files of at most ``rows_per_file`` records
+    (so their number grows with the table); records are spread by hash, so later
+    files hold smaller seq values too (late arrivals)."""
     (flag_change_records(spark, sf_dir).repartition(files, "seq")
-        .write.mode("error").json(path))
+        .write.mode("error").option("maxRecordsPerFile", rows_per_file).json(path))
     return path

@@ -92,21 +92,41 @@ def test_clean_csv_round_trip(spark, scratch):
         sorted(tuple(r) for r in clean.select(*cols).collect())
 
 
-def test_too_long_rows_are_not_loaded(spark, scratch):
+def test_each_table_refuses_its_own_over_long_fields(spark, scratch):
     d = os.path.join(scratch, "long")
     os.makedirs(d)
     with open(os.path.join(d, "a.csv"), "w", encoding="utf-8") as fh:
         fh.write("h1\nh2\n")
         fh.write("Acme;Ann;Lee;;;;\n")
-        fh.write(f"Acme;{'x' * 51};Lee;;;;\n")
-        fh.write(f"{'Long' * 30};Bo;Ray;;;;\n")
+        fh.write(f"Beta;{'x' * 51};Lee;;31/31/2024;;\n")     # worker refused, company created
+        fh.write(f"{'Long' * 30};Bo;Ray;;31/31/2024;;\n")    # company refused, worker loaded
+        fh.write(f"{'Long' * 30};{'x' * 51};Ray;;;;\n")      # both refused
     C = spark.createDataFrame([], COMPANIES)
     W = spark.createDataFrame([], WORKERS)
     clean = load.clean_roster(roster_csv.read_roster_csv(spark, d))
     new_c, new_w, out = load.bulk_load(clean, C, W)
-    assert [r["company_name"] for r in new_c.collect()] == ["Acme"]
-    assert [r["given_name"] for r in new_w.collect()] == ["Ann"]
-    assert sorted(r["outcome"] for r in out.collect()) == ["loaded", "too_long", "too_long"]
+    assert sorted(r["company_name"] for r in new_c.collect()) == ["Acme", "Beta"]
+    assert [(r["given_name"], r["company_id"]) for r in new_w.orderBy("worker_id").collect()] \
+        == [("Ann", 1), ("Bo", None)]
+    assert [(r["outcome"], r["warning"]) for r in out.orderBy("record").collect()] == [
+        ("loaded", None), ("too_long", "unreadable_date"), ("loaded", "company_too_long"),
+        ("too_long", "company_too_long")]
+    kept = load.quarantine(clean).orderBy("record").collect()
+    assert [(r["company_name"][:4], len(r["given_name"]), r["reason"]) for r in kept] == [
+        ("Beta", 51, "too_long"), ("Long", 2, "company_too_long"), ("Long", 51, "too_long")]
+
+
+def test_text_in_any_field_makes_a_record(spark, scratch):
+    d = os.path.join(scratch, "wide")
+    os.makedirs(d)
+    lines = [";;;;;;", "", "   ", ";;;;;;;;y", ";;;;;;;;;;;z", ';;"";;;;;; ;', ";\u00a0;",
+             "Acme;Ann", "Acme;Bo;Ray;;;;;surplus", "Acme;Cy;Fox;;;X;X;a;b;c"]
+    with open(os.path.join(d, "a.csv"), "w", encoding="utf-8") as fh:
+        fh.write("\n".join(["h1", "h2", *lines]) + "\n")
+    rows = load.clean_roster(roster_csv.read_roster_csv(spark, d)).orderBy("record").collect()
+    assert [(r["company_name"], r["given_name"], r["surname"], r["valid_mark"]) for r in rows] == [
+        ("", "", "", ""), ("", "", "", ""), ("Acme", "Ann", "", ""), ("Acme", "Bo", "Ray", ""),
+        ("Acme", "Cy", "Fox", "X")]
 
 
 def test_split_files_drop_headers_only_at_start(spark, scratch):
