@@ -5,7 +5,8 @@ keys.  With one key this is "lowest seq per key"; with two keys (name OR VAT)
 acceptance is not transitive, and the result is the greedy matching of the
 requests taken in seq order (each request an edge between its key values).
 
-The job runs in rounds, each a handful of joins and aggregations:
+Requests that share no key value with another one are accepted at once.  The
+others go through rounds, each a handful of joins and aggregations:
 
 1. per key value, the lowest seq among remaining requests (partial
    aggregation, so a key held by a third of all rows is reduced map-side);
@@ -17,11 +18,11 @@ The job runs in rounds, each a handful of joins and aggregations:
    (accepted requests of one round never share a key, so these joins have a
    unique right side).
 
-The globally lowest remaining request is always accepted, so every round
-makes progress; on random arrival orders the number of rounds is small
-(Blelloch, Fineman, Shun, SPAA 2012).  ``remaining`` is checkpointed to the
-shared checkpoint folder each round, so lineage stays flat and a lost
-executor recomputes one round only.
+Rows with a NULL key are spread over the tasks of the join on it.  The globally lowest remaining
+request is always accepted, so every round makes progress; on random arrival
+orders the number of rounds is small (Blelloch, Fineman, Shun, SPAA 2012).
+Each round is checkpointed once to the shared checkpoint folder, so lineage
+stays flat and a lost executor recomputes one round only.
 """
 
 from __future__ import annotations
@@ -44,25 +45,57 @@ def first_by_keys(df: DataFrame, keys: list[str], order: str,
     """
     ensure_checkpoint_dir(df.sparkSession)
     cols = [order, *keys]
-    remaining = df.select(*cols).checkpoint(eager=True)
-    rounds = []
-    while not remaining.isEmpty():
-        cand = remaining
-        for k in keys:
-            low = (remaining.where(F.col(k).isNotNull()).groupBy(k)
-                            .agg(F.min(order).alias(f"_low_{k}")))
-            cand = cand.join(low, k, "left")
-        lowest = reduce(lambda a, b: a & b,
-                        [F.col(f"_low_{k}").isNull() | (F.col(f"_low_{k}") == F.col(order))
-                         for k in keys])
-        won = cand.where(lowest).select(*cols).checkpoint(eager=True)
-        rounds.append(won)
-        left = remaining.join(won.select(order), order, "left_anti")
-        for k in keys:
-            left = left.join(won.select(k).where(F.col(k).isNotNull()), k, "left_anti")
-        remaining = left.select(*cols).checkpoint(eager=True)
+    state = df.select(*cols)
+    for k in keys:
+        shared = _per_key(state, k, F.count(F.lit(1)).alias("_n")).where("_n > 1").select(
+            k, "_salt", F.lit(True).alias(f"_hit_{k}"))
+        state = _join_known(state, shared, k, order)
+    free = reduce(lambda a, b: a & b, [F.col(f"_hit_{k}").isNull() for k in keys])
+    state = state.select(*cols, F.when(free, F.lit(ACCEPTED)).otherwise(F.lit(OPEN))
+                         .alias("_status")).checkpoint(eager=True)
+    accepted, rounds = [state], 0
+    while not state.where(F.col("_status") == OPEN).isEmpty():
+        state = _round(state.where(F.col("_status") == OPEN).select(*cols), keys, order) \
+            .checkpoint(eager=True)
+        accepted.append(state)
+        rounds += 1
     if stats is not None:
-        stats["rounds"] = len(rounds)
-    if not rounds:
-        return remaining
-    return reduce(DataFrame.unionByName, rounds)
+        stats["rounds"] = rounds
+    return reduce(DataFrame.unionByName, [
+        s.where(F.col("_status") == ACCEPTED).select(*cols) for s in accepted])
+
+
+OPEN, ACCEPTED, REJECTED = 0, 1, 2
+
+
+def _per_key(df: DataFrame, k: str, value) -> DataFrame:
+    """One row per value of ``k`` (NULL left out), with the salt 0 of real keys."""
+    return df.where(F.col(k).isNotNull()).groupBy(k).agg(
+        value, (F.count(F.lit(1)) * 0).alias("_salt"))
+
+
+def _join_known(df: DataFrame, right: DataFrame, k: str, order: str) -> DataFrame:
+    """Left join on ``k``.  A NULL key matches nothing; its rows are spread over the
+    tasks by their order instead of meeting in one."""
+    salt = F.when(F.col(k).isNull(), F.col(order)).otherwise(F.lit(0)).cast("long")
+    return df.withColumn("_salt", salt).join(right, [k, "_salt"], "left").drop("_salt")
+
+
+def _round(remaining: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``remaining`` with the status that this round gives each row."""
+    cols = [order, *keys]
+    cand = remaining
+    for k in keys:
+        low = _per_key(remaining, k, F.min(order).alias(f"_low_{k}"))
+        cand = _join_known(cand, low, k, order)
+    lowest = reduce(lambda a, b: a & b,
+                    [F.col(f"_low_{k}").isNull() | (F.col(f"_low_{k}") == F.col(order))
+                     for k in keys])
+    cand = cand.select(*cols, lowest.alias("_won"))
+    out = cand
+    for k in keys:
+        taken = _per_key(cand.where("_won"), k, F.min(order).alias(f"_hit_{k}"))
+        out = _join_known(out, taken, k, order)
+    hit = reduce(lambda a, b: a | b, [F.col(f"_hit_{k}").isNotNull() for k in keys])
+    return out.select(*cols, F.when(F.col("_won"), F.lit(ACCEPTED))
+                      .when(hit, F.lit(REJECTED)).otherwise(F.lit(OPEN)).alias("_status"))

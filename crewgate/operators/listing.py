@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crewgate.functions import exprs as X
+from crewgate.operators.keys import assign_ids
 from crewgate.operators.sizing import restrict_to
 
 # J1 J2 J4 --------------------------------------------------------------------
@@ -96,6 +97,11 @@ def company_picker(C: DataFrame, contains: str | None = None,
             .orderBy(X.sort_key("company_name", collation).asc(), F.col("company_id").asc())
 
 
+def positioned(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with ``position`` (from 0) in the given order, which must be total."""
+    return assign_ids(rows, order, 0, "position")
+
+
 # O3 -------------------------------------------------------------------------
 def list_roles(R: DataFrame) -> DataFrame:
     return R.select("role_id", "role_name").orderBy("role_id")

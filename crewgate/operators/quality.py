@@ -56,15 +56,6 @@ def existing_companies(cand: DataFrame, C: DataFrame,
     return by_name.unionByName(by_vat).drop("_nk", "_vk")
 
 
-def new_companies_or_form(cand: DataFrame, C: DataFrame) -> DataFrame:
-    """The same result written as one OR join (kept to compare plans)."""
-    stored = C.select(X.name_key("company_name").alias("_snk"),
-                      X.stored_vat_key("vat_number").alias("_svk"))
-    keyed = with_candidate_keys(cand)
-    cond = (keyed["_nk"] == stored["_snk"]) | (keyed["_vk"] == stored["_svk"])
-    return keyed.join(stored, cond, "left_anti").drop("_nk", "_vk")
-
-
 # J6 -------------------------------------------------------------------------
 WORKER_KEY = ("_gk", "_sk", "company_id")
 
@@ -73,10 +64,6 @@ def worker_key_cols(given="given_name", surname="surname", collation: str | None
     return [X.fold(given, collation).alias("_gk"), X.fold(surname, collation).alias("_sk")]
 
 
-def stored_worker_keys(W: DataFrame) -> DataFrame:
-    return W.select(*worker_key_cols(), "company_id").dropna().distinct()
-
-
 def stored_matches(keyed: DataFrame, W: DataFrame, collation: str | None = None) -> DataFrame:
     """Worker keys of ``keyed`` (which has _gk, _sk, company_id) that a stored
     worker holds; W is filtered against the batch's keys, not shuffled whole."""

@@ -10,6 +10,8 @@ from a one-partition window.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,13 +20,12 @@ from crewgate.functions import exprs as X
 from crewgate.operators.keys import assign_ids
 from crewgate.operators.listing import roster
 
-# Column headers and titles of the three reports (our wording).
+# Column headers of the three reports.
 FULL_HEADERS = ("COMPANY", "GIVEN NAME", "SURNAME", "ROLE", "DOCUMENTS EXPIRY",
                 "BADGE ISSUED", "BADGE VALID")
 WEEKLY_HEADERS = ("COMPANY", "GIVEN NAME", "SURNAME", "ROLE", "DOCUMENTS EXPIRY")
 EXPIRED_HEADERS = ("GIVEN NAME", "SURNAME", "COMPANY", "DOCUMENTS EXPIRY")
-WEEKLY_TITLE = "VALID BADGE LIST"
-SECTION_TITLES = {"temporary": "Temporary badges", "permanent": "Staff"}
+SECTION_TITLES = {"temporary": "Short-term holders", "permanent": "Regular holders"}
 
 
 def _section_ord(c="section"):
@@ -161,60 +162,93 @@ def expired_widths(rows: DataFrame) -> DataFrame:
 
 
 # U3 K3 ----------------------------------------------------------------------
-def report_lines(rows: DataFrame, as_of: dt.date, collation: str | None = None) -> DataFrame:
-    """The weekly report as numbered sheet lines.
-
-    ``rows`` is ``weekly_valid`` output.  Line 0 is the title, 1 the header;
-    each non-empty section gets a heading line and its data lines; totals
-    follow after two blank lines.  ``line_no`` is the sheet row, so gaps
-    are blank rows.  Data positions come from ``assign_ids`` (range sort).
+@dataclass(frozen=True)
+class ReportSpec:
+    """Layout of a report: its title, the header and source column of every cell,
+    the data order (columns, or a function of the collation), whether rows come
+    in two sections, and the totals after ``gap`` blank lines."""
+    title: str
+    headers: tuple
+    columns: tuple
+    order: Callable
+    sections: bool = True
+    gap: int = 0
+    totals: tuple = ()
+
+
+def full_order(collation: str | None = None) -> list:
+    return [X.sort_key("company_name", collation), F.col("worker_id")]
+
+
+def expired_order(collation: str | None = None) -> list:
+    return [_section_ord(), -F.col("is_temporary"), X.sort_key("company_name", collation),
+            X.sort_key("surname", collation), X.sort_key("given_name", collation),
+            F.col("worker_id")]
+
+
+FULL = ReportSpec(
+    "Site roster, state of {day}", FULL_HEADERS,
+    ("company_name", "given_name", "surname", "role_name", "expiry_text", "issued_mark",
+     "valid_mark"), full_order, sections=False)
+WEEKLY = ReportSpec(
+    "Active badges by company, state of {day}", WEEKLY_HEADERS,
+    ("company_name", "given_name", "surname", "role_name", "expiry_text"), weekly_order, gap=2,
+    totals=("{n_companies} companies listed", "{n_rows} badge holders listed"))
+EXPIRED = ReportSpec(
+    "Badges with lapsed documents, state of {day}", EXPIRED_HEADERS,
+    ("given_name", "surname", "company_name", "expiry_text"), expired_order, gap=1,
+    totals=("{n_temporary} short-term badges", "{n_permanent} regular badges",
+            "{n_rows} badges in all"))
+
+
+def report_lines(rows: DataFrame, spec: ReportSpec, as_of: dt.date,
+                 collation: str | None = None) -> DataFrame:
+    """A report as numbered sheet lines (line_no, kind, section, c0, c1, ...).
+
+    ``rows`` is the output of ``full_roster``, ``weekly_valid`` or ``expired``.
+    Line 0 is the title, 1 the header; with sections, each non-empty one gets a
+    heading line and its data lines; totals follow the blank lines.  ``line_no``
+    is the sheet row, so gaps are blank rows.  Data positions come from
+    ``assign_ids`` (range sort).
     """
-    ordered = rows.select(
-        "worker_id", "section", "company_name", "given_name", "surname", "role_name",
-        "expiry_text", _section_ord().alias("_sord"),
-        X.fold("company_name", collation).alias("_k1"), X.fold("surname", collation).alias("_k2"),
-        X.fold("given_name", collation).alias("_k3"))
-    positioned = assign_ids(ordered, ["_sord", "_k1", "_k2", "_k3", "worker_id"], 0, "_p")
+    cells = [f"c{i}" for i in range(len(spec.headers))]
+    section = F.col("section") if spec.sections else F.lit(None).cast("string")
+    keys = [f"_k{i}" for i in range(len(spec.order(collation)))]
+    order = spec.order(collation)
+    ordered = rows.withColumn("_section", section)
+    # only cells, section and sort keys are moved; the order is kept as columns
+    kept = ordered.select(
+        "_section", F.nullif(F.col("company_name"), F.lit("")).alias("_firm"),
+        *[X.blank_if_null(c).alias(n) for c, n in zip(spec.columns, cells)],
+        *[o.alias(k) for o, k in zip(order, keys)])
+    positioned = assign_ids(kept, keys, 0, "_p")
     # one summary row (four counts) is all the driver sees; it is counted
     # from the checkpointed positions, not by re-running the report's joins
-    t = _weekly_summary(positioned).first().asDict()
-    shift = 1 if t["n_temporary"] > 0 else 0
+    t = positioned.agg(
+        F.count_if(F.col("_section") == "temporary").alias("n_temporary"),
+        F.count_if(F.col("_section") == "permanent").alias("n_permanent"),
+        F.count_distinct("_firm").alias("n_companies"),
+        F.count(F.lit(1)).alias("n_rows")).first().asDict()
+    n_t, n_p = t["n_temporary"], t["n_permanent"]
+    headings = int(spec.sections and n_t > 0)
+    first = 2 + headings
     data = positioned.select(
-        (F.lit(3) + F.col("_p") + F.when(F.col("section") == "permanent", F.lit(shift))
-         .otherwise(F.lit(0))).cast("long").alias("line_no"),
-        F.lit("data").alias("kind"), "section",
-        F.col("company_name").alias("c0"), F.col("given_name").alias("c1"),
-        F.col("surname").alias("c2"), F.col("role_name").alias("c3"),
-        F.col("expiry_text").alias("c4"))
-    stamp = as_of.strftime("%d-%m-%Y")
-    perm_heading = 2 + (t["n_temporary"] + 1 if t["n_temporary"] > 0 else 0)
-    end = perm_heading + (t["n_permanent"] + 1 if t["n_permanent"] > 0 else 0)
-    fixed = [(0, "title", None, f"{WEEKLY_TITLE} (updated {stamp})"),
-             (1, "header", None, *WEEKLY_HEADERS)]
-    if t["n_temporary"] > 0:
+        (F.lit(first) + F.col("_p")
+         + F.when(F.col("_section") == "permanent", F.lit(1)).otherwise(F.lit(0)))
+        .cast("long").alias("line_no"),
+        F.lit("data").alias("kind"), F.col("_section").alias("section"), *cells)
+    fixed = [(0, "title", None, spec.title.format(day=as_of.strftime("%d-%m-%Y"))),
+             (1, "header", None, *spec.headers)]
+    if headings:
         fixed.append((2, "section", "temporary", SECTION_TITLES["temporary"]))
-    if t["n_permanent"] > 0:
-        fixed.append((perm_heading, "section", "permanent", SECTION_TITLES["permanent"]))
-    fixed.append((end + 2, "total", None, f"Companies shown: {t['n_companies']}"))
-    fixed.append((end + 3, "total", None, f"Workers shown: {t['n_workers']}"))
-    fixed = [tuple(r) + (None,) * (8 - len(r)) for r in fixed]
-    spark = rows.sparkSession
-    head = spark.createDataFrame(fixed, LINE_SCHEMA)
-    return data.unionByName(head)
-
-
-LINE_SCHEMA = ("line_no long, kind string, section string, c0 string, c1 string, "
-               "c2 string, c3 string, c4 string")
-
-
-def _weekly_summary(rows: DataFrame) -> DataFrame:
-    """One row with the section counts and the totals of ``rows``."""
-    s = F.col("section")
-    return rows.agg(F.count_if(s == "temporary").alias("n_temporary"),
-                    F.count_if(s == "permanent").alias("n_permanent"),
-                    F.count_distinct(F.nullif(F.col("company_name"), F.lit("")))
-                    .alias("n_companies"),
-                    F.count(F.lit(1)).alias("n_workers"))
+    if spec.sections and n_p > 0:
+        fixed.append((2 + headings + n_t, "section", "permanent", SECTION_TITLES["permanent"]))
+    end = 2 + t["n_rows"] + headings + int(spec.sections and n_p > 0) + spec.gap
+    fixed += [(end + i, "total", None, text.format(**t)) for i, text in enumerate(spec.totals)]
+    fixed = [tuple(r) + (None,) * (3 + len(cells) - len(r)) for r in fixed]
+    schema = "line_no long, kind string, section string, " + ", ".join(
+        f"{c} string" for c in cells)
+    return data.unionByName(rows.sparkSession.createDataFrame(fixed, schema))
 
 
 def write_lines(lines: DataFrame, path: str, by_section: bool = False) -> None:
@@ -253,9 +287,9 @@ EXPIRED_BODY = ("As of {day}, {t} temporary and {p} permanent badge holders have
                 "documents.")
 NONE_EXPIRED_BODY = "As of {day}, no badge holder has expired documents."
 EXPIRED_ATTACHMENT = "expired_badges_{stamp}.csv"
-WEEKLY_SUBJECT = "Weekly site access report - {day}"
-WEEKLY_BODY = "Attached: the valid badge list as of {day}: {w} workers of {c} companies."
-WEEKLY_ATTACHMENT = "report_{stamp}.csv"
+WEEKLY_SUBJECT = "Active badges on {day}"
+WEEKLY_BODY = "{w} holders of an active badge from {c} companies are listed, state of {day}."
+WEEKLY_ATTACHMENT = "active_badges_{stamp}.csv"
 
 
 def _messages(to: DataFrame, subject: str, body: str, attachment: str | None,

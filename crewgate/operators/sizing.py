@@ -1,50 +1,20 @@
-"""Size-checked broadcast.
+"""Semi-join reduction of a reference table by a batch of requests.
 
-A broadcast hint is given only after a bounded check — ``limit(n + 1).count()``
-reads at most n + 1 rows — proves the side small.  Beyond the bound the frame
-is returned unhinted: Spark then plans a shuffle join, AQE may still switch to
-a broadcast from runtime sizes, and its skew-join rule splits hot keys.
+The batch's distinct keys filter the table, so that only rows that matter are
+aggregated or joined later.  Which side is broadcast, if any, is left to the
+planner's byte threshold and to AQE's runtime sizes.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Rows a dimension may have and still be broadcast (roles, lookup frames).
-BROADCAST_MAX_ROWS = 200_000
 
+def present_keys(big: DataFrame, probe: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct key tuples of ``probe`` that occur in ``big``."""
+    return restrict_to(big.select(*keys), probe, keys).distinct()
 
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
 
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when df has at most ``max_rows`` rows, else df."""
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
-
-
-def present_keys(big: DataFrame, probe: DataFrame, keys: list[str],
-                 max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Distinct key tuples of ``probe`` that occur in ``big``.
-
-    Semi-join reduction for checking a batch of requests against a fact
-    table: when the batch's distinct keys are few (bounded check), ``big`` is
-    scanned once against their broadcast and never shuffled; only the hits
-    are then de-duplicated.  Otherwise both sides are shuffled on the keys.
-    """
-    wanted = probe.select(*keys).dropna().distinct()
-    side = F.broadcast(wanted) if has_at_most(wanted, max_rows) else wanted
-    return big.select(*keys).join(side, keys, "left_semi").distinct()
-
-
-def restrict_to(big: DataFrame, probe: DataFrame, keys: list[str],
-                max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Rows of ``big`` whose keys occur in ``probe`` — filtered against a
-    broadcast of the probe's distinct keys when they are few (bounded check),
-    so that a later aggregation of ``big`` only sees the rows that matter.
-    Beyond the bound ``big`` is returned whole."""
-    wanted = probe.select(*keys).dropna().distinct()
-    if not has_at_most(wanted, max_rows):
-        return big
-    return big.join(F.broadcast(wanted), keys, "left_semi")
+def restrict_to(big: DataFrame, probe: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``big`` whose keys occur in ``probe``."""
+    return big.join(probe.select(*keys).dropna().distinct(), keys, "left_semi")

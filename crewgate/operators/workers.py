@@ -47,28 +47,10 @@ def add_workers(cand: DataFrame, W: DataFrame, C: DataFrame,
         X.bad_iso_date("expiry_date").alias("_bad_date"),
         X.checkbox("is_temporary").alias("_temp"),
         *quality.worker_key_cols(collation=collation))
-    # the resolved batch feeds four consumers (size check, stored matches,
-    # first per key, outcomes): write it once to the shared checkpoint folder
+    # the resolved batch feeds three consumers (stored keys, first per key, the
+    # decision): write it once to the shared checkpoint folder
     ensure_checkpoint_dir(r.sparkSession)
-    r = r.checkpoint(eager=True)
-    stored = quality.stored_matches(r, W, collation).withColumn("_stored", F.lit(True))
-    r = r.join(stored, list(quality.WORKER_KEY), "left")
-    early = (F.when(F.col("company_name") == "", F.lit(NO_COMPANY))
-              .when(F.col("_bad_role"), F.lit(BAD_ROLE))
-              .when(F.col("_bad_date"), F.lit(BAD_DATE))
-              .when(F.col("company_id").isNull(), F.lit(COMPANY_UNKNOWN))
-              .when(F.col("_stored"), F.lit(DUPLICATE)))
-    temp_no_date = (F.col("_temp") == 1) & F.col("_date").isNull()
-    r = r.withColumn("_early", early)
-    # lowest seq per key among requests that pass every check: those are
-    # the ones the sequential rule inserts, and only they block later ones
-    firsts = (r.where(F.col("_early").isNull() & ~temp_no_date)
-               .groupBy(*quality.WORKER_KEY).agg(F.min("seq").alias("_first")))
-    r = r.join(firsts, list(quality.WORKER_KEY), "left")
-    reason = F.coalesce(F.col("_early"),
-                        F.when(F.col("_first") < F.col("seq"), F.lit(DUPLICATE)),
-                        F.when(temp_no_date, F.lit(TEMP_NO_DATE)))
-    r = r.withColumn("_reason", reason)
+    r = decide(r.checkpoint(eager=True), W, collation).checkpoint(eager=True)
     ok = r.where(F.col("_reason").isNull()).select(
         "seq", "given_name", "surname", "company_id",
         F.col("_role").alias("role_id"),
@@ -78,13 +60,42 @@ def add_workers(cand: DataFrame, W: DataFrame, C: DataFrame,
         F.col("_temp").alias("is_temporary"),
         X.badge_number_if_temporary(F.col("_temp"), F.col("badge_number")).alias("badge_number"))
     accepted = assign_ids_after(ok, W, "worker_id", ["seq"], "worker_id")
-    outcomes = r.select("seq", "company_id", F.col("_reason").alias("reason")).join(
-        accepted.select("seq", "worker_id"), "seq", "left").select(
-        "seq", F.coalesce(F.col("reason"), F.lit(ACCEPTED)).alias("outcome"),
-        "company_id", "worker_id")
+    outcomes = accepted.select("seq", F.lit(ACCEPTED).alias("outcome"), "company_id",
+                               "worker_id").unionByName(
+        r.where(F.col("_reason").isNotNull()).select(
+            "seq", F.col("_reason").alias("outcome"), "company_id",
+            F.lit(None).cast("long").alias("worker_id")))
     return W.unionByName(conform(accepted, WORKERS)), outcomes
 
 
+def decide(r: DataFrame, W: DataFrame, collation: str | None = None) -> DataFrame:
+    """``r`` (resolved requests with their keys) with ``_reason``, NULL when accepted.
+
+    Stored matches and eligible requests meet in one aggregate by worker key:
+    whether it is stored, and the lowest seq of a request that passes every other
+    check (only those are inserted, so only they block later ones).  One row per
+    key joins back, so a key that many requests share is split by AQE.
+    """
+    key = list(quality.WORKER_KEY)
+    early = (F.when(F.col("company_name") == "", F.lit(NO_COMPANY))
+              .when(F.col("_bad_role"), F.lit(BAD_ROLE))
+              .when(F.col("_bad_date"), F.lit(BAD_DATE))
+              .when(F.col("company_id").isNull(), F.lit(COMPANY_UNKNOWN)))
+    temp_no_date = (F.col("_temp") == 1) & F.col("_date").isNull()
+    r = r.withColumn("_early", early)
+    eligible = r.where(F.col("_early").isNull() & ~temp_no_date).dropna(subset=key).select(
+        *key, "seq", F.lit(False).alias("_stored"))
+    hits = quality.stored_matches(r, W, collation).select(
+        *key, F.lit(None).cast("long").alias("seq"), F.lit(True).alias("_stored"))
+    per_key = eligible.unionByName(hits).groupBy(*key).agg(
+        F.min("seq").alias("_first"), F.max("_stored").alias("_stored"))
+    joined = r.join(per_key, key, "left")
+    return joined.withColumn("_reason", F.coalesce(
+        F.col("_early"),
+        F.when(F.col("_stored") | (F.col("_first") < F.col("seq")), F.lit(DUPLICATE)),
+        F.when(temp_no_date, F.lit(TEMP_NO_DATE))))
+
+
 EDIT_FIELDS = ("given_name", "surname", "company_id", "role_id", "expiry_date", "note",
                "is_temporary", "badge_number")
 
@@ -170,9 +181,10 @@ def remap_keys(mapping: DataFrame, parent: DataFrame, child: DataFrame, pk: str,
                fk: str) -> tuple[DataFrame, DataFrame]:
     """A parent key change follows to the children (ON UPDATE CASCADE).
 
-    ``mapping`` has (old_id, new_id), one row per old id.
+    ``mapping`` has (old_id, new_id); of several rows for one old id the lowest
+    new id counts.
     """
-    m = mapping.select(F.col("old_id"), F.col("new_id")).dropDuplicates(["old_id"])
+    m = mapping.groupBy("old_id").agg(F.min("new_id").alias("new_id"))
     p = parent.join(m.withColumnRenamed("old_id", pk), pk, "left") \
               .withColumn(pk, F.coalesce(F.col("new_id"), F.col(pk))).drop("new_id")
     c = child.join(m.withColumnRenamed("old_id", fk), fk, "left") \

@@ -17,7 +17,7 @@ from crewgate.operators import companies, flags, greedy, keys, listing, load, qu
     upsert, workers
 from crewgate.schema import COMPANIES
 from crewgate.session import scratch_path
-from crewgate.sources import roster_csv
+from crewgate.sources import roster_csv, tables
 from crewgate.sources import testviews as V
 from crewgate.streaming import flag_stream
 
@@ -90,8 +90,27 @@ def column_widths(spark, sf):
 
 @register
 def report_lines(spark, sf):
-    """The weekly report as numbered sheet lines."""
-    return reports.report_lines(reports.weekly_valid(*_wcr(spark, sf)), AS_OF)
+    """The weekly report as numbered sheet lines."""
+    return reports.report_lines(reports.weekly_valid(*_wcr(spark, sf)), reports.WEEKLY, AS_OF)
+
+
+@register
+def expired_lines(spark, sf):
+    """The expired list as numbered sheet lines."""
+    W, C, _ = _wcr(spark, sf)
+    return reports.report_lines(reports.expired(W, C, AS_OF), reports.EXPIRED, AS_OF)
+
+
+@register
+def full_lines(spark, sf):
+    """The full roster as numbered sheet lines."""
+    return reports.report_lines(reports.full_roster(*_wcr(spark, sf)), reports.FULL, AS_OF)
+
+
+@register
+def weekly_valid_null_as_zero(spark, sf):
+    """The weekly list with an unknown cancelled flag read as 0."""
+    return reports.weekly_valid(*_wcr(spark, sf), null_flag_as_zero=True)
 
 
 @register
@@ -118,8 +137,10 @@ def workers_by_company(spark, sf):
 
 @register
 def workers_by_surname(spark, sf):
-    """Surname contains a text, case-insensitive."""
-    return listing.list_workers(*_wcr(spark, sf), surname=SURNAME_TEXT)
+    """Surname contains a text, case-insensitive,
+    with each row's position in the list."""
+    return listing.positioned(listing.list_workers(*_wcr(spark, sf), surname=SURNAME_TEXT),
+                              ["surname", "worker_id"])
 
 
 @register
@@ -136,20 +157,23 @@ def companies_by_name(spark, sf):
 
 @register
 def companies_all(spark, sf):
-    """Every company, by name."""
-    return listing.list_companies(V.companies(spark, sf))
+    """Every company, by name, with its position."""
+    return listing.positioned(listing.list_companies(V.companies(spark, sf)),
+                              ["company_name", "company_id"])
 
 
 @register
 def company_picker(spark, sf):
-    """(id, name) of companies whose name contains a text."""
-    return listing.company_picker(V.companies(spark, sf), contains=PICKER_TEXT)
+    """(id, name, position) of companies whose name contains a text."""
+    return listing.positioned(listing.company_picker(V.companies(spark, sf),
+                                                     contains=PICKER_TEXT),
+                              ["company_name", "company_id"])
 
 
 @register
 def role_list(spark, sf):
-    """O3: roles by id."""
-    return listing.list_roles(V.roles(spark, sf))
+    """Roles by id, with their position."""
+    return listing.positioned(listing.list_roles(V.roles(spark, sf)), ["role_id"])
 
 
 # --- lookups and quality -----------------------------------------------------
@@ -328,6 +352,37 @@ def bulk_load_outcomes(spark, sf):
     return _loaded(spark, sf)[2].select("worker_id", "outcome", "warning")
 
 
+@register
+def clean_csv_roundtrip(spark, sf):
+    """The cleaned roster written as CSV and read back."""
+    path = V.write_raw_roster(spark, sf, scratch_path(spark, "raw-roster"))
+    clean = load.clean_roster(roster_csv.read_roster_csv(spark, path))
+    out = scratch_path(spark, "clean-roster")
+    roster_csv.write_clean_csv(clean, out)
+    return roster_csv.read_clean_csv(spark, out)
+
+
+@register
+def snapshot_roundtrip(spark, sf):
+    """Workers appended in two parts and written as a version, read back."""
+    W = V.workers(spark, sf)
+    root = scratch_path(spark, "tables")
+    tables.append_rows(W.where("is_temporary = 1"), root, "workers")
+    tables.append_rows(W.where("is_temporary <> 1"), root, "workers")
+    appended = tables.read_table(spark, root, "workers")
+    tables.write_snapshot(appended, f"{root}/versions", "workers", 1,
+                          sort_within=["company_id", "expiry_date"])
+    return tables.read_table(spark, f"{root}/versions", "workers", 1)
+
+
+@register
+def company_remap(spark, sf):
+    """Workers after some companies changed their id (ON UPDATE CASCADE)."""
+    _, new_w = workers.remap_keys(V.company_remaps(spark, sf), V.companies(spark, sf),
+                                  V.workers(spark, sf), "company_id", "company_id")
+    return new_w
+
+
 @register
 def stream_flag_changes(spark, sf):
     """The change feed in micro-batches (appended to a stored

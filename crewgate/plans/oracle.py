@@ -168,14 +168,14 @@ ORACLE_SQL: dict[str, str] = {
   SELECT CAST(3 + p + CASE WHEN section = 'permanent' AND e.nt > 0 THEN 1 ELSE 0 END AS BIGINT)
            AS line_no, 'data' AS kind, section, company_name AS c0, given_name AS c1,
          surname AS c2, role_name AS c3, expiry_text AS c4 FROM d, e
-  UNION ALL SELECT 0, 'title', NULL, 'VALID BADGE LIST (updated 30-06-1998)', NULL, NULL, NULL, NULL
+  UNION ALL SELECT 0, 'title', NULL, 'Active badges by company, state of 30-06-1998', NULL, NULL, NULL, NULL
   UNION ALL SELECT 1, 'header', NULL, 'COMPANY', 'GIVEN NAME', 'SURNAME', 'ROLE', 'DOCUMENTS EXPIRY'
-  UNION ALL SELECT 2, 'section', 'temporary', 'Temporary badges', NULL, NULL, NULL, NULL
+  UNION ALL SELECT 2, 'section', 'temporary', 'Short-term holders', NULL, NULL, NULL, NULL
     FROM e WHERE nt > 0
-  UNION ALL SELECT ph, 'section', 'permanent', 'Staff', NULL, NULL, NULL, NULL FROM e WHERE np > 0
-  UNION ALL SELECT fin + 2, 'total', NULL, 'Companies shown: ' || CAST(nc AS VARCHAR),
+  UNION ALL SELECT ph, 'section', 'permanent', 'Regular holders', NULL, NULL, NULL, NULL FROM e WHERE np > 0
+  UNION ALL SELECT fin + 2, 'total', NULL, CAST(nc AS VARCHAR) || ' companies listed',
     NULL, NULL, NULL, NULL FROM e
-  UNION ALL SELECT fin + 3, 'total', NULL, 'Workers shown: ' || CAST(nw AS VARCHAR),
+  UNION ALL SELECT fin + 3, 'total', NULL, CAST(nw AS VARCHAR) || ' badge holders listed',
     NULL, NULL, NULL, NULL FROM e""",
     "digest": with_views("workers", "companies", "recipients", extra={
         "ex": EXPIRED,
@@ -216,10 +216,16 @@ ORACLE_SQL: dict[str, str] = {
 VIEWS.update({
     "cand_companies": """
   SELECT p_partkey AS seq,
-         CASE WHEN p_partkey % 7 = 0
+         CASE WHEN (p_partkey // 12) % 2 = 0
+                THEN 'Chain ' || CAST(p_partkey // 12 AS VARCHAR) || '-'
+                     || CAST((p_partkey % 12) // 2 AS VARCHAR)
+              WHEN p_partkey % 7 = 0
                 THEN 'customer #' || lpad(CAST(p_partkey % 1500 AS VARCHAR), 9, '0')
               WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS company_name,
-         CASE WHEN p_partkey % 5 = 0 THEN ''
+         CASE WHEN (p_partkey // 12) % 2 = 0
+                THEN 'CH' || CAST(p_partkey // 12 AS VARCHAR) || '-'
+                     || CAST((p_partkey % 12 + 1) // 2 AS VARCHAR)
+              WHEN p_partkey % 5 = 0 THEN ''
               WHEN p_partkey % 5 = 1 THEN ' IT' || CAST(p_partkey % 1700 AS VARCHAR) || chr(9)
               ELSE 'IT' || CAST(p_partkey % 1700 AS VARCHAR) END AS vat_number,
          repeat(p_name, p_size) AS contact_name,
@@ -368,6 +374,12 @@ LOADED_ROWS = """
          CASE WHEN NOT odd AND k % 19 <> 0 AND k % 6 IN (0, 1, 2)
               THEN CAST(o_orderdate AS DATE) END AS expiry_date,
          NOT odd AND k % 19 <> 0 AND k % 6 IN (3, 4) AS bad_date,
+         CASE WHEN odd OR k % 19 = 0 THEN ''
+              WHEN k % 6 = 0 THEN strftime(o_orderdate, '%d/%m/%Y')
+              WHEN k % 6 = 1 THEN strftime(o_orderdate, '%-d/%-m/%Y')
+              WHEN k % 6 = 2 THEN strftime(o_orderdate, '%-d-%-m-%Y')
+              WHEN k % 6 = 3 THEN '31/02/2024'
+              WHEN k % 6 = 4 THEN strftime(o_orderdate, '%d/%m/%y') ELSE '' END AS expiry_text,
          CASE WHEN NOT odd AND k % 19 <> 0 AND k % 3 = 0 THEN 1 ELSE 0 END AS badge_issued,
          CASE WHEN NOT odd AND k % 19 <> 0 AND k % 4 = 0 THEN 1 ELSE 0 END AS badge_valid
   FROM (SELECT *, o_orderkey AS k, CAST(o_custkey % 50 AS VARCHAR) AS firm,
@@ -619,10 +631,10 @@ ORACLE_SQL["weekly_digest"] = with_views(*WCR, "recipients", extra={
     "t": """SELECT count(DISTINCT nullif(company_name, '')) AS n_companies, count(*) AS n_workers
             FROM wk"""}) + f"""
   SELECT list_name, regexp_replace(email, {WS}, '', 'g') AS recipient,
-         'Weekly site access report - 30/06/1998' AS subject,
-         printf('Attached: the valid badge list as of 30/06/1998: %d workers of %d companies.',
+         'Active badges on 30/06/1998' AS subject,
+         printf('%d holders of an active badge from %d companies are listed, state of 30/06/1998.',
                 t.n_workers, t.n_companies) AS body,
-         'report_30_06_1998.csv' AS attachment, t.n_companies, t.n_workers
+         'active_badges_30_06_1998.csv' AS attachment, t.n_companies, t.n_workers
   FROM recipients, t
   WHERE list_name = 'weekly' AND regexp_replace(email, {WS}, '', 'g') <> ''"""
 
@@ -657,3 +669,66 @@ ORACLE_SQL["companies_first_come"] = _recursive(with_views("companies", extra={
     "a": "SELECT unnest(acc) AS seq FROM g WHERE rn = (SELECT max(rn) FROM g)"})) + """
   SELECT c.company_id, a.seq IS NOT NULL AS kept
   FROM companies c LEFT JOIN a ON c.company_id = a.seq"""
+
+
+def _positioned(sql: str, order: str) -> str:
+    """The rows of ``sql`` with their position in ``order`` (from 0)."""
+    return f"SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS position FROM (\n{sql})"
+
+
+for _name, _order in (("workers_by_surname", "surname NULLS FIRST, worker_id"),
+                      ("companies_all", "company_name NULLS FIRST, company_id"),
+                      ("company_picker", "company_name NULLS FIRST, company_id"),
+                      ("role_list", "role_id")):
+    ORACLE_SQL[_name] = _positioned(ORACLE_SQL[_name], _order)
+
+ORACLE_SQL["weekly_valid_null_as_zero"] = ORACLE_SQL["weekly_valid"].replace(
+    "AND badge_cancelled = 0", "AND coalesce(badge_cancelled, 0) = 0")
+ORACLE_SQL["snapshot_roundtrip"] = with_views("workers") + f"""
+  SELECT {WORKER_FIELDS} FROM workers"""
+ORACLE_SQL["company_remap"] = with_views("workers") + f"""
+  SELECT {WORKER_FIELDS.replace('company_id,', """CASE WHEN company_id IN (SELECT c_custkey
+         FROM customer WHERE c_mktsegment = 'MACHINERY') THEN company_id + 5000000000
+         ELSE company_id END AS company_id,""")} FROM workers"""
+ORACLE_SQL["clean_csv_roundtrip"] = "WITH lr AS (" + LOADED_ROWS + """)
+  SELECT company_name, given_name, surname, note, expiry_text,
+         CASE WHEN badge_issued = 1 THEN 'X' ELSE '' END AS issued_mark,
+         CASE WHEN badge_valid = 1 THEN 'X' ELSE '' END AS valid_mark FROM lr"""
+ORACLE_SQL["full_lines"] = with_views(*WCR, extra={
+    "roster": ROSTER, "fl": FULL,
+    "d": """SELECT *, row_number() OVER (ORDER BY company_name NULLS FIRST, worker_id) - 1 AS p
+            FROM fl"""}) + """
+  SELECT CAST(2 + p AS BIGINT) AS line_no, 'data' AS kind, CAST(NULL AS VARCHAR) AS section,
+         coalesce(company_name, '') AS c0, coalesce(given_name, '') AS c1,
+         coalesce(surname, '') AS c2, role_name AS c3, expiry_text AS c4, issued_mark AS c5,
+         valid_mark AS c6 FROM d
+  UNION ALL SELECT 0, 'title', NULL, 'Site roster, state of 30-06-1998', NULL, NULL, NULL, NULL,
+    NULL, NULL
+  UNION ALL SELECT 1, 'header', NULL, 'COMPANY', 'GIVEN NAME', 'SURNAME', 'ROLE',
+    'DOCUMENTS EXPIRY', 'BADGE ISSUED', 'BADGE VALID'"""
+ORACLE_SQL["expired_lines"] = with_views("workers", "companies", extra={
+    "ex": EXPIRED,
+    "t": """SELECT count(*) FILTER (WHERE section = 'temporary') AS nt,
+                   count(*) FILTER (WHERE section = 'permanent') AS np, count(*) AS n FROM ex""",
+    "e": """SELECT *, CASE WHEN nt > 0 THEN 1 ELSE 0 END AS ht,
+                   CASE WHEN np > 0 THEN 1 ELSE 0 END AS hp FROM t""",
+    "d": """SELECT ex.*, row_number() OVER (
+                     ORDER BY CASE WHEN section = 'temporary' THEN 0 ELSE 1 END,
+                     is_temporary DESC NULLS LAST, company_name NULLS FIRST, surname NULLS FIRST,
+                     given_name NULLS FIRST, worker_id) - 1 AS p FROM ex"""}) + """
+  SELECT CAST(2 + ht + p + CASE WHEN section = 'permanent' THEN 1 ELSE 0 END AS BIGINT) AS line_no,
+         'data' AS kind, section, coalesce(given_name, '') AS c0, coalesce(surname, '') AS c1,
+         coalesce(company_name, '') AS c2, expiry_text AS c3 FROM d, e
+  UNION ALL SELECT 0, 'title', NULL, 'Badges with lapsed documents, state of 30-06-1998',
+    NULL, NULL, NULL
+  UNION ALL SELECT 1, 'header', NULL, 'GIVEN NAME', 'SURNAME', 'COMPANY', 'DOCUMENTS EXPIRY'
+  UNION ALL SELECT 2, 'section', 'temporary', 'Short-term holders', NULL, NULL, NULL
+    FROM e WHERE nt > 0
+  UNION ALL SELECT 2 + ht + nt, 'section', 'permanent', 'Regular holders', NULL, NULL, NULL
+    FROM e WHERE np > 0
+  UNION ALL SELECT 3 + ht + hp + n, 'total', NULL, CAST(nt AS VARCHAR) || ' short-term badges',
+    NULL, NULL, NULL FROM e
+  UNION ALL SELECT 4 + ht + hp + n, 'total', NULL, CAST(np AS VARCHAR) || ' regular badges',
+    NULL, NULL, NULL FROM e
+  UNION ALL SELECT 5 + ht + hp + n, 'total', NULL, CAST(n AS VARCHAR) || ' badges in all',
+    NULL, NULL, NULL FROM e"""

@@ -59,11 +59,20 @@ def read_roster_csv(spark: SparkSession, path: str, multi_line: bool = True,
                     .withColumnRenamed("_block", "block"))
 
 
+CLEAN_FIELDS = ["company_name", "given_name", "surname", "note", "expiry_text",
+                "issued_mark", "valid_mark"]
+
+
+def read_clean_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The files of ``write_clean_csv``; an empty field reads as ''."""
+    schema = ", ".join(f"{c} string" for c in CLEAN_FIELDS)
+    return (spark.read.schema(schema).option("sep", ";").option("multiLine", "true")
+            .option("quote", '"').option("escape", '"').csv(path).na.fill(""))
+
+
 def write_clean_csv(df: DataFrame, path: str) -> None:
     """K2: the seven cleaned fields, ';' separated, no header."""
-    cols = ["company_name", "given_name", "surname", "note", "expiry_text",
-            "issued_mark", "valid_mark"]
-    df.select(*cols).write.mode("error").option("sep", ";").option("quote", '"') \
+    df.select(*CLEAN_FIELDS).write.mode("error").option("sep", ";").option("quote", '"') \
       .option("escape", '"').csv(path)
 
 

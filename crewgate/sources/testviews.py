@@ -90,16 +90,22 @@ def recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def company_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New-company requests: names collide by case/blanks, VATs by value."""
+    """New-company requests: names collide by case/blanks, VATs by value.  Of every
+    24 requests 12 form a chain in which each shares its name with one neighbour
+    and its VAT with the other, so that decisions depend on one another."""
     p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     vat = F.concat(F.lit("IT"), (k % 1700).cast("string"))
+    chain, link = F.floor(k / 12), k % 12
+    chained = chain % 2 == 0
+    part = lambda tag, n: F.concat(F.lit(tag), chain.cast("string"), F.lit("-"),
+                                   F.floor(n).cast("string"))
     return p.select(
         k.alias("seq"),
-        F.when(k % 7 == 0, F.concat(F.lit("customer #"), F.lpad((k % 1500).cast("string"), 9, "0")))
+        F.when(chained, part("Chain ", link / 2)).when(k % 7 == 0, F.concat(F.lit("customer #"), F.lpad((k % 1500).cast("string"), 9, "0")))
          .when(k % 2 == 0, F.upper("p_name"))
          .otherwise(F.col("p_name")).alias("company_name"),
-        F.when(k % 5 == 0, F.lit(""))
+        F.when(chained, part("CH", (link + 1) / 2)).when(k % 5 == 0, F.lit(""))
          .when(k % 5 == 1, F.concat(F.lit(" "), vat, F.lit("\t")))
          .otherwise(vat).alias("vat_number"),
         F.repeat(F.col("p_name"), F.col("p_size")).alias("contact_name"),
@@ -218,6 +224,14 @@ def company_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").alias("id"))
 
 
+def company_remaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New ids of one market segment's companies."""
+    c = table(spark, sf_dir, "customer")
+    return c.where(F.col("c_mktsegment") == "MACHINERY").select(
+        F.col("c_custkey").alias("old_id"),
+        (F.col("c_custkey") + F.lit(5_000_000_000)).alias("new_id"))
+
+
 def role_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     return s.where(F.col("s_nationkey") == 7).select(F.col("s_suppkey").alias("id"))

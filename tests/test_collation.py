@@ -58,7 +58,7 @@ def test_sorts_follow_the_collation(spark):
     assert ci_ai == ["eagle", "Élan", "Zeta"]
     assert [r["company_name"] for r in
             reports.weekly_valid(W, C, R, collation=CI_AI).collect()] == ci_ai
-    lines = reports.report_lines(reports.weekly_valid(W, C, R, collation=CI_AI),
+    lines = reports.report_lines(reports.weekly_valid(W, C, R, collation=CI_AI), reports.WEEKLY,
                                  dt.date(2024, 1, 1), collation=CI_AI)
     assert [r["c0"] for r in lines.where("kind = 'data'").orderBy("line_no").collect()] == ci_ai
     assert [r["company_name"] for r in

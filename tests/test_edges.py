@@ -19,7 +19,8 @@ def test_empty_inputs(spark):
     W = spark.createDataFrame([], WORKERS)
     R = spark.createDataFrame([], ROLES)
     assert reports.weekly_valid(W, C, R).count() == 0
-    lines = reports.report_lines(reports.weekly_valid(W, C, R), dt.date(2024, 1, 1))
+    lines = reports.report_lines(reports.weekly_valid(W, C, R), reports.WEEKLY,
+                                 dt.date(2024, 1, 1))
     assert [r["kind"] for r in lines.orderBy("line_no").collect()] == \
         ["title", "header", "total", "total"]
 

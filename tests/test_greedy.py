@@ -70,3 +70,23 @@ def test_property_against_brute_force(spark):
         assert run(spark, rows) == brute(rows)
 
     check()
+
+
+def test_conflict_free_rows_need_no_round(spark):
+    df = spark.createDataFrame([(i, f"n{i}", None if i % 2 else f"v{i}") for i in range(40)],
+                               "seq long, a string, b string")
+    stats = {}
+    assert first_by_keys(df, ["a", "b"], "seq", stats).count() == 40 and stats["rounds"] == 0
+
+
+def test_null_keys_do_not_meet_in_one_task(spark):
+    import contextlib
+    import io
+
+    from crewgate.operators import greedy
+    df = spark.createDataFrame([(1, "x", None)], "seq long, a string, b string")
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        greedy._round(df, ["a", "b"], "seq").explain()
+    joins = [x for x in buf.getvalue().splitlines() if "Join" in x]
+    assert joins and all("_salt" in x for x in joins)

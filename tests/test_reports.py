@@ -75,13 +75,22 @@ def test_weekly_sort_and_totals(spark):
 
 def test_report_lines_layout(spark):
     W, C, R = small_roster(spark)
-    lines = reports.report_lines(reports.weekly_valid(W, C, R), AS_OF).orderBy("line_no")
+    lines = reports.report_lines(reports.weekly_valid(W, C, R), reports.WEEKLY, AS_OF).orderBy("line_no")
     got = [(r["line_no"], r["kind"], r["c0"]) for r in lines.collect()]
-    assert got == [(0, "title", "VALID BADGE LIST (updated 30-06-2024)"),
+    assert got == [(0, "title", "Active badges by company, state of 30-06-2024"),
                    (1, "header", "COMPANY"),
-                   (2, "section", "Temporary badges"), (3, "data", "beta"),
-                   (4, "section", "Staff"), (5, "data", "Alpha"),
-                   (8, "total", "Companies shown: 2"), (9, "total", "Workers shown: 2")]
+                   (2, "section", "Short-term holders"), (3, "data", "beta"),
+                   (4, "section", "Regular holders"), (5, "data", "Alpha"),
+                   (8, "total", "2 companies listed"), (9, "total", "2 badge holders listed")]
+    ex = reports.report_lines(reports.expired(W, C, dt.date(2024, 12, 31)), reports.EXPIRED,
+                              dt.date(2024, 12, 31)).orderBy("line_no").collect()
+    assert [(r["line_no"], r["kind"]) for r in ex] == [
+        (0, "title"), (1, "header"), (2, "section"), (3, "data"), (5, "total"), (6, "total"),
+        (7, "total")]
+    full = reports.report_lines(reports.full_roster(W, C, R), reports.FULL, AS_OF)
+    assert [(r["line_no"], r["c0"]) for r in full.where("kind = 'data'").orderBy("line_no")
+            .collect()] == [(k + 2, r["company_name"])
+                            for k, r in enumerate(reports.full_roster(W, C, R).collect())]
 
 
 def test_text_widths(spark):
@@ -115,7 +124,7 @@ def test_write_lines_in_order(spark, scratch):
     import glob
     import os
     W, C, R = small_roster(spark)
-    lines = reports.report_lines(reports.weekly_valid(W, C, R), AS_OF)
+    lines = reports.report_lines(reports.weekly_valid(W, C, R), reports.WEEKLY, AS_OF)
     out = os.path.join(scratch, "lines")
     reports.write_lines(lines, out)
     seen = []
@@ -135,7 +144,7 @@ def test_digest_when_empty_and_weekly(spark):
     assert len(none) == 1 and none[0]["attachment"] is None and none[0]["n_total"] == 0
     wk = reports.weekly_digest(reports.weekly_valid(W, C, R), rec, AS_OF).collect()
     assert [(r["recipient"], r["n_workers"], r["attachment"]) for r in wk] == \
-        [("w@x.org", 2, "report_30_06_2024.csv")]
+        [("w@x.org", 2, "active_badges_30_06_2024.csv")]
     with pytest.raises(ValueError):
         reports.weekly_digest(reports.weekly_valid(W, C, R), rec.where("list_name = 'x'"), AS_OF)
 
@@ -169,7 +178,7 @@ def test_write_lines_by_section_and_stamps(spark, scratch):
     import os
     from crewgate.functions import exprs as X
     W, C, R = small_roster(spark)
-    lines = reports.report_lines(reports.weekly_valid(W, C, R), AS_OF)
+    lines = reports.report_lines(reports.weekly_valid(W, C, R), reports.WEEKLY, AS_OF)
     out = os.path.join(scratch, "by_section")
     reports.write_lines(lines, out, by_section=True)
     folders = sorted(os.path.basename(p) for p in glob.glob(os.path.join(out, "section=*")))

@@ -17,10 +17,10 @@ sys.path.insert(0, ROOT)
 # ID -> implementing function(s), as "module.function"
 FUNCS = {
     "S1": "tables.read_table", "S2": "roster_csv.read_roster_csv",
-    "S3": "roster_csv.read_roster_csv", "S4": "tables.recipients_of reports.recipients_for",
+    "S3": "roster_csv.read_roster_csv", "S4": "reports.recipients_for",
     "S5": "changes.parse_changes changes.read_change_files",
     "K1": "tables.append_rows", "K2": "roster_csv.write_clean_csv",
-    "K3": "reports.report_lines reports.write_lines", "K4": "tables.write_snapshot tables.compact_table",
+    "K3": "reports.report_lines reports.write_lines", "K4": "tables.write_snapshot",
     "P1": "listing.list_workers reports.full_roster", "P2": "exprs.x_mark", "P3": "exprs.is_set",
     "P4": "exprs.blank_if_null", "P5": "exprs.detail_defaults", "P6": "exprs.display_date",
     "P7": "exprs.as_of_stamp reports.digest", "P8": "exprs.strip_ws",
