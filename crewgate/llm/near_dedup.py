@@ -13,12 +13,17 @@ Classes are the connected components of the links.
 
 Scale.  Exact copies are one text from the start (grouped by SHA-256), so
 thousands of copies cost one signature row each and nothing after.  Inside a
-bucket no pairs are made: each text is compared with the lowest text of its
-buckets first, which joins a group of n near copies by n - 1 comparisons.
-Only buckets that still hold several classes afterwards go on, again against
-one text per bucket and class, and what is left then is compared across
-classes in full, so no candidate link is lost.  Comparisons of one text with
-many are salted into groups of ``FAN`` rows.  Nothing but round counts comes to
+bucket no pairs are made: each text is compared first with the most central
+text of its buckets, the one whose buckets hold most others.  In a group of n
+near copies of one text that is the text they were made from, and n - 1
+comparisons join them.  Only buckets that still hold several classes afterwards
+go on, again with one text per bucket and class.  What is left then is compared
+across classes in full, so no candidate link is lost: a bucket is cut into
+parts of ``PART`` texts, every two parts meet in one task, and only links come
+out of it, no pairs.  There a pair is compared in full unless one byte per slot
+puts its similarity more than 4.5 standard errors under the threshold, or its
+shingle counts alone rule the threshold out.  Comparisons of one text with many
+are salted into groups of ``FAN`` rows.  Nothing but round counts comes to
 the driver; intermediate tables are written to the checkpoint folder.
 
 Edge cases.  Null and empty texts, and texts of white space alone, have no
@@ -39,7 +44,7 @@ from crewgate.llm.common import slices, stored
 
 WORDS, THRESHOLD = 5, 0.8     # fixed by the task
 BANDS, ROWS = 24, 6           # a pair at 0.8 shares a band with probability 0.9993
-FAN = 256
+FAN, PART = 256, 512
 
 
 def shingles(data, offsets, n: int = WORDS):
@@ -109,30 +114,34 @@ def sketcher(bands: int, rows: int):
                 data, offsets = A.text_bytes(part.column("text"))
                 n = len(offsets) - 1
                 doc, key, count = distinct(*shingles(data, offsets))
-                keys = band_keys(signatures(doc, key, 1.0 + np.log(count), n, bands * rows),
-                                 bands, rows)
-                has = np.bincount(doc, minlength=n) > 0
+                won = signatures(doc, key, 1.0 + np.log(count), n, bands * rows)
+                keys, low = band_keys(won, bands, rows), A.mix64(won).astype(np.uint8)
+                size = np.bincount(doc, minlength=n)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id").cast(pa.int64()),
                     "digest": part.column("digest"),
-                    "bands": pa.array([k.tobytes() if ok else None for k, ok in zip(keys, has)],
+                    "size": pa.array(size, pa.int64()),
+                    "bands": pa.array([k.tobytes() if m else None for k, m in zip(keys, size)],
+                                      pa.binary()),
+                    "slots": pa.array([k.tobytes() if m else None for k, m in zip(low, size)],
                                       pa.binary())})
     return run
 
 
 def unpack(batches):
-    """(rid, bands) -> one (band, rid) row per band."""
+    """(rid, size, bands) -> one (band, rid, size) row per band."""
     import pyarrow as pa
 
     for batch in batches:
-        rid = batch.column("rid").to_numpy(zero_copy_only=False)
+        rid, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("rid", "size"))
         keys = [np.frombuffer(b.as_py(), np.int64) for b in batch.column("bands")]
         if keys:
             n = len(keys[0])
             for lo in range(0, len(keys), 2000):
                 yield pa.RecordBatch.from_pydict({
                     "band": pa.array(np.concatenate(keys[lo:lo + 2000])),
-                    "rid": pa.array(np.repeat(rid[lo:lo + 2000], n))})
+                    "rid": pa.array(np.repeat(rid[lo:lo + 2000], n)),
+                    "size": pa.array(np.repeat(size[lo:lo + 2000], n))})
 
 
 def comparer(threshold: float):
@@ -155,12 +164,7 @@ def comparer(threshold: float):
                         if hubs[k] == rids[k]:
                             group, base = (hubs[k], salts[k]), own
                         continue
-                    if rids[k] == hubs[k] or not len(own):
-                        continue
-                    place = np.searchsorted(base, own)
-                    place[place == len(base)] = 0
-                    common = int((base[place] == own).sum())
-                    if common >= threshold * (len(base) + len(own) - common):
+                    if rids[k] != hubs[k] and similar(base, own, threshold):
                         a.append(hubs[k])
                         b.append(rids[k])
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()),
@@ -182,6 +186,98 @@ def links(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> D
     return rows.mapInArrow(comparer(threshold), "a long, b long").distinct()
 
 
+def similar(a, b, threshold: float) -> bool:
+    """Whether two ascending arrays of distinct hashes reach the Jaccard threshold."""
+    if not len(a) or not len(b):
+        return False
+    place = np.searchsorted(a, b)
+    place[place == len(a)] = 0
+    common = int((a[place] == b).sum())
+    return common >= threshold * (len(a) + len(b) - common)
+
+
+def part_comparer(threshold: float):
+    """Rows of a group (band, lo, hi): texts of two parts of a bucket, or of one."""
+    def links_of(band, lo, hi, group):
+        import pyarrow as pa
+
+        rid, label, size, part = (np.concatenate([g.column(k).to_numpy() for g in group])
+                                  for k in ("rid", "label", "size", "part"))
+        slots, bands = (np.frombuffer(b"".join(
+            x for g in group for x in g.column(k).to_pylist()), t).reshape(len(rid), -1)
+            for k, t in (("slots", np.uint8), ("bands", np.int64)))
+        least = threshold - 4.5 * (threshold * (1 - threshold) / slots.shape[1]) ** 0.5
+        one = np.flatnonzero(part == lo)
+        two = one if lo == hi else np.flatnonzero(part == hi)
+        a, b = [], []
+        for k in range(0, len(one), 64):
+            x = one[k:k + 64]
+            ok = (label[x][:, None] != label[two]) & (
+                np.minimum(size[x][:, None], size[two])
+                >= threshold * np.maximum(size[x][:, None], size[two]))
+            if lo == hi:
+                ok &= rid[x][:, None] < rid[two]
+            i, j = np.nonzero(ok)
+            near = (slots[x[i]] == slots[two[j]]).mean(axis=1) >= least
+            a.append(x[i[near]])
+            b.append(two[j[near]])
+        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+        same = bands[a] == bands[b]
+        first = bands[a, same.argmax(axis=1)] == band      # a pair counts in its first bucket
+        a, b = a[first], b[first]
+        sets = {}
+        wanted = np.zeros(len(rid), bool)
+        wanted[a] = wanted[b] = True
+        at = 0
+        for g in group:
+            for s in slices(g):
+                mine = np.flatnonzero(wanted[at:at + s.num_rows])
+                if len(mine):
+                    doc, key, _ = distinct(*shingles(*A.text_bytes(
+                        s.column("text").take(pa.array(mine)))))
+                    cut = np.searchsorted(doc, np.arange(len(mine) + 1))
+                    sets.update((at + m, key[cut[n]:cut[n + 1]])
+                                for n, m in enumerate(mine.tolist()))
+                at += s.num_rows
+        hit = np.array([similar(sets[i], sets[j], threshold)
+                        for i, j in zip(a.tolist(), b.tolist())], bool)
+        return pa.RecordBatch.from_pydict({"a": pa.array(rid[a[hit]], pa.int64()),
+                                           "b": pa.array(rid[b[hit]], pa.int64())})
+
+    def run(batches):
+        key, group = None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in ("band", "lo", "hi"))))
+            start = 0
+            for k in range(len(keys) + 1):
+                if k == len(keys) or keys[k] != keys[start]:
+                    if keys and keys[start] != key:
+                        if group:
+                            yield links_of(*key, group)
+                        key, group = keys[start], []
+                    if k > start:
+                        group.append(batch.slice(start, k - start))
+                    start = k
+        if group:
+            yield links_of(*key, group)
+    return run
+
+
+def cross_links(left: DataFrame, sketches: DataFrame, texts: DataFrame,
+                threshold: float = THRESHOLD) -> DataFrame:
+    """All links (a, b) between different classes inside the open buckets ``left``."""
+    parts = left.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    rows = left.select("band", "rid", "label", "size").join(parts, "band").withColumn(
+        "part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("band", "rid", "label", "size", "part", F.least("part", "x").alias("lo"),
+                       F.greatest("part", "x").alias("hi"))
+    rows = rows.join(sketches.join(texts, "rid"), "rid").repartition("band", "lo", "hi") \
+        .sortWithinPartitions("band", "lo", "hi", "rid")
+    return rows.select("band", "lo", "hi", "part", "rid", "label", "size", "slots", "bands", "text") \
+        .mapInArrow(part_comparer(threshold), "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(rid, label): the smallest node of the component of every node of ``edges``.
 
@@ -213,12 +309,23 @@ def digest():
     return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
 
 
+def within(threshold: float, a: str, b: str):
+    """Whether sets of sizes ``a`` and ``b`` can reach the threshold at all."""
+    return F.least(a, b) >= threshold * F.greatest(a, b)
+
+
+def top_of_bucket(members: DataFrame, *keys: str) -> DataFrame:
+    """(keys, hub, hub_size, hub_rank): the most central text of every group."""
+    return members.groupBy(*keys).agg(F.min(F.struct("rank", "rid", "size")).alias("t")).select(
+        *keys, F.col("t.rid").alias("hub"), F.col("t.size").alias("hub_size"),
+        F.col("t.rank").alias("hub_rank"))
+
+
 def open_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
-    """(band, rid, label) of the buckets that still hold several classes."""
-    rows = members.select("band", "rid").join(label, "rid", "left").select(
-        "band", "rid", F.coalesce("label", "rid").alias("label"))
+    """Members with their class label, of the buckets that still hold several classes."""
+    rows = members.join(label, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     mixed = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")) \
-        .where(F.col("lo") != F.col("hi")).select("band", "lo")
+        .where(F.col("lo") != F.col("hi")).select("band")
     return rows.join(mixed, "band")
 
 
@@ -231,15 +338,19 @@ def classes(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
     """
     docs = documents.select("doc_id", "text", digest().alias("digest"))
     sketch, _ = stored(docs.mapInArrow(sketcher(bands, rows),
-                                       "doc_id long, digest binary, bands binary"), "sketches")
+                                       "doc_id long, digest binary, size long, bands binary, slots binary"),
+                       "sketches")
     texts, _ = stored(sketch.groupBy("digest").agg(
-        F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+        F.min("doc_id").alias("doc_id"), F.first("size").alias("size"),
+        F.first(F.struct("bands", "slots")).alias("s"))
+        .select("digest", "doc_id", "size", "s.bands", "s.slots")
         .withColumn("rid", F.monotonically_increasing_id()), "distinct-texts")
-    banded = texts.where(F.col("bands").isNotNull()).select("rid", "bands").mapInArrow(
-        unpack, "band long, rid long")
-    hubs = banded.groupBy("band").agg(F.min("rid").alias("hub"), F.count(F.lit(1)).alias("n")) \
-        .where("n > 1").select("band", "hub")
-    members, _ = stored(banded.join(hubs, "band"), "buckets")
+    banded = texts.where(F.col("bands").isNotNull()).select("rid", "size", "bands") \
+        .mapInArrow(unpack, "band long, rid long, size long")
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members, _ = stored(banded.join(shared, "band"), "buckets")
+    rank = members.groupBy("rid").agg((-F.sum("n")).alias("rank"))    # most others first
+    members, _ = stored(members.drop("n").join(rank, "rid"), "buckets")
 
     wanted = members.select("rid").distinct().join(
         texts.select("rid", "digest", "doc_id"), "rid")
@@ -248,29 +359,30 @@ def classes(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
         wanted, (F.col("d") == F.col("digest")) & F.col("i").eqNullSafe(F.col("doc_id")))
         .select("rid", "text"), "candidate-texts")
 
-    first = members.where("hub <> rid").groupBy("rid").agg(F.min("hub").alias("hub"))
-    tested, _ = stored(first.select("hub", "rid"), "pairs")
+    first = members.join(top_of_bucket(members, "band"), "band").where(
+        (F.col("hub") != F.col("rid")) & within(threshold, "size", "hub_size"))
+    first = first.groupBy("rid").agg(F.min(F.struct("hub_rank", "hub")).alias("t"))
+    tested, _ = stored(first.select("t.hub", "rid"), "pairs")
     edges, _ = stored(links(tested, involved, threshold), "edges")
     label = components(edges)
 
-    # one text per bucket and class against the bucket's lowest class
+    # one text per bucket and class against the bucket's most central one
     left = open_buckets(members, label)
-    heads = left.groupBy("band", "label", "lo").agg(F.min("rid").alias("rid"))
-    lows = heads.where("label = lo").select("band", F.col("rid").alias("hub"))
-    second = heads.where("label <> lo").join(lows, "band").select("hub", "rid").distinct()
+    heads = top_of_bucket(left, "band", "label").select(
+        "band", "label", F.col("hub").alias("rid"), F.col("hub_size").alias("size"),
+        F.col("hub_rank").alias("rank"))
+    second = heads.join(top_of_bucket(heads, "band"), "band").where(
+        (F.col("hub") != F.col("rid")) & within(threshold, "size", "hub_size"))
+    second = second.select("hub", "rid").distinct()
     second, _ = stored(second.join(tested, ["hub", "rid"], "left_anti"), "pairs")
     more, _ = stored(links(second, involved, threshold), "edges")
     edges = edges.unionByName(more)
     label = components(edges)
 
-    # the rest: every untested pair of texts of different classes that share a bucket
+    # the rest: all texts of different classes that share a bucket
     left, _ = stored(open_buckets(members, label), "open-buckets")
-    other = left.select("band", F.col("rid").alias("hub"), F.col("label").alias("hub_label"))
-    rest = left.join(other, "band").where((F.col("hub") < F.col("rid"))
-                                          & (F.col("hub_label") != F.col("label")))
-    rest = rest.select("hub", "rid").distinct().join(
-        tested.unionByName(second), ["hub", "rid"], "left_anti")
-    last, _ = stored(links(stored(rest, "pairs")[0], involved, threshold), "edges")
+    last, _ = stored(cross_links(left, texts.select("rid", "slots", "bands"), involved, threshold),
+                     "edges")
     label = components(edges.unionByName(last))
 
     whole = texts.select("rid", "digest", F.col("doc_id").alias("first_id")).join(
