@@ -30,11 +30,12 @@ def assign_ids(df: DataFrame, order: list, start: Column | int, id_col: str = "i
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     mid = F.monotonically_increasing_id()
-    ranged = (df.repartitionByRange(n, *order_cols)
-                .sortWithinPartitions(*order_cols)
+    # without a given number, AQE sizes the partitions of the range exchange
+    dealt = df.repartitionByRange(num_partitions, *order_cols) if num_partitions \
+        else df.repartitionByRange(*order_cols)
+    ranged = (dealt.sortWithinPartitions(*order_cols)
                 .withColumn("_mid", mid))
     ranged = ranged.checkpoint(eager=True)
     ranged = ranged.withColumn("_part", F.shiftright("_mid", _POS_BITS)) \

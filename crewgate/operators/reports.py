@@ -37,6 +37,15 @@ def _cancel_ok(null_flag_as_zero: bool):
     return (F.coalesce(c, F.lit(0)) if null_flag_as_zero else c) == 0
 
 
+def _is_weekly(null_flag_as_zero: bool = False):
+    return (F.col("badge_valid") == 1) & _cancel_ok(null_flag_as_zero)
+
+
+def _is_expired(as_of: dt.date, null_flag_as_zero: bool = False):
+    return ((F.col("expiry_date") <= F.lit(as_of)) & (F.col("badge_issued") == 1)
+            & _cancel_ok(null_flag_as_zero) & (F.col("badge_valid") == 1))
+
+
 # R1 -------------------------------------------------------------------------
 def full_roster(W: DataFrame, C: DataFrame, R: DataFrame,
                 collation: str | None = None) -> DataFrame:
@@ -57,7 +66,7 @@ def weekly_valid(W: DataFrame, C: DataFrame, R: DataFrame,
     """Valid, not cancelled badges in two sections, sorted case-insensitively
     (or under ``collation``) by company, surname, given name within each
     section."""
-    rows = roster(W.where((F.col("badge_valid") == 1) & _cancel_ok(null_flag_as_zero)), C, R)
+    rows = roster(W.where(_is_weekly(null_flag_as_zero)), C, R)
     return rows.select(
         "worker_id",
         X.blank_if_null("company_name").alias("company_name"),
@@ -87,9 +96,7 @@ def expired(W: DataFrame, C: DataFrame, as_of: dt.date,
             null_flag_as_zero: bool = False, collation: str | None = None) -> DataFrame:
     """Issued, valid, not cancelled badges whose documents expired on or
     before ``as_of``; temporary first, then by company, surname, given name."""
-    due = W.where((F.col("expiry_date") <= F.lit(as_of)) & (F.col("badge_issued") == 1)
-                  & _cancel_ok(null_flag_as_zero) & (F.col("badge_valid") == 1))
-    return roster(due, C).select(
+    return roster(W.where(_is_expired(as_of, null_flag_as_zero)), C).select(
         "worker_id", "given_name", "surname", "company_name", "expiry_date", "is_temporary",
         X.section("is_temporary").alias("section"),
         X.display_date("expiry_date").alias("expiry_text"),
@@ -115,50 +122,67 @@ def section_counts(rows: DataFrame, section_col: str = "section") -> DataFrame:
 
 
 # A4 -------------------------------------------------------------------------
+@dataclass(frozen=True)
+class Widths:
+    """How a report's column widths follow from its texts: the longest text or the
+    header, whichever is longer (text capped at ``cap``), plus ``pad``; columns
+    whose index is in ``fixed`` get exactly the header length.  Values are measured
+    on their string form (a date as yyyy-MM-dd); ``skip_empty`` ignores empty
+    ones, otherwise NULL counts as ''."""
+    columns: tuple
+    headers: tuple
+    pad: int
+    cap: int | None = None
+    fixed: tuple = ()
+    skip_empty: bool = False
+
+
+WEEKLY_WIDTHS = Widths(("company_name", "given_name", "surname", "role_name", "expiry_text"),
+                       WEEKLY_HEADERS, pad=10)
+FULL_WIDTHS = Widths(("company_name", "given_name", "surname", "role_name", "expiry_text",
+                      "issued_mark", "valid_mark"), FULL_HEADERS, pad=10, fixed=(4, 5, 6))
+EXPIRED_WIDTHS = Widths(("given_name", "surname", "company_name", "expiry_date"),
+                        EXPIRED_HEADERS, pad=5, cap=50, skip_empty=True)
+
+
+def column_widths(rows: DataFrame, reports: dict) -> DataFrame:
+    """(report, column_index, header, width) in one pass over ``rows``.
+
+    ``reports`` maps a report's name to (``Widths``, condition): the rows of
+    ``rows`` that it shows."""
+    longest, cells = [], []
+    for name, (spec, shown) in reports.items():
+        for i, h in enumerate(spec.headers):
+            if i in spec.fixed:
+                width = F.lit(len(h))
+            else:
+                text = F.col(spec.columns[i]).cast("string")
+                text = F.nullif(text, F.lit("")) if spec.skip_empty else X.blank_if_null(text)
+                longest.append(F.max(F.when(shown, F.length(text))).alias(f"{name}_{i}"))
+                m = F.coalesce(F.col(f"{name}_{i}"), F.lit(0))
+                if spec.cap is not None:
+                    m = F.least(m, F.lit(spec.cap))
+                width = F.greatest(F.lit(len(h)), m) + F.lit(spec.pad)
+            cells.append(F.struct(F.lit(name).alias("report"), F.lit(i).alias("column_index"),
+                                  F.lit(h).alias("header"), width.cast("int").alias("width")))
+    return rows.agg(*longest).select(F.inline(F.array(*cells)))
+
+
 def text_widths(rows: DataFrame, columns: list[str], headers: list[str], pad: int,
                 cap: int | None = None, fixed: tuple = (), skip_empty: bool = False) -> DataFrame:
-    """Display width per column in one pass: the longest text or the header,
-    whichever is longer (text capped at ``cap``), plus ``pad``.  Columns whose
-    index is in ``fixed`` get exactly the header length.  Values are measured
-    on their string form (a date as yyyy-MM-dd); ``skip_empty`` ignores
-    empty ones, otherwise NULL counts as ''."""
-    aggs = []
-    for i, c in enumerate(columns):
-        text = F.col(c).cast("string")
-        if skip_empty:
-            text = F.nullif(text, F.lit(""))
-        else:
-            text = X.blank_if_null(text)
-        aggs.append(F.max(F.length(text)).alias(f"w{i}"))
-    longest = rows.agg(*aggs)
-    cells = []
-    for i, h in enumerate(headers):
-        if i in fixed:
-            width = F.lit(len(h))
-        else:
-            m = F.coalesce(F.col(f"w{i}"), F.lit(0))
-            if cap is not None:
-                m = F.least(m, F.lit(cap))
-            width = F.greatest(F.lit(len(h)), m) + F.lit(pad)
-        cells.append(F.struct(F.lit(i).alias("column_index"), F.lit(h).alias("header"),
-                              width.cast("int").alias("width")))
-    return longest.select(F.inline(F.array(*cells)))
-
-
-def weekly_widths(rows: DataFrame) -> DataFrame:
-    return text_widths(rows, ["company_name", "given_name", "surname", "role_name",
-                              "expiry_text"], list(WEEKLY_HEADERS), pad=10)
-
-
-def full_widths(rows: DataFrame) -> DataFrame:
-    return text_widths(rows, ["company_name", "given_name", "surname", "role_name",
-                              "expiry_text", "issued_mark", "valid_mark"],
-                       list(FULL_HEADERS), pad=10, fixed=(4, 5, 6))
-
-
-def expired_widths(rows: DataFrame) -> DataFrame:
-    return text_widths(rows, ["given_name", "surname", "company_name", "expiry_date"],
-                       list(EXPIRED_HEADERS), pad=5, cap=50, skip_empty=True)
+    """Display width per column of one report (see ``Widths``)."""
+    spec = Widths(tuple(columns), tuple(headers), pad, cap, tuple(fixed), skip_empty)
+    return column_widths(rows, {"r": (spec, F.lit(True))}).drop("report")
+
+
+def all_widths(W: DataFrame, C: DataFrame, R: DataFrame, as_of: dt.date) -> DataFrame:
+    """The widths of the three reports from one join and one aggregate."""
+    rows = roster(W, C, R).withColumns({
+        "expiry_text": X.display_date("expiry_date"),
+        "issued_mark": X.x_mark("badge_issued"), "valid_mark": X.x_mark("badge_valid")})
+    return column_widths(rows, {"weekly": (WEEKLY_WIDTHS, _is_weekly()),
+                                "full": (FULL_WIDTHS, F.lit(True)),
+                                "expired": (EXPIRED_WIDTHS, _is_expired(as_of))})
 
 
 # U3 K3 ----------------------------------------------------------------------

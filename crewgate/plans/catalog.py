@@ -79,13 +79,7 @@ def roster_full(spark, sf):
 @register
 def column_widths(spark, sf):
     """A4: display widths of the three reports' columns."""
-    W, C, R = _wcr(spark, sf)
-    return (reports.weekly_widths(reports.weekly_valid(W, C, R))
-            .withColumn("report", F.lit("weekly"))
-            .unionByName(reports.full_widths(reports.full_roster(W, C, R))
-                         .withColumn("report", F.lit("full")))
-            .unionByName(reports.expired_widths(reports.expired(W, C, AS_OF))
-                         .withColumn("report", F.lit("expired"))))
+    return reports.all_widths(*_wcr(spark, sf), AS_OF)
 
 
 @register
