@@ -78,3 +78,25 @@ def test_hot_worker_changes_reduce_map_side(spark):
     # worker 1 gets the value of the largest seq among its changes
     last = max(i for i in range(n) if i % 3 == 0 or i == 1)
     assert new_w.where("worker_id = 1").first()["badge_valid"] == last % 2
+
+
+def test_hot_worker_key_is_split(spark):
+    """A third of the requests name one worker: the join back is split."""
+    from crewgate.operators import quality, workers
+    n = 60000
+    r = spark.range(n).select(
+        F.col("id").alias("seq"), F.lit("Acme").alias("company_name"),
+        F.lit(False).alias("_bad_role"), F.lit(False).alias("_bad_date"),
+        F.lit(0).alias("_temp"), F.lit(None).cast("date").alias("_date"),
+        F.lit(7).cast("long").alias("company_id"),
+        F.when(F.col("id") % 3 == 0, F.lit("ann")).otherwise(F.concat(F.lit("n"), F.col("id") % 9000))
+         .alias("given_name"), F.lit("lee").alias("surname"),
+        F.repeat(F.lit("x"), 40).alias("note")).select(
+        "*", *quality.worker_key_cols())
+    with conf(spark, FORCE_SHUFFLE_SKEW):
+        df = workers.decide(r, hot_workers(spark, 100))
+        df = df.where("_reason is null")
+        rows = df.collect()
+        assert len(rows) == 1 + len({i % 9000 for i in range(n) if i % 3})
+        assert min(x["seq"] for x in rows) == 0
+        assert "SortMergeJoin(skew=true)" in plan(df)
