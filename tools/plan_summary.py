@@ -49,13 +49,13 @@ def summary(df) -> dict:
 
 if __name__ == "__main__":
     from crewgate.session import build_session
-    import __spark_entry__ as E
+    from crewgate.plans.catalog import QUERIES
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     spark = build_session("local[8]", 8, extra={"spark.sql.adaptive.enabled": "false"})
     print("| Query | Shuffles | Broadcasts | Joins | Codegen stages | Outside codegen | "
           "Pushed filters |")
     print("| --- | --- | --- | --- | --- | --- | --- |")
-    for name in sorted(E.queries()):
-        s = summary(E.queries()[name](spark, sf))
+    for name in sorted(QUERIES):
+        s = summary(QUERIES[name](spark, sf))
         print(f"| `{name}` | {s['exchanges']} | {s['broadcasts']} | {s['joins']} | "
               f"{s['codegen_stages']} | {s['outside_codegen']} | {s['pushed']} |", flush=True)
