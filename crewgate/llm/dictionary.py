@@ -53,7 +53,7 @@ def squeeze(*arrays) -> bytes:
             a = np.ascontiguousarray(a, dtype="<u4").view("u1").reshape(-1, 4)
             raw = np.ascontiguousarray(a.T).tobytes()
         out += [np.array([len(raw)], "<u8").tobytes(), raw]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=9).compress(b"".join(out))
 
 
 def unsqueeze(blob: bytes) -> list:
@@ -74,6 +74,33 @@ def numbers(raw: bytes):
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
+ESCAPE = 192
+
+
+def short(codes):
+    """Codes as bytes: one for those under ``ESCAPE``; for the others an escape byte
+    that holds the bits from 16 up, the two bytes below in planes of their own, and
+    in a last buffer the upper bits that the escape byte cannot hold."""
+    wide = codes >= ESCAPE
+    rest = codes[wide] - ESCAPE
+    top = np.minimum(rest >> 16, 255 - ESCAPE)
+    one = codes.copy()
+    one[wide] = ESCAPE + top
+    return [x.astype("u1").tobytes() for x in (one, (rest >> 8) & 255, rest & 255)] + [
+        (rest >> 16)[top == 255 - ESCAPE].astype("<u4").tobytes()]
+
+
+def long(buffers):
+    """The codes of ``short``."""
+    codes = np.frombuffer(buffers[0], "u1").astype(np.int64)
+    wide = codes >= ESCAPE
+    top = codes[wide] - ESCAPE
+    top[top == 255 - ESCAPE] = np.frombuffer(buffers[3], "<u4")
+    codes[wide] = ESCAPE + (top << 16) + (
+        np.frombuffer(buffers[1], "u1").astype(np.int64) << 8) + np.frombuffer(buffers[2], "u1")
+    return codes
+
+
 def to_batch(kind, block, seq, doc_ids=None, flags=None, counts=None, payload=None):
     import pyarrow as pa
 
@@ -106,7 +133,7 @@ class Block:
         return to_batch(TEXTS, self.number, self.seq, doc_ids,
                         None if flags is None else bytes(flags),
                         np.array(counts, "<u4").tobytes(),
-                        squeeze(np.where(at > seen, 0, at + 1)))
+                        squeeze(*short(np.where(at > seen, 0, at + 1))))
 
     def pages(self):
         """One batch per bucket: places, lengths and bytes of the words, and how
@@ -184,14 +211,14 @@ def answer(coded: DataFrame, work) -> DataFrame:
             if n:
                 yield batch.slice(0, n)
             rest = batch.slice(n)
-            for b, block, payload in zip(rest.column("seq").to_pylist(),
-                                         rest.column("block").to_pylist(),
-                                         rest.column("payload").to_pylist()):
+            payloads = rest.column("payload")       # taken row by row: a batch may be large
+            for k, (b, block) in enumerate(zip(rest.column("seq").to_pylist(),
+                                               rest.column("block").to_pylist())):
                 if b != bucket and pages:
                     yield from replies()
                     pages = []
                 bucket = b
-                pages.append((block, payload))
+                pages.append((block, payloads[k].as_py()))
         if pages:
             yield from replies()
     key = F.when(F.col("kind") == PAGE, F.xxhash64("seq", F.lit(PAGE))).otherwise(
@@ -207,8 +234,10 @@ def rejoin(answered: DataFrame, finish, schema: str, summary=None) -> DataFrame:
     def run(batches):
         block, replies, use, known = None, [], None, 0
         for batch in batches:
-            for r in zip(*(batch.column(k).to_pylist() for k in (
-                    "block", "kind", "doc_ids", "flags", "counts", "payload"))):
+            columns = [batch.column(k) for k in (
+                "block", "kind", "doc_ids", "flags", "counts", "payload")]
+            for k in range(batch.num_rows):
+                r = [c[k].as_py() for c in columns]
                 if r[1] == SUMMARY:
                     yield from summary(r[5])
                     continue
@@ -219,7 +248,7 @@ def rejoin(answered: DataFrame, finish, schema: str, summary=None) -> DataFrame:
                     continue
                 if use is None:
                     use = finish(replies)
-                at = numbers(unsqueeze(r[5])[0]).astype(np.int64)
+                at = long(unsqueeze(r[5]))
                 new = at == 0
                 at = np.where(new, known + np.cumsum(new) - 1, at - 1)
                 known += int(new.sum())

@@ -68,3 +68,14 @@ def test_many_blocks_share_a_word(docs, rows, monkeypatch):
     enc = library()
     assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter(
         (i, len(enc.encode_ordinary(t or ""))) for i, t in rows)
+
+
+def test_short_codes_come_back():
+    from crewgate.llm import dictionary as D
+
+    edge = [0, 1, 191, 192, 193, 447, 448, 65727, 65728, 192 + (62 << 16), 192 + (63 << 16),
+            192 + (64 << 16), 2 ** 31]
+    codes = np.array(edge * 3, np.int64)
+    back = D.long(D.unsqueeze(D.squeeze(*D.short(codes))))
+    assert back.tolist() == codes.tolist()
+    assert D.long(D.unsqueeze(D.squeeze(*D.short(codes[:0])))).tolist() == []
