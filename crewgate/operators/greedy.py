@@ -32,6 +32,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crewgate.operators.sizing import join_spread
 from crewgate.session import ensure_checkpoint_dir
 
 
@@ -48,8 +49,8 @@ def first_by_keys(df: DataFrame, keys: list[str], order: str,
     state = df.select(*cols)
     for k in keys:
         shared = _per_key(state, k, F.count(F.lit(1)).alias("_n")).where("_n > 1").select(
-            k, "_salt", F.lit(True).alias(f"_hit_{k}"))
-        state = _join_known(state, shared, k, order)
+            k, F.lit(True).alias(f"_hit_{k}"))
+        state = join_spread(state, shared, k, order, "left")
     free = reduce(lambda a, b: a & b, [F.col(f"_hit_{k}").isNull() for k in keys])
     state = state.select(*cols, F.when(free, F.lit(ACCEPTED)).otherwise(F.lit(OPEN))
                          .alias("_status")).checkpoint(eager=True)
@@ -69,16 +70,8 @@ OPEN, ACCEPTED, REJECTED = 0, 1, 2
 
 
 def _per_key(df: DataFrame, k: str, value) -> DataFrame:
-    """One row per value of ``k`` (NULL left out), with the salt 0 of real keys."""
-    return df.where(F.col(k).isNotNull()).groupBy(k).agg(
-        value, (F.count(F.lit(1)) * 0).alias("_salt"))
-
-
-def _join_known(df: DataFrame, right: DataFrame, k: str, order: str) -> DataFrame:
-    """Left join on ``k``.  A NULL key matches nothing; its rows are spread over the
-    tasks by their order instead of meeting in one."""
-    salt = F.when(F.col(k).isNull(), F.col(order)).otherwise(F.lit(0)).cast("long")
-    return df.withColumn("_salt", salt).join(right, [k, "_salt"], "left").drop("_salt")
+    """One row per value of ``k``, NULL left out."""
+    return df.where(F.col(k).isNotNull()).groupBy(k).agg(value)
 
 
 def _round(remaining: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -87,7 +80,7 @@ def _round(remaining: DataFrame, keys: list[str], order: str) -> DataFrame:
     cand = remaining
     for k in keys:
         low = _per_key(remaining, k, F.min(order).alias(f"_low_{k}"))
-        cand = _join_known(cand, low, k, order)
+        cand = join_spread(cand, low, k, order, "left")
     lowest = reduce(lambda a, b: a & b,
                     [F.col(f"_low_{k}").isNull() | (F.col(f"_low_{k}") == F.col(order))
                      for k in keys])
@@ -95,7 +88,7 @@ def _round(remaining: DataFrame, keys: list[str], order: str) -> DataFrame:
     out = cand
     for k in keys:
         taken = _per_key(cand.where("_won"), k, F.min(order).alias(f"_hit_{k}"))
-        out = _join_known(out, taken, k, order)
+        out = join_spread(out, taken, k, order, "left")
     hit = reduce(lambda a, b: a | b, [F.col(f"_hit_{k}").isNotNull() for k in keys])
     return out.select(*cols, F.when(F.col("_won"), F.lit(ACCEPTED))
                       .when(hit, F.lit(REJECTED)).otherwise(F.lit(OPEN)).alias("_status"))

@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 
 from crewgate.functions import exprs as X
 from crewgate.operators.keys import assign_ids
-from crewgate.operators.sizing import restrict_to
+from crewgate.operators.sizing import join_spread, restrict_to
 
 # J1 J2 J4 --------------------------------------------------------------------
 def roster(W: DataFrame, C: DataFrame, R: DataFrame | None = None) -> DataFrame:
     """Workers joined to their company (inner) and role (left outer)."""
     out = W.join(C.select("company_id", "company_name"), "company_id", "inner")
     if R is not None:
-        out = out.join(R.select("role_id", "role_name"), "role_id", "left")
+        # most workers have no role: their rows are spread when the join shuffles
+        out = join_spread(out, R.select("role_id", "role_name"), "role_id", "worker_id", "left")
     return out
 
 

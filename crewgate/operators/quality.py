@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crewgate.functions import exprs as X
-from crewgate.operators.sizing import present_keys
+from crewgate.operators.sizing import join_spread, present_keys
 
 
 # J5 -------------------------------------------------------------------------
@@ -41,9 +41,8 @@ def new_companies(cand: DataFrame, C: DataFrame, collation: str | None = None) -
     """
     names, vats = company_keys(C, collation)
     keyed = with_candidate_keys(cand, collation)
-    return (keyed.join(names, "_nk", "left_anti")
-                 .join(vats, "_vk", "left_anti")
-                 .drop("_nk", "_vk"))
+    fresh = join_spread(keyed, names, "_nk", "seq", "left_anti")
+    return join_spread(fresh, vats, "_vk", "seq", "left_anti").drop("_nk", "_vk")
 
 
 def existing_companies(cand: DataFrame, C: DataFrame,
@@ -52,7 +51,7 @@ def existing_companies(cand: DataFrame, C: DataFrame,
     names, vats = company_keys(C, collation)
     keyed = with_candidate_keys(cand, collation)
     by_name = keyed.join(names, "_nk", "left_semi")
-    by_vat = keyed.join(names, "_nk", "left_anti").join(vats, "_vk", "left_semi")
+    by_vat = join_spread(keyed, names, "_nk", "seq", "left_anti").join(vats, "_vk", "left_semi")
     return by_name.unionByName(by_vat).drop("_nk", "_vk")
 
 

@@ -10,7 +10,7 @@ from crewgate.functions import exprs as X
 from crewgate.operators import quality
 from crewgate.operators.keys import assign_ids_after
 from crewgate.operators.listing import resolve_company
-from crewgate.operators.sizing import present_keys
+from crewgate.operators.sizing import join_spread, present_keys
 from crewgate.schema import WORKERS, conform
 from crewgate.session import ensure_checkpoint_dir
 
@@ -171,7 +171,7 @@ def delete_workers(ids: DataFrame, W: DataFrame) -> DataFrame:
 def delete_roles(ids: DataFrame, R: DataFrame, W: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Remove roles; workers holding one keep their row with role NULL."""
     gone = ids.select(F.col("id").alias("role_id")).distinct()
-    marked = W.join(gone.withColumn("_gone", F.lit(True)), "role_id", "left")
+    marked = join_spread(W, gone.withColumn("_gone", F.lit(True)), "role_id", "worker_id", "left")
     new_w = marked.withColumn(
         "role_id", F.when(F.col("_gone"), F.lit(None).cast("long")).otherwise(F.col("role_id")))
     return R.join(gone, "role_id", "left_anti"), conform(new_w, WORKERS)
