@@ -185,8 +185,8 @@ def vectorise(batches):
 def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
     """Fit on at most ``max_rows`` labelled rows that are not held out."""
     rows = labelled_sample(documents, labels, max_rows, crc32_of_id() % 4 != 2)
-    got = rows.select("label", "text").mapInArrow(vectorise, "label int, x binary") \
-        .orderBy("x", "label").collect()       # max_rows small vectors
+    got = rows.select("label", "text").mapInArrow(vectorise, "label int, x binary").collect()
+    got.sort(key=lambda r: (r["x"], r["label"]))        # max_rows small vectors
     x = np.array([np.frombuffer(r["x"]) for r in got]).reshape(len(got), N_FEATURES)
     return fit_tables(x, np.array([r["label"] > 0 for r in got], dtype=np.float64))
 
