@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crewgate.llm import dictionary
-from crewgate.llm.common import crc32_of_id, stored
+from crewgate.llm.common import crc32_of_id, drop_stored, stored
 
 STATES, SYMBOLS = 8, 16384
 WARM_DOCS, WARM_ROUNDS, FULL_ROUNDS = 2000, 8, 1
@@ -302,10 +302,11 @@ def one_round(sequences: DataFrame, model, symbols):
 def fit(coded: DataFrame, symbols):
     train = coded.where("not summary and train").select("doc_id", "symbols")
     sample = train.orderBy(F.xxhash64("doc_id"), "doc_id").select("symbols").limit(WARM_DOCS)
-    sample, _ = stored(sample.repartition(6), "hmm-warm")
+    sample, path = stored(sample.repartition(6), "hmm-warm")
     model = first_model(symbols, STATES)
     for _ in range(WARM_ROUNDS):
         model = one_round(sample, model, symbols)
+    drop_stored(coded.sparkSession, path)
     for _ in range(FULL_ROUNDS):
         model = one_round(train, model, symbols)
     return model

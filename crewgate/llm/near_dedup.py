@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crewgate.llm import arrays as A
-from crewgate.llm.common import slices, stored
+from crewgate.llm.common import drop_stored, slices, stored
 
 WORDS, THRESHOLD = 5, 0.8     # fixed by the task
 BANDS, ROWS = 24, 6           # a pair at 0.8 shares a band with probability 0.9993
@@ -282,12 +282,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(rid, label): the smallest node of the component of every node of ``edges``.
 
     Smallest label among neighbours, then pointer jumping, until nothing changes;
-    the table of a round is written before the next one reads it.
+    the table of a round is written before the next one reads it, and deleted
+    after that.
     """
+    spark = edges.sparkSession
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"),
                                                            F.col("a").alias("b")))
-    both, _ = stored(both.distinct(), "links")
-    label, _ = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(
+    both, links_path = stored(both.distinct(), "links")
+    label, path = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(
         F.col("a").alias("rid"), F.least("a", "m").alias("label")), "labels")
     while True:
         of = label.select(F.col("rid").alias("b"), F.col("label").alias("l"))
@@ -299,9 +301,11 @@ def components(edges: DataFrame) -> DataFrame:
         step = step.join(jump, "label").select(
             "rid", F.least("label", "l").alias("label"), (F.col("old") != F.least(
                 "label", "l")).alias("changed"))
-        step, _ = stored(step, "labels")
-        label = step.select("rid", "label")
+        step, new_path = stored(step, "labels")
+        drop_stored(spark, path)
+        path, label = new_path, step.select("rid", "label")
         if not step.where("changed").limit(1).count():
+            drop_stored(spark, links_path)
             return label
 
 
@@ -336,6 +340,7 @@ def classes(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
     ``rid`` numbers the distinct texts, ``label`` the class, ``keeper`` is true on
     the rows of the text and id that stand for the class.
     """
+    spark = documents.sparkSession
     docs = documents.select("doc_id", "text", digest().alias("digest"))
     sketch, _ = stored(docs.mapInArrow(sketcher(bands, rows),
                                        "doc_id long, digest binary, size long, bands binary, slots binary"),
@@ -348,14 +353,15 @@ def classes(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
     banded = texts.where(F.col("bands").isNotNull()).select("rid", "size", "bands") \
         .mapInArrow(unpack, "band long, rid long, size long")
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members, _ = stored(banded.join(shared, "band"), "buckets")
-    rank = members.groupBy("rid").agg((-F.sum("n")).alias("rank"))    # most others first
-    members, _ = stored(members.drop("n").join(rank, "rid"), "buckets")
+    counted, path = stored(banded.join(shared, "band"), "buckets")
+    rank = counted.groupBy("rid").agg((-F.sum("n")).alias("rank"))    # most others first
+    members, members_path = stored(counted.drop("n").join(rank, "rid"), "buckets")
+    drop_stored(spark, path)
 
     wanted = members.select("rid").distinct().join(
         texts.select("rid", "digest", "doc_id"), "rid")
     found = docs.select(F.col("digest").alias("d"), F.col("doc_id").alias("i"), "text")
-    involved, _ = stored(found.join(
+    involved, texts_path = stored(found.join(
         wanted, (F.col("d") == F.col("digest")) & F.col("i").eqNullSafe(F.col("doc_id")))
         .select("rid", "text"), "candidate-texts")
 
@@ -380,10 +386,11 @@ def classes(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
     label = components(edges)
 
     # the rest: all texts of different classes that share a bucket
-    left, _ = stored(open_buckets(members, label), "open-buckets")
+    left, left_path = stored(open_buckets(members, label), "open-buckets")
     last, _ = stored(cross_links(left, texts.select("rid", "slots", "bands"), involved, threshold),
                      "edges")
     label = components(edges.unionByName(last))
+    drop_stored(spark, members_path, texts_path, left_path)
 
     whole = texts.select("rid", "digest", F.col("doc_id").alias("first_id")).join(
         label, "rid", "left").withColumn("label", F.coalesce("label", "rid"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from crewgate.llm import arrays as A
 from crewgate.llm import textstats
-from crewgate.llm.common import slices, stored
+from crewgate.llm.common import drop_stored, slices, stored
 from crewgate.llm.labelled import labelled_sample
 
 BITS = 16                 # 65,536 hashed features, 256 KB of weights
@@ -153,11 +153,12 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> di
     """The model as a dict of small arrays, or None if there is nothing to learn."""
     rows = labelled_sample(documents, labels, max_rows).withColumn(
         "fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)).cast("int"))
-    vectors, _ = stored(rows.repartition(TASKS).mapInArrow(
+    vectors, path = stored(rows.repartition(TASKS).mapInArrow(
         vectorise, "label int, fold int, index binary, value binary"), "rule-vectors")
     classes = {(r["label"] > 0, r["fold"] > 0): r["n"] for r in
                vectors.groupBy("label", "fold").agg(F.count("*").alias("n")).collect()}
     if not (classes.get((True, True)) and classes.get((False, True))):
+        drop_stored(documents.sparkSession, path)
         return None
     weights, bias = np.zeros(1 << BITS, np.float32), 0.0
     for _ in range(ROUNDS):
@@ -175,6 +176,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> di
                                           "z": pa.array([o[1] for o in out], pa.float64())})
 
     got = vectors.mapInArrow(held, "y int, z double").collect()   # at most max_rows pairs
+    drop_stored(documents.sparkSession, path)
     a, c = platt(np.array([r["z"] for r in got]), np.array([r["y"] for r in got])) \
         if got else (1.0, 0.0)
     return {"weights": weights.astype(np.float32), "bias": bias, "a": a, "c": c}
