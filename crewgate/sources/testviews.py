@@ -327,7 +327,7 @@ def write_raw_roster(spark: SparkSession, sf_dir: str, path: str) -> str:
 
 
 def write_change_files(spark: SparkSession, sf_dir: str, path: str, files: int = 4,
-                       rows_per_file: int = 5000) -> str:
+                       rows_per_file: int = 25_000) -> str:
     """The change records as JSON-lines files of at most ``rows_per_file`` records
     (so their number grows with the table); records are spread by hash, so later
     files hold smaller seq values too (late arrivals)."""
