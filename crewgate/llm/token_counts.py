@@ -75,19 +75,20 @@ def truncated(total: Column, tokens_above: Column, docs_above: Column, limit) ->
 
 
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """(limit, documents_longer, truncated_tokens) for given context limits."""
-    spark = sums.sparkSession
-    wanted = spark.createDataFrame([(int(x),) for x in limits], "`limit` long")
-    above = sums.where(F.col("length") > F.lit(min(limits)))
-    found = wanted.join(above, F.col("length") > F.col("limit"), "left").groupBy("limit").agg(
-        F.min(F.struct("length", "documents_at_least", "tokens_at_least")).alias("s"))
-    total = sums.agg(F.max("total_tokens").alias("total"))
-    docs = F.coalesce(F.col("s.documents_at_least"), F.lit(0))
-    toks = F.coalesce(F.col("s.tokens_at_least"), F.lit(0))
-    return found.crossJoin(F.broadcast(total)).select(   # one row
-        "limit", docs.alias("documents_longer"),
-        truncated(F.coalesce("total", F.lit(0)), toks, docs, F.col("limit")).alias(
-            "truncated_tokens"))
+    """(limit, documents_longer, truncated_tokens) for given context limits, in one
+    aggregate: the shortest length above a limit carries its suffix sums."""
+    above = F.struct("length", "documents_at_least", "tokens_at_least")
+    found = sums.agg(F.max("total_tokens").alias("total"), *[
+        F.min(F.when(F.col("length") > x, above)).alias(f"s{k}") for k, x in enumerate(limits)])
+    cells = []
+    for k, x in enumerate(limits):
+        docs = F.coalesce(F.col(f"s{k}.documents_at_least"), F.lit(0))
+        toks = F.coalesce(F.col(f"s{k}.tokens_at_least"), F.lit(0))
+        cells.append(F.struct(
+            F.lit(int(x)).cast("long").alias("limit"), docs.alias("documents_longer"),
+            truncated(F.coalesce("total", F.lit(0)), toks, docs, F.lit(int(x)))
+            .alias("truncated_tokens")))
+    return found.select(F.inline(F.array(*cells)))
 
 
 def quantile(sums: DataFrame, q: float) -> DataFrame:
