@@ -1,15 +1,15 @@
 """Operator 9: near-duplicate classes by ProbMinHash, banding and verification.
 
-Texts are multisets of five-word shingles (a text of one to four words is one
-shingle) with weight 1 + ln(count).  A ProbMinHash signature (Ertl 2020) draws
-for every shingle a Poisson process whose rate is the weight; each arrival
-falls on a random slot, a slot keeps the shingle of its earliest arrival, and
-a shingle stops as soon as its next arrival comes after the latest slot of the
-text.  Two texts agree in a slot with the probability Jaccard similarity of
-their weighted shingles.  Slots are banded; texts that share a band are
-candidates, and a candidate pair is a link if the Jaccard similarity of the two
-shingle sets, computed from the whole texts, is at least the threshold.
-Classes are the connected components of the links.
+Texts are sets of five-word shingles (a text of one to four words is one
+shingle).  A ProbMinHash signature (Ertl 2020) draws for every shingle a Poisson
+process; each arrival falls on a random slot, a slot keeps the shingle of its
+earliest arrival, and a shingle stops as soon as its next arrival comes after
+the latest slot of the text.  All rates are 1, however often a shingle occurs in
+its text, so two texts agree in a slot with the Jaccard similarity of their
+shingle sets, the measure that links are defined by.  Slots are banded; texts
+that share a band are candidates, and a candidate pair is a link if that
+similarity, computed from the whole texts, is at least the threshold.  Classes
+are the connected components of the links.
 
 Scale.  Exact copies are one text from the start (grouped by SHA-256), so
 thousands of copies cost one signature row each and nothing after.  Inside a
@@ -20,10 +20,9 @@ comparisons join them.  Only buckets that still hold several classes afterwards
 go on, again with one text per bucket and class.  What is left then is compared
 across classes in full, so no candidate link is lost: a bucket is cut into
 parts of ``PART`` texts, every two parts meet in one task, and only links come
-out of it, no pairs.  There a pair is compared in full unless one byte per slot
-puts its similarity more than 4.5 standard errors under the threshold, or its
-shingle counts alone rule the threshold out.  Comparisons of one text with many
-are salted into groups of ``FAN`` rows.  Nothing but round counts comes to
+out of it, no pairs.  There a pair is compared in full unless its shingle counts
+alone rule the threshold out.  Comparisons of one text with many are salted into
+groups of ``FAN`` rows.  Nothing but round counts comes to
 the driver; intermediate tables are written to the checkpoint folder.
 
 Edge cases.  Null and empty texts, and texts of white space alone, have no
@@ -113,17 +112,15 @@ def sketcher(bands: int, rows: int):
             for part in slices(batch):
                 data, offsets = A.text_bytes(part.column("text"))
                 n = len(offsets) - 1
-                doc, key, count = distinct(*shingles(data, offsets))
-                won = signatures(doc, key, 1.0 + np.log(count), n, bands * rows)
-                keys, low = band_keys(won, bands, rows), A.mix64(won).astype(np.uint8)
+                doc, key, _ = distinct(*shingles(data, offsets))
+                won = signatures(doc, key, np.ones(len(doc)), n, bands * rows)
+                keys = band_keys(won, bands, rows)
                 size = np.bincount(doc, minlength=n)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id").cast(pa.int64()),
                     "digest": part.column("digest"),
                     "size": pa.array(size, pa.int64()),
                     "bands": pa.array([k.tobytes() if m else None for k, m in zip(keys, size)],
-                                      pa.binary()),
-                    "slots": pa.array([k.tobytes() if m else None for k, m in zip(low, size)],
                                       pa.binary())})
     return run
 
@@ -196,6 +193,24 @@ def similar(a, b, threshold: float) -> bool:
     return common >= threshold * (len(a) + len(b) - common)
 
 
+def common_counts(sets, a, b):
+    """How many hashes ``sets[a]`` and ``sets[b]`` share, for every pair; ``a`` ascends."""
+    size = np.array([len(x) for x in sets])
+    start = np.cumsum(size) - size
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    code = code.astype(np.int32)
+    held = np.zeros(int(code.max()) + 1, bool)
+    out = np.empty(len(a), np.int64)
+    edge = np.flatnonzero(np.diff(a, prepend=-1, append=-1))
+    for lo, hi in zip(edge, edge[1:]):
+        own = code[start[a[lo]]:start[a[lo]] + size[a[lo]]]
+        held[own] = True
+        for k in range(lo, hi):
+            out[k] = np.count_nonzero(held[code[start[b[k]]:start[b[k]] + size[b[k]]]])
+        held[own] = False
+    return out
+
+
 def part_comparer(threshold: float):
     """Rows of a group (band, lo, hi): texts of two parts of a bucket, or of one."""
     def links_of(band, lo, hi, group):
@@ -203,10 +218,8 @@ def part_comparer(threshold: float):
 
         rid, label, size, part = (np.concatenate([g.column(k).to_numpy() for g in group])
                                   for k in ("rid", "label", "size", "part"))
-        slots, bands = (np.frombuffer(b"".join(
-            x for g in group for x in g.column(k).to_pylist()), t).reshape(len(rid), -1)
-            for k, t in (("slots", np.uint8), ("bands", np.int64)))
-        least = threshold - 4.5 * (threshold * (1 - threshold) / slots.shape[1]) ** 0.5
+        bands = np.frombuffer(b"".join(x for g in group for x in g.column("bands").to_pylist()),
+                              np.int64).reshape(len(rid), -1)
         one = np.flatnonzero(part == lo)
         two = one if lo == hi else np.flatnonzero(part == hi)
         a, b = [], []
@@ -218,14 +231,12 @@ def part_comparer(threshold: float):
             if lo == hi:
                 ok &= rid[x][:, None] < rid[two]
             i, j = np.nonzero(ok)
-            near = (slots[x[i]] == slots[two[j]]).mean(axis=1) >= least
-            a.append(x[i[near]])
-            b.append(two[j[near]])
+            i, j = x[i], two[j]
+            first = bands[i, (bands[i] == bands[j]).argmax(axis=1)] == band
+            a.append(i[first])                          # a pair counts in its first bucket
+            b.append(j[first])
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        same = bands[a] == bands[b]
-        first = bands[a, same.argmax(axis=1)] == band      # a pair counts in its first bucket
-        a, b = a[first], b[first]
-        sets = {}
+        sets = []
         wanted = np.zeros(len(rid), bool)
         wanted[a] = wanted[b] = True
         at = 0
@@ -236,13 +247,15 @@ def part_comparer(threshold: float):
                     doc, key, _ = distinct(*shingles(*A.text_bytes(
                         s.column("text").take(pa.array(mine)))))
                     cut = np.searchsorted(doc, np.arange(len(mine) + 1))
-                    sets.update((at + m, key[cut[n]:cut[n + 1]])
-                                for n, m in enumerate(mine.tolist()))
+                    sets += [key[x:y] for x, y in zip(cut, cut[1:])]
                 at += s.num_rows
-        hit = np.array([similar(sets[i], sets[j], threshold)
-                        for i, j in zip(a.tolist(), b.tolist())], bool)
-        return pa.RecordBatch.from_pydict({"a": pa.array(rid[a[hit]], pa.int64()),
-                                           "b": pa.array(rid[b[hit]], pa.int64())})
+        if len(a):
+            at = np.cumsum(wanted) - 1
+            common = common_counts(sets, at[a], at[b])
+            hit = common >= threshold * (size[a] + size[b] - common)
+            a, b = a[hit], b[hit]
+        return pa.RecordBatch.from_pydict({"a": pa.array(rid[a], pa.int64()),
+                                           "b": pa.array(rid[b], pa.int64())})
 
     def run(batches):
         key, group = None, []
@@ -274,7 +287,7 @@ def cross_links(left: DataFrame, sketches: DataFrame, texts: DataFrame,
                        F.greatest("part", "x").alias("hi"))
     rows = rows.join(sketches.join(texts, "rid"), "rid").repartition("band", "lo", "hi") \
         .sortWithinPartitions("band", "lo", "hi", "rid")
-    return rows.select("band", "lo", "hi", "part", "rid", "label", "size", "slots", "bands", "text") \
+    return rows.select("band", "lo", "hi", "part", "rid", "label", "size", "bands", "text") \
         .mapInArrow(part_comparer(threshold), "a long, b long").distinct()
 
 
@@ -343,12 +356,11 @@ def classes(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text", digest().alias("digest"))
     sketch, _ = stored(docs.mapInArrow(sketcher(bands, rows),
-                                       "doc_id long, digest binary, size long, bands binary, slots binary"),
+                                       "doc_id long, digest binary, size long, bands binary"),
                        "sketches")
     texts, _ = stored(sketch.groupBy("digest").agg(
         F.min("doc_id").alias("doc_id"), F.first("size").alias("size"),
-        F.first(F.struct("bands", "slots")).alias("s"))
-        .select("digest", "doc_id", "size", "s.bands", "s.slots")
+        F.first("bands").alias("bands"))
         .withColumn("rid", F.monotonically_increasing_id()), "distinct-texts")
     banded = texts.where(F.col("bands").isNotNull()).select("rid", "size", "bands") \
         .mapInArrow(unpack, "band long, rid long, size long")
@@ -387,7 +399,7 @@ def classes(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
 
     # the rest: all texts of different classes that share a bucket
     left, left_path = stored(open_buckets(members, label), "open-buckets")
-    last, _ = stored(cross_links(left, texts.select("rid", "slots", "bands"), involved, threshold),
+    last, _ = stored(cross_links(left, texts.select("rid", "bands"), involved, threshold),
                      "edges")
     label = components(edges.unionByName(last))
     drop_stored(spark, members_path, texts_path, left_path)

@@ -80,6 +80,39 @@ def test_one_large_group_of_near_copies(spark):
     assert {r.class_id for r in got} == {0} and sum(r.keeper for r in got) == 1
 
 
+@pytest.mark.parametrize("times", [5, 20, 50])
+def test_links_whose_differing_shingles_repeat(spark, times):
+    """Copies that differ in a line repeated inside the text: set Jaccard 0.80 to 0.90."""
+    rng = random.Random(times)
+    rows, pairs = [], 60
+    for k in range(pairs):
+        own = [f"a{k}x{i}" for i in range(400)]
+        n = rng.randint(21, 38)
+        for side in range(2):
+            line = [f"l{k}x{side}x{i}" for i in range(n)]
+            rows.append((2 * k + side, " ".join(own + line * times)))
+        x, y = shingles(rows[-1][1]), shingles(rows[-2][1])
+        assert 0.8 <= len(x & y) / len(x | y) <= 0.9
+    got = near_dedup.classes(frame(spark, rows).repartition(4)).collect()
+    assert sum(r.class_id == r.doc_id - r.doc_id % 2 for r in got) == 2 * pairs
+
+
+def test_part_comparer_tests_every_pair_that_the_sizes_allow():
+    """A link whose signatures agree in little more than the band is found."""
+    import numpy as np
+    import pyarrow as pa
+
+    base = [f"w{i}" for i in range(104)]
+    texts = [" ".join(base), " ".join(base[:95] + [f"v{i}" for i in range(9)])]
+    bands = [np.array([7, 1 + 10 * k, 2 + 10 * k], np.int64).tobytes() for k in range(2)]
+    batch = pa.RecordBatch.from_pydict({
+        "band": [7, 7], "lo": [0, 0], "hi": [0, 0], "part": [0, 0], "rid": [1, 2],
+        "label": [1, 2], "size": [100, 100], "slots": [bytes(18), bytes(range(1, 19))],
+        "bands": bands, "text": texts})
+    out = pa.Table.from_batches(near_dedup.part_comparer(0.8)([batch])).to_pylist()
+    assert out == [{"a": 1, "b": 2}]
+
+
 def test_keep_one_hands_columns_through(spark, docs, rows, nothing):
     kept = near_dedup.keep_one(docs)
     assert kept.schema == docs.schema
