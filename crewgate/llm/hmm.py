@@ -8,12 +8,12 @@ one share is kept for words never seen.  The end of a text is a symbol too.  So
 the model is a proper distribution over word sequences of any length.
 
 Training.  Parameters start from noise around the word frequencies and sticky
-transitions; ``WARM_ROUNDS`` rounds on a bounded sample (``WARM_DOCS`` training
-documents) separate the states, then ``FULL_ROUNDS`` rounds run over all
-training documents.  A round sends the parameters (bounded: states x symbols)
-to all partitions; each adds up the expected counts of its texts, and Spark
-sums them by state and slice of symbols.  For training alone, a text is cut
-into segments of ``SEGMENT`` words that start afresh.
+transitions.  Every round runs over all training documents: ``ROUNDS`` rounds at
+least, then on until a round raises the log-likelihood by less than the share
+``GAIN``.  A round sends the parameters (bounded: states x symbols) to all
+partitions; each adds up the expected counts of its texts, and Spark sums them
+by state and slice of symbols.  For training alone, a text is cut into segments
+of ``SEGMENT`` words that start afresh.
 
 Scoring.  The scaled forward recursion runs over the whole text, all texts of
 an Arrow batch in step; the logarithms of the scales add up to the exact
@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crewgate.llm import dictionary
-from crewgate.llm.common import crc32_of_id, drop_stored, stored
+from crewgate.llm.common import crc32_of_id, stored
 
 STATES, SYMBOLS = 8, 16384
-WARM_DOCS, WARM_ROUNDS, FULL_ROUNDS = 2000, 8, 1
+ROUNDS, GAIN = 9, 1e-4
 SEGMENT, CHUNK = 512, 1 << 18
 SLICES, PRIOR = 16, 200.0
 ADD = 0.1                    # smoothing of the contract's base score
@@ -186,7 +186,8 @@ def log_probabilities(sequences, start, move, emit):
 
 
 def expected_counts(sequences, start, move, emit):
-    """Baum-Welch counts of some sequences: (start, transitions, emissions by state)."""
+    """Baum-Welch counts of some sequences: (start, transitions, emissions by state),
+    and their log10 probability."""
     p = Packed(sequences)
     states = len(start)
     e = emit[p.symbols]
@@ -215,7 +216,7 @@ def expected_counts(sequences, start, move, emit):
     first = alpha[:p.n[0]].sum(axis=0) if len(p.n) else np.zeros(states)
     emitted = np.stack([np.bincount(p.symbols, alpha[:, s], minlength=len(emit))
                         for s in range(states)])
-    return first, moved * move, emitted
+    return first, moved * move, emitted, np.log10(scale).sum()
 
 
 def sequences_of(batch, end: int):
@@ -251,7 +252,7 @@ def counter(model):
             add(chunk)
         if total is None:
             return
-        keys, values = [-1], [np.concatenate([total[0], total[1].ravel()]).tobytes()]
+        keys, values = [-1], [np.concatenate([total[0], total[1].ravel(), [total[3]]]).tobytes()]
         for k in range(states):
             for i, part in enumerate(np.array_split(total[2][k], SLICES)):
                 keys.append(k * SLICES + i)
@@ -283,33 +284,33 @@ def first_model(symbols, states: int):
 
 
 def one_round(sequences: DataFrame, model, symbols):
-    """New parameters from the expected counts of all ``sequences``."""
+    """New parameters from the expected counts of all ``sequences``, and the log10
+    probability of these under the old ones (None without sequences)."""
     schema = "key int, numbers binary"
     got = sequences.select("symbols").mapInArrow(counter(model), schema) \
         .repartition("key").mapInArrow(add_up, schema).collect()   # states x symbols numbers
     if not got:
-        return model
+        return model, None
     part = {r["key"]: np.frombuffer(r["numbers"]) for r in got}
     states = len(model[0])
     start = part[-1][:states] + 1.0
-    move = part[-1][states:].reshape(states, states) + 1.0
+    move = part[-1][states:-1].reshape(states, states) + 1.0
     unigram = (symbols + ADD) / (symbols + ADD).sum()
     emit = np.stack([np.concatenate([part[k * SLICES + i] for i in range(SLICES)])
                      for k in range(states)], axis=1) + PRIOR * unigram[:, None]
-    return (start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    return (start / start.sum(), move / move.sum(axis=1, keepdims=True),
+            emit / emit.sum(axis=0)), float(part[-1][-1])
 
 
 def fit(coded: DataFrame, symbols):
-    train = coded.where("not summary and train").select("doc_id", "symbols")
-    sample = train.orderBy(F.xxhash64("doc_id"), "doc_id").select("symbols").limit(WARM_DOCS)
-    sample, path = stored(sample.repartition(6), "hmm-warm")
-    model = first_model(symbols, STATES)
-    for _ in range(WARM_ROUNDS):
-        model = one_round(sample, model, symbols)
-    drop_stored(coded.sparkSession, path)
-    for _ in range(FULL_ROUNDS):
-        model = one_round(train, model, symbols)
-    return model
+    train = coded.where("not summary and train").select("symbols")
+    model, last, n = first_model(symbols, STATES), None, 0
+    while True:
+        model, logs = one_round(train, model, symbols)
+        n += 1
+        if logs is None or n >= ROUNDS and not logs - last >= GAIN * -last:
+            return model
+        last = logs
 
 
 def score(documents: DataFrame, train=None) -> DataFrame:

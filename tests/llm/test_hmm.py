@@ -37,6 +37,35 @@ def test_recursions_equal_the_sum_over_all_paths():
         assert np.allclose(a, b)
 
 
+def test_every_round_reads_all_training_documents(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(False, k, True, (1 + rng.integers(0, 4, 6) + 4 * (k % 2)).astype("<u2").tobytes())
+            for k in range(2500)]
+    coded = spark.createDataFrame(
+        rows, "summary boolean, doc_id long, train boolean, symbols binary").repartition(2).cache()
+    seen, logs, one_round = [], [], hmm.one_round
+
+    def watched(sequences, model, symbols):
+        seen.append(sequences.count())
+        got = one_round(sequences, model, symbols)
+        logs.append(got[1])
+        return got
+
+    monkeypatch.setattr(hmm, "one_round", watched)
+    symbols = np.r_[0.0, np.full(8, 1875.0), 2500.0]
+    hmm.fit(coded, symbols)
+    assert set(seen) == {2500} and len(seen) >= 9
+    assert logs[-1] > logs[0] and logs[-1] - logs[-2] < hmm.GAIN * -logs[-2]
+
+
+def test_counts_come_with_the_log_probability():
+    rng = np.random.default_rng(2)
+    model = rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(7), 3).T
+    sequences = [rng.integers(0, 7, n) for n in (1, 9, 4)]
+    assert np.isclose(hmm.expected_counts(sequences, *model)[3],
+                      hmm.log_probabilities(sequences, *model).sum())
+
+
 def base_rows(rows):
     word = re.compile(r"[^\x20\x09-\x0D]+")
     lower = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
