@@ -60,6 +60,9 @@ class OpenBins:
 
     def place(self, size: int) -> tuple[int, int]:
         """(sequence, offset) for a piece of ``size`` <= limit tokens."""
+        if size == self.limit:      # never open, so none closes for it
+            self.n_bins += 1
+            return self.n_bins - 1, 0
         fits = self.bits >> size
         if fits:
             free = size + (fits & -fits).bit_length() - 1   # lowest amount that fits

@@ -66,3 +66,10 @@ def test_pack_all_rows(docs, rows):
 
 def test_empty_table(nothing):
     assert packing.pack(nothing, P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
+
+
+def test_full_pieces_close_no_open_sequence():
+    bins = packing.OpenBins(limit=10, most=2)
+    assert [bins.place(n) for n in (6, 7)] == [(0, 0), (1, 0)]
+    assert [bins.place(10) for _ in range(3)] == [(2, 0), (3, 0), (4, 0)]
+    assert bins.n_open == 2 and [bins.place(n) for n in (3, 4)] == [(1, 7), (0, 6)]
