@@ -4,7 +4,108 @@ from __future__ import annotations
 
 _ESCAPED = "replace(replace(coalesce({0}, ''), '~', '~0'), '<|', '<~1')"
 
+# crc32 of one byte after the other: the 256 remainders, and the fold over a word's bytes
+_BIT = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+
+
+def _remainders() -> str:
+    steps = "SELECT n, CAST(n AS BIGINT) AS c FROM (SELECT unnest(range(256)) AS n)"
+    for _ in range(8):
+        steps = f"SELECT n, {_BIT.format('c')} AS c FROM ({steps})"
+    return f"SELECT list(c ORDER BY n) AS tab FROM ({steps})"
+
+
+def _counts(table: str) -> str:
+    """Occurrences per word of all texts of ``table``, with the word's bucket."""
+    return f"""
+  SELECT word, n, xor(list_reduce(list_prepend(4294967295::BIGINT,
+           list_transform(range(1, length(hex(word)) // 2 + 1),
+                          lambda i: CAST('0x' || substr(hex(word), 2 * i - 1, 2) AS BIGINT))),
+           lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM {table}) GROUP BY word),
+       remainders"""
+
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
 ORACLE_SQL = {
+    "op11_filter_interaction_audit": r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first FROM docs GROUP BY text),
+worded AS (
+  SELECT docs.*, first, regexp_extract_all(docs.text, '[^\x20\x09-\x0D]+') AS words
+  FROM docs JOIN firsts ON docs.text = firsts.text),
+marked AS (
+  SELECT part,
+         CAST(len(words) < 50 AS INT)
+         + 2 * CAST(100 * len(list_distinct(words)) < 65 * len(words) AS INT)
+         + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) AS INT)
+         + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT)
+         + 16 * CAST(coalesce(doc_id > first, false) AS INT) AS failed,
+         doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good,
+         doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic
+  FROM worded),
+cells AS (
+  SELECT part, failed, count(*) AS n, count(*) FILTER (WHERE good) AS good,
+         count(*) FILTER (WHERE toxic) AS toxic
+  FROM marked GROUP BY part, failed),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS t(l, bit)),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order,
+         [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+    AND len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (
+  SELECT filter_order, step, bits[step] AS bit,
+         coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+audited AS (
+  SELECT part, filter_order, step, bit,
+         sum(CASE WHEN failed & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN failed & before = 0 AND failed & bit <> 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN failed & before <> 0 AND failed & bit <> 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN failed = bit THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN failed & before = 0 AND failed & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN failed & before = 0 AND failed & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept,
+       CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM audited""",
+    "op13_importance_resampling": f"""
+WITH remainders AS ({_remainders()}),
+docs AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+aims AS (SELECT {_WORDS} AS words FROM benchmark),
+doc_words AS ({_counts('docs')}), aim_words AS ({_counts('aims')}),
+gains AS (
+  SELECT b.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (total + 10000)::DOUBLE
+           / ((b.n + 1)::DOUBLE * (aim + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM (SELECT bucket, sum(n) AS n FROM doc_words GROUP BY bucket) b
+  LEFT JOIN (SELECT bucket, sum(n) AS n FROM aim_words GROUP BY bucket) t ON t.bucket = b.bucket,
+       (SELECT coalesce(sum(n), 0) AS total FROM doc_words),
+       (SELECT coalesce(sum(n), 0) AS aim FROM aim_words)),
+weights AS (
+  SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight
+  FROM (SELECT doc_id, unnest(words) AS word FROM docs) o
+  JOIN doc_words USING (word) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT docs.doc_id, len(words) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:'
+           || docs.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT)
+           AS score
+  FROM docs LEFT JOIN weights ON weights.doc_id = docs.doc_id),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k,
+         10 * count(*) OVER () // 100 AS drawn
+  FROM scored WHERE n_features >= 20)
+SELECT scored.doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score,
+       CASE WHEN k <= drawn THEN k END AS rank
+FROM scored LEFT JOIN ranked ON ranked.doc_id = scored.doc_id""",
     "op6_chat_formatting": f"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text

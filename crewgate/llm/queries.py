@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from crewgate.llm import bpe, chat, fingerprints, gam, hmm, near_dedup, packing, quality_rules, \
-    sharding, token_counts
+from crewgate.llm import bpe, bpe_tree, chat, filter_audit, fingerprints, gam, hmm, importance, \
+    near_dedup, packing, quality_rules, sharding, token_counts
 from crewgate.llm.common import table
 
 
@@ -70,7 +70,25 @@ def op10_quality_classifier(spark, sf_dir):
     return gam.score(docs, gam.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_filter_interaction_audit(spark, sf_dir):
+    """Operator 11 over all documents: every order of the five filters, step by step."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_bpe_tree(spark, sf_dir):
+    """Operator 12 over all documents: ids by tree concatenation and the decoded text."""
+    return bpe_tree.round_trip(table(spark, sf_dir, "documents"),
+                               public_tokenizers.path("byte_bpe_50k.json"),
+                               public_tokenizers.PATTERN)
+
+
+def op13_importance_resampling(spark, sf_dir):
+    """Operator 13 over all documents, towards the texts of ``benchmark``."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_token_counts, op3_quality_rules, op4_byte_bpe, op5_document_fingerprints,
     op6_chat_formatting, op7_lm_scoring, op8_sharding, op9_minhash_near_dedup,
-    op10_quality_classifier)}
+    op10_quality_classifier, op11_filter_interaction_audit, op12_bpe_tree,
+    op13_importance_resampling)}

@@ -16,6 +16,10 @@ COLUMNS = {
     "op8_sharding": "doc_id size text_crc32 law shard slot grown_shard",
     "op9_minhash_near_dedup": "doc_id class_id",
     "op10_quality_classifier": "doc_id held_out score predicted",
+    "op11_filter_interaction_audit": "part filter_order step kept removed redundant unique_fails "
+                                     "good_lost toxic_lost shapley",
+    "op12_bpe_tree": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op13_importance_resampling": "doc_id n_features weight score rank",
 }
 
 
