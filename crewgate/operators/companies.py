@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from crewgate.functions import exprs as X
 from crewgate.operators import quality
+from crewgate.operators.deletions import split_requests
 from crewgate.operators.greedy import first_by_keys
 from crewgate.operators.keys import assign_ids_after
 from crewgate.schema import COMPANIES, conform
@@ -80,7 +81,9 @@ def edit_companies(edits: DataFrame, C: DataFrame) -> tuple[DataFrame, DataFrame
     return conform(new_c, COMPANIES), outcomes
 
 
-def delete_companies(ids: DataFrame, C: DataFrame, W: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Remove companies by id and, by cascade, their workers."""
-    gone = ids.select(F.col("id").alias("company_id")).distinct()
-    return C.join(gone, "company_id", "left_anti"), W.join(gone, "company_id", "left_anti")
+def delete_companies(requests: DataFrame, C: DataFrame,
+                     W: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Remove companies by id and, by cascade, their workers.  ``requests``: seq, id.  Returns (companies, workers, outcomes)."""
+    gone, outcomes = split_requests(requests, C, "company_id")
+    return (C.join(gone, "company_id", "left_anti"), W.join(gone, "company_id", "left_anti"),
+            outcomes)

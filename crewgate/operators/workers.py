@@ -1,5 +1,5 @@
-"""Worker changes: add (D2), edit (D3), delete (D6), role delete and key
-remapping (D6, the declared ON DELETE SET NULL / ON UPDATE CASCADE)."""
+"""Worker changes: add (D2), edit (D3), delete (D6) and role delete (D6, the
+declared ON DELETE SET NULL); key changes are in ``renames``."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from crewgate.functions import exprs as X
 from crewgate.operators import quality
+from crewgate.operators.deletions import split_requests
 from crewgate.operators.keys import assign_ids_after
 from crewgate.operators.listing import resolve_company
 from crewgate.operators.sizing import join_spread, present_keys
@@ -162,31 +163,18 @@ def edit_workers(edits: DataFrame, W: DataFrame, C: DataFrame | None = None,
     return conform(new_w, WORKERS), outcomes
 
 
-def delete_workers(ids: DataFrame, W: DataFrame) -> DataFrame:
-    """Remove workers by id."""
-    return W.join(ids.select(F.col("id").alias("worker_id")).distinct(), "worker_id",
-                  "left_anti")
+def delete_workers(requests: DataFrame, W: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Remove workers by id; ``requests``: seq, id.  Returns (workers, outcomes)."""
+    gone, outcomes = split_requests(requests, W, "worker_id")
+    return W.join(gone, "worker_id", "left_anti"), outcomes
 
 
-def delete_roles(ids: DataFrame, R: DataFrame, W: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Remove roles; workers holding one keep their row with role NULL."""
-    gone = ids.select(F.col("id").alias("role_id")).distinct()
+def delete_roles(requests: DataFrame, R: DataFrame,
+                 W: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Remove roles; workers holding one keep their row with role NULL.
+    ``requests``: seq, id.  Returns (roles, workers, outcomes)."""
+    gone, outcomes = split_requests(requests, R, "role_id")
     marked = join_spread(W, gone.withColumn("_gone", F.lit(True)), "role_id", "worker_id", "left")
     new_w = marked.withColumn(
         "role_id", F.when(F.col("_gone"), F.lit(None).cast("long")).otherwise(F.col("role_id")))
-    return R.join(gone, "role_id", "left_anti"), conform(new_w, WORKERS)
-
-
-def remap_keys(mapping: DataFrame, parent: DataFrame, child: DataFrame, pk: str,
-               fk: str) -> tuple[DataFrame, DataFrame]:
-    """A parent key change follows to the children (ON UPDATE CASCADE).
-
-    ``mapping`` has (old_id, new_id); of several rows for one old id the lowest
-    new id counts.
-    """
-    m = mapping.groupBy("old_id").agg(F.min("new_id").alias("new_id"))
-    p = parent.join(m.withColumnRenamed("old_id", pk), pk, "left") \
-              .withColumn(pk, F.coalesce(F.col("new_id"), F.col(pk))).drop("new_id")
-    c = child.join(m.withColumnRenamed("old_id", fk), fk, "left") \
-             .withColumn(fk, F.coalesce(F.col("new_id"), F.col(fk))).drop("new_id")
-    return p.select(parent.columns), c.select(child.columns)
+    return R.join(gone, "role_id", "left_anti"), conform(new_w, WORKERS), outcomes

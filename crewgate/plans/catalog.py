@@ -8,13 +8,14 @@ text for the same result is in ``plans.oracle``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crewgate.functions import exprs as X
-from crewgate.operators import companies, flags, greedy, keys, listing, load, quality, reports, \
-    upsert, workers
+from crewgate.operators import companies, flags, greedy, keys, listing, load, quality, renames, \
+    reports, upsert, workers
 from crewgate.schema import COMPANIES
 from crewgate.session import scratch_path
 from crewgate.sources import roster_csv, tables
@@ -296,22 +297,31 @@ def flag_change_outcomes(spark, sf):
 def delete_companies_cascade(spark, sf):
     """Workers left after deleting companies (cascade)."""
     W, C, _ = _wcr(spark, sf)
-    _, new_w = companies.delete_companies(V.company_deletions(spark, sf), C, W)
-    return new_w
+    return companies.delete_companies(V.company_deletions(spark, sf), C, W)[1]
 
 
 @register
 def role_set_null(spark, sf):
     """Workers after deleting a role (their role becomes NULL)."""
     W, _, R = _wcr(spark, sf)
-    _, new_w = workers.delete_roles(V.role_deletions(spark, sf), R, W)
-    return new_w
+    return workers.delete_roles(V.role_deletions(spark, sf), R, W)[1]
 
 
 @register
 def delete_workers(spark, sf):
     """Workers left after deleting a set of workers."""
-    return workers.delete_workers(V.worker_deletions(spark, sf), V.workers(spark, sf))
+    return workers.delete_workers(V.worker_deletions(spark, sf), V.workers(spark, sf))[0]
+
+
+@register
+def deletion_outcomes(spark, sf):
+    """Outcome per deletion request, for workers, companies and roles."""
+    W, C, R = _wcr(spark, sf)
+    asked = V.repeated_deletions(spark, sf)
+    parts = [("worker", workers.delete_workers(asked, W)[1]),
+             ("company", companies.delete_companies(asked, C, W)[2]),
+             ("role", workers.delete_roles(asked, R, W)[2])]
+    return reduce(DataFrame.unionByName, [o.withColumn("type", F.lit(t)) for t, o in parts])
 
 
 @register
@@ -372,9 +382,32 @@ def snapshot_roundtrip(spark, sf):
 @register
 def company_remap(spark, sf):
     """Workers after some companies changed their id (ON UPDATE CASCADE)."""
-    _, new_w = workers.remap_keys(V.company_remaps(spark, sf), V.companies(spark, sf),
-                                  V.workers(spark, sf), "company_id", "company_id")
-    return new_w
+    return renames.remap_keys(V.company_remaps(spark, sf), V.companies(spark, sf),
+                              V.workers(spark, sf), "company_id", "company_id")[1]
+
+
+def _key_changes(spark, sf):
+    return renames.remap_keys(V.company_key_changes(spark, sf), V.companies(spark, sf),
+                              V.workers(spark, sf), "company_id", "company_id")
+
+
+@register
+def key_change_outcomes(spark, sf):
+    """Outcome per key change of a batch whose requests free and take each
+    other's ids."""
+    return _key_changes(spark, sf)[2]
+
+
+@register
+def key_change_companies(spark, sf):
+    """Companies after those key changes."""
+    return _key_changes(spark, sf)[0]
+
+
+@register
+def key_change_workers(spark, sf):
+    """Workers after those key changes (their company id follows)."""
+    return _key_changes(spark, sf)[1]
 
 
 @register

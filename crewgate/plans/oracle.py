@@ -732,3 +732,64 @@ ORACLE_SQL["expired_lines"] = with_views("workers", "companies", extra={
     NULL, NULL, NULL FROM e
   UNION ALL SELECT 5 + ht + hp + n, 'total', NULL, CAST(n AS VARCHAR) || ' badges in all',
     NULL, NULL, NULL FROM e"""
+
+
+# Deletions one after the other: the first request of a stored id finds it.
+ORACLE_SQL["deletion_outcomes"] = """
+WITH asked AS (
+  SELECT event_id AS seq, CASE WHEN event_id % 41 = 0 THEN NULL
+           WHEN event_id % 37 = 0 THEN user_id % 331 + 2000000000 ELSE user_id % 331 END AS id
+  FROM events),
+stored AS (
+  SELECT 'worker' AS type, o_orderkey AS id FROM orders
+  UNION ALL SELECT 'company', c_custkey FROM customer
+  UNION ALL SELECT 'role', s_suppkey FROM supplier),
+types AS (SELECT DISTINCT type FROM stored)
+SELECT a.seq, a.id, CASE WHEN s.id IS NOT NULL
+         AND a.seq = min(a.seq) OVER (PARTITION BY t.type, a.id) THEN 'deleted' ELSE 'not_found'
+       END AS outcome, t.type
+FROM asked a CROSS JOIN types t LEFT JOIN stored s ON s.type = t.type AND s.id = a.id"""
+
+# Key changes simulated one request at a time: the recursion carries the present id
+# of every company, in the order of the ids at the start.
+KEY_CHANGES = _recursive("""WITH k AS (SELECT p_partkey AS seq, p_partkey % 50 AS link, p_partkey // 50 * 50 AS base,
+             p_partkey // 50 * 50 + 7000000000 AS free FROM part),
+r AS (
+  SELECT seq, CASE WHEN link < 12 THEN base + 12 - link
+      WHEN link < 15 THEN [base + 13, base + 14, free + 1][link - 11]
+      WHEN link < 20 THEN base + link WHEN link < 28 THEN base + 20 + link % 2
+      WHEN link < 32 THEN free WHEN link < 36 THEN base + 30 + link % 3
+      WHEN link = 36 THEN base + 9000000000 WHEN link = 37 THEN NULL ELSE base + link - 8 END AS old_id,
+    CASE WHEN link = 0 THEN free WHEN link < 12 THEN base + 13 - link
+      WHEN link < 15 THEN [free + 1, base + 13, base + 14][link - 11]
+      WHEN link < 20 THEN base + 15 + (link + 1) % 5 WHEN link < 28 THEN free + 2 + link % 3
+      WHEN link < 32 THEN free + link WHEN link < 36 THEN base + 30 + link % 2
+      WHEN link = 38 THEN NULL WHEN link = 39 THEN base + link - 8
+      ELSE base + (link * 7) % 50 END AS new_id
+  FROM k),
+p AS (SELECT *, row_number() OVER (ORDER BY seq) AS rn FROM r),
+g AS (
+  SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS VARCHAR) AS outcome,
+         (SELECT list(c_custkey ORDER BY c_custkey) FROM customer) AS cur
+  UNION ALL
+  SELECT rn, outcome, CASE WHEN outcome = 'applied' THEN list_transform(
+           cur, lambda x: CASE WHEN x = old_id THEN new_id ELSE x END) ELSE cur END
+  FROM (SELECT p.rn, p.old_id, p.new_id, g.cur,
+               CASE WHEN p.old_id IS NULL OR NOT list_contains(g.cur, p.old_id) THEN 'not_found'
+                    WHEN p.new_id IS NULL THEN 'missing_key'
+                    WHEN p.old_id = p.new_id THEN 'unchanged'
+                    WHEN list_contains(g.cur, p.new_id) THEN 'key_taken' ELSE 'applied' END AS outcome
+        FROM g JOIN p ON p.rn = g.rn + 1) q)""")
+MOVED = KEY_CHANGES + """,
+m AS (
+  SELECT unnest((SELECT cur FROM g WHERE rn = 0)) AS old_id, unnest(cur) AS new_id
+  FROM g WHERE rn = (SELECT max(rn) FROM g)),
+"""
+ORACLE_SQL["key_change_outcomes"] = KEY_CHANGES + """
+SELECT p.seq, p.old_id, p.new_id, g.outcome FROM p JOIN g ON g.rn = p.rn"""
+ORACLE_SQL["key_change_companies"] = MOVED + f"companies AS ({VIEWS['companies']})" + f"""
+SELECT {COMPANY_FIELDS.replace('company_id', 'm.new_id AS company_id')}
+FROM companies JOIN m ON m.old_id = companies.company_id"""
+ORACLE_SQL["key_change_workers"] = MOVED + f"workers AS ({VIEWS['workers']})" + f"""
+SELECT {WORKER_FIELDS.replace('company_id', 'coalesce(m.new_id, company_id) AS company_id')}
+FROM workers LEFT JOIN m ON m.old_id = workers.company_id"""

@@ -221,25 +221,62 @@ def flag_change_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def company_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return c.where(F.col("c_mktsegment") == "BUILDING").select(
-        F.col("c_custkey").alias("id"))
+        F.col("c_custkey").alias("seq"), F.col("c_custkey").alias("id"))
+
+
+def repeated_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deletion requests in another order than the ids: unknown, missing and repeated
+    ids among them (the same list serves workers, companies and roles)."""
+    e = table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    ident = F.col("user_id") % 331
+    return e.select(k.alias("seq"),
+                    F.when(k % 41 == 0, F.lit(None).cast("long"))
+                     .when(k % 37 == 0, ident + F.lit(2_000_000_000)).otherwise(ident).alias("id"))
 
 
 def company_remaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New ids of one market segment's companies."""
     c = table(spark, sf_dir, "customer")
     return c.where(F.col("c_mktsegment") == "MACHINERY").select(
-        F.col("c_custkey").alias("old_id"),
+        F.col("c_custkey").alias("seq"), F.col("c_custkey").alias("old_id"),
         (F.col("c_custkey") + F.lit(5_000_000_000)).alias("new_id"))
 
 
+def company_key_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key changes that depend on one another: per 50 companies a chain into a free id,
+    a swap through a third id, a cycle that nothing opens, several claims on one
+    id, moves on of rows that have moved, ids that are not there and missing ids."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    group, link = F.floor(k / 50), k % 50
+    base = group * 50
+    free = base + F.lit(7_000_000_000)
+    old = (F.when(link < 12, base + 12 - link)                       # chain: 12->free, 11->12, ...
+            .when(link < 15, F.element_at(F.array(base + 13, base + 14, free + 1), (link - 11).cast("int")))
+            .when(link < 20, base + link).when(link < 28, base + 20 + link % 2)
+            .when(link < 32, free).when(link < 36, base + 30 + link % 3)
+            .when(link == 36, base + F.lit(9_000_000_000)).when(link == 37, F.lit(None).cast("long"))
+            .otherwise(base + link - 8))
+    new = (F.when(link == 0, free).when(link < 12, base + 13 - link)
+            .when(link < 15, F.element_at(F.array(free + 1, base + 13, base + 14), (link - 11).cast("int")))
+            .when(link < 20, base + 15 + (link + 1) % 5).when(link < 28, free + 2 + link % 3)
+            .when(link < 32, free + link).when(link < 36, base + 30 + link % 2)
+            .when(link == 38, F.lit(None).cast("long")).when(link == 39, base + link - 8)
+            .otherwise(base + (link * 7) % 50))
+    return p.select(k.alias("seq"), old.cast("long").alias("old_id"), new.cast("long").alias("new_id"))
+
+
 def role_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
-    return s.where(F.col("s_nationkey") == 7).select(F.col("s_suppkey").alias("id"))
+    return s.where(F.col("s_nationkey") == 7).select(
+        F.col("s_suppkey").alias("seq"), F.col("s_suppkey").alias("id"))
 
 
 def worker_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    return o.where(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("id"))
+    return o.where(F.col("o_orderstatus") == "F").select(
+        F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("id"))
 
 
 # Fixed value: the stamp of every row of the upsert stand-in.

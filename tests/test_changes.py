@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from crewgate.operators import companies, keys, upsert, workers
+from crewgate.operators import companies, keys, renames, upsert, workers
 from crewgate.schema import COMPANIES, ROLES, WORKERS
 from fixtures import company_row, worker_row
 
@@ -124,17 +124,23 @@ def test_deletes_cascade_and_set_null(spark):
                                worker_row(3, company_id=2, role_id=None)], WORKERS)
     C = spark.createDataFrame([company_row(1, "A"), company_row(2, "B")], COMPANIES)
     R = spark.createDataFrame([(1, "X"), (2, "Y")], ROLES)
-    ids = spark.createDataFrame([(2,)], "id long")
-    new_c, new_w = companies.delete_companies(ids, C, W)
+    ids = spark.createDataFrame([(5, 2), (4, 2), (6, 9), (7, None)], "seq long, id long")
+    told = {4: "deleted", 5: "not_found", 6: "not_found", 7: "not_found"}
+    outcomes = lambda df: {r["seq"]: r["outcome"] for r in df.collect()}
+    new_c, new_w, out = companies.delete_companies(ids, C, W)
+    assert outcomes(out) == told
     assert [r[0] for r in new_c.select("company_id").collect()] == [1]
     assert [r[0] for r in new_w.select("worker_id").collect()] == [1]
-    new_r, w2 = workers.delete_roles(ids, R, W)
+    new_r, w2, out = workers.delete_roles(ids, R, W)
+    assert outcomes(out) == told
     assert sorted((r["worker_id"], r["role_id"]) for r in w2.collect()) == \
         [(1, 1), (2, None), (3, None)]
     assert new_r.count() == 1
-    assert workers.delete_workers(ids, W).count() == 2
-    m = spark.createDataFrame([(2, 20)], "old_id long, new_id long")
-    p, c = workers.remap_keys(m, C, W, "company_id", "company_id")
+    left, out = workers.delete_workers(ids, W)
+    assert left.count() == 2 and outcomes(out) == told
+    m = spark.createDataFrame([(1, 2, 20)], "seq long, old_id long, new_id long")
+    p, c, out = renames.remap_keys(m, C, W, "company_id", "company_id")
+    assert outcomes(out) == {1: "applied"}
     assert sorted(r[0] for r in p.select("company_id").collect()) == [1, 20]
     assert sorted(r[0] for r in c.select("company_id").collect()) == [1, 20, 20]
 

@@ -87,6 +87,15 @@ def test_null_keys_do_not_meet_in_one_task(spark):
     df = spark.createDataFrame([(1, "x", None)], "seq long, a string, b string")
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
-        greedy._round(df, ["a", "b"], "seq").explain()
+        greedy._with_holders(df, ["a", "b"], "seq").explain()
     joins = [x for x in buf.getvalue().splitlines() if "Join" in x]
     assert joins and all("_salt" in x for x in joins)
+
+
+def test_long_chain_in_logarithmic_rounds(spark):
+    # every request shares its name with one neighbour and its VAT with the other
+    rows = [(i, f"n{i // 2}", f"v{(i + 1) // 2}") for i in range(10_000)]
+    df = spark.createDataFrame(rows, "seq long, a string, b string")
+    stats = {}
+    got = sorted(r["seq"] for r in first_by_keys(df, ["a", "b"], "seq", stats).collect())
+    assert got == brute(rows) and stats["rounds"] <= 16

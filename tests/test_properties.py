@@ -50,9 +50,9 @@ def test_accepted_companies_never_conflict(spark):
 
 def test_cascade_leaves_no_orphans(spark):
     W, C, R = V.workers(spark, SF), V.companies(spark, SF), V.roles(spark, SF)
-    new_c, new_w = companies.delete_companies(V.company_deletions(spark, SF), C, W)
+    new_c, new_w, _ = companies.delete_companies(V.company_deletions(spark, SF), C, W)
     assert quality.orphans(new_w, new_c, "company_id", "company_id", "worker_id").count() == 0
-    new_r, w2 = workers.delete_roles(V.role_deletions(spark, SF), R, W)
+    new_r, w2, _ = workers.delete_roles(V.role_deletions(spark, SF), R, W)
     assert quality.orphans(w2, new_r, "role_id", "role_id", "worker_id").count() == \
         quality.orphans(W, R, "role_id", "role_id", "worker_id").count()
 

@@ -80,8 +80,8 @@ def test_site_office_checklist(spark, scratch):
     assert reports.expired(W(), C(), dt.date(2024, 6, 30)).count() == 1
 
     # company delete takes its workers along
-    ids = spark.createDataFrame([(beta,)], "id long")
-    new_c, new_w = companies.delete_companies(ids, C(), W())
+    ids = spark.createDataFrame([(1, beta)], "seq long, id long")
+    new_c, new_w, _ = companies.delete_companies(ids, C(), W())
     save(new_c, "companies")
     save(new_w, "workers")
     assert [r["worker_id"] for r in W().collect()] == [1]
