@@ -1,153 +1,169 @@
 """Operator 7: a hidden Markov language model, trained by Baum-Welch.
 
-Vocabulary.  Words are counted over all training documents by the
-distinct-word exchange (``dictionary``).  The most frequent words of every
-bucket, ``SYMBOLS`` in all, are symbols of their own; every other word is the
-rare symbol followed by a draw from the smoothed counts of rare words, where
-one share is kept for words never seen.  The end of a text is a symbol too.  So
-the model is a proper distribution over word sequences of any length.
+Vocabulary.  Words are counted over all training documents by a ``groupBy``.  The
+``SYMBOLS`` most frequent words of the whole corpus are symbols of their own (ties by
+the word's bytes), whatever the number of partitions.  Every other word belongs to
+a class by the crc32 of its bytes, one class for ``CLASS_WORDS`` other words and at
+most ``CLASSES``: the states emit the class, and
+the word is a draw from the smoothed counts of the class, in which one share is kept
+for words never seen.  The end of a text is a symbol too.  So the model is a proper
+distribution over word sequences of any length, and every word takes part in the
+latent states, its own or its class's; the model's size is fixed.
 
 Training.  Parameters start from noise around the word frequencies and sticky
 transitions.  Every round runs over all training documents: ``ROUNDS`` rounds at
 least, then on until a round raises the log-likelihood by less than the share
 ``GAIN``.  A round sends the parameters (bounded: states x symbols) to all
 partitions; each adds up the expected counts of its texts, and Spark sums them
-by state and slice of symbols.  For training alone, a text is cut into segments
-of ``SEGMENT`` words that start afresh.
+by state and slice of symbols.  The recursions run over many segments of ``SEGMENT``
+words in step.  A longer text is cut, and the messages over its cuts are found first,
+from the product of the transition matrices of every segment; so the counts are
+those of whole texts, cuts or not.
 
 Scoring.  The scaled forward recursion runs over the whole text, all texts of
 an Arrow batch in step; the logarithms of the scales add up to the exact
-log10 probability.
+log10 probability.  The shares of a text's words without a symbol come from a join
+with the counted words; no frequent word takes part in it.
+
+Scale.  Memory in a task is bounded by a slice of texts, ``CHUNK`` symbols and the
+model, or by one text; word counts are flushed every ``FLUSH`` distinct words.
 
 Edge cases.  Null and empty texts are the end symbol alone.  A null doc id
 counts as held out.  Without training documents all counts are 0 and the
 recursion runs on the starting parameters.  Repeated rows are counted and
 scored each; other columns are never read.  An empty table gives no row.
+
+Building the result runs the training (Spark jobs); the scores are computed lazily.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crewgate.llm import dictionary
-from crewgate.llm.common import crc32_of_id, stored
+from crewgate.llm.common import crc32_of_id, slices, stored
 
-STATES, SYMBOLS = 8, 16384
+STATES, SYMBOLS, CLASSES, CLASS_WORDS = 8, 16384, 4096, 256
 ROUNDS, GAIN = 9, 1e-4
-SEGMENT, CHUNK = 512, 1 << 18
+SEGMENT, CHUNK = 1024, 1 << 20
+FLUSH = 300_000
 SLICES, PRIOR = 16, 200.0
 ADD = 0.1                    # smoothing of the contract's base score
-CODED = ("summary boolean, doc_id long, train boolean, n_words long, n_known long, "
-         "base_log double, rare_log double, n_rare long, symbols binary")
-SCHEMA = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-          "base_score double, score double")
+CODED = ("doc_id long, train boolean, n_words long, n_own long, own_log double, "
+         "class_log double, symbols binary, rare map<binary,int>")
+SCORED = ("rid long, doc_id long, held_out boolean, n_words long, n_own long, own_log double, "
+          "class_log double, log double")
 
 
 def split(text: str) -> list[bytes]:
     return text.encode().lower().split()      # ASCII case and ASCII white space only
 
 
-def wide(low, high):
-    return dictionary.numbers(low).astype(np.int64) + (
-        dictionary.numbers(high).astype(np.int64) << 32)
-
-
-def halves(n):
-    n = np.asarray(n, dtype=np.int64)
-    return n & 0xFFFFFFFF, n >> 32
-
-
-def count_bucket(share: int):
-    """Corpus counts and symbols of a bucket's words, answered to every page."""
-    def work(bucket, pages):
-        pages = [dictionary.Page(block, payload) for block, payload in pages]
-        counts = {}
-        for page in pages:
-            for w, n in zip(page.words, page.often.tolist()):
-                counts[w] = counts.get(w, 0) + n
-        top = sorted(((-n, w) for w, n in counts.items() if n))[:share]
-        symbol = {w: 1 + bucket * share + k for k, (_, w) in enumerate(top)}
-        for page in pages:
-            yield dictionary.ANSWER, page.block, dictionary.squeeze(
-                np.diff(page.places, prepend=0), *halves([counts[w] for w in page.words]),
-                np.fromiter((symbol.get(w, 0) for w in page.words), "<u4", len(page.words)))
-        seen = [n for n in counts.values() if n]
-        yield dictionary.SUMMARY, -1, dictionary.squeeze(
-            *halves([sum(seen), len(seen)]), np.array(list(symbol.values()), "<u4"),
-            *halves([-n for n, _ in top]))
-    return work
-
-
-def finish(replies):
-    parts = [dictionary.unsqueeze(r) for r in replies]
-    places = [np.cumsum(dictionary.numbers(p[0]).astype(np.int64)) for p in parts]
-    n = sum(map(len, places))
-    count, symbol = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for where, p in zip(places, parts):
-        count[where], symbol[where] = wide(p[1], p[2]), dictionary.numbers(p[3])
-
-    def use(doc_ids, flags, counts, at):
+def words_of(batch):
+    for part in slices(batch):
+        for text in part.column("text").to_pylist():
+            yield split(text or "")
+
+
+def count_words(documents: DataFrame) -> DataFrame:
+    """(word, n) over all of ``documents`` (text)."""
+    def run(batches):
         import pyarrow as pa
 
-        docs = len(doc_ids)
-        doc = np.repeat(np.arange(docs), counts)
-        c, s = count[at], symbol[at]
-        logs = np.log10(c + ADD)
-        rare = s == 0
-        edge = np.concatenate([[0], np.cumsum(counts)])
-        raw = s.astype("<u2")
-        yield pa.RecordBatch.from_pydict({
-            "summary": pa.array([False] * docs), "doc_id": pa.array(doc_ids, pa.int64()),
-            "train": pa.array(np.frombuffer(flags, "u1").astype(bool)),
-            "n_words": pa.array(counts), "n_known": pa.array(np.bincount(doc[c > 0], minlength=docs)),
-            "base_log": pa.array(np.bincount(doc, logs, minlength=docs)),
-            "rare_log": pa.array(np.bincount(doc[rare], logs[rare], minlength=docs)),
-            "n_rare": pa.array(np.bincount(doc[rare], minlength=docs)),
-            "symbols": pa.array([raw[a:b].tobytes() for a, b in zip(edge, edge[1:])],
-                                pa.binary())})
-    return use
-
-
-def summary(payload):
-    import pyarrow as pa
+        counts = Counter()
 
-    none = {"doc_id": pa.int64(), "train": pa.bool_(), "n_words": pa.int64(),
-            "n_known": pa.int64(), "base_log": pa.float64(), "rare_log": pa.float64(),
-            "n_rare": pa.int64()}
-    yield pa.RecordBatch.from_pydict(
-        {"summary": pa.array([True])} | {k: pa.array([None], t) for k, t in none.items()}
-        | {"symbols": pa.array([payload], pa.binary())})
-
-
-def code(documents: DataFrame, train) -> tuple[DataFrame, int]:
-    """Documents as symbols with their base sums, and the number of symbols; a table
-    that everything after reads."""
-    buckets = min(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8192)
-    share = max(1, SYMBOLS // buckets)
-    rows = documents.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("flag"))
-    answered = dictionary.answer(dictionary.code(rows, split, buckets, flagged=True),
-                                 count_bucket(share))
-    coded, _ = stored(dictionary.rejoin(answered, finish, CODED, summary), "hmm-symbols")
-    return coded, buckets * share
-
-
-def totals(coded: DataFrame, n_symbols: int) -> dict:
-    """N, V and symbol counts: one row per bucket, SYMBOLS numbers in all."""
-    symbols = np.zeros(n_symbols + 2)
-    n_words = n_types = 0
-    for r in coded.where("summary").select("symbols").collect():
-        p = dictionary.unsqueeze(r["symbols"])
-        n, v = wide(p[0], p[1]).tolist()
-        n_words, n_types = n_words + n, n_types + v
-        symbols[dictionary.numbers(p[2])] = wide(p[3], p[4])
-    ends = coded.where("not summary and train").count()
-    own = int((symbols > 0).sum())
-    rare = n_words - symbols.sum()
-    symbols[0], symbols[-1] = rare, ends
-    return {"tokens": n_words + ends, "types": n_types + (ends > 0), "ends": ends,
-            "symbols": symbols, "rare_mass": rare + ADD * (n_types - own + 1)}
+        def flush():
+            return pa.RecordBatch.from_pydict({
+                "word": pa.array(list(counts), pa.binary()),
+                "n": pa.array(list(counts.values()), pa.int64())})
+
+        for batch in batches:
+            for words in words_of(batch):
+                counts.update(words)
+                if len(counts) >= FLUSH:
+                    yield flush()
+                    counts.clear()
+        yield flush()
+    return documents.select("text").mapInArrow(run, "word binary, n long") \
+        .groupBy("word").agg(F.sum("n").alias("n"))
+
+
+class Vocabulary:
+    """Own words, class masses and totals: SYMBOLS words and CLASSES numbers, whatever
+    the corpus holds."""
+
+    def __init__(self, vocab: DataFrame, ends: int):
+        rows = vocab.orderBy(F.desc("n"), "word").limit(SYMBOLS).collect()
+        self.own = {bytes(r["word"]): k for k, r in enumerate(rows)}
+        self.own_counts = np.array([r["n"] for r in rows], dtype=float)
+        least = rows[-1] if rows else None
+        rare = vocab.where(F.lit(False)) if least is None else vocab.where(
+            (F.col("n") < least["n"]) | (F.col("n") == least["n"]) & (F.col("word") > F.lit(
+                bytes(least["word"]))))
+        self.classes = min(max(rare.count() // CLASS_WORDS, 1), CLASSES)
+        counts, types = np.zeros(self.classes), np.zeros(self.classes)
+        for r in rare.groupBy((F.crc32("word") % self.classes).alias("class")).agg(
+                F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect():
+            counts[r["class"]], types[r["class"]] = r["n"], r["types"]
+        self.mass = counts + ADD * (types + 1)
+        self.ends = ends
+        self.tokens = int(self.own_counts.sum() + counts.sum()) + ends
+        self.types = len(rows) + int(types.sum()) + (ends > 0)
+        self.symbols = np.concatenate([self.own_counts, counts, [ends]])
+
+
+class Places(dict):
+    """Symbol of a word; words without their own are looked up by class, not kept."""
+
+    def __missing__(self, word):
+        return self.first + zlib.crc32(word) % self.classes
+
+
+def code(documents: DataFrame, train, of: Vocabulary) -> DataFrame:
+    """Documents as symbols, with the sums that the counts of own words give and the
+    words that have no symbol of their own."""
+    own, classes = of.own, of.classes
+    own_log, class_log = np.log10(of.own_counts + ADD), np.log10(of.mass)
+
+    def run(batches):
+        import pyarrow as pa
+
+        places = Places(own)
+        first, places.classes = len(own), classes
+        places.first = first
+        for batch in batches:
+            for part in slices(batch):
+                texts = [split(t or "") for t in part.column("text").to_pylist()]
+                coded = [np.fromiter(map(places.__getitem__, w), np.int64, len(w)) for w in texts]
+                far = [s >= first for s in coded]
+                rare = [list(Counter([w[k] for k in np.flatnonzero(f).tolist()]).items())
+                        for w, f in zip(texts, far)]
+                n = np.array([len(w) for w in texts], np.int64)
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": part.column("doc_id"), "train": part.column("train"),
+                    "n_words": pa.array(n),
+                    "n_own": pa.array(n - np.array([f.sum() for f in far], np.int64)),
+                    "own_log": pa.array([own_log[s[~f]].sum() for s, f in zip(coded, far)],
+                                        pa.float64()),
+                    "class_log": pa.array([class_log[s[f] - first].sum()
+                                           for s, f in zip(coded, far)], pa.float64()),
+                    "symbols": pa.array([s.astype("<u2").tobytes() for s in coded], pa.binary()),
+                    "rare": pa.array(rare, pa.map_(pa.binary(), pa.int32()))})
+    rows = documents.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
+    return stored(rows.mapInArrow(run, CODED).withColumn(
+        "rid", F.monotonically_increasing_id()), "hmm-symbols")[0]
+
+
+def rare_sums(coded: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(rid, rare_log, rare_known): a text's words without a symbol of their own."""
+    words = coded.select("rid", F.explode("rare").alias("word", "times"))
+    return words.join(vocab, "word", "left").groupBy("rid").agg(
+        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + ADD)).alias("rare_log"),
+        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"))
 
 
 class Packed:
@@ -185,38 +201,98 @@ def log_probabilities(sequences, start, move, emit):
     return result
 
 
+def transfers(pieces, first, move, emit):
+    """Scaled product of transitions and emissions over every piece, all in step; the
+    first piece of a text starts without a transition."""
+    p = Packed(pieces)
+    states = len(move)
+    m = np.where(np.asarray(first)[p.order, None, None], np.eye(states, dtype=move.dtype), move)
+    for t, n in enumerate(p.n.tolist()):
+        e = emit[p.symbols[p.at[t]:p.at[t + 1]]][:, None, :]
+        now = (m[:n] @ move if t else m[:n]) * e
+        m[:n] = now / now.sum(axis=(1, 2), keepdims=True)
+    out = np.empty_like(m)
+    out[p.order] = m
+    return out
+
+
+def pieces_of(sequences, start, move, emit):
+    """(symbols, message into the piece or None, message back into it) of all pieces.
+
+    The message into a piece is the state distribution after the piece before it; the
+    one back, what follows tells about its last state, scaled to the former.
+    """
+    out, long = [], []
+    ones = np.ones(len(start), dtype=emit.dtype)
+    for s in sequences:
+        if len(s) > SEGMENT:
+            long.append([s[lo:lo + SEGMENT] for lo in range(0, len(s), SEGMENT)])
+        else:
+            out.append((s, None, ones))
+    if long:
+        product = transfers([x for text in long for x in text],
+                            [k == 0 for text in long for k in range(len(text))], move, emit)
+        at = 0
+        for text in long:
+            own = product[at:at + len(text)]
+            at += len(text)
+            ends, a = [], start
+            for t in own:
+                a = a @ t
+                a = a / a.sum()
+                ends.append(a)
+            back, v = [], ones
+            for k in range(len(text) - 1, -1, -1):
+                back.append(v / (ends[k] @ v))
+                v = own[k] @ v
+                v = v / v.sum()
+            out += zip(text, [None, *ends[:-1]], back[::-1])
+    return out
+
+
 def expected_counts(sequences, start, move, emit):
-    """Baum-Welch counts of some sequences: (start, transitions, emissions by state),
+    """Baum-Welch counts of whole sequences: (start, transitions, emissions by state),
     and their log10 probability."""
-    p = Packed(sequences)
+    return counts_of_pieces(pieces_of(sequences, start, move, emit), start, move, emit)
+
+
+def counts_of_pieces(pieces, start, move, emit):
+    p = Packed([s for s, _, _ in pieces])
     states = len(start)
+    into = [pieces[k][1] for k in p.order]
+    back = np.array([pieces[k][2] for k in p.order], emit.dtype).reshape(-1, states)
+    fresh = np.array([m is None for m in into], bool)
+    before = np.array([np.zeros(states) if m is None else m for m in into],
+                      emit.dtype).reshape(-1, states)
     e = emit[p.symbols]
-    alpha, scale = np.empty((len(p.symbols), states)), np.empty(len(p.symbols))
-    a = None
+    alpha, scale = np.empty_like(e), np.empty(len(p.symbols), emit.dtype)
+    a = np.where(fresh[:, None], start, before @ move)
     for t, n in enumerate(p.n.tolist()):
         lo, hi = p.at[t], p.at[t + 1]
-        a = (start if a is None else a[:n] @ move) * e[lo:hi]
+        a = (a[:n] @ move if t else a[:n]) * e[lo:hi]
         scale[lo:hi] = a.sum(axis=1)
         a /= scale[lo:hi, None]
         alpha[lo:hi] = a
     e /= scale[:, None]
     moved = np.zeros((states, states))
-    b = np.ones((0, states))
+    b = np.ones((0, states), emit.dtype)
     for t in range(len(p.n) - 1, -1, -1):
         lo, hi = p.at[t], p.at[t + 1]
         k = len(b)
+        now = back[:hi - lo].copy()
         if k:
             moved += alpha[lo:lo + k].T @ b
-            b = b @ move.T
-            alpha[lo:lo + k] *= b
-        if t:
-            now = np.ones((hi - lo, states))
-            now[:k] = b
-            b = now * e[lo:hi]
-    first = alpha[:p.n[0]].sum(axis=0) if len(p.n) else np.zeros(states)
+            now[:k] = b @ move.T
+        alpha[lo:hi] *= now
+        b = now * e[lo:hi]
+    if len(p.n):
+        moved += before.T @ b           # over the cuts; nothing comes into a first piece
+        first = alpha[:p.n[0]][fresh].sum(axis=0, dtype=float)
+    else:
+        first = np.zeros(states)
     emitted = np.stack([np.bincount(p.symbols, alpha[:, s], minlength=len(emit))
                         for s in range(states)])
-    return first, moved * move, emitted, np.log10(scale).sum()
+    return first, moved * move, emitted, np.log10(scale).sum(dtype=float)
 
 
 def sequences_of(batch, end: int):
@@ -228,26 +304,26 @@ def sequences_of(batch, end: int):
 
 def counter(model):
     """Task side of a round: the counts of a partition as (key, numbers) rows."""
+    model = tuple(x.astype(np.float32) for x in model)
+
     def run(batches):
         import pyarrow as pa
 
-        start, move, emit = model
-        states, total = len(start), None
+        states, total = len(model[0]), None
 
         def add(chunk):
             nonlocal total
-            got = expected_counts(chunk, start, move, emit)
+            got = counts_of_pieces(chunk, *model)
             total = got if total is None else tuple(x + y for x, y in zip(total, got))
 
         chunk, size = [], 0
         for batch in batches:
-            for s in sequences_of(batch, len(emit) - 1):
-                for lo in range(0, len(s), SEGMENT):
-                    chunk.append(s[lo:lo + SEGMENT])
-                    size += len(chunk[-1])
-                    if size >= CHUNK:
-                        add(chunk)
-                        chunk, size = [], 0
+            for piece in pieces_of(sequences_of(batch, len(model[2]) - 1), *model):
+                chunk.append(piece)
+                size += len(piece[0])
+                if size >= CHUNK:
+                    add(chunk)
+                    chunk, size = [], 0
         if chunk:
             add(chunk)
         if total is None:
@@ -303,7 +379,7 @@ def one_round(sequences: DataFrame, model, symbols):
 
 
 def fit(coded: DataFrame, symbols):
-    train = coded.where("not summary and train").select("symbols")
+    train = coded.where("train").select("symbols")
     model, last, n = first_model(symbols, STATES), None, 0
     while True:
         model, logs = one_round(train, model, symbols)
@@ -314,28 +390,32 @@ def fit(coded: DataFrame, symbols):
 
 
 def score(documents: DataFrame, train=None) -> DataFrame:
-    """Train on the rows where ``train`` holds, score all (``SCHEMA``)."""
+    """Train on the rows where ``train`` holds, score all: doc_id, held_out, n_tokens,
+    n_known, train_tokens, base_score, score."""
     train = crc32_of_id() % 10 != 0 if train is None else train
-    coded, n_symbols = code(documents, train)
-    of = totals(coded, n_symbols)
-    model = fit(coded, of["symbols"])
+    learnt = documents.where(train)
+    vocab, _ = stored(count_words(learnt), "hmm-words")
+    of = Vocabulary(vocab, learnt.count())
+    coded = code(documents, train, of)
+    model = fit(coded, of.symbols)
 
     def run(batches):
         import pyarrow as pa
 
-        rare = float(np.log10(of["rare_mass"]))
-        per_token = float(np.log10(of["tokens"] + ADD * (of["types"] + 1)))
-        end = float(np.log10(of["ends"] + ADD))
         for batch in batches:
-            n = batch.column("n_words").to_numpy() + 1
             logs = log_probabilities(sequences_of(batch, len(model[2]) - 1), *model)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"),
+                "rid": batch.column("rid"), "doc_id": batch.column("doc_id"),
                 "held_out": pa.array(~batch.column("train").to_numpy(zero_copy_only=False)),
-                "n_tokens": pa.array(n),
-                "n_known": pa.array(batch.column("n_known").to_numpy() + (of["ends"] > 0)),
-                "train_tokens": pa.array(np.full(len(n), of["tokens"], np.int64)),
-                "base_score": pa.array(batch.column("base_log").to_numpy() + end - n * per_token),
-                "score": pa.array(logs + batch.column("rare_log").to_numpy()
-                                  - batch.column("n_rare").to_numpy() * rare)})
-    return coded.where("not summary").drop("summary").mapInArrow(run, SCHEMA)
+                **{c: batch.column(c) for c in ("n_words", "n_own", "own_log", "class_log")},
+                "log": pa.array(logs)})
+    scored = coded.drop("rare").mapInArrow(run, SCORED)
+    per_token = float(np.log10(of.tokens + ADD * (of.types + 1)))
+    end = float(np.log10(of.ends + ADD))
+    n_tokens, rare_log = F.col("n_words") + 1, F.coalesce("rare_log", F.lit(0.0))
+    return scored.join(rare_sums(coded, vocab), "rid", "left").select(
+        "doc_id", "held_out", n_tokens.alias("n_tokens"),
+        (F.col("n_own") + F.coalesce("rare_known", F.lit(0)) + int(of.ends > 0)).alias("n_known"),
+        F.lit(of.tokens).cast("long").alias("train_tokens"),
+        (F.col("own_log") + rare_log + end - n_tokens * per_token).alias("base_score"),
+        (F.col("log") + rare_log - F.col("class_log")).alias("score"))

@@ -39,10 +39,10 @@ def test_recursions_equal_the_sum_over_all_paths():
 
 def test_every_round_reads_all_training_documents(spark, monkeypatch):
     rng = np.random.default_rng(1)
-    rows = [(False, k, True, (1 + rng.integers(0, 4, 6) + 4 * (k % 2)).astype("<u2").tobytes())
+    rows = [(k, True, (1 + rng.integers(0, 4, 6) + 4 * (k % 2)).astype("<u2").tobytes())
             for k in range(2500)]
     coded = spark.createDataFrame(
-        rows, "summary boolean, doc_id long, train boolean, symbols binary").repartition(2).cache()
+        rows, "doc_id long, train boolean, symbols binary").repartition(2).cache()
     seen, logs, one_round = [], [], hmm.one_round
 
     def watched(sequences, model, symbols):
@@ -66,6 +66,62 @@ def test_counts_come_with_the_log_probability():
                       hmm.log_probabilities(sequences, *model).sum())
 
 
+def test_cuts_change_no_count(monkeypatch):
+    """Texts cut into short segments give the counts of whole ones."""
+    rng = np.random.default_rng(3)
+    model = rng.dirichlet(np.ones(4)), rng.dirichlet(np.ones(4), 4), rng.dirichlet(np.ones(9), 4).T
+    sequences = [rng.integers(0, 9, n) for n in (1, 2000, 17, 5, 6, 640)]
+    whole = hmm.expected_counts(sequences, *model)
+    for segment in (5, 16, 1999):
+        monkeypatch.setattr(hmm, "SEGMENT", segment)
+        for a, b in zip(whole, hmm.expected_counts(sequences, *model)):
+            assert np.allclose(a, b)
+
+
+def test_half_precision_in_tasks_is_enough():
+    """The rounds count in 32-bit numbers: nearly the counts of 64-bit ones."""
+    rng = np.random.default_rng(4)
+    model = rng.dirichlet(np.ones(8)), rng.dirichlet(np.ones(8), 8), rng.dirichlet(np.ones(50), 8).T
+    sequences = [rng.integers(0, 50, n) for n in (3000, 10, 200)]
+    small = tuple(x.astype(np.float32) for x in model)
+    for a, b in zip(hmm.expected_counts(sequences, *model), hmm.expected_counts(sequences, *small)):
+        assert np.allclose(a, b, rtol=1e-3, atol=1e-2)
+
+
+def test_partitions_change_no_score(spark, docs, monkeypatch):
+    """With rare words in classes, 8 and 60 shuffle partitions give the same scores."""
+    monkeypatch.setattr(hmm, "SYMBOLS", 300)
+    monkeypatch.setattr(hmm, "CLASSES", 50)
+    monkeypatch.setattr(hmm, "ROUNDS", 2)
+    monkeypatch.setattr(hmm, "GAIN", 1.0)
+    scores = []
+    for n in (8, 60):
+        monkeypatch.setattr(hmm, "FLUSH", 10 ** 6 // n ** 2)
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        scores.append(sorted((r.doc_id or 0, r.n_tokens, r.score) for r in hmm.score(docs).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    for a, b in zip(*scores):
+        assert a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=1e-5)
+
+
+def test_classes_share_out_their_mass(spark, docs, rows, monkeypatch):
+    """Own words, classes and the end add up to all training tokens."""
+    monkeypatch.setattr(hmm, "SYMBOLS", 100)
+    monkeypatch.setattr(hmm, "CLASSES", 16)
+    vocab = hmm.count_words(docs).cache()
+    of = hmm.Vocabulary(vocab, docs.count())
+    counts = Counter(w for _, t in rows for w in hmm.split(t or ""))
+    assert {bytes(r.word): r.n for r in vocab.collect()} == counts
+    assert of.tokens == sum(counts.values()) + len(rows) and of.types == len(counts) + 1
+    assert of.symbols.sum() == of.tokens and len(of.own) == 100
+    assert [n for n in of.own_counts] == sorted(counts.values(), reverse=True)[:100]
+    rest = Counter()
+    for w, n in counts.items():
+        if w not in of.own:
+            rest[zlib.crc32(w) % 16] += n + hmm.ADD
+    assert np.allclose(of.mass, [rest[k] + hmm.ADD for k in range(16)])
+
+
 def base_rows(rows):
     word = re.compile(r"[^\x20\x09-\x0D]+")
     lower = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
