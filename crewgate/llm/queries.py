@@ -6,7 +6,7 @@ import public_tokenizers
 
 from crewgate.llm import bpe, bpe_tree, chat, filter_audit, fingerprints, gam, hmm, importance, \
     near_dedup, packing, quality_rules, sharding, token_counts
-from crewgate.llm.common import table
+from crewgate.llm.common import stored, table
 
 
 def op1_best_fit_packing(spark, sf_dir):
@@ -17,9 +17,10 @@ def op1_best_fit_packing(spark, sf_dir):
 
 def op2_token_counts(spark, sf_dir):
     """Operator 2 over all documents: length histogram with suffix sums."""
-    return token_counts.suffix_sums(token_counts.histogram(
+    hist, _ = stored(token_counts.histogram(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
-        public_tokenizers.PATTERN))
+        public_tokenizers.PATTERN), "length-histogram")     # read twice, encoded once
+    return token_counts.suffix_sums(hist)
 
 
 def op3_quality_rules(spark, sf_dir):
