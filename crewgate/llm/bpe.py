@@ -24,12 +24,6 @@ from crewgate.llm import dictionary, tokens
 SCHEMA = "doc_id long, n_tokens long, ids binary"
 
 
-def splitter(pattern: str):
-    import regex
-
-    return regex.compile(pattern).findall
-
-
 def encode_bucket(path: str, pattern: str):
     """Ids of the distinct pre-tokens of a bucket, once each, for every page."""
     state = {}
@@ -94,7 +88,13 @@ def reassemble(finish_texts):
 
 
 def coded(documents: DataFrame, path: str, pattern: str, finish_texts, schema: str) -> DataFrame:
-    split = splitter(pattern)
+    state = {}
+
+    def split(text):
+        if not state:
+            state["split"] = tokens.splitter(pattern)
+        return state["split"](text)
+
     buckets = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     answered = dictionary.answer(dictionary.code(documents, split, buckets),
                                  encode_bucket(path, pattern))

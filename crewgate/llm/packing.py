@@ -1,6 +1,7 @@
 """Operator 1: best-fit packing of documents into fixed-length sequences.
 
-A document is its token ids and an end id.  One longer than the limit is cut
+A document is its token ids, as the ``tokenizers`` library gives them (a control
+string of the vocabulary file becomes its id), and an end id.  One longer than the limit is cut
 into pieces of exactly the limit, the remainder in front; full pieces are
 sequences of their own.  The other pieces are packed by bounded-space online
 best-fit: a bitset over the amounts of free space says which open sequences
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crewgate.llm import tokens
+from crewgate.llm.bpe_tree import Codec
 
 LIMIT, END_ID = 1024, 2       # fixed by the contract
 OPEN, WINDOW = 8192, 8192
@@ -86,7 +87,7 @@ def piece_rows(documents: DataFrame, path: str, pattern: str, limit: int = LIMIT
     def run(batches):
         import pyarrow as pa
 
-        enc = tokens.encoder(tokens.json_ranks(path), pattern)
+        codec = Codec(path, pattern)
         at = TaskContext.get().partitionId() << 33
         tail = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
@@ -94,7 +95,7 @@ def piece_rows(documents: DataFrame, path: str, pattern: str, limit: int = LIMIT
                 part = batch.slice(lo, 512)
                 lengths, crcs = [], []
                 for text in part.column("text"):
-                    raw = tokens.ids_of(enc, text.as_py() or "").tobytes() + tail
+                    raw = codec.whole(text.as_py() or "").tobytes() + tail
                     edge = cuts(len(raw) // 4, limit)
                     lengths.append(len(raw) // 4)
                     crcs.append([zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(edge, edge[1:])])

@@ -51,6 +51,35 @@ def encoder(ranks: dict, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def assigned():
+    """By code point: whether Python's tables have a character there."""
+    import unicodedata
+
+    return np.array([unicodedata.category(chr(c)) != "Cn" for c in range(0x110000)])
+
+
+def splitter(pattern: str):
+    """Text -> its pre-tokens, as ``tiktoken`` splits it.
+
+    The ``regex`` module does so except where a text holds a character of a newer
+    Unicode version than both know; a text with a character that Python's own, older
+    tables do not know is split by the ``tokenizers`` library, whose tables are those of
+    ``tiktoken`` (``tests/llm/test_bpe.py`` compares all three).
+    """
+    import regex
+    from tokenizers import Regex, pre_tokenizers
+
+    findall = regex.compile(pattern).findall
+    known = assigned()
+    whole = pre_tokenizers.Split(Regex(pattern), "isolated").pre_tokenize_str
+
+    def split(text: str) -> list[str]:
+        if text.isascii() or known[np.frombuffer(text.encode("utf-32-le"), "<u4")].all():
+            return findall(text)
+        return [piece for piece, _ in whole(text)]
+    return split
+
+
 LONG = 500_000      # beyond it one run of white space could exhaust the splitter's stack
 
 
@@ -58,14 +87,7 @@ def encode(enc, text: str) -> list[int]:
     """Ids of a text of any length; a long one is split outside the library."""
     if len(text) <= LONG:
         return enc.encode_ordinary(text)
-    import regex
-
     out = []
-    for piece in regex.finditer(enc._pat_str, text):
-        out += enc._encode_single_piece(piece.group())
+    for piece in splitter(enc._pat_str)(text):
+        out += enc._encode_single_piece(piece.encode())
     return out
-
-
-def ids_of(enc, text: str):
-    """Ids as little-endian unsigned 32-bit integers."""
-    return np.array(encode(enc, text), dtype="<u4")

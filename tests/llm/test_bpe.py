@@ -1,4 +1,6 @@
+import functools
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -12,6 +14,7 @@ from tests.llm.conftest import frame
 PATH = P.path("byte_bpe_50k.tiktoken")
 
 
+@functools.cache
 def library():
     return tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=tokens.rank_file(PATH),
                              special_tokens={})
@@ -19,20 +22,39 @@ def library():
 
 def test_json_and_rank_files_give_the_same_ids(rows):
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
+    tok.encode_special_tokens = True        # the rank file has no control strings
     enc = tokens.encoder(tokens.json_ranks(P.path("byte_bpe_50k.json")), P.PATTERN)
     for _, t in rows:
         assert tokens.encode(enc, t or "") == tok.encode(t or "", add_special_tokens=False).ids
 
 
+def pieces_as_ids(split, text):
+    enc = library()
+    return [i for w in split(text) for i in enc._encode_single_piece(w.encode())]
+
+
 def test_splitter_knows_every_code_point():
-    """The regex module and the library's own splitter agree on all characters."""
-    enc, split = library(), bpe.splitter(P.PATTERN)
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    for lo in range(0, len(points), 4096):
-        text = "".join(f"a{chr(c)}1 {chr(c)}" for c in points[lo:lo + 4096])
-        ids = [i for w in split(text) for i in enc._encode_single_piece(w.encode())]
-        assert ids == enc.encode_ordinary(text), lo
+    """Every character before letters, contractions, signs, digits and blanks is split
+    as the library does, in texts with and without characters of newer Unicode."""
+    enc, split = library(), tokens.splitter(P.PATTERN)
+    points = [c for c in range(0x34000) if not 0xD800 <= c < 0xE000]
+    points += range(0x34000, 0x110000, 61)          # hardly any character is there
+    for lo in range(0, len(points), 2048):
+        text = "".join(f"a{chr(c)}1 {chr(c)}'s{chr(c)}!{chr(c)}'t" for c in points[lo:lo + 2048])
+        assert pieces_as_ids(split, text) == enc.encode_ordinary(text), lo
+
+
+def test_newer_letters_before_contractions():
+    enc, split = library(), tokens.splitter(P.PATTERN)
+    for text in ("\ua7ce's ok", "\u088f't", "a\ua7ce'll b\ua7ce!\ua7ce1 \ua7ce"):
+        assert pieces_as_ids(split, text) == enc.encode_ordinary(text), text
+    rng = random.Random(8)
+    some = ["\ua7ce", "\u088f", "'s", "'", "a", " ", "1", "!", "é", "日"]
+    for _ in range(3000):
+        text = "".join(rng.choice(some) for _ in range(rng.randint(1, 9)))
+        assert pieces_as_ids(split, text) == enc.encode_ordinary(text), text
+    text = "a\ua7ce's b  \n\u088f't 1" * 50_000
+    assert len(text) > tokens.LONG and tokens.encode(enc, text) == enc.encode_ordinary(text)
 
 
 def test_long_texts_are_encoded_whole():

@@ -38,7 +38,6 @@ def test_cuts():
 
 def test_pack_all_rows(docs, rows):
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     got = packing.pack(docs, P.path("byte_bpe_50k.json"), P.PATTERN).collect()
     pieces = defaultdict(list)
     for r in got:
