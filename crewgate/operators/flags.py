@@ -58,7 +58,11 @@ def checked_changes(changes: DataFrame, allowed_actors: list[str] | None = None)
 def change_outcomes(changes: DataFrame, W: DataFrame, C: DataFrame,
                     allowed_actors: list[str] | None = None) -> DataFrame:
     """One row per change: seq, actor, type, id, field, value, reason."""
-    p = checked_changes(changes, allowed_actors)
+    return with_targets(checked_changes(changes, allowed_actors), W, C)
+
+
+def with_targets(p: DataFrame, W: DataFrame, C: DataFrame) -> DataFrame:
+    """Rows of ``checked_changes`` with the last reason: the entity is there or not."""
     entities = (W.select(F.lit("worker").alias("type"), F.col("worker_id").alias("id"))
                 .unionByName(C.select(F.lit("company").alias("type"),
                                       F.col("company_id").alias("id"))))

@@ -425,6 +425,20 @@ def stream_flag_changes(spark, sf):
     return new_w
 
 
+@register
+def stream_flag_outcomes(spark, sf):
+    """What became of every record of the change feed, written batch by
+    batch and read back; equals the batch operator's outcomes row by row."""
+    W, C, _ = _wcr(spark, sf)
+    feed = scratch_path(spark, "flag-feed")
+    V.write_change_files(spark, sf, feed)
+    root = scratch_path(spark, "flag-outcomes")
+    q = flag_stream.start_outcome_stream(flag_stream.read_change_stream(spark, feed), root,
+                                         f"{root}/_checkpoint", ALLOWED_ACTORS)
+    q.awaitTermination()
+    return flag_stream.feed_outcomes(spark, root, W, C)
+
+
 # --- detail views and mailing lists --------------------------------------------
 @register
 def worker_detail(spark, sf):

@@ -517,6 +517,7 @@ ORACLE_SQL.update({
          c.is_sole_trader
   FROM companies c LEFT JOIN last l ON c.company_id = l.company_id""",
     "flag_change_outcomes": with_views("workers", "companies", "fc") + FLAG_OUTCOMES,
+    "stream_flag_outcomes": with_views("workers", "companies", "fc") + FLAG_OUTCOMES,
     "flag_changes_snapshot": FLAG_SNAPSHOT,
     "stream_flag_changes": FLAG_SNAPSHOT,
     "flag_changes_companies": with_views("workers", "companies", "fc", extra={

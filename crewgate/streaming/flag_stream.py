@@ -18,6 +18,13 @@ to one as ``bases/feed=<feed>/base_upto=<N>``, which stands for those batches
 from the moment it is complete (Spark's ``_SUCCESS`` marker); batch numbers and
 batch folders stay as they are.  The snapshot with the changes applied is
 ``flags.apply_latest(state_rows(...), W, C)``.
+
+What became of every record is a second output, a stream of its own over the same
+source: each micro-batch writes one row per record with its reason (NULL: passes
+every test that needs no table) to ``outcomes/feed=<feed>/batch_id=<N>``, again
+rewritten by a replay.  ``feed_outcomes`` reads them with one row per seq, however
+many feeds have read a record, and adds whether the target is there, with one
+semi join over all.  A feed that has written nothing yet reads as an empty table.
 """
 
 from __future__ import annotations
@@ -34,6 +41,8 @@ from crewgate.sources.changes import CHANGE_RECORD
 
 KEY = ["type", "id", "field"]
 STATE = "type string, id long, field string, value int, seq long"
+OUTCOME = ("seq long, actor string, type string, id long, field string, value int, "
+           "reason string")
 
 
 def read_change_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -47,11 +56,10 @@ def feed_name(checkpoint: str) -> str:
     return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
 
-def batch_writer(root: str, feed: str):
+def batch_writer(root: str, feed: str, output: str = "batches"):
     """The ``foreachBatch`` sink: one folder per batch, rewritten by a replay."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.select(*KEY, "value", "seq").write.mode("overwrite").parquet(
-            f"{root}/batches/feed={feed}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{root}/{output}/feed={feed}/batch_id={batch_id}")
     return write
 
 
@@ -68,14 +76,44 @@ def start_flag_stream(changes: DataFrame, root: str, checkpoint: str,
                       allowed_actors: list[str] | None = None,
                       available_now: bool = True) -> StreamingQuery:
     """Start the feed; its batches go under ``root``, which ``latest_table`` reads."""
-    writer = (flag_state(changes, allowed_actors).writeStream.outputMode("update")
-                   .option("checkpointLocation", checkpoint)
-                   .foreachBatch(batch_writer(root, feed_name(checkpoint))))
+    state = flag_state(changes, allowed_actors).select(*KEY, "value", "seq")
+    return _start(state, "update", root, "batches", checkpoint, available_now)
+
+
+def start_outcome_stream(changes: DataFrame, root: str, checkpoint: str,
+                         allowed_actors: list[str] | None = None,
+                         available_now: bool = True) -> StreamingQuery:
+    """Start the second output: a row per record under ``root``, which ``feed_outcomes``
+    reads.  It keeps no state; ``checkpoint`` is its own, not the feed's."""
+    return _start(flags.checked_changes(changes, allowed_actors), "append", root, "outcomes",
+                  checkpoint, available_now)
+
+
+def _start(rows: DataFrame, mode: str, root: str, output: str, checkpoint: str,
+           available_now: bool) -> StreamingQuery:
+    writer = (rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+                  .foreachBatch(batch_writer(root, feed_name(checkpoint), output)))
     writer = writer.trigger(availableNow=True) if available_now \
         else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
 
+def _read(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The rows of all feeds of a folder; none before the first batch is written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(folder)
+
+
+def feed_outcomes(spark: SparkSession, root: str, W: DataFrame, C: DataFrame) -> DataFrame:
+    """What became of every record read so far: columns of ``flags.change_outcomes``."""
+    rows = _read(spark, f"{root}/outcomes", f"{OUTCOME}, feed string, batch_id long") \
+        .drop("feed", "batch_id")
+    return flags.with_targets(rows.dropDuplicates(["seq"]), W, C)
+
+
 def _complete_bases(spark: SparkSession, root: str) -> dict[str, int]:
     """Last complete base of every feed (a listing of folder names)."""
     jvm = spark.sparkContext._jvm
@@ -90,7 +128,7 @@ def _complete_bases(spark: SparkSession, root: str) -> dict[str, int]:
 
 def _parts(spark: SparkSession, root: str) -> DataFrame:
     """The state rows of all feeds: the last base of each and the batches after it."""
-    rows = spark.read.schema(f"{STATE}, feed string, batch_id long").parquet(f"{root}/batches")
+    rows = _read(spark, f"{root}/batches", f"{STATE}, feed string, batch_id long")
     bases = _complete_bases(spark, root)
     if not bases:
         return rows.select(*KEY, "value", "seq")
@@ -117,10 +155,17 @@ def state_rows(spark: SparkSession, root: str) -> DataFrame:
 
 
 def compact(spark: SparkSession, root: str, feed: str, upto: int) -> None:
-    """Write the reduced rows of the feed's batches 0 to ``upto`` as one base."""
-    rows = spark.read.schema(STATE + ", batch_id long").parquet(f"{root}/batches/feed={feed}")
+    """Write the reduced rows of the feed's batches 0 to ``upto`` as one base.
+
+    A base that readers may be listing is never replaced: ``upto`` must be above the
+    last complete one (a base left unfinished by a failure is written anew).
+    """
+    rows = _read(spark, f"{root}/batches", f"{STATE}, feed string, batch_id long") \
+        .where(F.col("feed") == feed)
     last = _complete_bases(spark, root).get(feed)
     if last is not None:
+        if upto <= last:
+            raise ValueError(f"batches up to {last} are compacted already")
         rows = rows.where(F.col("batch_id") > last)
     rows = rows.where(F.col("batch_id") <= upto).select(*KEY, "value", "seq")
     if last is not None:

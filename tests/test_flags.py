@@ -183,6 +183,52 @@ def test_replayed_batches_and_new_checkpoints(spark, scratch):
                                       ("worker", 2, "badge_valid", 1, 12)]
 
 
+def test_outcomes_of_the_feed(spark, scratch):
+    """One row per record as the batch operator gives it, whatever is read or replayed."""
+    W, C = base(spark)
+    want = sorted(map(tuple, flags.change_outcomes(changes(spark), W, C, ["boss"]).collect()), key=repr)
+    feed, root = os.path.join(scratch, "feed"), os.path.join(scratch, "out")
+    os.makedirs(feed)
+    assert flag_stream.feed_outcomes(spark, root, W, C).count() == 0
+    for i, part in enumerate([RECORDS[:5], RECORDS[5:]]):
+        with open(os.path.join(feed, f"part-{i}.json"), "w") as fh:
+            for seq, actor, change in part:
+                fh.write(json.dumps({"seq": seq, "actor": actor, "change": change}) + "\n")
+    read = lambda: sorted(map(tuple, flag_stream.feed_outcomes(
+        spark, root, W, C).collect()), key=repr)
+    for checkpoint in ("_one", "_one", "_two"):      # run again, then with a new checkpoint
+        flag_stream.start_outcome_stream(
+            flag_stream.read_change_stream(spark, feed), root, os.path.join(scratch, checkpoint),
+            ["boss"]).awaitTermination()
+        assert read() == want
+    # a batch replayed after a failure rewrites its own folder
+    name = flag_stream.feed_name(os.path.join(scratch, "_one"))
+    batch = spark.read.parquet(os.path.join(root, "outcomes", f"feed={name}", "batch_id=0"))
+    again = spark.createDataFrame(batch.collect(), batch.schema)
+    flag_stream.batch_writer(root, name, "outcomes")(again, 0)
+    assert read() == want
+
+
+def test_a_feed_without_batches_is_empty(spark, scratch):
+    W, C = base(spark)
+    root = os.path.join(scratch, "nothing")
+    assert latest(spark, root) == []
+    assert flags.apply_latest(flag_stream.state_rows(spark, root), W, C)[0].count() == W.count()
+
+
+def test_a_complete_base_is_never_replaced(spark, scratch):
+    import pytest
+
+    sink = flag_stream.batch_writer(scratch, "f")
+    for n in range(2):
+        sink(spark.createDataFrame([("worker", 1, "badge_valid", n, 5 + n)], flag_stream.STATE), n)
+    flag_stream.compact(spark, scratch, "f", 1)
+    for upto in (0, 1):
+        with pytest.raises(ValueError):
+            flag_stream.compact(spark, scratch, "f", upto)
+    assert latest(spark, scratch) == [("worker", 1, "badge_valid", 1, 6)]
+
+
 def test_change_objects_as_the_endpoint_takes_them(spark):
     sent = {1: '{"type":"worker","id":"12","field":"badge_valid","clicked":true}',
             2: '{"type":"worker","id":" 12 ","field":"badge_valid","clicked":1.0}',
