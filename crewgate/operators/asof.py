@@ -45,3 +45,30 @@ def last_before(probes: DataFrame, events: DataFrame, key: str, seq: str,
     found = F.coalesce("_last", "_carried")
     out = seen.where("_is_event = 0").join(F.broadcast(before), "_part", "left")
     return out.select("_row.*", F.when(found["k"] == F.col("_key"), found["v"]).alias(value))
+
+
+def running_max(df: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the largest ``value`` of the rows of the same ``key`` with a
+    smaller ``order`` (NULL where there is none).  (key, order) is unique, key not NULL.
+
+    Dealt by ranges like ``last_before``; what a partition hands on is the maximum of
+    its last key so far, one row per partition.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    placed = df.repartitionByRange(key, order).sortWithinPartitions(key, order) \
+        .withColumn("_id", F.monotonically_increasing_id()).checkpoint(eager=True) \
+        .withColumn("_part", F.shiftright("_id", 33))
+    inside = Window.partitionBy("_part", key).orderBy("_id").rowsBetween(
+        Window.unboundedPreceding, -1)
+    tops = placed.groupBy("_part", key).agg(F.max(value).alias("_top"))
+    ends = placed.groupBy("_part").agg(F.max_by(key, "_id").alias(key))
+    firsts = placed.groupBy("_part").agg(F.min_by(key, "_id").alias(key))
+    # at most two rows per partition
+    handed = tops.join(F.broadcast(ends), ["_part", key]).unionByName(
+        firsts.withColumn("_top", F.lit(None).cast(df.schema[value].dataType)))
+    carried = handed.groupBy("_part", key).agg(F.max("_top").alias("_top")).withColumn(
+        "_carried", F.max("_top").over(Window.partitionBy(key).orderBy("_part").rowsBetween(
+            Window.unboundedPreceding, -1))).drop("_top")
+    return placed.withColumn(name, F.max(value).over(inside)) \
+        .join(F.broadcast(carried), ["_part", key], "left") \
+        .withColumn(name, F.greatest(name, "_carried")).select(*df.columns, name)

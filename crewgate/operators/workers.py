@@ -40,7 +40,23 @@ def add_workers(cand: DataFrame, W: DataFrame, C: DataFrame,
     New workers start with the four status flags at 0.  ``collation`` (e.g.
     UNICODE_CI_AI) applies to the company lookup and the duplicate key.
     """
-    r = resolve_company(cand, C, collation=collation)
+    r = with_checks(resolve_company(cand, C, collation=collation), collation)
+    # the resolved batch feeds three consumers (stored keys, first per key, the
+    # decision): write it once to the shared checkpoint folder
+    ensure_checkpoint_dir(r.sparkSession)
+    r = decide(r.checkpoint(eager=True), W, collation).checkpoint(eager=True)
+    accepted = assign_ids_after(accepted_rows(r), W, "worker_id", ["seq"], "worker_id")
+    outcomes = accepted.select("seq", F.lit(ACCEPTED).alias("outcome"), "company_id",
+                               "worker_id").unionByName(
+        r.where(F.col("_reason").isNotNull()).select(
+            "seq", F.col("_reason").alias("outcome"), "company_id",
+            F.lit(None).cast("long").alias("worker_id")))
+    return W.unionByName(conform(accepted, WORKERS)), outcomes
+
+
+def with_checks(r: DataFrame, collation: str | None = None) -> DataFrame:
+    """Requests with a resolved ``company_id``, their typed fields and worker key, the
+    reason that needs no other row (``_early``) and whether the date is missing."""
     r = r.select(
         "*",
         X.optional_id("role_id").alias("_role"), X.bad_id("role_id").alias("_bad_role"),
@@ -48,11 +64,17 @@ def add_workers(cand: DataFrame, W: DataFrame, C: DataFrame,
         X.bad_iso_date("expiry_date").alias("_bad_date"),
         X.checkbox("is_temporary").alias("_temp"),
         *quality.worker_key_cols(collation=collation))
-    # the resolved batch feeds three consumers (stored keys, first per key, the
-    # decision): write it once to the shared checkpoint folder
-    ensure_checkpoint_dir(r.sparkSession)
-    r = decide(r.checkpoint(eager=True), W, collation).checkpoint(eager=True)
-    ok = r.where(F.col("_reason").isNull()).select(
+    early = (F.when(F.col("company_name") == "", F.lit(NO_COMPANY))
+              .when(F.col("_bad_role"), F.lit(BAD_ROLE))
+              .when(F.col("_bad_date"), F.lit(BAD_DATE))
+              .when(F.col("company_id").isNull(), F.lit(COMPANY_UNKNOWN)))
+    return r.withColumn("_early", early).withColumn(
+        "_temp_no_date", (F.col("_temp") == 1) & F.col("_date").isNull())
+
+
+def accepted_rows(r: DataFrame) -> DataFrame:
+    """The worker rows (without an id) of the requests that have no ``_reason``."""
+    return r.where(F.col("_reason").isNull()).select(
         "seq", "given_name", "surname", "company_id",
         F.col("_role").alias("role_id"),
         F.lit(0).alias("badge_issued"), F.col("_date").alias("expiry_date"),
@@ -60,13 +82,6 @@ def add_workers(cand: DataFrame, W: DataFrame, C: DataFrame,
         X.blank_if_null("note").alias("note"), F.lit(0).alias("badge_cancelled"),
         F.col("_temp").alias("is_temporary"),
         X.badge_number_if_temporary(F.col("_temp"), F.col("badge_number")).alias("badge_number"))
-    accepted = assign_ids_after(ok, W, "worker_id", ["seq"], "worker_id")
-    outcomes = accepted.select("seq", F.lit(ACCEPTED).alias("outcome"), "company_id",
-                               "worker_id").unionByName(
-        r.where(F.col("_reason").isNotNull()).select(
-            "seq", F.col("_reason").alias("outcome"), "company_id",
-            F.lit(None).cast("long").alias("worker_id")))
-    return W.unionByName(conform(accepted, WORKERS)), outcomes
 
 
 def decide(r: DataFrame, W: DataFrame, collation: str | None = None) -> DataFrame:
@@ -78,13 +93,7 @@ def decide(r: DataFrame, W: DataFrame, collation: str | None = None) -> DataFram
     key joins back, so a key that many requests share is split by AQE.
     """
     key = list(quality.WORKER_KEY)
-    early = (F.when(F.col("company_name") == "", F.lit(NO_COMPANY))
-              .when(F.col("_bad_role"), F.lit(BAD_ROLE))
-              .when(F.col("_bad_date"), F.lit(BAD_DATE))
-              .when(F.col("company_id").isNull(), F.lit(COMPANY_UNKNOWN)))
-    temp_no_date = (F.col("_temp") == 1) & F.col("_date").isNull()
-    r = r.withColumn("_early", early)
-    eligible = r.where(F.col("_early").isNull() & ~temp_no_date).dropna(subset=key).select(
+    eligible = r.where(F.col("_early").isNull() & ~F.col("_temp_no_date")).dropna(subset=key).select(
         *key, "seq", F.lit(False).alias("_stored"))
     hits = quality.stored_matches(r, W, collation).select(
         *key, F.lit(None).cast("long").alias("seq"), F.lit(True).alias("_stored"))
@@ -94,7 +103,7 @@ def decide(r: DataFrame, W: DataFrame, collation: str | None = None) -> DataFram
     return joined.withColumn("_reason", F.coalesce(
         F.col("_early"),
         F.when(F.col("_stored") | (F.col("_first") < F.col("seq")), F.lit(DUPLICATE)),
-        F.when(temp_no_date, F.lit(TEMP_NO_DATE))))
+        F.when(F.col("_temp_no_date"), F.lit(TEMP_NO_DATE))))
 
 
 EDIT_FIELDS = ("given_name", "surname", "company_id", "role_id", "expiry_date", "note",

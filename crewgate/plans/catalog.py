@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from crewgate.functions import exprs as X
 from crewgate.operators import companies, flags, greedy, keys, listing, load, quality, renames, \
-    reports, upsert, workers
+    reports, request_log, upsert, workers
 from crewgate.schema import COMPANIES
 from crewgate.session import scratch_path
 from crewgate.sources import roster_csv, tables
@@ -331,6 +331,24 @@ def upsert_by_key(spark, sf):
                          "company_id", V.UPSERT_NOW)
 
 
+def _applied_log(spark, sf):
+    W, C, _ = _wcr(spark, sf)
+    return request_log.apply_log(V.mixed_log(spark, sf), W, C)
+
+
+@register
+def request_log_outcomes(spark, sf):
+    """Outcome per row of a log that mixes additions and deletions of
+    companies and workers, in order of arrival."""
+    return _applied_log(spark, sf)[2]
+
+
+@register
+def request_log_workers(spark, sf):
+    """Workers after that log."""
+    return _applied_log(spark, sf)[1]
+
+
 # --- bulk load and stream ----------------------------------------------------
 def _loaded(spark, sf):
     path = V.write_raw_roster(spark, sf, scratch_path(spark, "raw-roster"))

@@ -794,3 +794,99 @@ FROM companies JOIN m ON m.old_id = companies.company_id"""
 ORACLE_SQL["key_change_workers"] = MOVED + f"workers AS ({VIEWS['workers']})" + f"""
 SELECT {WORKER_FIELDS.replace('company_id', 'coalesce(m.new_id, company_id) AS company_id')}
 FROM workers LEFT JOIN m ON m.old_id = workers.company_id"""
+
+
+# A mixed log simulated one row at a time.  The recursion carries the deleted ids, the
+# companies added so far and the keys of the workers added so far; what a row can
+# hit among the stored rows is listed beforehand.
+LOG_STATE = _recursive(with_views("companies", "workers", extra={
+    "k": "SELECT p_partkey AS k, p_partkey % 8 AS kind, CAST(p_partkey // 16 % 40 AS VARCHAR) AS num, "
+         "lpad(CAST(p_partkey % 97 AS VARCHAR), 9, '0') AS cust, p_type AS note FROM part",
+    "l": """
+  SELECT k AS seq, note,
+         CASE WHEN kind < 2 THEN 'add_company' WHEN kind = 2 THEN 'delete_company'
+              WHEN kind = 3 THEN 'delete_worker' WHEN k % 16 = 7 THEN 'rename'
+              ELSE 'add_worker' END AS op,
+         CASE WHEN kind = 2 THEN CASE WHEN k % 5 = 0 THEN NULL WHEN k % 7 = 0 THEN k + 1000000
+                                      ELSE k % 97 END
+              WHEN kind = 3 THEN CASE WHEN k % 11 = 0 THEN NULL ELSE k * 3 % 400 END END AS id,
+         CASE WHEN kind < 2 THEN CASE WHEN k % 3 = 0 THEN 'Customer#' || cust
+                WHEN k % 4 < 2 THEN 'Mixed ' || num ELSE 'MIXED' || num END
+              WHEN k % 24 = 4 THEN '' WHEN k % 3 = 0 THEN 'customer#' || cust
+              ELSE 'mixed ' || num END AS company_name,
+         CASE WHEN k % 5 = 0 THEN NULL WHEN k % 5 = 1 THEN 'IT' || (k % 97)
+              ELSE 'MX' || (k % 50) END AS vk,
+         CASE WHEN k % 2 = 0 THEN 'G' ELSE 'g' END || (k // 32 % 3) AS given_name,
+         'S' || (k % 5) AS surname, k % 6 = 0 AS temp, k % 48 = 5 AS bad_role,
+         CASE WHEN k % 2 = 0 THEN NULL ELSE 3 END AS role_id, k % 40 = 12 AS bad_date,
+         CASE WHEN k % 4 = 0 THEN NULL ELSE DATE '2024-05-01' END AS expiry_date,
+         'B' || k AS badge_number
+  FROM k""",
+    "p": """
+  SELECT l.*, row_number() OVER (ORDER BY seq) AS rn, lower(l.company_name) AS nm,
+         replace(lower(l.company_name), ' ', '') AS nk, lower(given_name) || '|' || lower(surname) AS wk,
+         (SELECT coalesce(list(company_id), []) FROM companies c
+           WHERE replace(lower(c.company_name), ' ', '') = replace(lower(l.company_name), ' ', '')
+              OR nullif(trim(c.vat_number), '') = l.vk) AS hits,
+         (SELECT coalesce(list(company_id), []) FROM companies c
+           WHERE lower(c.company_name) = lower(l.company_name)) AS named,
+         (SELECT coalesce(list({'w': worker_id, 'c': company_id}), []) FROM workers w
+           WHERE lower(w.given_name) = lower(l.given_name) AND lower(w.surname) = lower(l.surname))
+           AS same,
+         (SELECT max(company_id) FROM workers w WHERE w.worker_id = l.id) AS of_company,
+         l.id IN (SELECT company_id FROM companies) AS is_company,
+         l.id IN (SELECT worker_id FROM workers) AS is_worker
+  FROM l""",
+    "g": """
+  SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS BIGINT) AS cid,
+         CAST(NULL AS BIGINT) AS wid, CAST([] AS BIGINT[]) AS dead, CAST([] AS BIGINT[]) AS deadw,
+         CAST([] AS STRUCT(id BIGINT, nm VARCHAR, nk VARCHAR, vk VARCHAR)[]) AS newc,
+         CAST([] AS VARCHAR[]) AS neww
+  UNION ALL
+  SELECT rn, outcome,
+         CASE WHEN op = 'add_company' AND outcome = 'accepted' THEN next_c
+              WHEN op = 'add_worker' THEN rid WHEN op = 'delete_company' THEN id END,
+         CASE WHEN op = 'add_worker' AND outcome = 'accepted' THEN next_w
+              WHEN op = 'delete_worker' THEN id END,
+         CASE WHEN op = 'delete_company' AND outcome = 'deleted' THEN list_append(dead, id) ELSE dead END,
+         CASE WHEN op = 'delete_worker' AND outcome = 'deleted' THEN list_append(deadw, id) ELSE deadw END,
+         CASE WHEN op = 'add_company' AND outcome = 'accepted' THEN list_append(newc,
+                {'id': next_c, 'nm': nm, 'nk': nk, 'vk': vk}) ELSE newc END,
+         CASE WHEN op = 'add_worker' AND outcome = 'accepted' THEN list_append(neww, wk || '|' || rid)
+              ELSE neww END
+  FROM (SELECT r.*, CASE
+          WHEN op = 'rename' THEN 'unknown_op'
+          WHEN op = 'add_company' THEN CASE
+            WHEN len(list_filter(hits, lambda x: NOT list_contains(dead, x))) > 0 THEN 'exists'
+            WHEN len(list_filter(newc, lambda x: x.nk = nk OR coalesce(x.vk = vk, false))) > 0
+              THEN 'duplicate' ELSE 'accepted' END
+          WHEN op = 'delete_company' THEN CASE WHEN is_company AND NOT list_contains(dead, id)
+            THEN 'deleted' ELSE 'not_found' END
+          WHEN op = 'delete_worker' THEN CASE WHEN is_worker AND NOT list_contains(deadw, id)
+            AND NOT coalesce(list_contains(dead, of_company), false) THEN 'deleted' ELSE 'not_found' END
+          WHEN nm = '' THEN 'no_company' WHEN bad_role THEN 'bad_role' WHEN bad_date THEN 'bad_date'
+          WHEN rid IS NULL THEN 'company_unknown'
+          WHEN list_contains(neww, wk || '|' || rid) OR len(list_filter(same, lambda x:
+                 x.c = rid AND NOT list_contains(deadw, x.w))) > 0 THEN 'duplicate'
+          WHEN temp AND expiry_date IS NULL THEN 'temporary_without_date' ELSE 'accepted' END AS outcome
+        FROM (SELECT p.*, g.dead, g.deadw, g.newc, g.neww,
+                coalesce(list_min(list_filter(p.named, lambda x: NOT list_contains(g.dead, x))),
+                  list_min(list_transform(list_filter(g.newc, lambda x: x.nm = p.nm), lambda x: x.id)))
+                  AS rid,
+                (SELECT max(company_id) FROM companies) + len(g.newc) + 1 AS next_c,
+                (SELECT max(worker_id) FROM workers) + len(g.neww) + 1 AS next_w
+              FROM g JOIN p ON p.rn = g.rn + 1) r) q"""}))
+ORACLE_SQL["request_log_outcomes"] = LOG_STATE + """
+SELECT p.seq, p.op, g.outcome, g.cid AS company_id, g.wid AS worker_id
+FROM p JOIN g ON g.rn = p.rn"""
+ORACLE_SQL["request_log_workers"] = LOG_STATE + f""",
+final AS (SELECT dead, deadw FROM g ORDER BY rn DESC LIMIT 1),
+gone AS (SELECT p.id, p.seq FROM p JOIN g ON g.rn = p.rn
+         WHERE p.op = 'delete_company' AND g.outcome = 'deleted')
+SELECT {WORKER_FIELDS} FROM workers, final
+WHERE NOT coalesce(list_contains(dead, company_id), false) AND NOT list_contains(deadw, worker_id)
+UNION ALL
+SELECT g.wid, p.given_name, p.surname, g.cid, p.role_id, 0, p.expiry_date, 0, 0, p.note, 0,
+       CAST(p.temp AS INT), CASE WHEN p.temp THEN p.badge_number ELSE '' END
+FROM p JOIN g ON g.rn = p.rn LEFT JOIN gone ON gone.id = g.cid AND gone.seq > p.seq
+WHERE p.op = 'add_worker' AND g.outcome = 'accepted' AND gone.id IS NULL"""

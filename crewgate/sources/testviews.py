@@ -267,6 +267,42 @@ def company_key_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(k.alias("seq"), old.cast("long").alias("old_id"), new.cast("long").alias("new_id"))
 
 
+def mixed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that mixes additions and deletions of companies and workers: names that come
+    free, companies added before their workers, repeated and unknown ids."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    kind, number = k % 8, (F.floor(k / 16) % 40).cast("string")
+    op = (F.when(kind < 2, F.lit("add_company")).when(kind == 2, F.lit("delete_company"))
+           .when(kind == 3, F.lit("delete_worker")).when(k % 16 == 7, F.lit("rename"))
+           .otherwise(F.lit("add_worker")))
+    stored = F.lpad((k % 97).cast("string"), 9, "0")
+    company = (F.when(kind < 2, F.when(k % 3 == 0, F.concat(F.lit("Customer#"), stored)).otherwise(
+                    F.concat(F.when(k % 4 < 2, F.lit("Mixed ")).otherwise(F.lit("MIXED")), number)))
+                .when(k % 24 == 4, F.lit("")).when(k % 3 == 0, F.concat(F.lit("customer#"), stored))
+                .otherwise(F.concat(F.lit("mixed "), number)))
+    vat = (F.when(k % 5 == 0, F.lit("")).when(k % 5 == 1, F.concat(
+        F.lit(" IT"), (k % 97).cast("string"), F.lit("\t")))
+        .otherwise(F.concat(F.lit("MX"), (k % 50).cast("string"))))
+    ident = (F.when(kind == 2, F.when(k % 5 == 0, None).when(k % 7 == 0, k + 1_000_000)
+                     .otherwise(k % 97))
+              .when(kind == 3, F.when(k % 11 == 0, None).otherwise((k * 3) % 400)))
+    return p.select(
+        k.alias("seq"), op.alias("op"), ident.cast("long").alias("id"),
+        company.alias("company_name"), vat.alias("vat_number"), F.col("p_brand").alias("contact_name"),
+        F.lit("").alias("contact_email"), F.lit(None).cast("string").alias("contact_phone"),
+        F.col("p_type").alias("note"),
+        F.concat(F.when(k % 2 == 0, F.lit("G")).otherwise(F.lit("g")),
+                 (F.floor(k / 32) % 3).cast("string")).alias("given_name"),
+        F.concat(F.lit("S"), (k % 5).cast("string")).alias("surname"),
+        F.when(k % 6 == 0, F.lit("on")).alias("is_temporary"),
+        F.concat(F.lit("B"), k.cast("string")).alias("badge_number"),
+        F.when(k % 48 == 5, F.lit("abc")).when(k % 2 == 0, F.lit("")).otherwise(F.lit("3"))
+         .alias("role_id"),
+        F.when(k % 40 == 12, F.lit("2024-02-30")).when(k % 4 == 0, F.lit(""))
+         .otherwise(F.lit("2024-05-01")).alias("expiry_date"))
+
+
 def role_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     return s.where(F.col("s_nationkey") == 7).select(
