@@ -13,7 +13,7 @@ import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crewgate.functions import exprs as X
@@ -281,7 +281,8 @@ def write_lines(lines: DataFrame, path: str, by_section: bool = False) -> None:
     ``by_section`` each section's lines go to their own ``section=...``
     folder (title, header and totals under ``section=__HIVE_DEFAULT_PARTITION__``)."""
     ordered = lines.repartitionByRange("line_no").sortWithinPartitions("line_no")
-    writer = ordered.write.mode("error").option("sep", ";").option("header", "true")
+    writer = ordered.write.mode("error").option("sep", ";").option("header", "true") \
+        .option("escape", '"')
     if by_section:
         writer = writer.partitionBy("section")
     writer.csv(path)
@@ -304,6 +305,37 @@ def recipients_for(recipients: DataFrame, list_name: str, default: str | None =
     return rows.unionByName(fallback.join(present, "list_name", "left_anti"))
 
 
+def recipient_lines(to: DataFrame, size: int = 500) -> DataFrame:
+    """The addresses of ``recipients_for`` in order as comma lists of ``size``
+    recipients, which concatenate to the whole sorted list.
+
+    Columns: list_name, line (from 0), first_recipient (running number from 1),
+    n_in_line, n_recipients (of the whole list), recipients.  Numbers come from a range
+    sort, so no task folds more than ``size`` addresses; repeated ones stay.
+    """
+    numbered = assign_ids(to.select("list_name", "email"), ["email"], 0, "_p")
+    total = numbered.count()
+    line = F.floor(F.col("_p") / size)
+    return numbered.groupBy("list_name", line.alias("line")).agg(
+        (F.min("_p") + 1).alias("first_recipient"), F.count(F.lit(1)).alias("n_in_line"),
+        F.expr("listagg(coalesce(email, ''), ', ') WITHIN GROUP (ORDER BY coalesce(email, ''))")
+        .alias("recipients")).withColumn("n_recipients", F.lit(total).cast("long"))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of ``write_lines`` with their ``position`` in file order (from 0); an
+    empty cell of a data line is '', one of another line NULL, as ``report_lines`` has them."""
+    lines = spark.read.option("sep", ";").option("header", "true").option("multiLine", "true") \
+        .option("escape", '"').csv(path)
+    placed = lines.select(F.col("line_no").cast("long").alias("line_no"),
+                          "kind", "section", *[
+                              F.when(F.col("kind") == "data", F.coalesce(c, F.lit("")))
+                              .otherwise(F.col(c)).alias(c) for c in lines.columns[3:]],
+                          F.col("_metadata.file_name").alias("_file"),
+                          F.monotonically_increasing_id().alias("_at"))
+    return assign_ids(placed, ["_file", "_at"], 0, "position").drop("_file", "_at")
+
+
 # R4 A8 P7 P23 ---------------------------------------------------------------
 # Message wording (ours) and attachment names of the two mails.
 EXPIRED_SUBJECT = "Expired documents: {n} workers ({day})"

@@ -13,6 +13,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crewgate.operators.sizing import join_spread, restrict_to
+
 
 def upsert(updates: DataFrame, target: DataFrame, key: str, now: dt.datetime,
            seq: str = "seq") -> DataFrame:
@@ -37,3 +39,20 @@ def upsert(updates: DataFrame, target: DataFrame, key: str, now: dt.datetime,
         else:
             out.append(F.col(c))
     return j.select(*out)
+
+
+# Outcome codes of upsert requests.
+INSERTED, UPDATED, MISSING_KEY = "inserted", "updated", "missing_key"
+
+
+def upsert_outcomes(updates: DataFrame, target: DataFrame, key: str,
+                    seq: str = "seq") -> DataFrame:
+    """seq, key, outcome of every request, applied in seq order: the first request of a
+    key that is not stored inserts it, every other one updates; a NULL key is refused."""
+    first = updates.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(seq).alias("_first"))
+    known = first.join(restrict_to(target, first, [key]).select(key, F.lit(True).alias("_old")),
+                       key, "left")
+    told = join_spread(updates.select(seq, key), known, key, seq, "left")
+    return told.select(seq, key, F.when(F.col(key).isNull(), F.lit(MISSING_KEY))
+                       .when(F.col("_old").isNull() & (F.col("_first") == F.col(seq)),
+                             F.lit(INSERTED)).otherwise(F.lit(UPDATED)).alias("outcome"))

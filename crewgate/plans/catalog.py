@@ -116,6 +116,29 @@ def digest(spark, sf):
                           default=DEFAULT_RECIPIENT)
 
 
+@register
+def recipient_lines(spark, sf):
+    """The expired list's addresses as comma lists of seven, numbered."""
+    to = reports.recipients_for(V.recipients(spark, sf), "expired", DEFAULT_RECIPIENT)
+    return reports.recipient_lines(to, size=7)
+
+
+@register
+def report_files(spark, sf):
+    """The weekly report's lines written as files and read back in order."""
+    path = scratch_path(spark, "report-lines")
+    reports.write_lines(report_lines(spark, sf), path)
+    return reports.read_lines(spark, path)
+
+
+@register
+def edit_date_texts(spark, sf):
+    """The expiry texts of the edit requests as a report shows them; a text that is
+    no date passes through."""
+    return V.worker_edits(spark, sf).select(
+        "seq", X.display_date_text("expiry_date").alias("expiry_text"))
+
+
 @register
 def badge_status(spark, sf):
     """One badge state per worker."""
@@ -268,6 +291,12 @@ def company_edits(spark, sf):
     return new_c
 
 
+@register
+def company_edit_outcomes(spark, sf):
+    """Outcome per edit request."""
+    return companies.edit_companies(V.company_edits(spark, sf), V.companies(spark, sf))[1]
+
+
 @register
 def flag_changes_snapshot(spark, sf):
     """Worker snapshot after the flag changes."""
@@ -349,6 +378,13 @@ def request_log_workers(spark, sf):
     return _applied_log(spark, sf)[1]
 
 
+@register
+def upsert_outcomes(spark, sf):
+    """Outcome per request of the upsert batch."""
+    return upsert.upsert_outcomes(V.contact_updates(spark, sf), V.contact_table(spark, sf),
+                                  "company_id")
+
+
 # --- bulk load and stream ----------------------------------------------------
 def _loaded(spark, sf):
     path = V.write_raw_roster(spark, sf, scratch_path(spark, "raw-roster"))

@@ -890,3 +890,26 @@ SELECT g.wid, p.given_name, p.surname, g.cid, p.role_id, 0, p.expiry_date, 0, 0,
        CAST(p.temp AS INT), CASE WHEN p.temp THEN p.badge_number ELSE '' END
 FROM p JOIN g ON g.rn = p.rn LEFT JOIN gone ON gone.id = g.cid AND gone.seq > p.seq
 WHERE p.op = 'add_worker' AND g.outcome = 'accepted' AND gone.id IS NULL"""
+
+
+ORACLE_SQL["recipient_lines"] = with_views("recipients", extra={
+    "r": """SELECT list_name, email FROM recipients WHERE list_name = 'expired'
+            UNION ALL SELECT 'expired', 'site-office@example.org'
+            WHERE NOT EXISTS (SELECT 1 FROM recipients WHERE list_name = 'expired')""",
+    "n": "SELECT *, row_number() OVER (ORDER BY email) - 1 AS p, count(*) OVER () AS t FROM r"}) + """
+  SELECT list_name, p // 7 AS line, min(p) + 1 AS first_recipient, count(*) AS n_in_line,
+         string_agg(email, ', ' ORDER BY p) AS recipients, max(t) AS n_recipients
+  FROM n GROUP BY list_name, p // 7"""
+ORACLE_SQL["report_files"] = ("SELECT *, row_number() OVER (ORDER BY line_no) - 1 AS position FROM ("
+                              + ORACLE_SQL["report_lines"] + ")")
+ORACLE_SQL["edit_date_texts"] = with_views("edits") + """
+  SELECT seq, coalesce(strftime(try_cast(expiry_date AS DATE), '%d/%m/%Y'), expiry_date, '')
+    AS expiry_text FROM edits"""
+ORACLE_SQL["company_edit_outcomes"] = with_views("companies", "cedits") + """
+  SELECT seq, e.company_id, CASE WHEN c.company_id IS NULL THEN 'not_found' ELSE 'applied' END
+    AS outcome FROM cedits e LEFT JOIN companies c ON c.company_id = e.company_id"""
+ORACLE_SQL["upsert_outcomes"] = """
+  SELECT o_orderkey AS seq, o_custkey * 2 AS company_id,
+         CASE WHEN c_custkey IS NULL AND o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey)
+              THEN 'inserted' ELSE 'updated' END AS outcome
+  FROM orders LEFT JOIN customer ON c_custkey = o_custkey * 2"""

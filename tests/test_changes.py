@@ -164,3 +164,11 @@ def test_assign_ids_dense_in_order(spark):
     got = keys.assign_ids(df, ["seq"], 100, "nid", num_partitions=7)
     rows = sorted((r["seq"], r["nid"]) for r in got.collect())
     assert [n for _, n in rows] == list(range(100, 5100))
+
+
+def test_upsert_outcomes(spark):
+    target = spark.createDataFrame([(1, "a")], "k long, v string")
+    asked = spark.createDataFrame([(5, 1, "x"), (7, 3, "y"), (6, 3, "z"), (8, None, "n")],
+                                  "seq long, k long, v string")
+    got = {r.seq: r.outcome for r in upsert.upsert_outcomes(asked, target, "k").collect()}
+    assert got == {5: "updated", 6: "inserted", 7: "updated", 8: "missing_key"}

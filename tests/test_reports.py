@@ -186,3 +186,21 @@ def test_write_lines_by_section_and_stamps(spark, scratch):
     df = spark.range(1)
     got = df.select(*[X.as_of_stamp(AS_OF, s).alias(s) for s in ("dash", "slash", "file")]).first()
     assert (got["dash"], got["slash"], got["file"]) == ("30-06-2024", "30/06/2024", "30_06_2024")
+
+
+def test_recipient_lines_concatenate_to_the_sorted_list(spark):
+    import random
+
+    rnd = random.Random(1)
+    emails = [f"u{rnd.randrange(400)}@example.org" for _ in range(1000)] + ["", None]
+    R = spark.createDataFrame([("weekly", e) for e in emails] + [("other", "x@example.org")],
+                              "list_name string, email string")
+    to = reports.recipients_for(R, "weekly")
+    lines = sorted(reports.recipient_lines(to, size=64).collect(), key=lambda r: r.line)
+    assert ", ".join(r.recipients for r in lines) == ", ".join(sorted(e or "" for e in emails))
+    assert [r.first_recipient for r in lines] == list(range(1, 1003, 64))
+    assert {r.n_recipients for r in lines} == {1002} and sum(r.n_in_line for r in lines) == 1002
+    empty = reports.recipients_for(R, "none", default="office@example.org")
+    assert [(r.line, r.n_recipients, r.recipients) for r in
+            reports.recipient_lines(empty).collect()] == [(0, 1, "office@example.org")]
+    assert reports.recipient_lines(R.where("false")).count() == 0
