@@ -49,7 +49,7 @@ from crewgate.llm.common import crc32_of_id, slices, stored
 
 STATES, SYMBOLS, CLASSES, CLASS_WORDS = 8, 16384, 4096, 256
 ROUNDS, GAIN = 9, 1e-4
-SEGMENT, CHUNK = 1024, 1 << 20
+SEGMENT, CHUNK = 4096, 1 << 20
 FLUSH = 300_000
 SLICES, PRIOR = 16, 200.0
 ADD = 0.1                    # smoothing of the contract's base score
