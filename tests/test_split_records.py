@@ -1,0 +1,105 @@
+import os
+import random
+
+from pyspark.sql import functions as F
+
+from crewgate.schema import RAW_ODD, RAW_ROSTER
+from crewgate.sources import roster_csv
+
+COLUMNS = [f.name for f in RAW_ROSTER.fields]
+
+
+def one_task(spark, path):
+    """The records of one file by Spark's reader of whole files, header records dropped."""
+    rows = (spark.read.schema(RAW_ROSTER).option("sep", ";").option("quote", '"')
+            .option("escape", '"').option("multiLine", "true").option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", RAW_ODD).csv(path).collect())
+    return [tuple(r) for r in rows][roster_csv.HEADER_RECORDS:]
+
+
+def in_ranges(spark, path, size):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    open_cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        df = roster_csv.read_roster_csv(spark, path)
+        rows = df.orderBy("file", "block", "record").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.set("spark.sql.files.openCostInBytes", open_cost)
+    return rows
+
+
+def field(rnd):
+    kind = rnd.random()
+    if kind < .35:
+        return "".join(rnd.choice("abc é") for _ in range(rnd.randint(0, 6)))
+    if kind < .45:
+        return rnd.choice(['5" pipe', 'a"b', "x'y", 'say "hi"', "-"])     # quotes inside plain text
+    text = "".join(rnd.choice(["a", "b", ";", "\n", "\n", '"', " ", "long text", '""'])
+                   for _ in range(rnd.randint(0, 9)))
+    return '"' + text.replace('"', '""') + '"'
+
+
+def roster_text(rnd, n):
+    head = ['Company;Given;Surname;Note;"Expiry\ndate";Issued;Valid', "Roster;;;;;;"]
+    rows = []
+    for _ in range(n):
+        wide = rnd.choice([7, 7, 7, 7, 2, 9])
+        rows.append(";".join(field(rnd) for _ in range(wide)))
+        if rnd.random() < .05:
+            rows.append("")                     # a blank line between records
+    return "\n".join(head + rows) + "\n"
+
+
+def test_quoted_files_in_many_ranges(spark, scratch):
+    rnd = random.Random(11)
+    for k, size in enumerate((60, 333, 5000)):
+        path = os.path.join(scratch, f"f{k}.csv")
+        with open(path, "w", encoding="utf-8", newline="") as fh:
+            fh.write(roster_text(rnd, 200))
+        got = in_ranges(spark, path, size)
+        assert [tuple(r)[:len(COLUMNS)] for r in got] == one_task(spark, path), size
+        assert [r.record for r in got] == list(range(2, 2 + len(got)))
+
+
+def test_a_newline_free_field_over_many_ranges_and_several_files(spark, scratch):
+    """One field spans many byte ranges; the numbers of each file start anew."""
+    for name in ("a", "b"):
+        with open(os.path.join(scratch, f"{name}.csv"), "w", newline="") as fh:
+            fh.write('h;;;;;;\nh;;;;;;\n' + name + ';"' + "line\n" * 400 + '";;;;;\nlast;;;;;;\n')
+    rows = in_ranges(spark, scratch, 64)
+    assert [(os.path.basename(r.file), r.record, r.f0) for r in rows] == [
+        ("a.csv", 2, "a"), ("a.csv", 3, "last"), ("b.csv", 2, "b"), ("b.csv", 3, "last")]
+    assert {r.f1 for r in rows} == {"line\n" * 400, None}
+
+
+def test_one_file_is_read_by_many_tasks(spark, scratch):
+    path = os.path.join(scratch, "f.csv")
+    with open(path, "w", newline="") as fh:
+        fh.write(roster_text(random.Random(2), 400))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 500)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        lines = spark.read.option("lineSep", "\n").text(path)
+        assert lines.select(F.spark_partition_id()).distinct().count() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.set("spark.sql.files.openCostInBytes", 4 << 20)
+
+
+def test_state_of_a_line(spark):
+    cases = [("a;b", False, False), ('a;"b', False, True), ('"a";"b";c', False, False),
+             ('"a""b', False, True), ('"a"";', False, True), ('5" pipe;"x', False, True),
+             ('5" pipe;x"y', False, False), ('"a"b;"c', False, True), ('""', False, False),
+             ('"";"', False, True), ("plain", True, True), ('end"', True, False),
+             ('end";"new', True, True), ('a""b', True, True), ('a"";"', True, False),
+             ('""', True, True), ('";', True, False)]
+    df = spark.createDataFrame([(t, i) for i, (t, _, _) in enumerate(cases)], "t string, i int")
+    got = {r.i: (r.o, r.n) for r in df.select(
+        "i", roster_csv._open_after(F.col("t"), False).alias("o"),
+        roster_csv._open_after(F.col("t"), True).alias("n")).collect()}
+    for i, (text, inside, want) in enumerate(cases):
+        assert got[i][inside] == want, text
