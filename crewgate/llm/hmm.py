@@ -38,6 +38,7 @@ Building the result runs the training (Spark jobs); the scores are computed lazi
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 
@@ -54,19 +55,20 @@ FLUSH = 300_000
 SLICES, PRIOR = 16, 200.0
 ADD = 0.1                    # smoothing of the contract's base score
 CODED = ("doc_id long, train boolean, n_words long, n_own long, own_log double, "
-         "class_log double, symbols binary, rare map<binary,int>")
+         "class_log double, symbols binary, rare array<binary>")
 SCORED = ("rid long, doc_id long, held_out boolean, n_words long, n_own long, own_log double, "
           "class_log double, log double")
 
 
-def split(text: str) -> list[bytes]:
-    return text.encode().lower().split()      # ASCII case and ASCII white space only
+def split(text: bytes) -> list[bytes]:
+    return text.lower().split()      # of bytes: ASCII case and ASCII white space only
 
 
-def words_of(batch):
-    for part in slices(batch):
-        for text in part.column("text").to_pylist():
-            yield split(text or "")
+def words_of(part) -> list[list[bytes]]:
+    """Words of every text of a slice of an Arrow batch."""
+    import pyarrow as pa
+
+    return [split(t or b"") for t in part.column("text").cast(pa.binary()).to_pylist()]
 
 
 def count_words(documents: DataFrame) -> DataFrame:
@@ -82,8 +84,9 @@ def count_words(documents: DataFrame) -> DataFrame:
                 "n": pa.array(list(counts.values()), pa.int64())})
 
         for batch in batches:
-            for words in words_of(batch):
-                counts.update(words)
+            for part in slices(batch):
+                for words in words_of(part):
+                    counts.update(words)
                 if len(counts) >= FLUSH:
                     yield flush()
                     counts.clear()
@@ -117,10 +120,21 @@ class Vocabulary:
 
 
 class Places(dict):
-    """Symbol of a word; words without their own are looked up by class, not kept."""
+    """Symbol of a word: its own, or its class's.  Up to ``FLUSH`` words without their own
+    are kept between slices."""
+
+    def __init__(self, own, classes):
+        super().__init__(own)
+        self.own, self.classes = own, classes
 
     def __missing__(self, word):
-        return self.first + zlib.crc32(word) % self.classes
+        place = self[word] = len(self.own) + zlib.crc32(word) % self.classes
+        return place
+
+    def trim(self):
+        if len(self) > len(self.own) + FLUSH:
+            self.clear()
+            self.update(self.own)
 
 
 def code(documents: DataFrame, train, of: Vocabulary) -> DataFrame:
@@ -132,38 +146,41 @@ def code(documents: DataFrame, train, of: Vocabulary) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        places = Places(own)
-        first, places.classes = len(own), classes
-        places.first = first
+        places, first = Places(own, classes), len(own)
         for batch in batches:
             for part in slices(batch):
-                texts = [split(t or "") for t in part.column("text").to_pylist()]
-                coded = [np.fromiter(map(places.__getitem__, w), np.int64, len(w)) for w in texts]
-                far = [s >= first for s in coded]
-                rare = [list(Counter([w[k] for k in np.flatnonzero(f).tolist()]).items())
-                        for w, f in zip(texts, far)]
-                n = np.array([len(w) for w in texts], np.int64)
+                words = words_of(part)
+                n = np.fromiter(map(len, words), np.int64, len(words))
+                doc, flat = np.repeat(np.arange(len(n)), n), list(itertools.chain(*words))
+                s = np.fromiter(map(places.__getitem__, flat), np.int64, len(flat))
+                places.trim()
+                far = s >= first
+                total = lambda at, x=None: np.bincount(doc[at], x, len(n))  # noqa: E731, B023
+                n_far = total(far)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"), "train": part.column("train"),
-                    "n_words": pa.array(n),
-                    "n_own": pa.array(n - np.array([f.sum() for f in far], np.int64)),
-                    "own_log": pa.array([own_log[s[~f]].sum() for s, f in zip(coded, far)],
-                                        pa.float64()),
-                    "class_log": pa.array([class_log[s[f] - first].sum()
-                                           for s, f in zip(coded, far)], pa.float64()),
-                    "symbols": pa.array([s.astype("<u2").tobytes() for s in coded], pa.binary()),
-                    "rare": pa.array(rare, pa.map_(pa.binary(), pa.int32()))})
+                    "n_words": pa.array(n), "n_own": pa.array(n - n_far),
+                    "own_log": pa.array(total(~far, own_log[s[~far]]), pa.float64()),
+                    "class_log": pa.array(total(far, class_log[s[far] - first]), pa.float64()),
+                    "symbols": pa.Array.from_buffers(pa.binary(), len(n), [
+                        None, pa.py_buffer(edges(2 * n)), pa.py_buffer(s.astype("<u2"))]),
+                    "rare": pa.ListArray.from_arrays(
+                        edges(n_far), pa.array(itertools.compress(flat, far.tolist()), pa.binary()))})
     rows = documents.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
     return stored(rows.mapInArrow(run, CODED).withColumn(
         "rid", F.monotonically_increasing_id()), "hmm-symbols")[0]
 
 
+def edges(sizes):
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+
+
 def rare_sums(coded: DataFrame, vocab: DataFrame) -> DataFrame:
     """(rid, rare_log, rare_known): a text's words without a symbol of their own."""
-    words = coded.select("rid", F.explode("rare").alias("word", "times"))
+    words = coded.select("rid", F.explode("rare").alias("word"))
     return words.join(vocab, "word", "left").groupBy("rid").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + ADD)).alias("rare_log"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"))
+        F.sum(F.log10(F.coalesce("n", F.lit(0)) + ADD)).alias("rare_log"),
+        F.count("n").alias("rare_known"))
 
 
 class Packed:

@@ -110,7 +110,7 @@ def test_classes_share_out_their_mass(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(hmm, "CLASSES", 16)
     vocab = hmm.count_words(docs).cache()
     of = hmm.Vocabulary(vocab, docs.count())
-    counts = Counter(w for _, t in rows for w in hmm.split(t or ""))
+    counts = Counter(w for _, t in rows for w in hmm.split((t or "").encode()))
     assert {bytes(r.word): r.n for r in vocab.collect()} == counts
     assert of.tokens == sum(counts.values()) + len(rows) and of.types == len(counts) + 1
     assert of.symbols.sum() == of.tokens and len(of.own) == 100
