@@ -66,6 +66,20 @@ def quarantine(clean: DataFrame) -> DataFrame:
         "reason", F.when(worker_too_long(), F.lit(TOO_LONG)).otherwise(F.lit(COMPANY_TOO_LONG)))
 
 
+def load_companies(clean: DataFrame, C: DataFrame, skip_existing: bool = False) -> DataFrame:
+    """The companies of a load alone: distinct names by exact text, over-long ones left
+    out, with ids after the largest stored id in name order."""
+    names = clean.where(~company_too_long()).select("company_name").distinct()
+    if skip_existing:
+        names = names.join(C.select("company_name"), "company_name", "left_anti")
+    new_c = assign_ids(names, ["company_name"], next_id(C, "company_id"), "company_id")
+    return conform(new_c.select(
+        "company_id", "company_name",
+        *[F.lit(None).cast("string").alias(c) for c in
+          ("vat_number", "contact_name", "contact_email", "contact_phone", "note")],
+        F.lit(0).alias("is_sole_trader")), COMPANIES)
+
+
 def bulk_load(clean: DataFrame, C: DataFrame, W: DataFrame, skip_existing: bool = False,
               collation: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Returns (new companies, new workers, outcomes).
@@ -89,15 +103,7 @@ def bulk_load(clean: DataFrame, C: DataFrame, W: DataFrame, skip_existing: bool
     ensure_checkpoint_dir(clean.sparkSession)
     checked = clean.withColumn("_too_long", worker_too_long()).checkpoint(eager=True)
     ok = checked.where(~F.col("_too_long")).drop("_too_long")
-    names = checked.where(~company_too_long()).select("company_name").distinct()
-    if skip_existing:
-        names = names.join(C.select("company_name"), "company_name", "left_anti")
-    new_c = assign_ids(names, ["company_name"], next_id(C, "company_id"), "company_id")
-    new_c = conform(new_c.select(
-        "company_id", "company_name",
-        *[F.lit(None).cast("string").alias(c) for c in
-          ("vat_number", "contact_name", "contact_email", "contact_phone", "note")],
-        F.lit(0).alias("is_sole_trader")), COMPANIES)
+    new_c = load_companies(checked, C, skip_existing)
     every_c = C.select("company_id", "company_name").unionByName(
         new_c.select("company_id", "company_name"))
     rows = resolve_company(ok, every_c, collation=collation)

@@ -386,10 +386,13 @@ def upsert_outcomes(spark, sf):
 
 
 # --- bulk load and stream ----------------------------------------------------
-def _loaded(spark, sf):
+def _clean(spark, sf):
     path = V.write_raw_roster(spark, sf, scratch_path(spark, "raw-roster"))
-    clean = load.clean_roster(roster_csv.read_roster_csv(spark, path))
-    return load.bulk_load(clean, V.companies(spark, sf), V.workers(spark, sf))
+    return load.clean_roster(roster_csv.read_roster_csv(spark, path))
+
+
+def _loaded(spark, sf):
+    return load.bulk_load(_clean(spark, sf), V.companies(spark, sf), V.workers(spark, sf))
 
 
 @register
@@ -401,7 +404,7 @@ def bulk_load(spark, sf):
 @register
 def bulk_load_companies(spark, sf):
     """Companies created by the load."""
-    return _loaded(spark, sf)[0]
+    return load.load_companies(_clean(spark, sf), V.companies(spark, sf))
 
 
 @register
@@ -413,10 +416,8 @@ def bulk_load_outcomes(spark, sf):
 @register
 def clean_csv_roundtrip(spark, sf):
     """The cleaned roster written as CSV and read back."""
-    path = V.write_raw_roster(spark, sf, scratch_path(spark, "raw-roster"))
-    clean = load.clean_roster(roster_csv.read_roster_csv(spark, path))
     out = scratch_path(spark, "clean-roster")
-    roster_csv.write_clean_csv(clean, out)
+    roster_csv.write_clean_csv(_clean(spark, sf), out)
     return roster_csv.read_clean_csv(spark, out)
 
 

@@ -5,13 +5,13 @@ header records at the top of *every* file, then seven positional fields;
 missing ones read as NULL, and the text of a record with fewer or more fields
 is kept whole in ``odd_record``.
 
-Header records are found without a per-file window: inside one file split
-the records carry consecutive ``monotonically_increasing_id`` values, so the
-record number within the split is the id minus the smallest id of that
-(file, split) pair — a small aggregate (one row per split) joined back.
-With ``multi_line=True`` (quoted newlines allowed) a file is one split; with
-``multi_line=False`` big files split, and only the split that starts at
-byte 0 holds the header records.
+With ``multi_line=True`` quoted newlines are allowed, and large files still split:
+the state of the quotes is carried over the byte ranges (``_records``).  With
+``multi_line=False`` every line is a record; header records are then found without a
+per-file window: inside one file split the records carry consecutive
+``monotonically_increasing_id`` values, so the record number within the split is the
+id minus the smallest id of that (file, split) pair — a small aggregate (one row per
+split) joined back — and only the split that starts at byte 0 holds them.
 """
 
 from __future__ import annotations

@@ -40,7 +40,7 @@ FUNCS = {
     "J6": "quality.existing_workers", "J7": "quality.missing_targets flags.change_outcomes",
     "J8": "quality.orphans", "A1": "reports.section_counts", "A2": "reports.roster_totals",
     "A3": "reports.roster_totals reports.section_totals", "A4": "reports.text_widths",
-    "A5": "load.bulk_load", "A6": "reports.digest", "A7": "reports.recipients_for",
+    "A5": "load.bulk_load", "A6": "reports.recipient_lines", "A7": "reports.recipients_for reports.recipient_lines",
     "A8": "reports.digest", "A9": "quality.duplicate_keys",
     "O1": "listing.list_companies reports.full_roster", "O2": "listing.list_workers",
     "O3": "listing.list_roles", "O4": "reports.expired", "O5": "reports.weekly_valid",
@@ -50,9 +50,10 @@ FUNCS = {
     "D1": "companies.add_companies greedy.first_by_keys", "D2": "workers.add_workers",
     "D3": "workers.edit_workers", "D4": "companies.edit_companies",
     "D5": "flags.apply_flag_changes", "D6": "companies.delete_companies workers.delete_workers "
-    "workers.delete_roles workers.remap_keys", "D7": "upsert.upsert",
+    "workers.delete_roles renames.remap_keys request_log.apply_log",
+    "D7": "upsert.upsert upsert.upsert_outcomes",
     "D8": "keys.assign_ids keys.assign_ids_after", "D9": "load.bulk_load",
-    "T1": "flag_stream.start_flag_stream", "R1": "reports.full_roster",
+    "T1": "flag_stream.start_flag_stream flag_stream.start_outcome_stream", "R1": "reports.full_roster",
     "R2": "reports.weekly_valid", "R3": "reports.expired", "R4": "reports.digest",
     "R5": "listing.list_workers", "R6": "listing.list_companies",
 }
