@@ -4,10 +4,12 @@ Texts are sets of five-word shingles (a text of one to four words is one
 shingle).  A ProbMinHash signature (Ertl 2020) draws for every shingle a Poisson
 process; each arrival falls on a random slot, a slot keeps the shingle of its
 earliest arrival, and a shingle stops as soon as its next arrival comes after
-the latest slot of the text.  All rates are 1, however often a shingle occurs in
-its text, so two texts agree in a slot with the Jaccard similarity of their
-shingle sets, the measure that links are defined by.  Slots are banded; texts
-that share a band are candidates, and a candidate pair is a link if that
+the latest slot of the text.  Two signatures are drawn.  In one a shingle's rate is 1
+plus the logarithm of its count, so two texts agree in a slot with the probability
+Jaccard similarity of their weighted shingles; in the other all rates are 1 and the
+agreement is the Jaccard similarity of the shingle sets, the measure that links are
+defined by (pairs whose differing shingles repeat are far apart under the first).
+Slots of both are banded; texts that share a band of either are candidates, and a candidate pair is a link if that
 similarity, computed from the whole texts, is at least the threshold.  Classes
 are the connected components of the links.
 
@@ -43,7 +45,8 @@ from crewgate.llm.common import drop_stored, slices, stored
 
 WORDS, THRESHOLD = 5, 0.8     # fixed by the task
 BANDS, ROWS = 24, 6           # a pair at 0.8 shares a band with probability 0.9993
-FAN, PART = 256, 512
+WEIGHTED = 8                  # further bands, over shingles weighted by their count
+FAN, PART, SALTS = 256, 512, 16
 
 
 def shingles(data, offsets, n: int = WORDS):
@@ -96,12 +99,13 @@ def signatures(doc, key, weight, n_docs: int, m: int):
     return won
 
 
-def band_keys(won, bands: int, rows: int):
-    """One 64-bit key per (document, band)."""
+def band_keys(won, bands: int, rows: int, first: int = 0):
+    """One 64-bit key per (document, band); bands are numbered from ``first``."""
     p = A.powers(rows)
     parts = won.reshape(len(won), bands, rows)
     h = (parts * p).sum(axis=2, dtype=np.uint64)
-    return A.mix64(h + A.mix64(np.arange(1, bands + 1, dtype=np.uint64))).view(np.int64)
+    number = np.arange(first + 1, first + bands + 1, dtype=np.uint64)
+    return A.mix64(h + A.mix64(number)).view(np.int64)
 
 
 def sketcher(bands: int, rows: int):
@@ -112,9 +116,11 @@ def sketcher(bands: int, rows: int):
             for part in slices(batch):
                 data, offsets = A.text_bytes(part.column("text"))
                 n = len(offsets) - 1
-                doc, key, _ = distinct(*shingles(data, offsets))
+                doc, key, count = distinct(*shingles(data, offsets))
                 won = signatures(doc, key, np.ones(len(doc)), n, bands * rows)
-                keys = band_keys(won, bands, rows)
+                more = signatures(doc, key, 1 + np.log(count), n, WEIGHTED * rows)
+                keys = np.hstack([band_keys(won, bands, rows),
+                                  band_keys(more, WEIGHTED, rows, bands)])
                 size = np.bincount(doc, minlength=n)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id").cast(pa.int64()),
@@ -279,9 +285,12 @@ def part_comparer(threshold: float):
 def cross_links(left: DataFrame, sketches: DataFrame, texts: DataFrame,
                 threshold: float = THRESHOLD) -> DataFrame:
     """All links (a, b) between different classes inside the open buckets ``left``."""
-    parts = left.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    rows = left.select("band", "rid", "label", "size").join(parts, "band").withColumn(
-        "part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
+    # a bucket's rows meet its number of parts under a salt, not all in one task
+    parts = left.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")) \
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = left.select("band", "rid", "label", "size", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast(
+        "int").alias("salt")).join(parts, ["band", "salt"]).withColumn(
+        "part", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("parts")).cast("int"))
     rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("band", "rid", "label", "size", "part", F.least("part", "x").alias("lo"),
                        F.greatest("part", "x").alias("hi"))
