@@ -114,7 +114,7 @@ def _add_workers(log: DataFrame, W: DataFrame, C: DataFrame, died: DataFrame, ne
     events = name_events(names, died, new.select("seq", "company_id", fold.alias("name")))
     placed = asof.last_before(cand.withColumn("at", F.col("seq")), events, "name", "at",
                               "company_id")
-    r = workers.with_checks(placed.drop("at", "name")).checkpoint(eager=True)
+    r = workers.with_early(workers.with_checks(placed.drop("at", "name"))).checkpoint(eager=True)
     key = list(quality.WORKER_KEY)
     held = restrict_to(W.select("worker_id", *quality.worker_key_cols(), "company_id"), r, key)
     until = held.join(w_asked, "worker_id", "left").join(died, "company_id", "left") \

@@ -55,15 +55,19 @@ def add_workers(cand: DataFrame, W: DataFrame, C: DataFrame,
 
 
 def with_checks(r: DataFrame, collation: str | None = None) -> DataFrame:
-    """Requests with a resolved ``company_id``, their typed fields and worker key, the
-    reason that needs no other row (``_early``) and whether the date is missing."""
-    r = r.select(
+    """Requests with a resolved ``company_id``, their typed fields and worker key."""
+    return r.select(
         "*",
         X.optional_id("role_id").alias("_role"), X.bad_id("role_id").alias("_bad_role"),
         X.iso_date("expiry_date").alias("_date"),
         X.bad_iso_date("expiry_date").alias("_bad_date"),
         X.checkbox("is_temporary").alias("_temp"),
         *quality.worker_key_cols(collation=collation))
+
+
+def with_early(r: DataFrame) -> DataFrame:
+    """``with_checks`` rows with the reason that needs no other row (``_early``) and
+    whether a temporary badge's date is missing."""
     early = (F.when(F.col("company_name") == "", F.lit(NO_COMPANY))
               .when(F.col("_bad_role"), F.lit(BAD_ROLE))
               .when(F.col("_bad_date"), F.lit(BAD_DATE))
@@ -93,6 +97,7 @@ def decide(r: DataFrame, W: DataFrame, collation: str | None = None) -> DataFram
     key joins back, so a key that many requests share is split by AQE.
     """
     key = list(quality.WORKER_KEY)
+    r = with_early(r)
     eligible = r.where(F.col("_early").isNull() & ~F.col("_temp_no_date")).dropna(subset=key).select(
         *key, "seq", F.lit(False).alias("_stored"))
     hits = quality.stored_matches(r, W, collation).select(
