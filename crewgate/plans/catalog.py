@@ -465,6 +465,10 @@ def key_change_workers(spark, sf):
     return _key_changes(spark, sf)[1]
 
 
+def _backlog(spark, feed):
+    return flag_stream.read_change_stream(spark, feed, flag_stream.files_per_batch(spark, feed))
+
+
 @register
 def stream_flag_changes(spark, sf):
     """The change feed in micro-batches (appended to a stored
@@ -473,8 +477,8 @@ def stream_flag_changes(spark, sf):
     feed = scratch_path(spark, "flag-feed")
     V.write_change_files(spark, sf, feed)
     root = scratch_path(spark, "flag-state")
-    q = flag_stream.start_flag_stream(flag_stream.read_change_stream(spark, feed), root,
-                                      f"{root}/_checkpoint", ALLOWED_ACTORS)
+    q = flag_stream.start_flag_stream(_backlog(spark, feed), root, f"{root}/_checkpoint",
+                                      ALLOWED_ACTORS)
     q.awaitTermination()
     new_w, _ = flags.apply_latest(flag_stream.state_rows(spark, root), W, C)
     return new_w
@@ -488,8 +492,8 @@ def stream_flag_outcomes(spark, sf):
     feed = scratch_path(spark, "flag-feed")
     V.write_change_files(spark, sf, feed)
     root = scratch_path(spark, "flag-outcomes")
-    q = flag_stream.start_outcome_stream(flag_stream.read_change_stream(spark, feed), root,
-                                         f"{root}/_checkpoint", ALLOWED_ACTORS)
+    q = flag_stream.start_outcome_stream(_backlog(spark, feed), root, f"{root}/_checkpoint",
+                                         ALLOWED_ACTORS)
     q.awaitTermination()
     return flag_stream.feed_outcomes(spark, root, W, C)
 

@@ -43,6 +43,8 @@ KEY = ["type", "id", "field"]
 STATE = "type string, id long, field string, value int, seq long"
 OUTCOME = ("seq long, actor string, type string, id long, field string, value int, "
            "reason string")
+# Fixed value: micro-batches that a backlog is read in, at most.
+BACKLOG_BATCHES = 8
 
 
 def read_change_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -51,6 +53,14 @@ def read_change_stream(spark: SparkSession, path: str, files_per_batch: int = 1)
                  .option("maxFilesPerTrigger", files_per_batch).json(path))
 
 
+def files_per_batch(spark: SparkSession, path: str, batches: int = BACKLOG_BATCHES) -> int:
+    """How many files a micro-batch must take for those now under ``path`` to be read in
+    at most ``batches``.  A batch has a fixed cost (a commit of every state partition, a
+    folder of its own), so their number must not grow with the backlog."""
+    files = len(spark.read.schema(CHANGE_RECORD).json(path).inputFiles())
+    return max(-(-files // batches), 1)
+
+
 def feed_name(checkpoint: str) -> str:
     """The feed of a checkpoint folder."""
     return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]

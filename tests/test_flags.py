@@ -209,6 +209,24 @@ def test_outcomes_of_the_feed(spark, scratch):
     assert read() == want
 
 
+def test_a_backlog_takes_few_batches(spark, scratch):
+    """The number of micro-batches does not grow with the number of files."""
+    feed = os.path.join(scratch, "feed")
+    os.makedirs(feed)
+    for i in range(20):
+        with open(os.path.join(feed, f"part-{i}.json"), "w") as fh:
+            fh.write(json.dumps({"seq": i, "actor": "boss", "change": RECORDS[0][2]}) + "\n")
+    per = [flag_stream.files_per_batch(spark, feed, n) for n in (1, 4, 8, 20, 21)]
+    assert per == [20, 5, 3, 1, 1]
+    root = os.path.join(scratch, "out")
+    flag_stream.start_outcome_stream(
+        flag_stream.read_change_stream(spark, feed, flag_stream.files_per_batch(spark, feed)),
+        root, os.path.join(root, "_ckpt"), ["boss"]).awaitTermination()
+    rows = spark.read.parquet(os.path.join(root, "outcomes"))
+    assert sorted(r.seq for r in rows.collect()) == list(range(20))
+    assert 1 < rows.select("batch_id").distinct().count() <= flag_stream.BACKLOG_BATCHES
+
+
 def test_a_feed_without_batches_is_empty(spark, scratch):
     W, C = base(spark)
     root = os.path.join(scratch, "nothing")
