@@ -401,9 +401,13 @@ def write_raw_roster(spark: SparkSession, sf_dir: str, path: str) -> str:
 
 def write_change_files(spark: SparkSession, sf_dir: str, path: str, files: int = 4,
                        rows_per_file: int = 25_000) -> str:
-    """The change records as JSON-lines files of at most ``rows_per_file`` records
-    (so their number grows with the table); records are spread by hash, so later
-    files hold smaller seq values too (late arrivals)."""
-    (flag_change_records(spark, sf_dir).repartition(files, "seq")
+    """The change records as JSON-lines files of at most ``rows_per_file`` records,
+    ``files`` at least (their number, and that of the tasks that write them, grows with
+    the table); records are spread by hash, so later files hold smaller seq values too
+    (late arrivals)."""
+    records = flag_change_records(spark, sf_dir)
+    # a tenth of room for the spread of the hash, or most tasks would write a short second file
+    files = max(files, -(-10 * records.count() // (9 * rows_per_file)))
+    (records.repartition(files, "seq")
         .write.mode("error").option("maxRecordsPerFile", rows_per_file).json(path))
     return path

@@ -227,6 +227,21 @@ def test_a_backlog_takes_few_batches(spark, scratch):
     assert 1 < rows.select("batch_id").distinct().count() <= flag_stream.BACKLOG_BATCHES
 
 
+def test_change_files_are_written_by_many_tasks(spark, scratch):
+    from crewgate.sources import testviews as V
+
+    spark.range(200).selectExpr("id AS event_id", "id % 7 AS user_id", "'click' AS event_type",
+                                "double(id) AS value").write.parquet(f"{scratch}/events.parquet")
+    path = V.write_change_files(spark, scratch, f"{scratch}/feed", rows_per_file=10)
+    sizes = {}
+    for name in os.listdir(path):
+        if name.startswith("part-"):
+            with open(os.path.join(path, name)) as fh:
+                sizes[name] = sum(1 for _ in fh)
+    assert sum(sizes.values()) == 200 and max(sizes.values()) <= 10
+    assert len({name.split("-")[1] for name in sizes}) > 4
+
+
 def test_a_feed_without_batches_is_empty(spark, scratch):
     W, C = base(spark)
     root = os.path.join(scratch, "nothing")
