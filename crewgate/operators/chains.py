@@ -25,6 +25,24 @@ def settle(nodes: DataFrame, stats: dict | None = None) -> DataFrame:
     """
     ensure_checkpoint_dir(nodes.sparkSession)
     n = nodes.select("id", "ptr", "verdict", "if_yes", "if_no").checkpoint(eager=True)
+    return n.where(F.col("ptr").isNull()).select("id", "verdict") \
+        .unionByName(followed(n, stats))
+
+
+def followed(nodes: DataFrame, stats: dict | None = None) -> DataFrame:
+    """(id, verdict) of the rows of ``nodes`` that have a pointer, as ``settle`` gives them.
+
+    ``nodes`` is read more than once, so it should be stored.  Only the rows with a
+    pointer and the ones at which their chains end (the last link of a chain points at
+    its end) go through the steps; the others are never moved.
+    """
+    ensure_checkpoint_dir(nodes.sparkSession)
+    open_ = nodes.where(F.col("ptr").isNotNull())
+    ends = nodes.where(F.col("ptr").isNull()).join(
+        open_.select(F.col("ptr").alias("id")).distinct(), "id", "left_semi")
+    columns = ["id", "ptr", "verdict", "if_yes", "if_no"]
+    n = open_.select(*columns, F.lit(True).alias("_open")).unionByName(
+        ends.select(*columns, F.lit(False).alias("_open"))).checkpoint(eager=True)
     while not n.where(F.col("ptr").isNotNull()).isEmpty():
         at = n.select(F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"),
                       F.col("verdict").alias("_verdict"), F.col("if_yes").alias("_yes"),
@@ -34,11 +52,11 @@ def settle(nodes: DataFrame, stats: dict | None = None) -> DataFrame:
             "id", F.col("_ptr").alias("ptr"),
             F.when(F.col("_verdict"), yes).when(~F.col("_verdict"), no).alias("verdict"),
             F.when(F.col("_yes"), yes).otherwise(no).alias("if_yes"),
-            F.when(F.col("_no"), yes).otherwise(no).alias("if_no"))
+            F.when(F.col("_no"), yes).otherwise(no).alias("if_no"), "_open")
         n = n.where(F.col("ptr").isNull()).unionByName(jumped).checkpoint(eager=True)
         if stats is not None:
             stats["rounds"] = stats.get("rounds", 0) + 1
-    return n.select("id", "verdict")
+    return n.where("_open").select("id", "verdict")
 
 
 def roots(nodes: DataFrame) -> DataFrame:

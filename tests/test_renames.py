@@ -124,3 +124,25 @@ def test_as_of_join_against_brute_force(spark):
         before = [x for x in events if x[0] == k and k is not None and x[1] < s]
         assert got[i] == (max(before, key=lambda x: x[1])[2] if before else None)
     assert len(got) == len(probes)
+
+
+def test_settled_rows_stay_out_of_the_steps(spark, monkeypatch):
+    """Rows without a pointer that no chain ends at are not written again in every step."""
+    links = [(k, k - 1 if k else None, True if k == 0 else None, k % 3 != 0, k % 2 == 0)
+             for k in range(40)]
+    idle = [(k, None, k % 5 == 0, True, False) for k in range(1000, 2000)]
+    nodes = spark.createDataFrame(
+        links + idle, "id long, ptr long, verdict boolean, if_yes boolean, if_no boolean")
+    want, v = {k: verdict for k, _, verdict, _, _ in idle}, True
+    for k, _, _, yes, no in links:
+        v = want[k] = v if k == 0 else yes if v else no
+    kind, written = type(nodes), []
+    plain = kind.checkpoint
+
+    def checkpoint(df, eager=True):
+        out = plain(df, eager)
+        written.append(out.count())
+        return out
+    monkeypatch.setattr(kind, "checkpoint", checkpoint)
+    assert {r.id: r.verdict for r in chains.settle(nodes).collect()} == want
+    assert len(written) > 5 and sorted(written)[-2] == len(links)
