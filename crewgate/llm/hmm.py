@@ -199,6 +199,12 @@ class Packed:
         self.symbols[self.at[t] + np.repeat(np.arange(len(size)), size)] = flat
 
 
+def all_ones(move):
+    """Times this, a row of states becomes its sum in every place: one matrix product in
+    place of a sum and a division along rows of a few numbers, which NumPy does row by row."""
+    return np.ones(move.shape, move.dtype)
+
+
 def log_probabilities(sequences, start, move, emit):
     """log10 probability of every sequence by the scaled forward recursion.
 
@@ -206,13 +212,13 @@ def log_probabilities(sequences, start, move, emit):
     """
     p = Packed(sequences)
     out = np.zeros(len(sequences))
-    a = None
+    a, ones = None, all_ones(move)
     for t, n in enumerate(p.n.tolist()):
         e = emit[p.symbols[p.at[t]:p.at[t + 1]]]
         a = (start if a is None else a[:n] @ move) * e
-        c = a.sum(axis=1)
-        a /= c[:, None]
-        out[:n] += np.log10(c)
+        c = a @ ones
+        a /= c
+        out[:n] += np.log10(c[:, 0])
     result = np.empty(len(sequences))
     result[p.order] = out
     return result
@@ -226,8 +232,8 @@ def transfers(pieces, first, move, emit):
     m = np.where(np.asarray(first)[p.order, None, None], np.eye(states, dtype=move.dtype), move)
     for t, n in enumerate(p.n.tolist()):
         e = emit[p.symbols[p.at[t]:p.at[t + 1]]][:, None, :]
-        now = (m[:n] @ move if t else m[:n]) * e
-        m[:n] = now / now.sum(axis=(1, 2), keepdims=True)
+        now = ((m[:n].reshape(-1, states) @ move).reshape(n, states, states) if t else m[:n]) * e
+        np.divide(now, now.reshape(n, -1).sum(axis=1)[:, None, None], out=m[:n])
     out = np.empty_like(m)
     out[p.order] = m
     return out
@@ -283,25 +289,29 @@ def counts_of_pieces(pieces, start, move, emit):
                       emit.dtype).reshape(-1, states)
     e = emit[p.symbols]
     alpha, scale = np.empty_like(e), np.empty(len(p.symbols), emit.dtype)
-    a = np.where(fresh[:, None], start, before @ move)
+    a, ones, at = np.where(fresh[:, None], start, before @ move), all_ones(move), p.at.tolist()
     for t, n in enumerate(p.n.tolist()):
-        lo, hi = p.at[t], p.at[t + 1]
-        a = (a[:n] @ move if t else a[:n]) * e[lo:hi]
-        scale[lo:hi] = a.sum(axis=1)
-        a /= scale[lo:hi, None]
-        alpha[lo:hi] = a
-    e /= scale[:, None]
-    moved = np.zeros((states, states))
+        lo, hi = at[t], at[t + 1]
+        now, own = alpha[lo:hi], e[lo:hi]
+        np.multiply(a[:n] @ move if t else a[:n], own, out=now)
+        c = now @ ones
+        now /= c
+        own /= c
+        scale[lo:hi] = c[:, 0]
+        a = now
+    moved, undo = np.zeros((states, states)), np.ascontiguousarray(move.T)
     b = np.ones((0, states), emit.dtype)
     for t in range(len(p.n) - 1, -1, -1):
-        lo, hi = p.at[t], p.at[t + 1]
+        lo, hi = at[t], at[t + 1]
         k = len(b)
-        now = back[:hi - lo].copy()
+        now = np.empty((hi - lo, states), emit.dtype)
+        now[k:] = back[k:hi - lo]
         if k:
             moved += alpha[lo:lo + k].T @ b
-            now[:k] = b @ move.T
+            np.matmul(b, undo, out=now[:k])
         alpha[lo:hi] *= now
-        b = now * e[lo:hi]
+        b = e[lo:hi]
+        b *= now
     if len(p.n):
         moved += before.T @ b           # over the cuts; nothing comes into a first piece
         first = alpha[:p.n[0]][fresh].sum(axis=0, dtype=float)
