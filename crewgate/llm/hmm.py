@@ -15,18 +15,20 @@ transitions.  Every round runs over all training documents: ``ROUNDS`` rounds at
 least, then on until a round raises the log-likelihood by less than the share
 ``GAIN``.  A round sends the parameters (bounded: states x symbols) to all
 partitions; each adds up the expected counts of its texts, and Spark sums them
-by state and slice of symbols.  The recursions run over many segments of ``SEGMENT``
-words in step.  A longer text is cut, and the messages over its cuts are found first,
+by state and slice of symbols.  The recursions run over many segments of up to ``SEGMENT``
+words in step, those of like length together.  A longer text is cut, and the messages over its cuts are found first,
 from the product of the transition matrices of every segment; so the counts are
 those of whole texts, cuts or not.
 
 Scoring.  The scaled forward recursion runs over the whole text, all texts of
 an Arrow batch in step; the logarithms of the scales add up to the exact
-log10 probability.  The shares of a text's words without a symbol come from a join
-with the counted words; no frequent word takes part in it.
+log10 probability.  The counts of up to ``KNOWN`` most frequent words go to all tasks
+that code texts; those of the other words come from a join with the counted words, so
+no frequent word takes part in it.
 
-Scale.  Memory in a task is bounded by a slice of texts, ``CHUNK`` symbols and the
-model, or by one text; word counts are flushed every ``FLUSH`` distinct words.
+Scale.  Memory in a task is bounded by a slice of texts, ``WAIT`` symbols of two bytes,
+``CHUNK`` symbols in the recursions and the model, or by one text; word counts are
+flushed every ``FLUSH`` bytes of words.
 
 Edge cases.  Null and empty texts are the end symbol alone.  A null doc id
 counts as held out.  Without training documents all counts are 0 and the
@@ -38,9 +40,7 @@ Building the result runs the training (Spark jobs); the scores are computed lazi
 
 from __future__ import annotations
 
-import itertools
 import zlib
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -50,59 +50,80 @@ from crewgate.llm.common import crc32_of_id, slices, stored
 
 STATES, SYMBOLS, CLASSES, CLASS_WORDS = 8, 16384, 4096, 256
 ROUNDS, GAIN = 9, 1e-4
-SEGMENT, CHUNK = 4096, 1 << 20
-FLUSH = 300_000
+SEGMENT, CHUNK, WAIT = 16384, 1 << 20, 1 << 22
+FLUSH = 32 << 20
+KNOWN = 1 << 18
+EVERY = 3                    # steps from one scaling to the next, see ``unscaled``
 SLICES, PRIOR = 16, 200.0
 ADD = 0.1                    # smoothing of the contract's base score
-CODED = ("doc_id long, train boolean, n_words long, n_own long, own_log double, "
-         "class_log double, symbols binary, rare array<binary>")
-SCORED = ("rid long, doc_id long, held_out boolean, n_words long, n_own long, own_log double, "
-          "class_log double, log double")
+CODED = ("doc_id long, train boolean, n_words long, n_known long, own_log double, "
+         "known_log double, class_log double, symbols binary, rare array<binary>")
+SCORED = ("rid long, doc_id long, held_out boolean, n_words long, n_known long, own_log double, "
+          "known_log double, class_log double, log double")
 
 
 def split(text: bytes) -> list[bytes]:
     return text.lower().split()      # of bytes: ASCII case and ASCII white space only
 
 
-def words_of(part) -> list[list[bytes]]:
-    """Words of every text of a slice of an Arrow batch."""
+def words_of(part):
+    """How many words every text of a slice of an Arrow batch has, and all of them in one
+    array, as ``split`` finds them."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    return [split(t or b"") for t in part.column("text").cast(pa.binary()).to_pylist()]
+    text = part.column("text").cast(pa.binary()).cast(pa.string(), safe=False).fill_null("")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(text))
+    words, ends = lists.values.cast(pa.binary()), lists.offsets.to_numpy()
+    some = pc.greater(pc.binary_length(words), 0)
+    upto = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    return np.diff(upto[ends]), words.filter(some)
 
 
 def count_words(documents: DataFrame) -> DataFrame:
     """(word, n) over all of ``documents`` (text)."""
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        counts = Counter()
+        waiting, size = [], 0
 
         def flush():
-            return pa.RecordBatch.from_pydict({
-                "word": pa.array(list(counts), pa.binary()),
-                "n": pa.array(list(counts.values()), pa.int64())})
+            counts = pc.value_counts(pa.chunked_array(waiting, pa.binary()))
+            return pa.RecordBatch.from_arrays(
+                [counts.field("values"), counts.field("counts")], ["word", "n"])
 
         for batch in batches:
             for part in slices(batch):
-                for words in words_of(part):
-                    counts.update(words)
-                if len(counts) >= FLUSH:
+                waiting.append(words_of(part)[1])
+                size += waiting[-1].nbytes
+                if size >= FLUSH:
                     yield flush()
-                    counts.clear()
+                    waiting, size = [], 0
         yield flush()
     return documents.select("text").mapInArrow(run, "word binary, n long") \
         .groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
-    """Own words, class masses and totals: SYMBOLS words and CLASSES numbers, whatever
-    the corpus holds."""
+    """Own and known words, class masses and totals: SYMBOLS and KNOWN words and CLASSES
+    numbers, whatever the corpus holds."""
 
     def __init__(self, vocab: DataFrame, ends: int):
-        rows = vocab.orderBy(F.desc("n"), "word").limit(SYMBOLS).collect()
+        often = vocab.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(
+            F.desc("n")).limit(max(SYMBOLS, KNOWN) + 1).collect()
+        held = np.cumsum([r["words"] for r in often])
+        least = lambda k: often[k]["n"] if k < len(often) else 0
+        rows = vocab.where(F.col("n") >= least(int(np.searchsorted(held, SYMBOLS)))).orderBy(
+            F.desc("n"), "word").limit(SYMBOLS).collect()
+        # words with a higher count are known, KNOWN at most; none of the others
+        self.known_above = least(int(np.searchsorted(held, KNOWN, side="right")))
+        known = vocab.where(F.col("n") > self.known_above).collect()
         self.own = {bytes(r["word"]): k for k, r in enumerate(rows)}
         self.own_counts = np.array([r["n"] for r in rows], dtype=float)
+        known = [r for r in known if bytes(r["word"]) not in self.own]
+        self.known = {bytes(r["word"]): len(rows) + k for k, r in enumerate(known)}
+        self.known_counts = np.array([r["n"] for r in known], dtype=float)
         least = rows[-1] if rows else None
         rare = vocab.where(F.lit(False)) if least is None else vocab.where(
             (F.col("n") < least["n"]) | (F.col("n") == least["n"]) & (F.col("word") > F.lit(
@@ -119,53 +140,40 @@ class Vocabulary:
         self.symbols = np.concatenate([self.own_counts, counts, [ends]])
 
 
-class Places(dict):
-    """Symbol of a word: its own, or its class's.  Up to ``FLUSH`` words without their own
-    are kept between slices."""
-
-    def __init__(self, own, classes):
-        super().__init__(own)
-        self.own, self.classes = own, classes
-
-    def __missing__(self, word):
-        place = self[word] = len(self.own) + zlib.crc32(word) % self.classes
-        return place
-
-    def trim(self):
-        if len(self) > len(self.own) + FLUSH:
-            self.clear()
-            self.update(self.own)
-
-
 def code(documents: DataFrame, train, of: Vocabulary) -> DataFrame:
-    """Documents as symbols, with the sums that the counts of own words give and the
-    words that have no symbol of their own."""
-    own, classes = of.own, of.classes
-    own_log, class_log = np.log10(of.own_counts + ADD), np.log10(of.mass)
+    """Documents as symbols, with the sums that the counts of own and known words give and
+    the words that are neither."""
+    places, classes, first = {**of.own, **of.known}, of.classes, len(of.own)
+    logs = np.log10(np.concatenate([of.own_counts, of.known_counts]) + ADD)
+    class_log = np.log10(of.mass)
 
     def run(batches):
         import pyarrow as pa
 
-        places, first = Places(own, classes), len(own)
+        unknown = len(places)
         for batch in batches:
             for part in slices(batch):
-                words = words_of(part)
-                n = np.fromiter(map(len, words), np.int64, len(words))
-                doc, flat = np.repeat(np.arange(len(n)), n), list(itertools.chain(*words))
-                s = np.fromiter(map(places.__getitem__, flat), np.int64, len(flat))
-                places.trim()
-                far = s >= first
+                n, flat = words_of(part)
+                doc, flat = np.repeat(np.arange(len(n)), n), flat.dictionary_encode()
+                words = flat.dictionary.to_numpy(zero_copy_only=False)   # each word once
+                place = np.fromiter((places.get(w, unknown) for w in words), np.int64, len(words))
+                symbol, far = place.copy(), place >= first
+                symbol[far] = np.fromiter(map(zlib.crc32, words[far]), np.int64) % classes + first
+                at = flat.indices.to_numpy()
+                place, symbol = place[at], symbol[at]
+                far, rare = symbol >= first, place == unknown
                 total = lambda at, x=None: np.bincount(doc[at], x, len(n))  # noqa: E731, B023
-                n_far = total(far)
+                known, n_rare = far & ~rare, total(rare)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"), "train": part.column("train"),
-                    "n_words": pa.array(n), "n_own": pa.array(n - n_far),
-                    "own_log": pa.array(total(~far, own_log[s[~far]]), pa.float64()),
-                    "class_log": pa.array(total(far, class_log[s[far] - first]), pa.float64()),
+                    "n_words": pa.array(n), "n_known": pa.array(n - n_rare),
+                    "own_log": pa.array(total(~far, logs[place[~far]]), pa.float64()),
+                    "known_log": pa.array(total(known, logs[place[known]]), pa.float64()),
+                    "class_log": pa.array(total(far, class_log[symbol[far] - first]), pa.float64()),
                     "symbols": pa.Array.from_buffers(pa.binary(), len(n), [
-                        None, pa.py_buffer(edges(2 * n)), pa.py_buffer(s.astype("<u2"))]),
+                        None, pa.py_buffer(edges(2 * n)), pa.py_buffer(symbol.astype("<u2"))]),
                     "rare": pa.ListArray.from_arrays(
-                        edges(n_far), pa.array(itertools.compress(flat, far.tolist()), pa.binary()))})
+                        edges(n_rare), flat.dictionary.take(pa.array(at[rare])))})
     rows = documents.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
     return stored(rows.mapInArrow(run, CODED).withColumn(
         "rid", F.monotonically_increasing_id()), "hmm-symbols")[0]
@@ -176,7 +184,8 @@ def edges(sizes):
 
 
 def rare_sums(coded: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(rid, rare_log, rare_known): a text's words without a symbol of their own."""
+    """(rid, rare_log, rare_known): a text's words that are neither own nor known; ``vocab``
+    has the counts of such words."""
     words = coded.select("rid", F.explode("rare").alias("word"))
     return words.join(vocab, "word", "left").groupBy("rid").agg(
         F.sum(F.log10(F.coalesce("n", F.lit(0)) + ADD)).alias("rare_log"),
@@ -189,7 +198,7 @@ class Packed:
     def __init__(self, sequences):
         size = np.array([len(s) for s in sequences], dtype=np.int64)
         self.order = np.argsort(-size, kind="stable")
-        size = size[self.order]
+        self.size = size = size[self.order]
         steps = int(size[0]) if len(size) else 0
         self.n = np.searchsorted(-size, -np.arange(steps), side="left")
         self.at = np.concatenate([[0], np.cumsum(self.n)])
@@ -198,6 +207,10 @@ class Packed:
         self.symbols = np.empty(len(flat), np.int64)
         self.symbols[self.at[t] + np.repeat(np.arange(len(size)), size)] = flat
 
+    def last(self):
+        """Where the last symbol of every sequence lies."""
+        return self.at[self.size - 1] + np.arange(len(self.size))
+
 
 def all_ones(move):
     """Times this, a row of states becomes its sum in every place: one matrix product in
@@ -205,20 +218,42 @@ def all_ones(move):
     return np.ones(move.shape, move.dtype)
 
 
+def levelled(emit):
+    """Emissions over the highest of their symbol, and the latter."""
+    top = emit.max(axis=1)
+    return emit / top[:, None], top
+
+
+def unscaled(*probabilities):
+    """Steps from one scaling to the next, ``EVERY`` at most.
+
+    With ``levelled`` emissions a step leaves at least the least start or transition
+    probability of a message's sum, and a message back grows by its inverse at most; so
+    all numbers stay within 1e-36 and 1e36, as 32-bit ones must.
+    """
+    least = min(float(p.min()) for p in probabilities)
+    return max(min(int(36 / -np.log10(min(least, 0.1))), EVERY), 1) if least > 0 else 1
+
+
 def log_probabilities(sequences, start, move, emit):
     """log10 probability of every sequence by the scaled forward recursion.
 
     ``emit`` is (symbols x states).
     """
     p = Packed(sequences)
-    out = np.zeros(len(sequences))
-    a, ones = None, all_ones(move)
-    for t, n in enumerate(p.n.tolist()):
-        e = emit[p.symbols[p.at[t]:p.at[t + 1]]]
-        a = (start if a is None else a[:n] @ move) * e
-        c = a @ ones
-        a /= c
-        out[:n] += np.log10(c[:, 0])
+    emit, top = levelled(emit)
+    logs = np.log10(top)
+    out = np.array([logs[s].sum() for s in sequences], float)[p.order]
+    a, ones, every = None, all_ones(move), unscaled(start, move)
+    at, count = p.at.tolist(), [*p.n.tolist(), 0]
+    for t, n in enumerate(count[:-1]):
+        a = (start if a is None else a[:n] @ move) * emit.take(p.symbols[at[t]:at[t + 1]], axis=0)
+        if t % every == 0:
+            c = a @ ones
+            a /= c
+            out[:n] += np.log10(c[:, 0])
+        if (k := count[t + 1]) < n:
+            out[k:n] += np.log10(a[k:].sum(axis=1))
     result = np.empty(len(sequences))
     result[p.order] = out
     return result
@@ -228,12 +263,15 @@ def transfers(pieces, first, move, emit):
     """Scaled product of transitions and emissions over every piece, all in step; the
     first piece of a text starts without a transition."""
     p = Packed(pieces)
-    states = len(move)
+    states, every, (emit, _) = len(move), unscaled(move), levelled(emit)
     m = np.where(np.asarray(first)[p.order, None, None], np.eye(states, dtype=move.dtype), move)
     for t, n in enumerate(p.n.tolist()):
-        e = emit[p.symbols[p.at[t]:p.at[t + 1]]][:, None, :]
+        e = emit.take(p.symbols[p.at[t]:p.at[t + 1]], axis=0)[:, None, :]
         now = ((m[:n].reshape(-1, states) @ move).reshape(n, states, states) if t else m[:n]) * e
-        np.divide(now, now.reshape(n, -1).sum(axis=1)[:, None, None], out=m[:n])
+        if t % every == 0:
+            now /= now.reshape(n, -1).sum(axis=1)[:, None, None]
+        m[:n] = now
+    m /= m.reshape(len(m), -1).sum(axis=1)[:, None, None]
     out = np.empty_like(m)
     out[p.order] = m
     return out
@@ -287,29 +325,40 @@ def counts_of_pieces(pieces, start, move, emit):
     fresh = np.array([m is None for m in into], bool)
     before = np.array([np.zeros(states) if m is None else m for m in into],
                       emit.dtype).reshape(-1, states)
-    e = emit[p.symbols]
-    alpha, scale = np.empty_like(e), np.empty(len(p.symbols), emit.dtype)
+    level, top = levelled(emit)
+    e, every = level.take(p.symbols, axis=0), unscaled(start, move)
+    alpha, scales = np.empty_like(e), []
     a, ones, at = np.where(fresh[:, None], start, before @ move), all_ones(move), p.at.tolist()
     for t, n in enumerate(p.n.tolist()):
         lo, hi = at[t], at[t + 1]
         now, own = alpha[lo:hi], e[lo:hi]
-        np.multiply(a[:n] @ move if t else a[:n], own, out=now)
-        c = now @ ones
-        now /= c
-        own /= c
-        scale[lo:hi] = c[:, 0]
+        if t:
+            np.matmul(a[:n], move, out=now)
+            now *= own
+        else:
+            np.multiply(a, own, out=now)
+        if t % every == 0:
+            c = now @ ones
+            now /= c
+            own /= c
+            scales.append(c[:, 0].copy())
         a = now
+    if len(p.n):
+        c = alpha[p.last()] @ ones
+        back /= c
+        scales.append(c[:, 0])
     moved, undo = np.zeros((states, states)), np.ascontiguousarray(move.T)
-    b = np.ones((0, states), emit.dtype)
+    b, room = np.ones((0, states), emit.dtype), np.empty((len(pieces), states), emit.dtype)
     for t in range(len(p.n) - 1, -1, -1):
         lo, hi = at[t], at[t + 1]
-        k = len(b)
-        now = np.empty((hi - lo, states), emit.dtype)
-        now[k:] = back[k:hi - lo]
+        k, n = len(b), hi - lo
+        now, own = room[:n], alpha[lo:hi]
+        if k < n:
+            now[k:] = back[k:n]
         if k:
-            moved += alpha[lo:lo + k].T @ b
+            moved += own[:k].T @ b
             np.matmul(b, undo, out=now[:k])
-        alpha[lo:hi] *= now
+        own *= now
         b = e[lo:hi]
         b *= now
     if len(p.n):
@@ -319,14 +368,19 @@ def counts_of_pieces(pieces, start, move, emit):
         first = np.zeros(states)
     emitted = np.stack([np.bincount(p.symbols, alpha[:, s], minlength=len(emit))
                         for s in range(states)])
-    return first, moved * move, emitted, np.log10(scale).sum(dtype=float)
+    logs = np.bincount(p.symbols, minlength=len(emit)) @ np.log10(top.astype(float))
+    return first, moved * move, emitted, logs + sum(
+        np.log(c).sum(dtype=float) for c in scales) / np.log(10)
 
 
 def sequences_of(batch, end: int):
-    out = []
-    for raw in batch.column("symbols"):
-        out.append(np.append(np.frombuffer(raw.as_buffer(), "<u2"), end).astype(np.int64))
-    return out
+    """The symbols of every text of an Arrow batch, the end included."""
+    raw = batch.column("symbols")
+    bounds = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset:raw.offset + len(raw) + 1] // 2
+    data = np.frombuffer(raw.buffers()[2] or b"", "<u2")[bounds[0]:bounds[-1]]
+    bounds = bounds - bounds[0]
+    data = np.insert(data, bounds[1:], end)
+    return np.split(data, (bounds[1:] + np.arange(1, len(bounds)))[:-1]) if len(raw) else []
 
 
 def counter(model):
@@ -343,16 +397,26 @@ def counter(model):
             got = counts_of_pieces(chunk, *model)
             total = got if total is None else tuple(x + y for x, y in zip(total, got))
 
-        chunk, size = [], 0
-        for batch in batches:
-            for piece in pieces_of(sequences_of(batch, len(model[2]) - 1), *model):
+        def add_all(waiting):
+            chunk, size = [], 0
+            for piece in sorted(pieces_of(waiting, *model), key=lambda x: -len(x[0])):
                 chunk.append(piece)
                 size += len(piece[0])
                 if size >= CHUNK:
                     add(chunk)
                     chunk, size = [], 0
-        if chunk:
-            add(chunk)
+            if chunk:
+                add(chunk)
+
+        waiting, size = [], 0
+        for batch in batches:
+            for s in sequences_of(batch, len(model[2]) - 1):
+                waiting.append(s)
+                size += len(s)
+                if size >= WAIT:
+                    add_all(waiting)
+                    waiting, size = [], 0
+        add_all(waiting)
         if total is None:
             return
         keys, values = [-1], [np.concatenate([total[0], total[1].ravel(), [total[3]]]).tobytes()]
@@ -434,15 +498,18 @@ def score(documents: DataFrame, train=None) -> DataFrame:
             yield pa.RecordBatch.from_pydict({
                 "rid": batch.column("rid"), "doc_id": batch.column("doc_id"),
                 "held_out": pa.array(~batch.column("train").to_numpy(zero_copy_only=False)),
-                **{c: batch.column(c) for c in ("n_words", "n_own", "own_log", "class_log")},
+                **{c: batch.column(c) for c in ("n_words", "n_known", "own_log", "known_log",
+                                                "class_log")},
                 "log": pa.array(logs)})
     scored = coded.drop("rare").mapInArrow(run, SCORED)
     per_token = float(np.log10(of.tokens + ADD * (of.types + 1)))
     end = float(np.log10(of.ends + ADD))
-    n_tokens, rare_log = F.col("n_words") + 1, F.coalesce("rare_log", F.lit(0.0))
-    return scored.join(rare_sums(coded, vocab), "rid", "left").select(
+    n_tokens = F.col("n_words") + 1
+    rare_log = F.col("known_log") + F.coalesce("rare_log", F.lit(0.0))
+    rest = vocab.where(F.col("n") <= of.known_above)
+    return scored.join(rare_sums(coded, rest), "rid", "left").select(
         "doc_id", "held_out", n_tokens.alias("n_tokens"),
-        (F.col("n_own") + F.coalesce("rare_known", F.lit(0)) + int(of.ends > 0)).alias("n_known"),
+        (F.col("n_known") + F.coalesce("rare_known", F.lit(0)) + int(of.ends > 0)).alias("n_known"),
         F.lit(of.tokens).cast("long").alias("train_tokens"),
         (F.col("own_log") + rare_log + end - n_tokens * per_token).alias("base_score"),
         (F.col("log") + rare_log - F.col("class_log")).alias("score"))

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from crewgate.llm import hmm
 from crewgate.llm.common import table
@@ -164,3 +165,81 @@ def test_no_training_documents(spark, docs):
 
     got = hmm.score(docs, F.lit(False)).collect()
     assert {r.train_tokens for r in got} == {0} and all(math.isfinite(r.score) for r in got)
+
+
+def test_words_of_a_slice_are_those_of_split():
+    import pyarrow as pa
+
+    texts = [b"A b\xff \x80B", None, b"", b" \t\x0b\x0c\r\n", "É\x85À Z q\x1cQ\u3000x\0y".encode(), b"a"]
+    part = pa.RecordBatch.from_pydict({"text": pa.array(texts).cast(pa.string(), safe=False)})
+    for lo in range(len(texts)):
+        n, words = hmm.words_of(part.slice(lo))
+        want = [hmm.split(t or b"") for t in texts[lo:]]
+        assert n.tolist() == list(map(len, want)) and words.to_pylist() == sum(want, [])
+
+
+@pytest.mark.parametrize("known", [0, 700])
+def test_known_words_stay_out_of_the_join(spark, docs, rows, monkeypatch, known):
+    """However many words are known to all tasks, the others alone are joined and the
+    sums over both are those of all counts."""
+    monkeypatch.setattr(hmm, "SYMBOLS", 100)
+    monkeypatch.setattr(hmm, "KNOWN", known)
+    vocab = hmm.count_words(docs).cache()
+    of = hmm.Vocabulary(vocab, docs.count())
+    counts = Counter(w for _, t in rows for w in hmm.split((t or "").encode()))
+    assert len({n for n in counts.values()}) > 3 and len(counts) > 1000
+    assert bool(of.known) == (known > 0) and len(of.known) <= known
+    far = {w: n for w, n in counts.items() if w not in of.own}
+    assert of.known.keys() == {w for w in far if far[w] > of.known_above}
+    got = hmm.code(docs, docs.doc_id.isNotNull(), of)
+    rest = vocab.where(vocab.n <= of.known_above)
+    sums = {r.rid: r for r in hmm.rare_sums(got, rest).collect()}
+    coded = got.collect()
+    want = sorted((sum(math.log10(counts[w] + hmm.ADD) for w in hmm.split((t or "").encode())
+                       if w in far), len(hmm.split((t or "").encode()))) for _, t in rows)
+    have = sorted((r.known_log + (sums[r.rid].rare_log if r.rid in sums else 0.0),
+                   r.n_known + (sums[r.rid].rare_known if r.rid in sums else 0)) for r in coded)
+    assert np.allclose(have, want)
+    assert {bytes(w) for r in coded for w in r.rare} == far.keys() - of.known.keys()
+
+
+def test_rare_transitions_stay_within_half_precision():
+    """Transitions of 1e-12 at every step, scaled at every third: 32-bit counts are finite
+    and those of 64-bit numbers, whatever place a text ends at."""
+    start, move = np.array([1 - 1e-12, 1e-12]), np.eye(2) + 1e-12
+    emit = np.array([[1.0, 1e-25], [1e-25, 1.0]])
+    assert hmm.unscaled(start, move) == 3 and hmm.unscaled(move ** 2) == 1
+    sequences = [np.arange(1, n + 1) % 2 for n in range(1, 12)]
+    small = tuple(x.astype(np.float32) for x in (start, move, emit))
+    got = hmm.expected_counts(sequences, *small)
+    for a, b in zip(hmm.expected_counts(sequences, start, move, emit), got):
+        assert np.all(np.isfinite(b)) and np.allclose(a, b, rtol=1e-4)
+    assert np.isclose(got[3], hmm.log_probabilities(sequences, start, move, emit).sum())
+
+
+def test_rounds_take_texts_of_like_length_together(monkeypatch):
+    """A round over texts of mixed lengths takes the steps of the longest once, and its
+    counts are those of the texts one by one."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    model = rng.dirichlet(np.ones(4)), rng.dirichlet(np.ones(4), 4), rng.dirichlet(np.ones(9), 4).T
+    texts = [rng.integers(0, 8, n) for n in [10, 0, 400] * 8]
+    batch = pa.RecordBatch.from_pydict({"symbols": [t.astype("<u2").tobytes() for t in texts]})
+    want = [hmm.expected_counts([np.append(t, 8)], *model) for t in texts]
+    packed, steps = hmm.Packed, []
+
+    def watched(sequences):
+        steps.append(max(map(len, sequences)))
+        return packed(sequences)
+
+    monkeypatch.setattr(hmm, "Packed", watched)
+    monkeypatch.setattr(hmm, "CHUNK", 1600)
+    got, = hmm.counter(model)([batch.slice(0, 7), batch.slice(7)])
+    part = dict(zip(got.column("key").to_pylist(), map(np.frombuffer, got.column("numbers").to_pylist())))
+    assert steps == [401, 401, 11]
+    assert np.allclose(part[-1][:4], sum(w[0] for w in want), rtol=1e-4)
+    assert np.allclose(part[-1][4:20].reshape(4, 4), sum(w[1] for w in want), rtol=1e-3)
+    assert np.isclose(part[-1][-1], sum(w[3] for w in want), rtol=1e-5)
+    emitted = [np.concatenate([part[k * hmm.SLICES + i] for i in range(hmm.SLICES)]) for k in range(4)]
+    assert np.allclose(emitted, sum(w[2] for w in want), rtol=1e-3)
