@@ -39,6 +39,15 @@ def drop_stored(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def unbroadcast(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that Spark shuffles and sorts, whatever size it takes it for.
+
+    Spark sizes a stored table by its compressed files and an explode by its input, so it
+    would send (and build in the driver's memory) narrow tables of millions of rows.
+    """
+    return df.hint("merge")
+
+
 def crc32_of_id(column: str = "doc_id"):
     """crc32 of a doc id written as text (null: null)."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

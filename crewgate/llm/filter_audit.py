@@ -14,7 +14,8 @@ Orders and steps only look up the counts of their sets.
 Rows are narrow (an id, a part, a mask), and all joins but the one for equal texts
 are on a row id, of which no value is frequent.  Equal texts meet by digest: the
 texts held by more than a thousandth of all rows are under 1,000 and are broadcast,
-so a text that a third of the rows hold is compared where the rows are.
+so a text that a third of the rows hold is compared where the rows are.  Nothing else
+is broadcast (``unbroadcast``), so the driver's memory does not grow with the rows.
 
 Edge cases.  A null text is empty, a null source the part ''.  A null doc id is
 smaller than none and has none smaller: its row never fails for an equal text and
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crewgate.llm import arrays as A
-from crewgate.llm.common import drop_stored, slices, stored
+from crewgate.llm.common import drop_stored, slices, stored, unbroadcast
 
 # Fixed values of the contract's filters: A words, B distinct share, C capitals, D signs.
 MIN_WORDS, MIN_DISTINCT, MAX_CAPITALS, SIGNS = 50, 65, 5, b"#$%&*|"
@@ -85,7 +86,8 @@ def later_copies(rows: DataFrame) -> DataFrame:
     hot = F.broadcast(groups.where(F.col("n") * HOT_SHARE > total))     # under HOT_SHARE rows
     cold = groups.where(F.col("n") * HOT_SHARE <= total)
     found = rows.join(hot, "digest").unionByName(
-        rows.join(hot.select("digest"), "digest", "left_anti").join(cold, "digest"))
+        rows.join(hot.select("digest"), "digest", "left_anti").join(
+            unbroadcast(cold), "digest"))
     return found.where("doc_id > first").select("rid", "part"), path
 
 
@@ -100,8 +102,8 @@ def survivors(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
         twice = out.select("rid", "part", "mask", F.explode(F.array(F.lit(0), F.lit(bit))).alias(
             "bit"))
         failing = tables[f].select(F.col("rid").alias("failing"))
-        out = twice.join(failing, (F.col("rid") == F.col("failing")) & (F.col("bit") != 0),
-                         "left_anti").select(
+        on = (F.col("rid") == F.col("failing")) & (F.col("bit") != 0)
+        out = twice.join(unbroadcast(failing), on, "left_anti").select(
             "rid", "part", F.col("mask").bitwiseOR(F.col("bit")).alias("mask"))
     return out
 
@@ -128,7 +130,7 @@ def interactions(rows: DataFrame, tables: dict[str, DataFrame], marks: dict[str,
     bit, full = bits(letters), (1 << len(letters)) - 1
     alive, alive_path = stored(survivors(rows, tables), "audit-survivors")
     failing = before_sets(tables)
-    alive_keys = alive.select("rid", "mask")
+    alive_keys = unbroadcast(alive.select("rid", "mask"))
     removed, removed_path = stored(failing.join(alive_keys, ["rid", "mask"], "left_semi"),
                                    "audit-removed")
     redundant = failing.join(alive_keys, ["rid", "mask"], "left_anti")
@@ -141,7 +143,8 @@ def interactions(rows: DataFrame, tables: dict[str, DataFrame], marks: dict[str,
     counts = reduce(DataFrame.unionByName, [
         counted(alive.withColumn("filter", F.lit("")), "kept"), counted(removed, "removed"),
         counted(redundant, "redundant"),
-        *[counted(removed.join(t, "rid", "left_semi"), f"{m}_lost") for m, t in marks.items()]])
+        *[counted(removed.join(unbroadcast(t), "rid", "left_semi"), f"{m}_lost")
+          for m, t in marks.items()]])
     counts, counts_path = stored(counts, "audit-counts")
 
     def pick(*names):
@@ -176,8 +179,9 @@ def interactions(rows: DataFrame, tables: dict[str, DataFrame], marks: dict[str,
         .withColumn("before", F.aggregate(
             F.filter("prefix", lambda c: c != ""), F.lit(0), lambda a, c: a + value(c))) \
         .withColumn("after", F.col("before") + value(F.col("letter")))
-    out = steps.join(at_step, ["part", "letter", "before"], "left") \
-        .join(after_step, ["part", "after"], "left").join(overall, ["part", "letter"], "left")
+    out = steps.join(unbroadcast(at_step), ["part", "letter", "before"], "left") \
+        .join(unbroadcast(after_step), ["part", "after"], "left") \
+        .join(unbroadcast(overall), ["part", "letter"], "left")
     names = ["kept", "removed", "redundant", "unique_fails", *lost, "shapley"]
     result = out.select("part", "filter_order", (F.col("k") + 1).cast("int").alias("step"), *[
         F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names])
@@ -201,7 +205,7 @@ def audit(documents: DataFrame, labels: DataFrame) -> DataFrame:
     paths.append(path)
     marks = {}
     for name, column in (("good", "quality"), ("toxic", "toxic")):
-        ids = labels.where(F.col(column) == 1).select("doc_id")
+        ids = unbroadcast(labels.where(F.col(column) == 1).select("doc_id"))
         marks[name], path = stored(
             rows.select("doc_id", "rid").join(ids, "doc_id", "left_semi").select("rid"),
             f"audit-{name}")

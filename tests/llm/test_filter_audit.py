@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from crewgate.llm import filter_audit as A
+from crewgate.llm.common import stored, table
 from crewgate.llm.oracle import ORACLE_SQL
 from crewgate.llm.queries import QUERIES
 from tests.llm.conftest import SF, frame
@@ -96,6 +97,21 @@ def test_survivors_are_left_anti_joins_on_ids(spark, rows):
     assert plan.toString().count("LeftAnti") == 2
 
 
+def test_only_hot_texts_are_broadcast(spark, monkeypatch):
+    """Stored tables are compressed, so their sizes say little about the rows a driver would get."""
+    plans = {}
+
+    def planned(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name)
+    monkeypatch.setattr(A, "stored", planned)
+    A.audit(table(spark, SF, "documents"), table(spark, SF, "labels"))
+    sent = {name: plan.count("BroadcastExchange") for name, plan in plans.items()}
+    assert {name for name, n in sent.items() if n} == {"audit-fails-E"}
+    assert sent["audit-fails-E"] == 2       # the hot texts, for the join and the anti join
+    assert "SortMergeJoin" in plans["audit-removed"]
+
+
 def test_query_equals_its_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "labels"):
