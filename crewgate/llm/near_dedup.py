@@ -25,7 +25,9 @@ parts of ``PART`` texts, every two parts meet in one task, and only links come
 out of it, no pairs.  There a pair is compared in full unless its shingle counts
 alone rule the threshold out.  Comparisons of one text with many are salted into
 groups of ``FAN`` rows.  Nothing but round counts comes to
-the driver; intermediate tables are written to the checkpoint folder.
+the driver, and no join broadcasts (``unbroadcast``); intermediate tables are written to
+the checkpoint folder.  The small side of a join on a band or hub is written first, since
+Spark splits a hot key only where both sides of a join come straight from an exchange.
 
 Edge cases.  Null and empty texts, and texts of white space alone, have no
 shingle: equal ones are copies of each other and link to nothing else.  Repeated
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crewgate.llm import arrays as A
-from crewgate.llm.common import drop_stored, slices, stored
+from crewgate.llm.common import drop_stored, slices, stored, unbroadcast
 
 WORDS, THRESHOLD = 5, 0.8     # fixed by the task
 BANDS, ROWS = 24, 6           # a pair at 0.8 shares a band with probability 0.9993
@@ -177,13 +179,13 @@ def comparer(threshold: float):
 
 def links(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The (a, b) among distinct ``pairs`` (hub, rid) whose texts are similar."""
-    groups = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).select(
-        "hub", F.ceil(F.col("n") / FAN).cast("int").alias("salts"))
-    members = pairs.join(groups, "hub").select(
+    groups, _ = stored(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).select(
+        "hub", F.ceil(F.col("n") / FAN).cast("int").alias("salts")), "hubs")
+    members = pairs.join(unbroadcast(groups), "hub").select(
         "hub", F.pmod(F.xxhash64("rid"), F.col("salts")).cast("int").alias("salt"), "rid")
     hubs = groups.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
                          F.col("hub").alias("rid"))
-    rows = members.unionByName(hubs).join(texts, "rid")
+    rows = members.unionByName(hubs).join(unbroadcast(texts), "rid")
     rows = rows.select("hub", "salt", "rid", "text").repartition("hub", "salt") \
         .sortWithinPartitions("hub", "salt", F.col("hub") != F.col("rid"), "rid")
     return rows.mapInArrow(comparer(threshold), "a long, b long").distinct()
@@ -289,12 +291,13 @@ def cross_links(left: DataFrame, sketches: DataFrame, texts: DataFrame,
     parts = left.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")) \
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = left.select("band", "rid", "label", "size", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast(
-        "int").alias("salt")).join(parts, ["band", "salt"]).withColumn(
+        "int").alias("salt")).join(unbroadcast(parts), ["band", "salt"]).withColumn(
         "part", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("parts")).cast("int"))
     rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("band", "rid", "label", "size", "part", F.least("part", "x").alias("lo"),
                        F.greatest("part", "x").alias("hi"))
-    rows = rows.join(sketches.join(texts, "rid"), "rid").repartition("band", "lo", "hi") \
+    whole = sketches.join(unbroadcast(texts), "rid")
+    rows = rows.join(unbroadcast(whole), "rid").repartition("band", "lo", "hi") \
         .sortWithinPartitions("band", "lo", "hi", "rid")
     return rows.select("band", "lo", "hi", "part", "rid", "label", "size", "bands", "text") \
         .mapInArrow(part_comparer(threshold), "a long, b long").distinct()
@@ -315,12 +318,12 @@ def components(edges: DataFrame) -> DataFrame:
         F.col("a").alias("rid"), F.least("a", "m").alias("label")), "labels")
     while True:
         of = label.select(F.col("rid").alias("b"), F.col("label").alias("l"))
-        near = both.join(of, "b").groupBy("a").agg(F.min("l").alias("l")).select(
+        near = both.join(unbroadcast(of), "b").groupBy("a").agg(F.min("l").alias("l")).select(
             F.col("a").alias("rid"), "l")
-        step = label.join(near, "rid").select(
+        step = label.join(unbroadcast(near), "rid").select(
             "rid", F.col("label").alias("old"), F.least("label", "l").alias("label"))
         jump = label.select(F.col("rid").alias("label"), F.col("label").alias("l"))
-        step = step.join(jump, "label").select(
+        step = step.join(unbroadcast(jump), "label").select(
             "rid", F.least("label", "l").alias("label"), (F.col("old") != F.least(
                 "label", "l")).alias("changed"))
         step, new_path = stored(step, "labels")
@@ -349,10 +352,12 @@ def top_of_bucket(members: DataFrame, *keys: str) -> DataFrame:
 
 def open_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
     """Members with their class label, of the buckets that still hold several classes."""
-    rows = members.join(label, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-    mixed = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")) \
-        .where(F.col("lo") != F.col("hi")).select("band")
-    return rows.join(mixed, "band")
+    rows = members.join(unbroadcast(label), "rid", "left").withColumn(
+        "label", F.coalesce("label", "rid"))
+    mixed, _ = stored(rows.groupBy("band").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"))
+        .where(F.col("lo") != F.col("hi")).select("band"), "mixed-buckets")
+    return rows.join(unbroadcast(mixed), "band")
 
 
 def classes(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
@@ -373,23 +378,27 @@ def classes(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
         .withColumn("rid", F.monotonically_increasing_id()), "distinct-texts")
     banded = texts.where(F.col("bands").isNotNull()).select("rid", "size", "bands") \
         .mapInArrow(unpack, "band long, rid long, size long")
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counted, path = stored(banded.join(shared, "band"), "buckets")
+    shared, shared_path = stored(banded.groupBy("band").agg(
+        F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-bands")
+    counted, path = stored(banded.join(unbroadcast(shared), "band"), "buckets")
     rank = counted.groupBy("rid").agg((-F.sum("n")).alias("rank"))    # most others first
-    members, members_path = stored(counted.drop("n").join(rank, "rid"), "buckets")
-    drop_stored(spark, path)
+    members, members_path = stored(counted.drop("n").join(unbroadcast(rank), "rid"),
+                                   "buckets")
+    drop_stored(spark, path, shared_path)
 
-    wanted = members.select("rid").distinct().join(
-        texts.select("rid", "digest", "doc_id"), "rid")
+    wanted = unbroadcast(members.select("rid").distinct().join(
+        unbroadcast(texts.select("rid", "digest", "doc_id")), "rid"))
     found = docs.select(F.col("digest").alias("d"), F.col("doc_id").alias("i"), "text")
     involved, texts_path = stored(found.join(
         wanted, (F.col("d") == F.col("digest")) & F.col("i").eqNullSafe(F.col("doc_id")))
         .select("rid", "text"), "candidate-texts")
 
-    first = members.join(top_of_bucket(members, "band"), "band").where(
+    tops, tops_path = stored(top_of_bucket(members, "band"), "bucket-tops")
+    first = members.join(unbroadcast(tops), "band").where(
         (F.col("hub") != F.col("rid")) & within(threshold, "size", "hub_size"))
     first = first.groupBy("rid").agg(F.min(F.struct("hub_rank", "hub")).alias("t"))
     tested, _ = stored(first.select("t.hub", "rid"), "pairs")
+    drop_stored(spark, tops_path)
     edges, _ = stored(links(tested, involved, threshold), "edges")
     label = components(edges)
 
@@ -398,10 +407,10 @@ def classes(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
     heads = top_of_bucket(left, "band", "label").select(
         "band", "label", F.col("hub").alias("rid"), F.col("hub_size").alias("size"),
         F.col("hub_rank").alias("rank"))
-    second = heads.join(top_of_bucket(heads, "band"), "band").where(
+    second = heads.join(unbroadcast(top_of_bucket(heads, "band")), "band").where(
         (F.col("hub") != F.col("rid")) & within(threshold, "size", "hub_size"))
     second = second.select("hub", "rid").distinct()
-    second, _ = stored(second.join(tested, ["hub", "rid"], "left_anti"), "pairs")
+    second, _ = stored(second.join(unbroadcast(tested), ["hub", "rid"], "left_anti"), "pairs")
     more, _ = stored(links(second, involved, threshold), "edges")
     edges = edges.unionByName(more)
     label = components(edges)
@@ -414,14 +423,14 @@ def classes(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
     drop_stored(spark, members_path, texts_path, left_path)
 
     whole = texts.select("rid", "digest", F.col("doc_id").alias("first_id")).join(
-        label, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+        unbroadcast(label), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     heads = whole.groupBy("label").agg(
         F.min("first_id").alias("class_id"),
         F.min(F.struct(F.col("first_id").isNull(), "first_id", "rid")).alias("head"))
-    whole = whole.join(heads, "label").select(
+    whole = whole.join(unbroadcast(heads), "label").select(
         "digest", "rid", "label", "class_id", "first_id",
         (F.col("head.rid") == F.col("rid")).alias("is_head"))
-    return sketch.select("doc_id", "digest").join(whole, "digest").select(
+    return sketch.select("doc_id", "digest").join(unbroadcast(whole), "digest").select(
         "doc_id", "digest", "rid", "label", "class_id",
         (F.col("is_head") & F.col("doc_id").eqNullSafe(F.col("first_id"))).alias("keeper"))
 
@@ -431,6 +440,6 @@ def keep_one(documents: DataFrame, **options) -> DataFrame:
     keepers = classes(documents, **options).where("keeper").select(
         F.col("digest").alias("d"), F.col("doc_id").alias("i")).distinct()
     rows = documents.select(F.struct("*").alias("row"), "doc_id", digest().alias("digest"))
-    held = rows.join(keepers, (F.col("digest") == F.col("d"))
+    held = rows.join(unbroadcast(keepers), (F.col("digest") == F.col("d"))
                      & F.col("doc_id").eqNullSafe(F.col("i")))
     return held.dropDuplicates(["d", "i"]).select("row.*")

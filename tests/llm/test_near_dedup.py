@@ -4,6 +4,7 @@ import re
 import pytest
 
 from crewgate.llm import near_dedup
+from crewgate.llm.common import stored
 from tests.llm.conftest import frame, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -145,3 +146,17 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(900, 901)], "a long, b long")
     got = {r.rid: r.label for r in near_dedup.components(edges).collect()}
     assert got == {k: 0 for k in range(201)} | {900: 900, 901: 900}
+
+
+def test_no_join_is_broadcast(spark, docs, monkeypatch):
+    """Small or compressed as the stored tables may be, none is built in the driver's memory."""
+    plans = {}
+
+    def planned(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+    monkeypatch.setattr(near_dedup, "stored", planned)
+    kept = near_dedup.keep_one(stored(docs, "docs")[0])
+    plans["kept"] = [kept._jdf.queryExecution().executedPlan().toString()]
+    assert not {name for name, of in plans.items() if "BroadcastExchange" in "".join(of)}
+    assert "SortMergeJoin" in plans["kept"][0] and len(plans["edges"]) == 3
